@@ -1,0 +1,45 @@
+"""Vector expressions for arrays of floats."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+N_PLANES = 8
+N_BUCKETS = 1 << N_PLANES
+
+
+def plane_mask(plane: int) -> int:
+    """Bit mask of a plane; distinct masks give orthogonal +-1 planes (Walsh functions)."""
+    return 5 * plane + 3
+
+
+def _add(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def dot(a: Column, b: Column) -> Column:
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(products, F.lit(0.0), _add)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def side_of_plane(vector: Column, plane: int) -> Column:
+    """1 if the vector lies on the positive side of a fixed plane."""
+    mask = F.lit(plane_mask(plane))
+    signed = F.transform(
+        vector, lambda x, i: x.cast("double") * (1 - 2 * (F.bit_count(i.bitwiseAND(mask)) % 2))
+    )
+    return (F.aggregate(signed, F.lit(0.0), _add) >= 0).cast("int")
+
+
+def bucket_of(vector: Column) -> Column:
+    """Search bucket: one bit per plane."""
+    bits = [side_of_plane(vector, p) * (1 << p) for p in range(N_PLANES)]
+    total = bits[0]
+    for bit in bits[1:]:
+        total = total + bit
+    return total
