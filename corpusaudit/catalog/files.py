@@ -16,7 +16,7 @@ from corpusaudit.catalog.registry import (
 from corpusaudit.functions import severity
 from corpusaudit.operators import files as FI
 from corpusaudit.operators import grouping
-from corpusaudit.session import shared_folder
+from corpusaudit.session import fresh_folder
 from corpusaudit.sources import archives, outputs, tables, tree, uploads
 
 _PARTS = "string_split(file_path, '/')"
@@ -128,7 +128,7 @@ def _(read):
 def _(read):
     """Outputs written by kind to the shared folder and read back."""
     rows = read("transformations")
-    path = shared_folder(rows.sparkSession) + "/written_outputs"
+    path = fresh_folder(read.spark, "outputs")
     outputs.write_outputs(rows, path)
     back = rows.sparkSession.read.parquet(path)
     return back.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("chars"))

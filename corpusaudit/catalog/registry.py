@@ -11,6 +11,7 @@ from corpusaudit import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES: dict[str, str] = {}
 
 _WIDER = {"int": "bigint", "smallint": "bigint", "tinyint": "bigint", "float": "double"}
 
@@ -23,17 +24,21 @@ def widened(df: DataFrame) -> DataFrame:
 
 
 def query(name: str, sql: str | None = None):
-    """Register a function of (read, spark, sf_dir), where ``read`` loads a view."""
+    """Register a function of ``read``, which loads a view and knows the session."""
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             def read(view: str) -> DataFrame:
                 return adapters.view(spark, sf_dir, view)
 
+            read.spark, read.sf_dir = spark, sf_dir
             return widened(fn(read))
 
         run.__name__, run.__doc__ = name, fn.__doc__
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
+        MODULES[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             ORACLES[name] = sql
         return fn

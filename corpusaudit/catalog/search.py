@@ -1 +1,234 @@
-"""Queries."""
+"""Chunks, embeddings, search and grouped patterns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusaudit.catalog.registry import query, v
+from corpusaudit.catalog.texts import _words
+from corpusaudit.functions import vectors
+from corpusaudit.operators import search
+from corpusaudit.operators.files import pattern_id
+from corpusaudit.plans.ranking import combine_patterns
+from corpusaudit.session import fresh_folder
+from corpusaudit.sources import tables
+
+_CENTROIDS = """q AS (SELECT label AS query_id, list(x ORDER BY i) AS qv FROM (SELECT label, i, avg(x) AS x FROM
+   (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) a GROUP BY label, i) b GROUP BY label)"""
+_CHUNKS = v("chunks")
+
+
+def _ranked(k: int, metric: str = "cosine", where: str = "true") -> str:
+    score = {
+        "cosine": "list_cosine_similarity(c.embedding::DOUBLE[], q.qv)",
+        "l2": "-list_distance(c.embedding::DOUBLE[], q.qv)",
+    }[metric]
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
+      (SELECT q.query_id, c.chunk_id, c.file_path, c.text, round({score}, 6) AS score FROM q, {_CHUNKS.rsplit(' ', 1)[0]} c WHERE {where}) a) b WHERE rank <= {k}) hits"""
+
+
+_SHOWN = "query_id::BIGINT AS query_id, rank, chunk_id, file_path, score, text"
+
+
+def _queries(read):
+    return search.centroids(read("chunks"), "label")
+
+
+@query("similar", f"WITH {_CENTROIDS} SELECT {_SHOWN} FROM {_ranked(20)}")
+def _(read):
+    """The 20 chunks most like the mean of each label, over all chunks."""
+    return search.similar(_queries(read), read("chunks"), 20)
+
+
+@query("similar_by_distance", f"WITH {_CENTROIDS} SELECT {_SHOWN} FROM {_ranked(20, 'l2')}")
+def _(read):
+    return search.similar(_queries(read), read("chunks"), 20, metric="l2")
+
+
+def _bucket(x: str) -> str:
+    bits = []
+    for p in range(vectors.N_PLANES):
+        signs = f"1 - 2 * (bit_count((i - 1) & {vectors.plane_mask(p)}) % 2)"
+        bits.append(f"(CASE WHEN list_sum(list_transform({x}::DOUBLE[], lambda e, i: e * ({signs}))) >= 0 THEN {1 << p} ELSE 0 END)")
+    return "(" + " + ".join(bits) + ")"
+
+
+_NEAR = f"bit_count(xor({_bucket('c.embedding')}, {_bucket('q.qv')})) <= 2"
+
+
+@query("similar_ann", f"WITH {_CENTROIDS} SELECT {_SHOWN} FROM {_ranked(20, 'cosine', _NEAR)}")
+def _(read):
+    """The same search, looking only at buckets near each query."""
+    return search.similar_ann(_queries(read), read("chunks"), 20, probe_distance=2)
+
+
+@query(
+    "index_round_trip",
+    f"SELECT chunk_id, file_path, {_bucket('embedding')}::BIGINT AS bucket FROM {_CHUNKS}",
+)
+def _(read):
+    """The index written by bucket to the shared folder and read back."""
+    path = fresh_folder(read.spark, "index")
+    tables.write_index(read("chunks"), path)
+    return tables.read_index(read.spark, path).select("chunk_id", "file_path", "bucket")
+
+
+_GROUPS = f"""(SELECT query_id, string_agg(file_path, ',' ORDER BY rank) AS files, string_agg(printf('%.6f', score), ',' ORDER BY rank) AS scores,
+   list(file_path ORDER BY rank) AS listed FROM {_ranked(10)} GROUP BY query_id) g"""
+
+
+@query("pattern_groups", f"WITH {_CENTROIDS} SELECT query_id::BIGINT AS query_id, files, scores FROM {_GROUPS}")
+def _(read):
+    groups = search.pattern_groups(_queries(read), read("chunks"))
+    return groups.select(
+        "query_id",
+        F.array_join("files", ",").alias("files"),
+        F.array_join(F.transform("scores", lambda s: F.format_string("%.6f", s)), ",").alias("scores"),
+    )
+
+
+@query(
+    "pattern_ids",
+    f"WITH {_CENTROIDS} SELECT query_id::BIGINT AS query_id, md5('label ' || query_id || ':' || array_to_string(list_sort(listed), '|')) AS pattern_id FROM {_GROUPS}",
+)
+def _(read):
+    groups = search.pattern_groups(_queries(read), read("chunks"))
+    name = F.concat(F.lit("label "), F.col("query_id").cast("string"))
+    return groups.select("query_id", pattern_id(name, F.col("files")).alias("pattern_id"))
+
+
+@query(
+    "combine_patterns",
+    f"""WITH {_CENTROIDS} SELECT file_path, string_agg('label ' || query_id, ' AND ' ORDER BY query_id) AS combined_pattern
+    FROM {_ranked(10)} WHERE rank <= 3 AND query_id IN (SELECT query_id FROM q ORDER BY query_id LIMIT 5) GROUP BY file_path""",
+)
+def _(read):
+    groups = search.pattern_groups(_queries(read), read("chunks")).select(
+        F.col("query_id").alias("group_no"), F.concat(F.lit("label "), F.col("query_id").cast("string")).alias("name"), "files"
+    )
+    return combine_patterns(groups)
+
+
+@query("retrieve_examples", f"WITH {_CENTROIDS} SELECT {_SHOWN} FROM {_ranked(5)}")
+def _(read):
+    return search.retrieve_examples(_queries(read), read("chunks"))
+
+
+@query(
+    "context_for",
+    f"WITH {_CENTROIDS} SELECT {_SHOWN} FROM {_ranked(10, 'cosine', 'c.chunk_id IN (SELECT o_custkey FROM orders)')}",
+)
+def _(read):
+    """Search within the files that another table names."""
+    files = read("orders").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".py")).alias("file_path"))
+    return search.context_for(_queries(read), files, read("chunks"))
+
+
+# -- chunks and embeddings -------------------------------------------------------
+_PIECES = f"""(SELECT doc_id, unnest(range(greatest(ceil((len(w) - 20) / 180.0), 1)::BIGINT)) AS chunk_no, w FROM (SELECT doc_id, {_words('text')} AS w FROM documents) x WHERE len(w) > 0) p"""
+
+
+@query(
+    "chunk_text",
+    f"SELECT doc_id, chunk_no, array_to_string(w[chunk_no * 180 + 1:chunk_no * 180 + 200], ' ') AS text, len(w[chunk_no * 180 + 1:chunk_no * 180 + 200]) AS n_words FROM {_PIECES}",
+)
+def _(read):
+    return search.chunk_text(read("documents").select("doc_id", F.col("text").alias("content")))
+
+
+def _lengths(limit: int = 250) -> str:
+    dims = ", ".join(f"len(list_filter(w[1:{limit}], lambda x: length(x) % 8 = {d}))" for d in range(8))
+    return f"array_to_string([{dims}], ',')"
+
+
+def _joined(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), ",")
+
+
+@query(
+    "embed",
+    f"SELECT doc_id, {_lengths()} AS embedding, 'lengths' AS model FROM (SELECT doc_id, {_words('text')} AS w FROM documents) x",
+)
+def _(read):
+    """Every document embedded by a caller's function, here one that counts word lengths."""
+    chunks = read("documents").select("doc_id", "text")
+    done = search.embed(chunks, search.word_length_embedder, batch_size=16, model="lengths")
+    return done.select("doc_id", _joined("embedding").alias("embedding"), "model")
+
+
+def _small_only(texts):
+    if any(len(t.split()) > 100 for t in texts):
+        raise ValueError("too large")
+    return search.word_length_embedder(texts)
+
+
+@query(
+    "embed_with_fallback",
+    f"""SELECT doc_id, {_lengths()} AS embedding, CASE WHEN len(w) > 100 THEN 'large' ELSE 'small' END AS model FROM (SELECT doc_id, {_words('text')} AS w FROM documents) x""",
+)
+def _(read):
+    """A first provider that refuses long texts, and a second that takes them."""
+    providers = [("small", _small_only), ("large", search.word_length_embedder)]
+    done = search.embed_with_fallback(read("documents").select("doc_id", "text"), providers, batch_size=4)
+    return done.select("doc_id", _joined("embedding").alias("embedding"), "model")
+
+
+# -- text search -----------------------------------------------------------------
+_SEARCHES = [
+    ("migration", search.guide_query("migration", "the", "of")),
+    ("documentation", search.guide_query("documentation", "and")),
+    ("version", search.guide_query("documentation_version", "der", "le")),
+    ("practices", search.guide_query("best_practices", "la", "de")),
+    ("vulnerabilities", search.guide_query("vulnerabilities", "die", "la")),
+]
+_TOKENS = """t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(txt), '[\\p{L}\\p{N}]+')) AS token FROM (VALUES """ + ", ".join(
+    f"('{q}', '{t}')" for q, t in _SEARCHES
+) + """) s(query_id, txt)), sizes AS (SELECT query_id, count(*) AS n FROM t GROUP BY query_id)"""
+_HIDDEN = search.HIDDEN
+_GUIDES = f"""g AS (SELECT url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+   trim(regexp_replace(regexp_replace(regexp_replace(html, '{_HIDDEN}', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages)"""
+
+
+def _guides(read):
+    html = F.col("html")
+    return read("pages").select("url", search.html_title(html).alias("title"), search.html_text(html).alias("text"))
+
+
+@query(
+    "doc_search",
+    f"""WITH {_TOKENS}, {_GUIDES}, pt AS (SELECT DISTINCT url, unnest(regexp_extract_all(lower(title || ' ' || text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM g),
+      m AS (SELECT query_id, url, round(count(*) / any_value(n), 6) AS score FROM pt JOIN t USING (token) JOIN sizes USING (query_id) GROUP BY query_id, url),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM m)
+    SELECT query_id, rank, url, title, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet, score,
+      CASE WHEN contains(s, 'critical') THEN 'critical' WHEN contains(s, 'high') THEN 'high' WHEN contains(s, 'medium') OR contains(s, 'moderate') THEN 'medium' WHEN contains(s, 'low') THEN 'low' ELSE 'unknown' END AS severity
+    FROM (SELECT r.*, g.title, g.text, lower(substr(g.text, 1, 200)) AS s FROM r JOIN g USING (url) WHERE rank <= 5) x""",
+)
+def _(read):
+    return search.doc_search(_guides(read), _SEARCHES)
+
+
+_BM25 = f"""docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS avg FROM docs),
+  tf AS (SELECT doc_id, nw, token, count(*) AS tf FROM (SELECT doc_id, len(w) AS nw, unnest(w) AS token FROM docs) x WHERE token IN (SELECT token FROM t) GROUP BY ALL),
+  df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+  bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * nw / avg))), 6) AS score
+    FROM tf JOIN t USING (token) JOIN df USING (token), stats GROUP BY query_id, doc_id)"""
+
+
+@query("keyword_scores", f"WITH {_TOKENS}, {_BM25} SELECT query_id, doc_id, score FROM bm")
+def _(read):
+    return search.keyword_scores(read("documents"), _SEARCHES)
+
+
+@query(
+    "hybrid_search",
+    f"""WITH {_TOKENS}, {_BM25}, {_CENTROIDS.replace('SELECT label AS query_id', 'SELECT CASE label ' + ' '.join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(_SEARCHES)) + ' END AS query_id', 1).replace('FROM embeddings)', 'FROM embeddings WHERE label < 5)')},
+      lists AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm
+        UNION ALL SELECT query_id, chunk_id, rank FROM {_ranked(100)}),
+      fused AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 8) AS score FROM lists WHERE rank <= 100 GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) x WHERE rank <= 10""",
+)
+def _(read):
+    """Keyword and vector lists fused; the vector of a search is the mean of one label."""
+    label_names = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(_SEARCHES) for x in (i, n)])
+    named = _queries(read).select(label_names[F.col("query_id")].alias("query_id"), "embedding").filter(F.col("query_id").isNotNull())
+    return search.hybrid_search(read("documents"), _SEARCHES, named, read("chunks"))

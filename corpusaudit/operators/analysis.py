@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusaudit import dims
 from corpusaudit.functions import severity
+from corpusaudit.functions.once import with_once
 from corpusaudit.operators import rules as R
 from corpusaudit.operators.grouping import salted_parts
 
@@ -174,5 +176,5 @@ def nested_to_json(nested: DataFrame) -> DataFrame:
     return nested.select("file_path", F.to_json(F.struct(*nested.columns)).alias("payload"))
 
 
-def nested_from_json(cached: DataFrame, schema: str) -> DataFrame:
-    return cached.select(F.from_json("payload", schema).alias("a")).select("a.*")
+def nested_from_json(cached: DataFrame, schema: T.StructType | str) -> DataFrame:
+    return with_once(cached, "a", F.from_json("payload", schema)).select("a.*")

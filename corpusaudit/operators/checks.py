@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from corpusaudit import dims
 from corpusaudit.functions import paths
+from corpusaudit.functions.once import with_once
 from corpusaudit.functions.text import any_of, lines, strip, words
 
 # What is looked for in sources and tests.
@@ -33,7 +34,8 @@ URL_BLOCK = (
     r"\n// Modern ES module.*?\n.*?import.*?from ['\"]url['\"];.*?\n.*?import.*?from ['\"]path['\"];"
     r".*?\n\nconst __filename.*?import\.meta\.url\);.*?\n.*?if \(process\.argv\[1\].*?\{.*?\n.*?\n.*?\n\}"
 )
-META_LINE = r".*import\.meta.*\n"
+# The line anchor keeps the search linear in long lines; a match always starts a line.
+META_LINE = r"^.*import\.meta.*\n"
 CLI_BLOCK = r"\nif \(process\.argv\[1\].*?\{[^}]*\}"
 # Texts of the issues.
 NOT_EXPORTED = "' is declared in source but not exported. Add 'export' keyword before the declaration."
@@ -122,21 +124,17 @@ def defined_py(source: Column) -> Column:
     )
 
 
-def _issues(names: Column, kind: str | Column) -> Column:
+def _issues(names: Column, kind: str) -> Column:
     """Issue records for names, in name order."""
-    as_kind = (lambda n: F.lit(kind)) if isinstance(kind, str) else (lambda n: kind)
-    return F.transform(F.sort_array(names), lambda n: F.struct(as_kind(n).alias("kind"), n.alias("name")))
+    return F.transform(F.sort_array(names), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
 
 
 def ts_export_issues(source: Column, test: Column) -> Column:
     missing = F.array_except(imported_relative(test), exported_ts(source))
     declared = declared_ts(source)
-    return F.transform(
-        F.sort_array(missing),
-        lambda n: F.struct(
-            F.when(F.array_contains(declared, n), "not_exported").otherwise("not_found").alias("kind"),
-            n.alias("name"),
-        ),
+    return F.concat(
+        _issues(F.array_intersect(missing, declared), "not_exported"),
+        _issues(F.array_except(missing, declared), "not_found"),
     )
 
 
@@ -182,7 +180,7 @@ def issue_message(kind: Column, name: Column) -> Column:
 # -- DataFrame forms ---------------------------------------------------------
 def check_pairs(pairs: DataFrame, issues: Column) -> DataFrame:
     """Add ``issues`` and ``is_valid`` to rows of source and test."""
-    return pairs.withColumn("issues", issues).withColumn("is_valid", F.size("issues") == 0)
+    return with_once(pairs, "issues", issues).withColumn("is_valid", F.size("issues") == 0)
 
 
 def validate_code(pairs: DataFrame) -> DataFrame:
@@ -214,12 +212,11 @@ def fix_exports_ts(source: Column, names: Column) -> Column:
 
 def fix_module_system_ts(source: Column) -> Column:
     """Cut out module-only code: the whole block, else each line with it; then CLI blocks."""
+    # A cut whose expression does not match changes nothing, so none needs a guard.
     without_block = F.regexp_replace(source, "(?s)" + URL_BLOCK, "")
-    without_meta = F.when(
-        without_block.contains("import.meta"), F.regexp_replace(without_block, "(?d)" + META_LINE, "")
-    ).otherwise(without_block)
+    without_meta = F.regexp_replace(without_block, "(?dm)" + META_LINE, "")
     cut = F.when(source.contains("import.meta"), without_meta).otherwise(source)
-    return F.when(cut.contains("process.argv[1]"), F.regexp_replace(cut, "(?s)" + CLI_BLOCK, "")).otherwise(cut)
+    return F.regexp_replace(cut, "(?s)" + CLI_BLOCK, "")
 
 
 def validate_and_fix(pairs: DataFrame) -> DataFrame:
@@ -231,18 +228,15 @@ def validate_and_fix(pairs: DataFrame) -> DataFrame:
         F.filter("issues", lambda i: (i["kind"] == "not_exported") & i["name"].rlike(r"^(?U)\w+\z")), lambda i: i["name"]
     )
     has_module_issue = F.arrays_overlap(kinds, F.array(*[F.lit(k) for k in MODULE_ISSUES]))
-    source = F.col("source_code")
-    step = first.withColumn(
-        "fixed_code", F.when(broken & has_module_issue, fix_module_system_ts(source)).otherwise(source)
-    )
-    step = step.withColumn(
-        "fixed_code",
-        F.when(broken & (F.size(names) > 0), fix_exports_ts(F.col("fixed_code"), names)).otherwise(F.col("fixed_code")),
+    source, module_fixed = F.col("source_code"), F.col("module_fixed")
+    step = with_once(
+        first, "module_fixed", F.when(broken & has_module_issue, fix_module_system_ts(source)).otherwise(source)
     )
-    again = F.when(
-        F.col("fixed_code") != source, code_issues(F.col("fixed_code"), F.col("test_code"), F.col("language"))
-    ).otherwise(F.col("issues"))
-    return step.withColumn("issues", again).withColumn("is_valid", F.size("issues") == 0)
+    exported = F.when(broken & (F.size(names) > 0), fix_exports_ts(module_fixed, names)).otherwise(module_fixed)
+    step = with_once(step, "fixed_code", exported).drop("module_fixed")
+    fixed = F.col("fixed_code")
+    again = F.when(fixed != source, code_issues(fixed, F.col("test_code"), F.col("language"))).otherwise(F.col("issues"))
+    return with_once(step, "issues", again).withColumn("is_valid", F.size("issues") == 0)
 
 
 # -- packages and imports ----------------------------------------------------
@@ -333,7 +327,7 @@ def syntax_error(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def problem(source: str | None) -> str | None:
         try:
             compile(source or "", "<string>", "exec")
-        except (SyntaxError, ValueError) as error:
+        except (SyntaxError, ValueError, MemoryError, RecursionError) as error:
             return f"Syntax error in test code: {error}"
         return None
 
@@ -344,9 +338,13 @@ def syntax_error(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def valid_tests(tests: DataFrame, check_syntax: bool = True) -> DataFrame:
     """Add ``reason`` (first failing check of the language, else null) and ``is_valid``."""
     t, language = F.col("test_code"), F.col("language")
-    python = F.when(~any_of(t, ["def test_", "class Test"]), PY_NO_TESTS).when(~t.contains("import"), PY_NO_IMPORTS)
+    has_tests, has_imports = any_of(t, ["def test_", "class Test"]), t.contains("import")
+    python = F.when(~has_tests, PY_NO_TESTS).when(~has_imports, PY_NO_IMPORTS)
     if check_syntax:
-        python = python.when((language == "python") & syntax_error(t).isNotNull(), syntax_error(t))
+        # Only texts that pass the cheap checks are worth compiling.
+        compiled = syntax_error(F.when((language == "python") & has_tests & has_imports, t))
+        tests = tests.withColumn("syntax", compiled)
+        python = python.otherwise(F.col("syntax"))
     java = (
         F.when(~t.contains("@Test"), JAVA_NO_TESTS)
         .when(~t.contains("org.junit"), JAVA_NO_JUNIT)
@@ -360,7 +358,7 @@ def valid_tests(tests: DataFrame, check_syntax: bool = True) -> DataFrame:
     reason = F.when(language == "python", python).when(language == "java", java).when(
         language.isin("javascript", "typescript"), script
     )
-    return tests.withColumn("reason", reason).withColumn("is_valid", F.col("reason").isNull())
+    return tests.withColumn("reason", reason).withColumn("is_valid", F.col("reason").isNull()).drop("syntax")
 
 
 def accepted_tests(tests: DataFrame) -> DataFrame:

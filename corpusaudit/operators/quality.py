@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusaudit.functions.once import with_once
 from corpusaudit.functions.text import lines
 
 BRANCH_WORDS = r"\b(if|for|while|case|catch|except|elif)\b"
@@ -37,15 +38,15 @@ def quality_metrics(files: DataFrame) -> DataFrame:
     one branch per four lines, for no error handling, and for under 5% comments.
     """
     all_lines = lines(F.col("content"))
-    measured = files.withColumns(
-        {
-            "n_lines": F.size(all_lines).cast("bigint"),
-            "max_line": F.array_max(F.transform(all_lines, F.length)).cast("bigint"),
-            "branches": F.regexp_count("content", F.lit(BRANCH_WORDS)).cast("bigint"),
-            "comment_lines": F.regexp_count("content", F.lit("(?dm)" + COMMENT_LINE)).cast("bigint"),
-            "handles_errors": F.col("content").rlike(ERROR_WORDS),
-        }
-    ).drop("content")
+    numbers = F.struct(
+        F.size(all_lines).cast("bigint").alias("n_lines"),
+        F.array_max(F.transform(all_lines, F.length)).cast("bigint").alias("max_line"),
+        F.regexp_count("content", F.lit(BRANCH_WORDS)).cast("bigint").alias("branches"),
+        F.regexp_count("content", F.lit("(?dm)" + COMMENT_LINE)).cast("bigint").alias("comment_lines"),
+        F.col("content").rlike(ERROR_WORDS).alias("handles_errors"),
+    )
+    keys = [c for c in files.columns if c != "content"]
+    measured = with_once(files, "m", numbers).select(*keys, "m.*")
     comment_ratio = F.round(F.col("comment_lines") / F.col("n_lines"), 4)
     lost = (
         (F.col("max_line") > 120).cast("int")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit import dims
+from corpusaudit.functions.once import with_once
 from corpusaudit.functions.text import strip
 
 # Fields of the reply shapes.
@@ -106,7 +107,7 @@ def parse_replies(replies: DataFrame, shape: str) -> DataFrame:
     """Add ``reply`` (typed, null when bad) and ``error`` (null when good)."""
     schema = SHAPES[shape] + ", corrupt string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
-    parsed = replies.withColumn("reply", F.from_json("response_text", schema, options))
+    parsed = with_once(replies, "reply", F.from_json("response_text", schema, options))
     empty = F.coalesce(strip(F.col("response_text")), F.lit("")) == ""
     error = F.when(empty, "empty reply").when(F.col("reply.corrupt").isNotNull(), "malformed JSON")
     for name, bad in _checks(shape, F.col("reply")):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit import dims
 from corpusaudit.functions import paths, text
+from corpusaudit.functions.once import with_once
 
 
 class Rule(NamedTuple):
@@ -228,7 +229,7 @@ def rules_for(files: DataFrame, base_language: bool = False) -> DataFrame:
 
 def detect_nested(files: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Files with ``language`` and a ``patterns`` array; one narrow pass."""
-    return with_language(files).withColumn("patterns", findings(F.col("language"), F.col("content"), rules))
+    return with_once(with_language(files), "patterns", findings(F.col("language"), F.col("content"), rules))
 
 
 def detect_patterns(files: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
@@ -262,12 +263,10 @@ def security_findings(files: DataFrame, rules: Sequence[Rule] | None = None) ->
 def security_scores(files: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """0-100 per file: a quarter of the weight of each kind of finding is lost."""
     rules = [r for r in (RULES if rules is None else rules) if r.security]
-    named = with_language(files)
-    found = findings(F.col("language"), F.col("content"), rules)
-    return named.select("file_path", found.alias("p")).select(
+    return detect_nested(files, rules).select(
         "file_path",
-        F.size("p").cast("bigint").alias("n_kinds"),
-        modern_score(F.col("p")).alias("security_score"),
+        F.size("patterns").cast("bigint").alias("n_kinds"),
+        modern_score(F.col("patterns")).alias("security_score"),
     )
 
 

@@ -7,6 +7,7 @@ keeps only its own best k per query. No pair of query and chunk becomes a row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 from typing import Any
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusaudit.functions.once import with_once
 from corpusaudit.functions.text import extract_severity, snippet, truncate_words, words
 from corpusaudit.functions.vectors import N_BUCKETS, N_PLANES, bucket_of
 
@@ -309,16 +311,17 @@ def tokens(c: Column) -> Column:
 
 def _query_tokens(searches: Sequence[tuple[str, str]], limit: int = MAX_QUERIES) -> list[tuple[str, str]]:
     """(query id, token) pairs of query texts, a list the caller writes and we bound."""
-    import regex
-
     if len(searches) > limit:
         raise ValueError(f"{len(searches)} searches exceed the limit of {limit}")
-    return [(q, t) for q, value in searches for t in dict.fromkeys(regex.findall(TOKEN, value.lower()))]
+    return [(q, t) for q, value in searches for t in dict.fromkeys(re.findall(r"[^\W_]+", value.lower()))]
+
+
+HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
 def html_text(html: Column) -> Column:
     """Text of a page without scripts, styles, comments and tags."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
+    bare = F.regexp_replace(html, HIDDEN, " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
 
 
@@ -361,7 +364,7 @@ def keyword_scores(docs: DataFrame, searches: Sequence[tuple[str, str]], k1: flo
     """BM25 score of each search and document that share a word (columns doc_id, text)."""
     pairs = _query_tokens(searches)
     known = sorted({t for _, t in pairs})
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("t")).select(
+    sized = with_once(docs.select("doc_id", "text"), "t", tokens(F.col("text"))).select(
         "doc_id", F.size("t").alias("n_words"), F.filter("t", lambda t: t.isin(*known)).alias("t")
     )
     # One row of totals and at most one count per search word come to the driver.

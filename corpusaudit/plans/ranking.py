@@ -47,8 +47,8 @@ def plan_steps(patterns: DataFrame, order: list[str], key: str = "file_path", pa
     are minima of records, so nothing is sorted or collected.
     """
     payload = payload or ["confidence", "estimated_effort_hours"]
-    rest = [c for c in payload if c not in order]
-    record = F.struct((-severity.rank(F.col("severity"))).alias("r"), *order, "severity", *rest)
+    fields = dict.fromkeys([*order, "severity", *payload])
+    record = F.struct((-severity.rank(F.col("severity"))).alias("r"), *fields)
     best = patterns.groupBy(key, "pattern_type").agg(
         F.min(record).alias("best"), F.min(F.struct(*order)).alias("first_seen")
     )
