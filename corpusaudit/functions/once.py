@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +19,8 @@ def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     placed = "once_" + name if name in df.columns else name
     out = df.select("*", F.explode(F.array(value)).alias(placed))
     return out if placed == name else out.select(*others, F.col(placed).alias(name))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]

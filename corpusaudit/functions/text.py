@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusaudit.functions.once import let
+
 # Characters Python treats as white space.
 SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
@@ -100,8 +102,7 @@ def batch_head(c: Column, batch_size: Column) -> Column:
 
 def truncate_words(c: Column, limit: int = 250) -> Column:
     """The first words joined by one space; a text within the limit is unchanged."""
-    w = words(c)
-    return F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, limit), " ")).otherwise(c)
+    return let(words(c), lambda w: F.when(F.size(w) > limit, F.array_join(F.slice(w, 1, limit), " ")).otherwise(c))
 
 
 # -- fenced blocks ----------------------------------------------------------

@@ -32,15 +32,17 @@ def chunk_text(files: DataFrame, size: int = 200, overlap: int = 20) -> DataFram
     step = size - overlap
     w = F.col("w")
     n_chunks = F.greatest(F.ceil((F.size(w) - overlap) / step), F.lit(1)).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), n_chunks - 1), lambda i: F.array_join(F.slice(w, i * step + 1, size), " ")
-    )
+
+    def piece(i: Column) -> Column:
+        part = F.slice(w, i * step + 1, size)
+        return F.struct(F.array_join(part, " ").alias("text"), F.size(part).alias("n_words"))
+
     keys = [c for c in files.columns if c != "content"]
     return (
-        files.select(*keys, words(F.col("content")).alias("w"))
+        with_once(files, "w", words(F.col("content")))
         .filter(F.size("w") > 0)
-        .select(*keys, F.posexplode(pieces).alias("chunk_no", "text"))
-        .withColumn("n_words", F.size(words(F.col("text"))))
+        .select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), n_chunks - 1), piece)).alias("chunk_no", "p"))
+        .select(*keys, "chunk_no", "p.*")
     )
 
 

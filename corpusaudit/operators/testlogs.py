@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusaudit.functions.once import let
 from corpusaudit.functions.text import any_of, count_of, head, lines, strip
 
 # Formats of the runners' output.
@@ -28,12 +29,22 @@ RUNNERS = "python java javascript typescript".split()
 UNSUPPORTED = f"Supported languages: {', '.join(RUNNERS)}"
 CLIP = 10_000
 
+PYTEST_WORDS = "passed failed error skipped".split()
+JEST_WORDS = "total passed failed skipped".split()
 COUNTERS = "tests_run tests_passed tests_failed tests_errors tests_skipped".split()
 
 
+def _as_int(digits: Column) -> Column:
+    """Captured digits as a number, null if there are none or too many.
+
+    Casting an empty text raises and catches an error per row, so it is not tried.
+    """
+    return let(digits, lambda d: F.when(F.length(d).between(1, 18), d.cast("bigint")))
+
+
 def _int(c: Column, regex: str, group: int = 1) -> Column:
     """A captured number, null where the expression does not match."""
-    return F.regexp_extract(c, "(?d)" + regex, group).try_cast("bigint")
+    return _as_int(F.regexp_extract(c, "(?d)" + regex, group))
 
 
 def _zero(c: Column) -> Column:
@@ -46,21 +57,33 @@ def _counts(run: Column, passed: Column, failed: Column, errors: Column | None =
     return F.struct(*[v.cast("bigint").alias(n) for n, v in zip(COUNTERS, values)])
 
 
+def _words_before(line: Column, words: list[str]) -> list[Column]:
+    """The numbers that stand before each word in a short summary, 0 if absent."""
+    return [_zero(_int(line, rf"(\d+)\s+{word}")).alias(word) for word in words]
+
+
 def pytest_counts(log: Column) -> Column:
     """Counts of the summary line; without one, of the per-test lines (skipped not run)."""
+
+    def of_summary(c: Column) -> Column:
+        run = c["passed"] + c["failed"] + c["error"] + c["skipped"]
+        return F.when(run > 0, _counts(run, c["passed"], c["failed"], c["error"], c["skipped"])).otherwise(
+            let(F.struct(*[count_of(log, f" {w.upper()}\n").alias(w) for w in PYTEST_WORDS]), of_lines)
+        )
+
+    def of_lines(c: Column) -> Column:
+        return _counts(c["passed"] + c["failed"] + c["error"], c["passed"], c["failed"], c["error"], c["skipped"])
+
     summary = F.regexp_extract(log, "(?d)" + PYTEST_SUMMARY, 1)
-    passed, failed, errors, skipped = (
-        _zero(_int(summary, rf"(\d+)\s+{word}")) for word in ("passed", "failed", "error", "skipped")
-    )
-    run = passed + failed + errors + skipped
-    p, f, e, s = (count_of(log, f" {word}\n") for word in ("PASSED", "FAILED", "ERROR", "SKIPPED"))
-    return F.when(run > 0, _counts(run, passed, failed, errors, skipped)).otherwise(_counts(p + f + e, p, f, e, s))
+    return let(summary, lambda line: let(F.struct(*_words_before(line, PYTEST_WORDS)), of_summary))
 
 
 def pytest_simple_counts(log: Column) -> Column:
     """Counts of the result words alone."""
-    p, f, e = (count_of(log, f" {word}") for word in ("PASSED", "FAILED", "ERROR"))
-    return _counts(p + f + e, p, f, e)
+    found = F.struct(*[count_of(log, f" {w.upper()}").alias(w) for w in PYTEST_WORDS[:3]])
+    return let(
+        found, lambda c: _counts(c["passed"] + c["failed"] + c["error"], c["passed"], c["failed"], c["error"])
+    )
 
 
 def coverage_py(log: Column) -> Column:
@@ -68,9 +91,13 @@ def coverage_py(log: Column) -> Column:
 
 
 def surefire_counts(log: Column) -> Column:
-    run, failures, errors, skipped = (_zero(_int(log, SUREFIRE, g)) for g in (1, 2, 3, 4))
-    failed = failures + errors
-    return _counts(run, run - failed - skipped, failed, errors, skipped)
+    def of_numbers(n: Column) -> Column:
+        run, failures, errors, skipped = (_zero(_as_int(F.get(n, F.lit(i)))) for i in range(4))
+        failed = failures + errors
+        return _counts(run, run - failed - skipped, failed, errors, skipped)
+
+    line = F.regexp_extract(log, "(?d)" + SUREFIRE, 0)
+    return let(F.regexp_extract_all(line, F.lit(r"(\d+)"), F.lit(1)), of_numbers)
 
 
 def build_failure(stdout: Column, stderr: Column) -> Column:
@@ -95,12 +122,13 @@ def jacoco_coverage(html: Column) -> Column:
 
 
 def jest_counts(log: Column) -> Column:
+    def of_line(c: Column) -> Column:
+        run, passed, failed, skipped = c["total"], c["passed"], c["failed"], c["skipped"]
+        inferred = (run > 0) & (passed == 0) & (failed == 0)
+        return _counts(run, F.when(inferred, run - failed - skipped).otherwise(passed), failed, skipped=skipped)
+
     line = F.regexp_extract(log, "(?d)" + JEST_TESTS, 1)
-    run, passed, failed, skipped = (
-        _zero(_int(line, rf"(\d+)\s+{word}")) for word in ("total", "passed", "failed", "skipped")
-    )
-    inferred = (run > 0) & (passed == 0) & (failed == 0)
-    return _counts(run, F.when(inferred, run - failed - skipped).otherwise(passed), failed, skipped=skipped)
+    return let(line, lambda x: let(F.struct(*_words_before(x, JEST_WORDS)), of_line))
 
 
 def jest_error(log: Column) -> Column:
@@ -110,8 +138,8 @@ def jest_error(log: Column) -> Column:
 
 
 def jest_coverage(log: Column) -> Column:
-    number = F.regexp_extract(log, "(?d)" + JEST_COVERAGE, 1).try_cast("double")
-    return F.coalesce(number, F.lit(0.0))
+    number = F.regexp_extract(log, "(?d)" + JEST_COVERAGE, 1)
+    return F.coalesce(let(number, lambda n: F.when(n != "", n.try_cast("double"))), F.lit(0.0))
 
 
 def exit_code_counts(exit_code: Column) -> Column:
@@ -129,18 +157,22 @@ def _jest_json(log: Column) -> Column:
     parsed = F.from_json(
         F.get(candidates, F.lit(0)), _JEST_JSON + ", corrupt string", {"columnNameOfCorruptRecord": "corrupt"}
     )
-    return F.when(parsed["corrupt"].isNull(), parsed)
+    return let(parsed, lambda r: F.when(r["corrupt"].isNull(), r))
 
 
 def jest_json_counts(log: Column, exit_code: Column) -> Column:
-    r = _jest_json(log)
-    counts = _counts(_zero(r["numTotalTests"]), _zero(r["numPassedTests"]), _zero(r["numFailedTests"]))
-    return F.when(r.isNotNull(), counts).otherwise(exit_code_counts(exit_code))
+    def of_reply(r: Column) -> Column:
+        counts = _counts(_zero(r["numTotalTests"]), _zero(r["numPassedTests"]), _zero(r["numFailedTests"]))
+        return F.when(r.isNotNull(), counts).otherwise(exit_code_counts(exit_code))
+
+    return let(_jest_json(log), of_reply)
 
 
 def jest_json_success(log: Column, exit_code: Column) -> Column:
-    r = _jest_json(log)
-    return F.when(r.isNotNull(), F.coalesce(r["success"], F.lit(False))).otherwise(exit_code == 0)
+    return let(
+        _jest_json(log),
+        lambda r: F.when(r.isNotNull(), F.coalesce(r["success"], F.lit(False))).otherwise(exit_code == 0),
+    )
 
 
 def normalise_validations(logs: DataFrame, mode: str = "runner") -> DataFrame:
