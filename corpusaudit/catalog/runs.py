@@ -204,10 +204,8 @@ def _(read):
     return joined.fillna(0, ["tests_run", "tests_passed"])
 
 
-def _equivalent_side(read, column):
-    return read("validations").groupBy("file_path").agg(
-        (F.max("exit_code") == 0).alias("success"), F.sum(column).alias("tests_passed")
-    )
+def _results(read, column):
+    return read("validations").select("file_path", (F.col("exit_code") == 0).alias("success"), F.col(column).alias("tests_passed"))
 
 
 @query(
@@ -217,7 +215,7 @@ def _equivalent_side(read, column):
 )
 def _(read):
     """Tests passed after a change against all tests of the file before it."""
-    return testlogs.equivalence(_equivalent_side(read, "tests_run"), _equivalent_side(read, "tests_passed"), "file_path")
+    return testlogs.equivalence(_results(read, "tests_run"), _results(read, "tests_passed"), "file_path")
 
 
 _RUN = f"""SELECT (SELECT count(*) FROM documents) AS total_files, (SELECT count(*) FROM {v('transformations')} WHERE starts_with(file_path, 'src')) AS files_modernized,
@@ -263,7 +261,6 @@ def _(read):
         _run_stats(read),
         statistics.analysis_statistics(facts),
         statistics.validation_rollup(read("validations")),
-        statistics.category_stats(facts),
     )
 
 

@@ -1,4 +1,8 @@
-"""File analyses: summaries, categories, nesting, defaults."""
+"""File analyses: summaries, categories, nesting, defaults.
+
+``key`` names what identifies a file: its path within one repository, or
+``["repo", "file_path"]`` over many.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from corpusaudit import dims
 from corpusaudit.functions import severity
 from corpusaudit.functions.once import with_once
 from corpusaudit.operators import rules as R
-from corpusaudit.operators.grouping import salted_parts
+from corpusaudit.operators.grouping import Keys, first_per_group, key_list, salted_parts
 
 FACTS = [
     "n_patterns", *[f"n_{s}" for s in dims.SEVERITIES], "pattern_score", "effort_hours",
@@ -44,19 +48,19 @@ def analyse_files(files: DataFrame, rules=None) -> DataFrame:
     )
 
 
-def summarise_file(files: DataFrame, patterns: DataFrame, key: str = "file_path") -> DataFrame:
+def summarise_file(files: DataFrame, patterns: DataFrame, key: Keys = "file_path") -> DataFrame:
     """The same summary from a flat pattern table; files without patterns are kept.
 
     The patterns are reduced per file before the join, partially on the map side.
     """
     w = severity.weight(F.col("severity"), dims.PATTERN_WEIGHT_DEFAULT)
-    per_file = patterns.groupBy(key).agg(
+    per_file = patterns.groupBy(*key_list(key)).agg(
         F.max(severity.rank(F.col("severity"))).alias("top_rank"),
         F.sum(w / 4 * F.col("confidence")).alias("lost"),
         F.count(F.lit(1)).alias("n_patterns"),
     )
     top = F.coalesce("top_rank", F.lit(0))
-    return files.join(per_file, key, "left").select(
+    return files.join(per_file, key_list(key), "left").select(
         *files.columns,
         _priority_name(top).alias("overall_priority"),
         F.greatest(F.lit(0.0), F.round(100 - F.coalesce("lost", F.lit(0.0)), 4)).alias("modernization_score"),
@@ -65,10 +69,10 @@ def summarise_file(files: DataFrame, patterns: DataFrame, key: str = "file_path"
     )
 
 
-def pattern_facts(patterns: DataFrame, key: str = "file_path") -> DataFrame:
+def pattern_facts(patterns: DataFrame, key: Keys = "file_path") -> DataFrame:
     """What later steps need of a file's patterns, as numbers."""
     s = F.col("severity")
-    return patterns.groupBy(key).agg(
+    return patterns.groupBy(*key_list(key)).agg(
         F.count(F.lit(1)).alias("n_patterns"),
         *[F.count_if(s == name).alias(f"n_{name}") for name in dims.SEVERITIES],
         F.sum(severity.weight(s, dims.PATTERN_WEIGHT_DEFAULT) * F.col("confidence")).alias("pattern_score"),
@@ -76,14 +80,14 @@ def pattern_facts(patterns: DataFrame, key: str = "file_path") -> DataFrame:
     )
 
 
-def with_facts(analyses: DataFrame, patterns: DataFrame | None = None, key: str = "file_path") -> DataFrame:
+def with_facts(analyses: DataFrame, patterns: DataFrame | None = None, key: Keys = "file_path") -> DataFrame:
     """Analyses with the facts of their patterns.
 
     With a flat pattern table this is one aggregation and one join. Without,
     the facts come from the nested ``patterns`` column and nothing moves.
     """
     if patterns is not None:
-        joined = analyses.join(pattern_facts(patterns, key), key, "left")
+        joined = analyses.join(pattern_facts(patterns, key), key_list(key), "left")
         zeros = {c: F.lit(0.0 if c in ("pattern_score", "effort_hours") else 0) for c in FACTS}
         return joined.withColumns({c: F.coalesce(F.col(c), z) for c, z in zeros.items()})
     p = F.col("patterns")
@@ -115,10 +119,13 @@ def categorise(facts: DataFrame) -> DataFrame:
     )
 
 
-def normalise_category(replies: DataFrame, requested: DataFrame | None = None, key: str = "file_path") -> DataFrame:
-    """Unknown categories become ``skip``; so does every requested file without a reply."""
+def normalise_category(replies: DataFrame, requested: DataFrame | None = None, key: Keys = "file_path") -> DataFrame:
+    """Unknown categories become ``skip``; so does every requested file without a reply.
+
+    ``replies`` holds one row per file (see ``grouping.last_write_wins``).
+    """
     if requested is not None:
-        replies = requested.select(key).join(replies, key, "left")
+        replies = requested.select(*key_list(key)).join(replies, key_list(key), "left")
     known = F.col("category").isin(*dims.CATEGORIES)
     return replies.withColumn("category", F.when(known, F.col("category")).otherwise("skip"))
 
@@ -137,43 +144,32 @@ def fill_pattern_defaults(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items() if c in df.columns})
 
 
-def cap_patterns(patterns: DataFrame, n: int, order: list[Column], key: str = "file_path") -> DataFrame:
-    """The n most critical patterns of each file.
-
-    The rank filter lets Spark keep n rows per file before it shuffles.
-    """
-    from pyspark.sql import Window
-
-    window = Window.partitionBy(key).orderBy(
-        severity.rank(F.col("severity")).desc(), F.col("confidence").desc(), *order
-    )
-    return patterns.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= n)
-
-
-PATTERN_FIELDS = [
-    "pattern_type", "severity", "description", "line_numbers", "confidence", "recommendation",
-    "estimated_effort_hours",
-]
+def cap_patterns(patterns: DataFrame, n: int, order: list[Column], key: Keys = "file_path") -> DataFrame:
+    """The n most critical patterns of each file, numbered."""
+    first = [severity.rank(F.col("severity")).desc(), F.col("confidence").desc()]
+    return first_per_group(patterns, key_list(key), [*first, *order], n)
 
 
-def to_nested(patterns: DataFrame, fields: list[str], key: str = "file_path", max_per_row: int = 100_000) -> DataFrame:
+def to_nested(patterns: DataFrame, fields: list[str], key: Keys = "file_path", max_per_row: int = 100_000) -> DataFrame:
     """One row per file with its patterns as a sorted array.
 
     A file with more than ``max_per_row`` patterns is spread over several rows,
     numbered by ``part``, so that no array grows without bound.
     """
     item = F.struct(*fields)
-    salted = salted_parts(patterns.select(key, item.alias("p")), [key], max_per_row, F.xxhash64("p"))
-    return salted.groupBy(key, "part").agg(F.sort_array(F.collect_list("p")).alias("patterns"))
+    keys = key_list(key)
+    salted = salted_parts(patterns.select(*keys, item.alias("p")), keys, max_per_row, F.xxhash64("p"))
+    return salted.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("p")).alias("patterns"))
 
 
-def to_flat(nested: DataFrame, key: str = "file_path") -> DataFrame:
-    return nested.select(key, F.explode("patterns").alias("p")).select(key, "p.*")
+def to_flat(nested: DataFrame, key: Keys = "file_path") -> DataFrame:
+    keys = key_list(key)
+    return nested.select(*keys, F.explode("patterns").alias("p")).select(*keys, "p.*")
 
 
-def nested_to_json(nested: DataFrame) -> DataFrame:
-    """The cached form: everything but the key as JSON text."""
-    return nested.select("file_path", F.to_json(F.struct(*nested.columns)).alias("payload"))
+def nested_to_json(nested: DataFrame, key: Keys = "file_path") -> DataFrame:
+    """The stored form: the key and the whole row as JSON text."""
+    return nested.select(*key_list(key), F.to_json(F.struct(*nested.columns)).alias("payload"))
 
 
 def nested_from_json(cached: DataFrame, schema: T.StructType | str) -> DataFrame:

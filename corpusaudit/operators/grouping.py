@@ -13,6 +13,14 @@ ROWS_PER_TASK = 2_000_000
 MAX_CUTS = 2_000
 
 
+Keys = str | list[str]
+
+
+def key_list(key: Keys) -> list[str]:
+    """A key of one column or of several, such as repo and file_path."""
+    return [key] if isinstance(key, str) else list(key)
+
+
 def salted_parts(df: DataFrame, keys: list[str], max_rows: int, salt: Column) -> DataFrame:
     """Add ``part``: 0 for a normal group, several values for one above ``max_rows``.
 
@@ -103,8 +111,9 @@ def first_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= k)
 
 
-def last_write_wins(frames: list[DataFrame], key: str, version: str) -> DataFrame:
+def last_write_wins(frames: list[DataFrame], key: Keys, version: str) -> DataFrame:
     """Union of batch results; the row of the highest version is kept per key."""
+    keys = key_list(key)
     union = reduce(lambda a, b: a.unionByName(b), frames)
-    row = F.struct(*[F.col(c) for c in union.columns if c != key])
-    return union.groupBy(key).agg(F.max_by(row, version).alias("r")).select(key, "r.*")
+    row = F.struct(*[F.col(c) for c in union.columns if c not in keys])
+    return union.groupBy(*keys).agg(F.max_by(row, version).alias("r")).select(*keys, "r.*")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpusaudit import dims
 from corpusaudit.functions import paths, text
 from corpusaudit.operators.files import assign_test_framework, language_by_content
-from corpusaudit.operators.grouping import ROWS_PER_TASK, batches, first_per_group
+from corpusaudit.operators.grouping import ROWS_PER_TASK, Keys, batches, first_per_group, key_list
 from corpusaudit.operators.rules import with_language
 
 # Temperature and output limit per task, and the reply shape.
@@ -126,14 +126,16 @@ def build_batch_requests(
     and leaves batches of one file to the ``analyse`` task.
     """
     size = size or {"classify": CLASSIFY_BATCH, "batch-analyse": ANALYSE_BATCH}[task]
-    wanted = ["repo", "file_path"] if task == "classify" else ["repo", "file_path", "content"]
-    numbered = batches(files.select(*wanted), size, ["file_path"], ["repo"], rows_per_task)
     if task == "classify":
+        wanted = files.select("repo", "file_path")
         item = F.struct("file_path")
     else:
-        # Long enough for every head size below, so the texts move only once.
-        numbered = with_language(numbered)
-        item = F.struct("file_path", "language", text.adaptive_head(F.col("content")).alias("sample"))
+        # Only heads move, cut to what the longest use below needs.
+        wanted = with_language(files).select(
+            "repo", "file_path", "language", text.adaptive_head(F.col("content")).alias("sample")
+        )
+        item = F.struct("file_path", "language", "sample")
+    numbered = batches(wanted, size, ["file_path"], ["repo"], rows_per_task)
     grouped = numbered.groupBy("repo", "batch_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     n = F.size("items")
     if task == "batch-analyse":
@@ -157,8 +159,9 @@ def build_group_requests(groups: DataFrame, task: str, max_files: int = 5) -> Da
     ``integration-tests`` 500; the limit on files is part of the task.
     """
     n = {"deep-analyse": 1000, "integration-tests": 500}[task]
-    first = first_per_group(groups, ["group_name"], [F.col("file_path").asc()], max_files)
-    item = F.struct("file_path", text.preview(F.col("content"), n).alias("sample"))
+    heads = groups.select("group_name", "file_path", text.preview(F.col("content"), n).alias("sample"))
+    first = first_per_group(heads, ["group_name"], [F.col("file_path").asc()], max_files)
+    item = F.struct("file_path", "sample")
     grouped = first.groupBy("group_name").agg(F.sort_array(F.collect_list(item)).alias("items"))
     shown = F.transform("items", lambda f: F.concat_ws("\n", f["file_path"], f["sample"]))
     prompt = _prompt(task, _labelled("Group", F.col("group_name")), F.array_join(shown, "\n\n"))
@@ -192,10 +195,10 @@ def batch_infer(requests: DataFrame, predict_fn: PredictFn, batch_size: int = 8)
     return requests.select("request_id", "prompt").mapInPandas(infer, RESPONSES)
 
 
-def transform_or_keep(files: DataFrame, replies: DataFrame, key: str = "file_path") -> DataFrame:
+def transform_or_keep(files: DataFrame, replies: DataFrame, key: Keys = "file_path") -> DataFrame:
     """New text per file from the first code block; the original where there is no reply."""
     code = text.first_code_block(F.col("response_text"))
-    return files.join(replies.select(key, "response_text"), key, "left").withColumn(
+    return files.join(replies.select(*key_list(key), "response_text"), key_list(key), "left").withColumn(
         "modernized_code",
         F.when(F.col("response_text").isNotNull(), code).otherwise(F.col("content")),
     ).drop("response_text")

@@ -129,6 +129,14 @@ def _top_of_batch(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return candidates[order[:k]]
 
 
+def _slices(frames: Iterable[pd.DataFrame], width: int, rows: int = 2_000) -> Iterator[pd.DataFrame]:
+    """Rows with a vector of the right width, a few at a time."""
+    for frame in frames:
+        frame = frame[frame["embedding"].map(lambda e: e is not None and len(e) == width)]
+        for start in range(0, len(frame), rows):
+            yield frame.iloc[start : start + rows]
+
+
 def _scan(chunks: DataFrame, queries: pd.DataFrame, k: int, metric: str, schema: str, probes: np.ndarray | None) -> DataFrame:
     query_ids = queries["query_id"].tolist()
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in queries["embedding"]])
@@ -143,14 +151,7 @@ def _scan(chunks: DataFrame, queries: pd.DataFrame, k: int, metric: str, schema:
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
-        for frame in frames:
-            frame = frame[frame["embedding"].notna()]
-            if frame.empty:
-                continue
-            width = matrix.shape[1]
-            frame = frame[frame["embedding"].map(len) == width]
-            if frame.empty:
-                continue
+        for frame in _slices(frames, matrix.shape[1]):
             ids = frame["chunk_id"].to_numpy()
             scores = score(np.stack(frame["embedding"].to_list()).astype(np.float64))
             if probes is not None:
@@ -369,11 +370,13 @@ def keyword_scores(docs: DataFrame, searches: Sequence[tuple[str, str]], k1: flo
     sized = with_once(docs.select("doc_id", "text"), "t", tokens(F.col("text"))).select(
         "doc_id", F.size("t").alias("n_words"), F.filter("t", lambda t: t.isin(*known)).alias("t")
     )
-    # One row of totals and at most one count per search word come to the driver.
-    has = [F.count_if(F.array_contains("t", t)).alias(f"d{i}") for i, t in enumerate(known)]
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("avg"), *has).first()
-    n, avg = totals["n"], totals["avg"] or 1.0
-    idf = {t: float(np.log(1 + (n - totals[f"d{i}"] + 0.5) / (totals[f"d{i}"] + 0.5))) for i, t in enumerate(known)}
+    # One row per search word, and one under "" for the totals, come to the driver.
+    marked = F.concat(F.array(F.lit("")), F.array_distinct("t"))
+    seen = sized.select("n_words", F.explode(marked).alias("token")).groupBy("token")
+    totals = {r["token"]: r for r in seen.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("avg")).collect()}
+    n, avg = (totals[""]["n"], totals[""]["avg"] or 1.0) if totals else (0, 1.0)
+    found = {t: totals[t]["n"] if t in totals else 0 for t in known}
+    idf = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in found.items()}
     table = docs.sparkSession.createDataFrame([(q, t, idf[t]) for q, t in pairs], "query_id string, token string, idf double")
     counts = (
         sized.select("doc_id", "n_words", F.explode("t").alias("token"))

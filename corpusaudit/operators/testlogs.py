@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit.functions.once import let
 from corpusaudit.functions.text import any_of, count_of, head, lines, strip
+from corpusaudit.operators.grouping import Keys, key_list
 
 # Formats of the runners' output.
 PYTEST_SUMMARY = r"=+\s*(.*?)\s+in\s+[\d.]+s\s*=+"
@@ -236,22 +237,26 @@ def normalise_validations(logs: DataFrame, mode: str = "runner") -> DataFrame:
     )
 
 
-def equivalence(original: DataFrame, modernized: DataFrame, key: str) -> DataFrame:
+def equivalence(original: DataFrame, modernized: DataFrame, key: Keys) -> DataFrame:
     """Score of the new version's test results against the old one's.
 
     1 if both succeed with equal passes, else their ratio, 0 if either fails;
-    equivalent from 0.95.
+    equivalent from 0.95. Several results of one file are summed first, so the
+    join never pairs them.
     """
-    a = original.select(key, F.col("success").alias("a_ok"), F.col("tests_passed").alias("a_passed"))
-    b = modernized.select(key, F.col("success").alias("b_ok"), F.col("tests_passed").alias("b_passed"))
-    same = F.col("a_passed") == F.col("b_passed")
+    keys = key_list(key)
+
+    def per_file(results: DataFrame, prefix: str) -> DataFrame:
+        return results.groupBy(*keys).agg(
+            F.bool_and("success").alias(f"{prefix}_ok"), F.sum("tests_passed").alias(f"{prefix}_passed")
+        )
+
+    a, b = F.col("a_passed"), F.col("b_passed")
     score = (
-        F.when(~(F.col("a_ok") & F.col("b_ok")), 0.0)
-        .when(same, 1.0)
-        .otherwise(F.col("b_passed") / F.greatest(F.col("a_passed"), F.lit(1)))
+        F.when(~(F.col("a_ok") & F.col("b_ok")), 0.0).when(a == b, 1.0).otherwise(b / F.greatest(a, F.lit(1)))
     )
-    return a.join(b, key).select(
-        key,
+    return per_file(original, "a").join(per_file(modernized, "b"), keys).select(
+        *keys,
         F.round(score, 3).alias("equivalence_score"),
         (score >= 0.95).alias("behavioral_equivalence"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusaudit import dims
 from corpusaudit.functions import severity
-from corpusaudit.operators.grouping import first_per_group
+from corpusaudit.operators.grouping import Keys, first_per_group, key_list
 
 
 def priority_score(facts: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def top_files(facts: DataFrame, k: int = 10, required_only: bool = False) -> Dat
     return prioritise(chosen, k).withColumn("rank", F.row_number().over(window))
 
 
-def plan_steps(patterns: DataFrame, order: list[str], key: str = "file_path", payload: list[str] | None = None) -> DataFrame:
+def plan_steps(patterns: DataFrame, order: list[str], key: Keys = "file_path", payload: list[str] | None = None) -> DataFrame:
     """Per file and pattern type the most severe pattern, the first of equals.
 
     ``order`` gives the order of appearance and must break every tie. Both parts
@@ -49,23 +49,24 @@ def plan_steps(patterns: DataFrame, order: list[str], key: str = "file_path", pa
     payload = payload or ["confidence", "estimated_effort_hours"]
     fields = dict.fromkeys([*order, "severity", *payload])
     record = F.struct((-severity.rank(F.col("severity"))).alias("r"), *fields)
-    best = patterns.groupBy(key, "pattern_type").agg(
+    keys = key_list(key)
+    best = patterns.groupBy(*keys, "pattern_type").agg(
         F.min(record).alias("best"), F.min(F.struct(*order)).alias("first_seen")
     )
-    return best.select(key, "pattern_type", "first_seen", "best.severity", *[F.col(f"best.{c}").alias(c) for c in payload])
+    return best.select(*keys, "pattern_type", "first_seen", "best.severity", *[F.col(f"best.{c}").alias(c) for c in payload])
 
 
-def transformation_plan(analyses: DataFrame, patterns: DataFrame, order: list[str], key: str = "file_path") -> DataFrame:
+def transformation_plan(analyses: DataFrame, patterns: DataFrame, order: list[str], key: Keys = "file_path") -> DataFrame:
     """One plan per file: ordered steps, effort of the kept patterns, priority.
 
     Steps are at most one per pattern type, which the rule catalogue bounds.
     """
     steps = plan_steps(patterns, order, key)
     step = F.struct("first_seen", "pattern_type", "severity", "confidence", "estimated_effort_hours")
-    per_file = steps.groupBy(key).agg(
+    per_file = steps.groupBy(*key_list(key)).agg(
         F.sort_array(F.collect_list(step)).alias("steps"), F.sum("estimated_effort_hours").alias("effort")
     )
-    return analyses.join(per_file, key).select(
+    return analyses.join(per_file, key_list(key)).select(
         *analyses.columns,
         F.concat("language", F.lit(" modernization")).alias("pattern"),
         F.transform("steps", lambda s: s.dropFields("first_seen")).alias("steps"),
@@ -93,11 +94,11 @@ def plan_of_nested(analyses: DataFrame) -> DataFrame:
     )
 
 
-def transformable(analyses: DataFrame, files: DataFrame, key: str = "file_path") -> DataFrame:
+def transformable(analyses: DataFrame, files: DataFrame, key: Keys = "file_path") -> DataFrame:
     """Analyses that require work, joined with their text; files without text drop out."""
     return (
         analyses.filter("requires_modernization")
-        .join(files.select(key, "content"), key)
+        .join(files.select(*key_list(key), "content"), key_list(key))
         .filter(F.coalesce("content", F.lit("")) != "")
     )
 

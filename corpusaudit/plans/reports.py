@@ -16,9 +16,8 @@ from corpusaudit.plans import ranking, statistics
 Section = list[tuple[str, Column]]
 
 
-def _section(row: DataFrame, section: str, items: Section) -> DataFrame:
-    """Columns of a one-row frame as report rows."""
-    records = [
+def _records(section: str, items: Section) -> list[Column]:
+    return [
         F.struct(
             F.lit(section).alias("section"),
             F.lit(i).alias("ord"),
@@ -27,6 +26,10 @@ def _section(row: DataFrame, section: str, items: Section) -> DataFrame:
         )
         for i, (label, value) in enumerate(items)
     ]
+
+
+def _rows(row: DataFrame, *records: Column) -> DataFrame:
+    """Records of a one-row frame as report rows."""
     return row.select(F.explode(F.array(*records)).alias("r")).select("r.*")
 
 
@@ -34,64 +37,80 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _severities(item: dict[str, Column]) -> list[Column]:
+    return _records("severities", [(label, value) for label, value in item.items()])
+
+
+def _without_zero(section: str) -> Column:
+    return ~((F.col("section") == section) & (F.col("value") == 0))
+
+
 def pattern_report(facts: DataFrame, top: int = 10) -> DataFrame:
-    """Summary, languages, severities without zeros, and the first files."""
-    totals = facts.agg(
+    """Summary, languages, severities without zeros, and the first files.
+
+    The facts are read twice: once for all counts, which are taken per language
+    and then summed, and once for the first files.
+    """
+    sums = ["n_patterns", "modernization_score", *[f"n_{s}" for s in dims.SEVERITIES]]
+    per_language = facts.groupBy("language").agg(
         F.count(F.lit(1)).alias("files"),
         F.count_if("requires_modernization").alias("required"),
-        F.coalesce(F.sum("n_patterns"), F.lit(0)).alias("patterns"),
-        F.round(F.coalesce(F.avg("modernization_score"), F.lit(0.0)), 1).alias("score"),
-        *[F.coalesce(F.sum(f"n_{s}"), F.lit(0)).alias(s) for s in dims.SEVERITIES],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
+    )
+    # There are as many languages as the dictionaries name, a few dozen.
+    languages = F.sort_array(F.collect_list(F.struct((-F.col("files")).alias("m"), "language")))
+    totals = per_language.agg(
+        languages.alias("languages"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["files", "required", *sums]]
     )
-    summary = _section(
-        totals,
+    score = F.round(F.col("modernization_score") / F.greatest("files", F.lit(1)), 1)
+    summary = _records(
         "summary",
         [
             ("files analysed", F.col("files")),
             ("files requiring modernization", F.col("required")),
-            ("patterns detected", F.col("patterns")),
-            ("average modernization score", F.col("score")),
+            ("patterns detected", F.col("n_patterns")),
+            ("average modernization score", score),
         ],
     )
-    severities = _section(totals, "severities", [(s, F.col(s)) for s in dims.SEVERITIES]).filter(F.col("value") > 0)
-    # There are as many languages as the dictionaries name, a few dozen.
-    by_count = Window.orderBy(F.desc("files"), "language")
-    counted = facts.groupBy("language").agg(F.count(F.lit(1)).alias("files"))
-    languages = counted.select(
-        F.lit("languages").alias("section"),
-        (F.row_number().over(by_count) - 1).alias("ord"),
-        F.col("language").alias("label"),
-        F.col("files").cast("double").alias("value"),
+    by_language = F.transform(
+        "languages",
+        lambda x, i: F.struct(
+            F.lit("languages").alias("section"),
+            i.alias("ord"),
+            x["language"].alias("label"),
+            (-x["m"]).cast("double").alias("value"),
+        ),
     )
+    fixed = F.array(*summary, *_severities({s: F.col(f"n_{s}") for s in dims.SEVERITIES}))
+    counted = totals.select(F.explode(F.concat(fixed, by_language)).alias("r")).select("r.*")
     first = ranking.top_files(facts, top).select(
         F.lit("top files").alias("section"),
         (F.col("rank") - 1).alias("ord"),
         F.col("file_path").alias("label"),
         F.col("priority_score").alias("value"),
     )
-    return _union([summary, languages, severities, first])
+    return counted.filter(_without_zero("severities")).unionByName(first)
 
 
-def run_report(run_stats: DataFrame, analysis_stats: DataFrame, rollup: DataFrame, category: DataFrame) -> DataFrame:
+def run_report(run_stats: DataFrame, analysis_stats: DataFrame, rollup: DataFrame) -> DataFrame:
     """Statistics, pattern analysis and phase results; a zero coverage is left out."""
-    stats = _section(
-        run_stats,
-        "statistics",
-        [(c.replace("_", " ").title(), F.col(c)) for c in run_stats.columns],
-    ).filter(~((F.col("label") == "Average Coverage") & (F.col("value") == 0)))
-    patterns = _section(
+    stats = _rows(run_stats, *_records("statistics", [(c.replace("_", " ").title(), F.col(c)) for c in run_stats.columns]))
+    patterns = _rows(
         analysis_stats,
-        "patterns",
-        [
-            ("Patterns Detected", F.col("patterns_detected")),
-            ("Average Modernization Score", F.col("average_modernization_score")),
-            ("Total Estimated Effort", F.col("total_estimated_effort_hours")),
-        ],
+        *_records(
+            "patterns",
+            [
+                ("Patterns Detected", F.col("patterns_detected")),
+                ("Average Modernization Score", F.col("average_modernization_score")),
+                ("Total Estimated Effort", F.col("total_estimated_effort_hours")),
+            ],
+        ),
+        *_severities({s.upper(): F.col(s) for s in dims.SEVERITIES}),
+        *_records("classification", [(c, F.col(c)) for c in dims.CATEGORIES]),
     )
-    severities = _section(analysis_stats, "severities", [(s.upper(), F.col(s)) for s in dims.SEVERITIES])
-    phases = _section(category, "classification", [(c, F.col(c)) for c in dims.CATEGORIES])
-    validation = _section(rollup, "validation", [(c, F.col(c)) for c in rollup.columns])
-    return _union([stats, patterns, severities.filter(F.col("value") > 0), phases, validation])
+    validation = _rows(rollup, *_records("validation", [(c, F.col(c)) for c in rollup.columns]))
+    no_coverage = (F.col("label") == "Average Coverage") & (F.col("value") == 0)
+    return _union([stats.filter(~no_coverage), patterns.filter(_without_zero("severities")), validation])
 
 
 def change_summary(run_stats: DataFrame, target_version: str) -> DataFrame:
