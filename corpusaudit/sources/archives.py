@@ -47,7 +47,7 @@ def _list(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if len(rows) >= BATCH_ROWS:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
-            except (zipfile.BadZipFile, OSError) as problem:
+            except (zipfile.BadZipFile, OSError, ValueError) as problem:  # ValueError: a file too short to seek in
                 rows.append((path, None, None, None, f"not a valid archive: {problem}"))
     if rows:
         yield pd.DataFrame(rows, columns=columns)

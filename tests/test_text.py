@@ -1,0 +1,137 @@
+"""Text, path and language expressions against Python's own results."""
+
+import pathlib
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from corpusaudit import dims
+from corpusaudit.functions import paths, text
+from corpusaudit.operators import files
+
+
+def column(spark, values, expression):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, t string")
+    return [r[0] for r in df.orderBy("i").select(expression(F.col("t"))).collect()]
+
+
+PATHS = ["a/b.py", ".gitignore", "x/a.tar.gz", "dir.d/file", "a.", "..py", "n.c++", "é.PY", "sp ace.h"]
+
+
+def test_path_parts(spark):
+    assert column(spark, PATHS, paths.suffix) == [pathlib.PurePosixPath(p).suffix for p in PATHS]
+    assert column(spark, PATHS, paths.stem) == [pathlib.PurePosixPath(p).stem for p in PATHS]
+    assert column(spark, PATHS, paths.basename) == [pathlib.PurePosixPath(p).name for p in PATHS]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab \t\n\x0b\x1c\x85\xa0 　é", max_size=20), min_size=1, max_size=30))
+def test_white_space_is_pythons(spark, values):
+    assert column(spark, values, text.strip) == [v.strip() for v in values]
+    assert column(spark, values, text.words) == [v.split() for v in values]
+
+
+def test_truncate_words_keeps_short_texts(spark):
+    long = "  ".join(str(i) for i in range(251))
+    short = "  a  b "
+    assert column(spark, [long, short], text.truncate_words) == [" ".join(str(i) for i in range(250)), short]
+
+
+LONG = "x = 1\n" * 20
+BLOCKS = [
+    ("", ""),
+    (" plain ", "plain"),
+    ("before ```", "before"),
+    ("a ```python\ncode\n``` b", "code"),
+    ("a ```rust\ncode\n```", "rust\ncode"),
+    ("```\none\n``` ```\ntwo\n```", "one"),
+]
+
+
+def test_first_code_block(spark):
+    assert column(spark, [b[0] for b in BLOCKS], text.first_code_block) == [b[1] for b in BLOCKS]
+    assert column(spark, [None], text.first_code_block) == [""]
+
+
+def test_largest_code_block(spark):
+    other = "y = 2\n" * 20
+    cases = {
+        f"```py\n{LONG}``` and ```\n{other}```": LONG.strip(),  # equal lengths: the first
+        f"```\nshort\n``` ```Ruby\n{LONG}```": LONG.strip(),
+        "```\nshort\n```": "",
+        "  import os": "import os",
+        "no code here": "",
+        f"text ```js\n{LONG}": LONG.strip(),  # an unclosed block counts
+    }
+    assert column(spark, list(cases), text.largest_code_block) == list(cases.values())
+    assert column(spark, [None], text.largest_code_block) == [""]
+
+
+def test_looks_truncated(spark):
+    cases = {"x" * 1001: True, "x" * 1000: False, "x" * 1000 + ") \n": False, "x" * 1001 + "\nreturn\n1\n2": False,
+             "x" * 1001 + "\nreturn" + "\na" * 5: True}
+    assert column(spark, list(cases), text.looks_truncated) == list(cases.values())
+
+
+def test_severity_words(spark):
+    cases = {"please follow": "low", "Highlight": "high", "a moderate one": "medium", "none": "unknown",
+             "LOW but CRITICAL": "critical"}
+    assert column(spark, list(cases), text.extract_severity) == list(cases.values())
+
+
+def test_redact(spark):
+    assert column(spark, ["key abcdef and abc"], lambda c: text.redact(c, ["abcdef", "abc"])) == ["key [REDACTED] and abc"]
+    with pytest.raises(ValueError):
+        text.redact(F.lit(""), ["x"] * 1001)
+
+
+def test_heads(spark):
+    t = ["a" * 201, "a" * 200]
+    assert column(spark, t, text.snippet) == ["a" * 200 + "...", "a" * 200]
+    assert column(spark, ["ab"], lambda c: text.preview(c, 500)) == ["ab..."]
+    assert [len(x) for x in column(spark, ["a" * 6001, "a" * 6000], text.adaptive_head)] == [4000, 6000]
+    assert column(spark, ["a" * 8001], text.clip_marked) == ["a" * 8000 + "\n\n# ... (truncated)"]
+
+
+def test_dimensions():
+    assert [len(dims.LANGUAGE_SCHEMES[s]) for s in ("display", "search", "tests", "runner", "upload")] == [45, 17, 45, 10, 10]
+    assert len(set(dims.LANGUAGE_SCHEMES["display"].values())) == 32
+    assert sum(len(v) for v in dims.LEGACY_PATTERNS.values()) == 108
+    assert sum(len(v) for v in dims.LANGUAGE_QUERIES.values()) == 34
+    assert dims.target_versions() == dims.target_versions()
+    assert dims.target_versions()["php"] == ["Laravel 12", "Laravel 11"]
+
+
+def test_header_languages_differ_by_scheme(spark):
+    df = spark.createDataFrame([("a.h",)], "file_path string")
+    found = [files.detect_language(df, s).first()["language"] for s in ("display", "search", "tests", "runner", "upload")]
+    assert found == ["C/C++ Header", "c", "c", "python", None]
+
+
+def test_content_rules_in_order(spark):
+    cases = {
+        "const x = 1; interface Y": "javascript",
+        "interface Y {}": "typescript",
+        "def f(): from x": "python",
+        "public class A": "java",
+        "": "python",
+    }
+    assert column(spark, list(cases), files.language_by_content) == list(cases.values())
+    more = {"package main": "go", "fn main()": "rust", "<?php": "php", "class A def b end": "ruby", "namespace A using B": "csharp"}
+    assert column(spark, list(more), lambda c: files.language_by_content(c, "tests")) == list(more.values())
+
+
+def test_primary_language(spark, rows):
+    df = spark.createDataFrame([("a", "x.py"), ("a", "y.js"), ("b", "z.md"), ("c", "p.ts"), ("c", "q.tsx"), ("c", "r.py")],
+                               "repo string, file_path string")
+    found = files.primary_language(df)
+    assert rows(found) == [("a", "javascript"), ("b", None), ("c", "typescript")]
+    offers = files.suggest_versions(found).groupBy("repo").count()
+    assert dict(map(tuple, offers.collect()))["b"] == len(dims.target_versions()[None])
+
+
+def test_repo_urls(spark):
+    cases = {" https://h/o/r.git/ ": "r", "https://h/o/r//": "r", "https://h/o/r.git": "r"}
+    assert column(spark, list(cases), paths.repo_name) == list(cases.values())
