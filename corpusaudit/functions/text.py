@@ -19,7 +19,6 @@ SPACES = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_RUN = f"[{SPACES}]+"
 FENCE = "```"
 
 # Language tags that may follow an opening fence.
@@ -43,8 +42,11 @@ def rstrip(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Words as Python's ``split()`` gives them."""
-    return F.filter(F.split(c, SPACE_RUN), lambda w: w != "")
+    """Words as Python's ``split()`` gives them.
+
+    Translating to plain spaces first is faster than splitting by a character class.
+    """
+    return F.array_remove(F.split(F.translate(c, SPACES, " " * len(SPACES)), " "), "")
 
 
 def lines(c: Column) -> Column:

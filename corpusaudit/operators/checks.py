@@ -214,9 +214,9 @@ def fix_exports_ts(source: Column, names: Column) -> Column:
         for kind in FIX_ORDER:
             tail = F.lit(r"\s*=)") if kind == "const" else F.lit(r"\b)")
             pattern = F.concat(F.lit(rf"(?U)(\n)({kind}\s+"), name, tail)
-            result = result.when(
-                F.regexp_like(code, pattern), F.regexp_replace(code, pattern, F.lit("$1export $2"))
-            )
+            # The plain search spares most sources the expressions of kinds they lack.
+            present = code.contains("\n" + kind) & F.regexp_like(code, pattern)
+            result = result.when(present, F.regexp_replace(code, pattern, F.lit("$1export $2")))
         return result.otherwise(code)
 
     return F.aggregate(names, source, export_name)
