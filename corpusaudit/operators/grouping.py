@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusaudit.functions.once import let
 
 #: Rows of one group that one task may sort; larger groups are cut into ranges.
 ROWS_PER_TASK = 2_000_000
 #: Upper bound on the number of cut points, and so on what the driver holds.
-MAX_CUTS = 2_000
+MAX_CUTS = 5_000
 
 
 Keys = str | list[str]
@@ -36,19 +40,36 @@ def salted_parts(df: DataFrame, keys: list[str], max_rows: int, salt: Column) ->
     )
 
 
-def _cut_points(df: DataFrame, order: Column, rows: int, rows_per_task: int) -> list:
-    """Sampled cut points. They decide balance only; any choice gives the same result."""
+def _cut_points(df: DataFrame, key: Column, rows: int, rows_per_task: int) -> tuple[Column, int]:
+    """Sampled cut points in order, as one constant array, and their number.
+
+    They decide balance only; any choice gives the same result. The sample holds
+    about 20 rows per cut, and the driver sees no more than the cuts.
+    """
     wanted = min(MAX_CUTS, -(-rows // rows_per_task))
-    fraction = min(1.0, wanted * 20 / rows)
-    sample = df.select(order.alias("k")).sample(fraction, seed=7)
-    # The sample is bounded by about 20 rows per cut; a tile gives one cut per 20.
+    sample = df.select(key.alias("k")).sample(min(1.0, wanted * 20 / rows), seed=7)
     picked = (
         sample.distinct()
         .withColumn("tile", F.ntile(wanted).over(Window.orderBy("k")))
         .groupBy("tile")
         .agg(F.min("k").alias("k"))
     )
-    return [row["k"] for row in picked.collect()]
+    cuts = [row["k"] for row in picked.orderBy("tile").select(F.to_json("k").alias("k")).collect()]
+    # Spark folds the parsed text into a literal; building it value by value would be slow.
+    schema = T.ArrayType(df.select(key.alias("k")).schema["k"].dataType)
+    return F.from_json(F.lit("[" + ", ".join(cuts) + "]"), schema), len(cuts)
+
+
+def _range_of(key: Column, cuts: Column, n: int) -> Column:
+    """Number of cuts at or below the key, looked up in two steps of about sqrt(n)."""
+    step = max(1, math.isqrt(n))
+
+    def at_or_below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda cut: cut <= key))
+
+    every = F.filter(cuts, lambda _, i: i % step == 0)
+    before = let(at_or_below(every), lambda x: F.greatest(x - 1, F.lit(0)) * step)
+    return let(before, lambda skipped: skipped + at_or_below(F.slice(cuts, skipped + 1, step)))
 
 
 def row_numbers(
@@ -72,11 +93,9 @@ def row_numbers(
         window = Window.partitionBy(*group) if group else Window.partitionBy()
         return df.withColumn(out, F.row_number().over(window.orderBy(*order)).cast("bigint"))
 
-    keys = F.struct(*[F.col(c) for c in [*group, *order]])
-    cuts = _cut_points(df, keys, rows, rows_per_task)
-    fields = [*group, *order]
-    literals = F.array(*[F.struct(*[F.lit(cut[c]).alias(c) for c in fields]) for cut in cuts])
-    cut_df = df.withColumn("range_id", F.size(F.filter(literals, lambda cut: cut <= keys)))
+    key = F.struct(*group, *order)
+    cuts, n = _cut_points(df, key, rows, rows_per_task)
+    cut_df = df.withColumn("range_id", _range_of(key, cuts, n))
     per_range = cut_df.groupBy(*group, "range_id").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy(*group).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (

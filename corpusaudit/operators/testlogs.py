@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.functions.once import let
+from corpusaudit.functions.once import let, with_once
 from corpusaudit.functions.text import any_of, count_of, head, lines, strip
 from corpusaudit.operators.grouping import Keys, key_list
 
@@ -188,8 +188,11 @@ def normalise_validations(logs: DataFrame, mode: str = "runner") -> DataFrame:
     script = language.isin("javascript", "typescript")
     success, error, coverage = exit_code == 0, F.lit(None).cast("string"), F.lit(0.0)
     by_exit = exit_code_counts(exit_code)
+    dropped = ["stdout", "stderr", "exit_code", "coverage_html", "language"]
+    keys = [c for c in logs.columns if c not in dropped]
     if mode == "runner":
-        error = F.when(language == "java", surefire_error(out, err, exit_code)).when(script, jest_error(out))
+        found = F.when(language == "java", surefire_error(out, err, exit_code)).when(script, jest_error(out))
+        logs, error = with_once(logs, "run_error", found), F.col("run_error")
         counts = (
             F.when(language == "python", pytest_counts(out))
             .when((language == "java") & error.isNull(), surefire_counts(out))
@@ -209,8 +212,6 @@ def normalise_validations(logs: DataFrame, mode: str = "runner") -> DataFrame:
         raise ValueError(f"unknown mode {mode!r}")
     supported = language.isin(*RUNNERS)
     unsupported = F.concat(F.lit("Unsupported language: "), F.col("language"), F.lit(". " + UNSUPPORTED))
-    dropped = ["stdout", "stderr", "exit_code", "coverage_html", "language"]
-    keys = [c for c in logs.columns if c not in dropped]
     parsed = logs.select(
         *keys,
         "language",

@@ -23,9 +23,21 @@ def test_row_numbers_do_not_depend_on_ranges(skewed, limit, rows):
 
 
 def test_hot_group_is_split(skewed):
-    ranged = grouping.row_numbers(skewed, ["repo"], ["file_path"], rows_per_task=20)
-    plan = ranged._jdf.queryExecution().optimizedPlan().toString()
-    assert "range_id" in plan
+    key = F.struct("repo", "file_path")
+    cuts, n = grouping._cut_points(skewed, key, 600, 20)
+    assert n == 30
+    ranges = skewed.select("repo", grouping._range_of(key, cuts, n).alias("r"), F.size(F.filter(cuts, lambda c: c <= key)).alias("all"))
+    assert ranges.filter("r != all").isEmpty()
+    sizes = ranges.groupBy("repo", "r").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 60
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "double", "string"])
+def test_numbers_over_other_types(spark, kind, rows):
+    value = {"timestamp": F.timestamp_seconds(F.col("id") * 37 % 1000), "double": F.rand(3), "string": F.concat(F.lit("é\"\\"), F.col("id"))}[kind]
+    df = spark.range(300).withColumn("k", value)
+    plain = grouping.row_numbers(df, [], ["k", "id"])
+    assert rows(plain, "id", "rn") == rows(grouping.row_numbers(df, [], ["k", "id"], rows_per_task=40), "id", "rn")
 
 
 @pytest.mark.parametrize("parts", [1, 4, 17])
