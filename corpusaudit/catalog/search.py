@@ -9,6 +9,7 @@ from corpusaudit.catalog.texts import _words
 from corpusaudit.functions import vectors
 from corpusaudit.operators import search
 from corpusaudit.operators.files import pattern_id
+from corpusaudit.operators.search import word_length_embedder
 from corpusaudit.plans.ranking import combine_patterns
 from corpusaudit.session import fresh_folder
 from corpusaudit.sources import tables
@@ -152,14 +153,14 @@ def _joined(c):
 def _(read):
     """Every document embedded by a caller's function, here one that counts word lengths."""
     chunks = read("documents").select("doc_id", "text")
-    done = search.embed(chunks, search.word_length_embedder, batch_size=16, model="lengths")
+    done = search.embed(chunks, word_length_embedder, batch_size=16, model="lengths")
     return done.select("doc_id", _joined("embedding").alias("embedding"), "model")
 
 
 def _small_only(texts):
     if any(len(t.split()) > 100 for t in texts):
         raise ValueError("too large")
-    return search.word_length_embedder(texts)
+    return word_length_embedder(texts)
 
 
 @query(
@@ -168,7 +169,7 @@ def _small_only(texts):
 )
 def _(read):
     """A first provider that refuses long texts, and a second that takes them."""
-    providers = [("small", _small_only), ("large", search.word_length_embedder)]
+    providers = [("small", _small_only), ("large", word_length_embedder)]
     done = search.embed_with_fallback(read("documents").select("doc_id", "text"), providers, batch_size=4)
     return done.select("doc_id", _joined("embedding").alias("embedding"), "model")
 

@@ -47,10 +47,14 @@ def select_code_files(files: DataFrame, profile: str = "discovery", suffixes: li
     return files.filter(selected(F.col("file_path"), profile, suffixes))
 
 
+_DISCOVERY_EXCLUDED = frozenset(dims.DISCOVERY_EXCLUDED)
+_INDEX_EXCLUDED = frozenset(dims.INDEX_EXCLUDED)
+
+
 def _enters(folder: str, profile: str) -> bool:
     if profile == "discovery":
-        return folder not in dims.DISCOVERY_EXCLUDED
-    return not folder.startswith(".") and folder not in dims.INDEX_EXCLUDED
+        return folder not in _DISCOVERY_EXCLUDED
+    return not folder.startswith(".") and folder not in _INDEX_EXCLUDED
 
 
 # -- walk ------------------------------------------------------------------
