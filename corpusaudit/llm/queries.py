@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusaudit.llm import urls
+from corpusaudit.llm import urls, warc
+from corpusaudit.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query()
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back through their index."""
+    folder = fresh_folder(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read_archive(spark, folder).select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"), "error",
+    )
+
+
 #: The rules that URLs are judged by.
 URL_RULES = [
     ("org", "/", "allow"),
