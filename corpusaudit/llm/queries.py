@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import pivot_search, quality, simhash, urls, warc
+from corpusaudit.llm import language, pivot_search, quality, simhash, urls, warc
 from corpusaudit.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+@_query()
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt from the documents that aren't held out."""
+    return language.classify(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the group of near copies that it is in."""
