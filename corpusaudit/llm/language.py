@@ -3,7 +3,8 @@
 Each language is a zstandard dictionary of raw content: running text of its
 documents, up to ``DICTIONARY`` bytes. A text is reduced to lower-case letters
 and single spaces, cut into blocks, and every block of the whole text is encoded
-with every dictionary; the language with the smallest total wins. If the second
+with every dictionary (a short text in several rotations of its words); the
+language with the smallest total wins. If the second
 is nearly as small, the text is rejected. A model takes ``DICTIONARY`` bytes for
 each language, whatever the number of documents.
 """
@@ -23,6 +24,8 @@ from corpusaudit.llm.common import crc_remainder, spread, unused
 #: Bytes of a dictionary, documents of a language that it is made of in expectation, and characters of each.
 DICTIONARY, SAMPLE, PIECE = 128 << 10, 500, 600
 LEVEL, BLOCK = 6, 4096
+#: Bytes up to which a text is encoded in several rotations of its words: sizes are whole bytes, too coarse for a few words.
+SHORT, ROTATIONS = 256, 16
 #: Part of the second-best size that the best must save, or the text is rejected.
 NARROW = 0.002
 #: Part at which the score is one half.
@@ -36,6 +39,18 @@ def letters(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+def blocks_of(text: str | None) -> list[bytes]:
+    """What is encoded of a text: its letters between spaces in blocks, or rotations of a short one; nothing without letters."""
+    data = letters(text).encode()
+    if not data:
+        return []
+    if len(data) > SHORT:
+        data = b" " + data + b" "
+        return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+    words = data.split(b" ")
+    return [b" " + b" ".join(words[i:] + words[:i]) + b" " for i in range(min(ROTATIONS, len(words)))]
+
+
 def held_out(key: str) -> Column:
     """Rows that no dictionary is made of: remainder 1 of crc32 of the key as text by 3, or a null key."""
     return F.coalesce(crc_remainder(key, 3) == 1, F.lit(True))
@@ -80,10 +95,9 @@ class Coder:
 
     def identify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0 to 1, by what the best saves against the second) and whether it is accepted."""
-        data = letters(text).encode()
-        if not data or not self.coders:
+        blocks = blocks_of(text)
+        if not blocks or not self.coders:
             return UNKNOWN, 0.0, False
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = sorted((sum(len(coder.compress(b)) for b in blocks), name) for name, coder in self.coders.items())
         # With a single language, the second is the text without a dictionary.
         second = sizes[1][0] if len(sizes) > 1 else sum(len(self.plain.compress(b)) for b in blocks)

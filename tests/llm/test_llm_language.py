@@ -45,13 +45,16 @@ def test_equals_plain_compression(spark):
     dictionaries = language.fit(docs)
     assert sorted(dictionaries) == ["aa", "bb"]
     for r in language.classify(docs).collect()[:20]:
-        text = language.letters(next(x[1] for x in _rows() if x[0] == r["doc_id"])).encode()
+        text = " " + language.letters(next(x[1] for x in _rows() if x[0] == r["doc_id"])) + " "
+        words = text.split()
+        turns = [" " + " ".join(words[i:] + words[:i]) + " " for i in range(min(16, len(words)))]
+        pieces = [text[i : i + 4096].encode() for i in range(0, len(text), 4096)] if len(text.encode()) > 258 else [x.encode() for x in turns]
         sizes = {}
         for name, content in dictionaries.items():
             coder = zstandard.ZstdCompressor(
                 level=language.LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             )
-            sizes[name] = sum(len(coder.compress(text[i : i + language.BLOCK])) for i in range(0, len(text), language.BLOCK))
+            sizes[name] = sum(len(coder.compress(x)) for x in pieces)
         assert r["lang_pred"] == min(sizes, key=lambda x: (sizes[x], x))
 
 
