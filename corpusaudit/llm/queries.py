@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import language, pivot_search, quality, simhash, urls, warc
+from corpusaudit.llm import language, mixing, pivot_search, quality, simhash, urls, warc
 from corpusaudit.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,46 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rounds of raking: at sf0.01 and above, all marginals then hold to ten digits.
+MIX_ROUNDS = 12
+
+
+def _mix_sql(documents: str = "documents", rounds: int = MIX_ROUNDS) -> str:
+    """The same mix: rounds written out one after another."""
+    steps, last = [], "c0"
+    for r in range(rounds):
+        for d in mixing.DIMENSIONS:
+            now = f"r{r}_{d}"
+            steps.append(
+                f"{now} AS MATERIALIZED (SELECT {last}.* REPLACE (w * t.share / s.n AS w) FROM {last}"
+                f" JOIN (SELECT {d}, sum(w) AS n FROM {last} GROUP BY {d}) s ON {last}.{d} IS NOT DISTINCT FROM s.{d}"
+                f" JOIN t_{d} t ON {last}.{d} IS NOT DISTINCT FROM t.{d})"
+            )
+            last = now
+    targets = ", ".join(
+        f"t_{d} AS (SELECT {d}, pow(n, {mixing.TEMPER[d]}) / sum(pow(n, {mixing.TEMPER[d]})) OVER () AS share"
+        f" FROM (SELECT {d}, sum(tokens)::DOUBLE AS n FROM facts GROUP BY {d}) x WHERE n > 0)"
+        for d in mixing.DIMENSIONS
+    )
+    same = " AND ".join(f"facts.{d} IS NOT DISTINCT FROM p.{d}" for d in mixing.DIMENSIONS)
+    return f"""WITH facts AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN text IS NULL THEN NULL
+        WHEN regexp_matches(text, '[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]') THEN 'legal' WHEN contains(text, ' | ') THEN 'table'
+        WHEN contains(text, '@') THEN 'contact' WHEN length(text) < 1000 THEN 'short' ELSE 'prose' END AS topic,
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM {documents}),
+      {targets}, c0 AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE AS w FROM facts
+        GROUP BY ALL HAVING sum(tokens) > 0), {", ".join(steps)},
+      p AS (SELECT source, lang, topic, round(w / tokens / max(w / tokens) OVER (), 6) AS probability FROM {last})
+    SELECT doc_id, facts.source, facts.lang, facts.topic, tokens, coalesce(probability, 0) AS probability,
+      tokens > 0 AND ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < coalesce(probability, 0) AS kept
+    FROM facts LEFT JOIN p ON {same}"""
+
+
+@_query(_mix_sql())
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability in a mix raked to tempered shares of sources, languages and topics."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), rounds=MIX_ROUNDS, tolerance=0.0)
+
+
 #: The rules that URLs are judged by.
 URL_RULES = [
     ("org", "/", "allow"),
