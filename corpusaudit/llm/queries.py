@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import language, mixing, pivot_search, quality, simhash, urls, warc
+from corpusaudit.llm import language, lengths, mixing, pivot_search, quality, simhash, urls, warc
 from corpusaudit.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,9 @@ def _longest(value: Callable[[tuple[str, str, str]], str], otherwise: str) -> st
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the fixed rules."""
     return urls.judge_urls(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, urls.RULES))
+
+
+@_query()
+def op8_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token lengths of all documents, with running sums for every context limit."""
+    return lengths.histogram(_table(spark, sf_dir, "documents"))
