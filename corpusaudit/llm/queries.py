@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import language, lengths, mixing, pivot_search, quality, simhash, urls, warc
+from corpusaudit.llm import language, lengths, masked_lm, mixing, pivot_search, quality, simhash, urls, warc
 from corpusaudit.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token lengths of all documents, with running sums for every context limit."""
     return lengths.histogram(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pseudo-likelihood under a network trained on all documents."""
+    documents = _table(spark, sf_dir, "documents")
+    return masked_lm.score(documents, masked_lm.fit(documents))
