@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.llm import language, lengths, masked_lm, mixing, pivot_search, quality, simhash, urls, warc
+from corpusaudit.llm import decontaminate, language, lengths, masked_lm, mixing, pivot_search, quality, simhash, urls, warc
 from corpusaudit.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pseudo-likelihood under a network trained on all documents."""
     documents = _table(spark, sf_dir, "documents")
     return masked_lm.score(documents, masked_lm.fit(documents))
+
+
+@_query()
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, and the items."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
