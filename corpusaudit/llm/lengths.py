@@ -19,6 +19,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusaudit.llm.common import stored
+
 #: Ranks of a byte-level vocabulary; any file of this kind will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that vocabulary cuts text before merging.
@@ -71,11 +73,11 @@ def histogram(docs: DataFrame, text: str = "text", by: tuple[str, ...] = (), **v
     if wrong:
         raise ValueError(f"rename {sorted(wrong)}: the histogram has columns of that name")
     spark = docs.sparkSession
-    counts = (
+    # Written once: the running sums read the counts twice, and encoding is what costs.
+    counts = stored(
         docs.select(*by, token_length(spark, F.col(text), **vocabulary).alias("length"))
-        .groupBy(*by, "length").agg(F.count("*").alias("documents"))
-        .select(*by, "length", "documents", (F.col("length") * F.col("documents")).alias("tokens"), F.floor(F.col("length") / RANGE).alias("range"))
-    )
+        .groupBy(*by, "length").agg(F.count("*").alias("documents")), "lengths"
+    ).select(*by, "length", "documents", (F.col("length") * F.col("documents")).alias("tokens"), F.floor(F.col("length") / RANGE).alias("range"))
     sums = ("documents", "tokens")
     ranges = counts.groupBy(*by, "range").agg(*[F.sum(c).alias(c) for c in sums])
     order = Window.partitionBy(*by).orderBy("range")
