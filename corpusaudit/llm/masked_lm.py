@@ -195,13 +195,13 @@ def window_counts(docs: DataFrame, symbol: np.ndarray, text: str = "text") -> Da
 
 
 def _learner(weights: list[np.ndarray], rates: list[float], seed: int):
-    """From a shard's counted windows to its weights, times the number of windows, and that number."""
+    """From a shard's counted windows to its weights, one after another, and the number of windows."""
 
     def learn(part):
         # A shard holds at most 2^25 / SHARDS windows, whatever the corpus.
         codes, n = part.column("code").to_numpy(), part.column("n").to_numpy()
         after = np.concatenate([w.ravel() for w in train(weights, codes, n, rates, seed)]).astype(np.float64)
-        return pa.table({"place": np.arange(len(after), dtype=np.int32), "value": after * n.sum(), "n": np.full(len(after), n.sum(), np.float64)})
+        return pa.table({"shard": part.column("shard")[:1], "weights": pa.array([after]), "n": np.array([float(n.sum())])})
 
     return learn
 
@@ -213,11 +213,12 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, seed: int = 0
     weights = start(seed)
     for r in range(rounds):
         rates = [RATE * (1 - (r * PASSES + i) / (rounds * PASSES)) for i in range(PASSES)]
-        parts = counted.groupBy("shard").applyInArrow(_learner(weights, rates, seed + r), "place int, value double, n double")
-        mean = parts.groupBy("place").agg((F.sum("value") / F.sum("n")).alias("value")).collect()  # one row per weight
-        if not mean:
+        learner = _learner(weights, rates, seed + r)
+        parts = counted.groupBy("shard").applyInArrow(learner, "shard int, weights array<double>, n double").collect()  # SHARDS rows at most
+        if not parts:
             break
-        flat = np.array([x["value"] for x in sorted(mean, key=lambda x: x["place"])], np.float32)
+        parts.sort(key=lambda x: x["shard"])
+        flat = np.average([x["weights"] for x in parts], axis=0, weights=[x["n"] for x in parts]).astype(np.float32)
         edges = np.cumsum([w.size for w in weights])[:-1]
         weights = [x.reshape(w.shape) for x, w in zip(np.split(flat, edges), weights)]
     return Network(symbol, weights)
