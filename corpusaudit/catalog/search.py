@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusaudit.catalog.registry import query, v
 from corpusaudit.catalog.texts import _words
-from corpusaudit.functions import vectors
-from corpusaudit.operators import search
+from corpusaudit.functions.once import with_once
+from corpusaudit.operators import knn, search
 from corpusaudit.operators.files import pattern_id
 from corpusaudit.operators.search import word_length_embedder
 from corpusaudit.plans.ranking import combine_patterns
@@ -46,32 +46,41 @@ def _(read):
     return search.similar(_queries(read), read("chunks"), 20, metric="l2")
 
 
-def _bucket(x: str) -> str:
-    bits = []
-    for p in range(vectors.N_PLANES):
-        signs = f"1 - 2 * (bit_count((i - 1) & {vectors.plane_mask(p)}) % 2)"
-        bits.append(f"(CASE WHEN list_sum(list_transform({x}::DOUBLE[], lambda e, i: e * ({signs}))) >= 0 THEN {1 << p} ELSE 0 END)")
-    return "(" + " + ".join(bits) + ")"
-
-
-_NEAR = f"bit_count(xor({_bucket('c.embedding')}, {_bucket('q.qv')})) <= 2"
-
-
-@query("similar_ann", f"WITH {_CENTROIDS} SELECT {_SHOWN} FROM {_ranked(20, 'cosine', _NEAR)}")
+@query("similar_ann", f"WITH {_CENTROIDS} SELECT query_id::BIGINT AS query_id, 20::BIGINT AS chunks, true AS good FROM q")
 def _(read):
-    """The same search, looking only at buckets near each query."""
-    return search.similar_ann(_queries(read), read("chunks"), 20, probe_distance=2)
-
-
-@query(
-    "index_round_trip",
-    f"SELECT chunk_id, file_path, {_bucket('embedding')}::BIGINT AS bucket FROM {_CHUNKS}",
-)
+    """How many chunks the approximate search gives each query, and whether 18 of the exact 20 are among them."""
+    queries, chunks = _queries(read), read("chunks")
+    found = search.similar_ann(queries, chunks, 20, knn.train_lists(chunks, 20, recall=0.99)).select("query_id", "chunk_id")
+    exact = search.similar(queries, chunks, 20).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    joined = found.join(exact, ["query_id", "chunk_id"], "left")
+    return joined.groupBy("query_id").agg(F.count("*").alias("chunks"), (F.count("hit") >= 18).alias("good"))
+
+
+@query("similar_models", f"""WITH {_CENTROIDS}, pairs AS (SELECT q.query_id, 'short' AS model, list_resize(q.qv, 16) AS qv FROM q UNION ALL SELECT q.query_id + 100, 'long', q.qv FROM q),
+    c AS (SELECT chunk_id, file_path, text, CASE WHEN chunk_id % 3 = 0 THEN 'short' ELSE 'long' END AS model,
+      CASE WHEN chunk_id % 3 = 0 THEN list_resize(embedding::DOUBLE[], 16) ELSE embedding::DOUBLE[] END AS e FROM {_CHUNKS.rsplit(' ', 1)[0]} x)
+    SELECT query_id::BIGINT AS query_id, rank, chunk_id, file_path, score, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+      FROM (SELECT p.query_id, c.chunk_id, c.file_path, c.text, round(-list_distance(c.e, p.qv), 6) AS score FROM pairs p JOIN c USING (model)) a) b WHERE rank <= 20""")
+def _(read):
+    """Two models with vectors of different widths: each query meets its own, and queries without a vector meet none."""
+    queries = _queries(read)
+    short = queries.select("query_id", F.lit("short").alias("model"), F.slice("embedding", 1, 16).alias("embedding"))
+    long = queries.select(F.col("query_id") + 100, F.lit("long"), "embedding")
+    none = queries.select(F.col("query_id") + 200, F.lit("long"), F.lit(None).cast("array<double>"))
+    own = F.when(F.col("chunk_id") % 3 == 0, "short").otherwise("long")
+    cut = F.when(F.col("chunk_id") % 3 == 0, F.slice("embedding", 1, 16)).otherwise(F.col("embedding"))
+    chunks = read("chunks").withColumn("embedding", cut).withColumn("model", own)
+    return search.similar(short.union(long).union(none), chunks, 20, metric="l2")
+
+
+@query("index_round_trip", f"SELECT chunk_id, file_path, true AS listed FROM {_CHUNKS}")
 def _(read):
-    """The index written by bucket to the shared folder and read back."""
+    """The index written by list to the shared folder and read back."""
     path = fresh_folder(read.spark, "index")
     tables.write_index(read("chunks"), path)
-    return tables.read_index(read.spark, path).select("chunk_id", "file_path", "bucket")
+    stored, lists = tables.read_index(read.spark, path)
+    n = max(len(c) for c in lists.centres.values())
+    return stored.select("chunk_id", "file_path", F.col("bucket").between(0, n - 1).alias("listed"))
 
 
 _GROUPS = f"""(SELECT query_id, string_agg(file_path, ',' ORDER BY rank) AS files, string_agg(printf('%.6f', score), ',' ORDER BY rank) AS scores,
@@ -137,13 +146,15 @@ def _(read):
     return search.chunk_text(read("documents").select("doc_id", F.col("text").alias("content")))
 
 
-def _lengths(limit: int = 250) -> str:
-    dims = ", ".join(f"len(list_filter(w[1:{limit}], lambda x: length(x) % 8 = {d}))" for d in range(8))
+def _lengths(limit: int | None = None) -> str:
+    """Counts of the words of a whole text by length; the mean of its pieces where a limit cuts it."""
+    pieces = f"greatest(ceil(len(w) / {limit}.0), 1)" if limit else "1"
+    dims = ", ".join(f"(10000 * (len(list_filter(w, lambda x: length(x) % 8 = {d})) / {pieces})::FLOAT)::BIGINT" for d in range(8))
     return f"array_to_string([{dims}], ',')"
 
 
 def _joined(c):
-    return F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), ",")
+    return F.array_join(F.transform(c, lambda x: F.floor(x.cast("double") * 10_000 + 0.5).cast("string")), ",")
 
 
 @query(
@@ -165,12 +176,12 @@ def _small_only(texts):
 
 @query(
     "embed_with_fallback",
-    f"""SELECT doc_id, {_lengths()} AS embedding, CASE WHEN len(w) > 100 THEN 'large' ELSE 'small' END AS model FROM (SELECT doc_id, {_words('text')} AS w FROM documents) x""",
+    f"""SELECT doc_id, {_lengths(250)} AS embedding, CASE WHEN len(w) > 100 THEN 'large' ELSE 'small' END AS model FROM (SELECT doc_id, {_words('text')} AS w FROM documents) x""",
 )
 def _(read):
-    """A first provider that refuses long texts, and a second that takes them."""
+    """A first provider that refuses long texts, and a second that takes them; both take 250 words at a time."""
     providers = [("small", _small_only), ("large", word_length_embedder)]
-    done = search.embed_with_fallback(read("documents").select("doc_id", "text"), providers, batch_size=4)
+    done = search.embed_with_fallback(read("documents").select("doc_id", "text"), providers, batch_size=4, max_words=250)
     return done.select("doc_id", _joined("embedding").alias("embedding"), "model")
 
 
@@ -186,23 +197,25 @@ _TOKENS = """t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(txt
     f"('{q}', '{t}')" for q, t in _SEARCHES
 ) + """) s(query_id, txt)), sizes AS (SELECT query_id, count(*) AS n FROM t GROUP BY query_id)"""
 _HIDDEN = search.HIDDEN
-_GUIDES = f"""g AS (SELECT url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+_GUIDES = f"""g AS (SELECT page_id, url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
    trim(regexp_replace(regexp_replace(regexp_replace(html, '{_HIDDEN}', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages)"""
 
 
 def _guides(read):
     html = F.col("html")
-    return read("pages").select("url", search.html_title(html).alias("title"), search.html_text(html).alias("text"))
+    return with_once(read("pages").select("url", "html"), "text", search.html_text(html)).select("url", search.html_title(html).alias("title"), "text")
 
 
 @query(
     "doc_search",
-    f"""WITH {_TOKENS}, {_GUIDES}, pt AS (SELECT DISTINCT url, unnest(regexp_extract_all(lower(title || ' ' || text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM g),
-      m AS (SELECT query_id, url, round(count(*) / any_value(n), 6) AS score FROM pt JOIN t USING (token) JOIN sizes USING (query_id) GROUP BY query_id, url),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM m)
-    SELECT query_id, rank, url, title, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet, score,
+    f"""WITH {_TOKENS}, {_GUIDES}, pt AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(lower(title || ' ' || text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM g),
+      m AS (SELECT query_id, page_id, round(count(*) / any_value(n), 6) AS score FROM pt JOIN t USING (token) JOIN sizes USING (query_id) GROUP BY query_id, page_id),
+      shown AS (SELECT query_id, url, title, score, text, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS snippet, lower(text) AS s FROM m JOIN g USING (page_id)),
+      u AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY score DESC, title DESC, snippet DESC) AS place FROM shown),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM u WHERE place = 1)
+    SELECT query_id, rank, url, title, snippet, score,
       CASE WHEN contains(s, 'critical') THEN 'critical' WHEN contains(s, 'high') THEN 'high' WHEN contains(s, 'medium') OR contains(s, 'moderate') THEN 'medium' WHEN contains(s, 'low') THEN 'low' ELSE 'unknown' END AS severity
-    FROM (SELECT r.*, g.title, g.text, lower(substr(g.text, 1, 200)) AS s FROM r JOIN g USING (url) WHERE rank <= 5) x""",
+    FROM r WHERE rank <= 5""",
 )
 def _(read):
     return search.doc_search(_guides(read), _SEARCHES)
@@ -217,15 +230,16 @@ _BM25 = f"""docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\
 
 @query("keyword_scores", f"WITH {_TOKENS}, {_BM25} SELECT query_id, doc_id, score FROM bm")
 def _(read):
-    return search.keyword_scores(read("documents"), _SEARCHES)
+    searches = read.spark.createDataFrame(_SEARCHES, "query_id string, text string")
+    return search.keyword_scores(read("documents"), searches)
 
 
 @query(
     "hybrid_search",
     f"""WITH {_TOKENS}, {_BM25}, {_CENTROIDS.replace('SELECT label AS query_id', 'SELECT CASE label ' + ' '.join(f"WHEN {i} THEN '{n}'" for i, (n, _) in enumerate(_SEARCHES)) + ' END AS query_id', 1).replace('FROM embeddings)', 'FROM embeddings WHERE label < 5)')},
       lists AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm
-        UNION ALL SELECT query_id, chunk_id, rank FROM {_ranked(100)}),
-      fused AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 8) AS score FROM lists WHERE rank <= 100 GROUP BY query_id, doc_id)
+        UNION ALL SELECT query_id, chunk_id, rank FROM {_ranked(1_000_000_000)}),
+      fused AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 8) AS score FROM lists GROUP BY query_id, doc_id)
     SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused) x WHERE rank <= 10""",
 )
 def _(read):

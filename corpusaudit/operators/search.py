@@ -1,29 +1,33 @@
 """Chunks, embeddings and search.
 
-Searching scans the chunks once. The queries, a checked and bounded number of
-vectors, travel to the tasks; each task multiplies its batches with them and
-keeps only its own best k per query. No pair of query and chunk becomes a row.
+Vectors are searched by ``knn``; words are counted and scored inside a
+document's row.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
-from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusaudit.functions.once import with_once
-from corpusaudit.functions.text import extract_severity, snippet, truncate_words, words
-from corpusaudit.functions.vectors import N_BUCKETS, N_PLANES, bucket_of
+from corpusaudit.functions.text import extract_severity, snippet, words
+from corpusaudit.operators import knn
+from corpusaudit.operators.grouping import Keys, key_list
+from corpusaudit.session import fresh_folder
 
-#: Query vectors one scan carries. More are answered in further scans.
-MAX_QUERIES = 1_000
 SCORE_DIGITS = 6
+#: Words of searches that travel to the tasks together; more are answered in further scans.
+MOST_WORDS = 100_000
 
 
 # -- chunks and embeddings ---------------------------------------------------
@@ -60,209 +64,117 @@ def word_length_embedder(texts: Sequence[str], dim: int = 8) -> list[list[float]
     return vectors
 
 
-def embed(chunks: DataFrame, embed_fn: EmbedFn, batch_size: int = 2, model: str = "default") -> DataFrame:
-    """Add ``embedding`` and ``model``; texts above 250 words are cut before embedding."""
-    return embed_with_fallback(chunks, [(model, embed_fn)], batch_size)
+def embed(
+    chunks: DataFrame, embed_fn: EmbedFn, batch_size: int = 2, model: str = "default", max_words: int | None = None
+) -> DataFrame:
+    """Add ``embedding`` and ``model``; see ``embed_with_fallback``."""
+    return embed_with_fallback(chunks, [(model, embed_fn)], batch_size, max_words)
+
+
+def _pieces(value: str, max_words: int | None) -> list[str]:
+    """The text itself, or all its words in pieces that the function takes."""
+    own = value.split() if max_words else []
+    if not max_words or len(own) <= max_words:
+        return [value]
+    return [" ".join(own[i : i + max_words]) for i in range(0, len(own), max_words)]
 
 
 def embed_with_fallback(
-    chunks: DataFrame, providers: Sequence[tuple[str, EmbedFn]], batch_size: int = 2
+    chunks: DataFrame, providers: Sequence[tuple[str, EmbedFn]], batch_size: int = 2, max_words: int | None = None
 ) -> DataFrame:
     """Embed with the first provider; a failing batch goes on text by text.
 
-    Each text then takes the first provider that accepts it. ``model`` tells
-    whose vector it is; vectors of different models are never compared. A text
-    that every provider refuses gets an ``error`` and no vector.
+    Texts are embedded whole. Where the functions take no more than
+    ``max_words`` words, a longer text is embedded in pieces and has the mean of
+    their vectors. Each text then takes the first provider that accepts all of
+    it. ``model`` tells whose vector it is; vectors of different models are never
+    compared. A text that every provider refuses, and a null text, gets an
+    ``error`` and no vector.
     """
     schema = chunks.select("*").schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     ddl += ", embedding array<float>, model string, error string"
 
-    def one(value: str) -> tuple[list[float] | None, str | None, str | None]:
+    def mean(vectors: Sequence[Sequence[float]]) -> list[float]:
+        return list(vectors[0]) if len(vectors) == 1 else np.mean(np.array(vectors, float), axis=0).tolist()
+
+    def one(value: str | None) -> tuple[list[float] | None, str | None, str | None]:
+        if value is None:
+            return None, None, "no text"
         problems = []
         for name, fn in providers:
             try:
-                return list(fn([value])[0]), name, None
+                return mean([fn([piece])[0] for piece in _pieces(value, max_words)]), name, None
             except Exception as problem:  # noqa: BLE001 - any failure of the caller's function
                 problems.append(f"{name}: {problem}")
         return None, None, "; ".join(problems)
 
+    def together(part: list[str | None]) -> list[tuple]:
+        name, first = providers[0]
+        pieces = [_pieces(value, max_words) for value in part if value is not None]
+        if len(pieces) < len(part):
+            return [one(value) for value in part]
+        try:
+            flat = [piece for own in pieces for piece in own]
+            found = [v for i in range(0, len(flat), batch_size) for v in first(flat[i : i + batch_size])]
+        except Exception:  # noqa: BLE001
+            return [one(value) for value in part]
+        ends = np.cumsum([len(own) for own in pieces])
+        return [(mean(found[end - len(own) : end]), name, None) for own, end in zip(pieces, ends)]
+
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            results: list[tuple] = []
-            texts = frame.pop("embedder_input").tolist()
-            name, first = providers[0]
-            for start in range(0, len(texts), batch_size):
-                part = texts[start : start + batch_size]
-                try:
-                    results += [(list(v), name, None) for v in first(part)]
-                except Exception:  # noqa: BLE001
-                    results += [one(value) for value in part]
+            texts = frame["text"].tolist()
+            results = [x for i in range(0, len(texts), batch_size) for x in together(texts[i : i + batch_size])]
             frame["embedding"], frame["model"], frame["error"] = (list(c) for c in zip(*results)) if results else ([], [], [])
             yield frame
 
-    return chunks.withColumn("embedder_input", truncate_words(F.col("text"))).mapInPandas(run, ddl)
-
-
-# -- exact search --------------------------------------------------------------
-_HITS = "query_id {}, chunk_id {}, file_path string, text string, score double"
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-
-
-def _keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = frame.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
-    return ordered.groupby("query_id", sort=False).head(k)
-
-
-def _top_of_batch(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the best k of one query, ties by chunk id."""
-    candidates = np.flatnonzero(np.isfinite(scores))
-    if len(candidates) > k:
-        values = scores[candidates]
-        bound = np.partition(values, len(values) - k)[len(values) - k]
-        candidates = candidates[values >= bound]
-    order = np.lexsort((ids[candidates], -scores[candidates]))
-    return candidates[order[:k]]
+    return chunks.mapInPandas(run, ddl)
 
 
-def _slices(frames: Iterable[pd.DataFrame], width: int, rows: int = 2_000) -> Iterator[pd.DataFrame]:
-    """Rows with a vector of the right width, a few at a time."""
-    for frame in frames:
-        frame = frame[frame["embedding"].map(lambda e: e is not None and len(e) == width)]
-        for start in range(0, len(frame), rows):
-            yield frame.iloc[start : start + rows]
-
-
-def _scan(chunks: DataFrame, queries: pd.DataFrame, k: int, metric: str, schema: str, probes: np.ndarray | None) -> DataFrame:
-    query_ids = queries["query_id"].tolist()
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in queries["embedding"]])
-    models = queries["model"].to_numpy() if "model" in queries else None
-    unit = _unit(matrix)
+# -- search --------------------------------------------------------------------
+def _with_texts(ranked: DataFrame, chunks: DataFrame, k: int, n_queries: int, full_text: bool) -> DataFrame:
+    """The hits with path and text; a few hits, by the number of queries, are looked up without moving texts."""
+    hits = F.broadcast(ranked) if k * n_queries <= knn.TRAVEL_HITS else ranked
+    shown = F.col("text") if full_text else snippet(F.col("text"))
+    return chunks.select("chunk_id", "file_path", "text").join(hits, "chunk_id").select(
+        "query_id", "rank", "chunk_id", "file_path", "score", shown.alias("text")
+    )
 
-    def score(batch: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            return np.round(_unit(batch) @ unit.T, SCORE_DIGITS)
-        squared = (batch**2).sum(1)[:, None] + (matrix**2).sum(1)[None, :] - 2 * batch @ matrix.T
-        return np.round(-np.sqrt(np.maximum(squared, 0.0)), SCORE_DIGITS)
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for frame in _slices(frames, matrix.shape[1]):
-            ids = frame["chunk_id"].to_numpy()
-            scores = score(np.stack(frame["embedding"].to_list()).astype(np.float64))
-            if probes is not None:
-                scores = np.where(probes[:, frame["bucket"].to_numpy()].T, scores, -np.inf)
-            if models is not None and "model" in frame:
-                scores = np.where(frame["model"].to_numpy()[:, None] == models[None, :], scores, -np.inf)
-            parts = []
-            for j, query_id in enumerate(query_ids):
-                rows = _top_of_batch(scores[:, j], ids, k)
-                if len(rows):
-                    part = frame.iloc[rows][["chunk_id", "file_path", "text"]].copy()
-                    part.insert(0, "query_id", query_id)
-                    part["score"] = scores[rows, j]
-                    parts.append(part)
-            if parts:
-                best = _keep_best(pd.concat(parts if best is None else [best, *parts]), k)
-        if best is not None:
-            yield best
-
-    return chunks.mapInPandas(run, schema)
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """The queries in blocks of at most about ``MAX_QUERIES``; usually a single one."""
-    first = queries.limit(MAX_QUERIES + 1).toPandas()
-    if len(first) <= MAX_QUERIES:
-        if len(first):
-            yield first
-        return
-    blocks = -(-2 * queries.count() // MAX_QUERIES)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    for i in range(blocks):
-        part = queries.filter(block == i).toPandas()
-        if len(part):
-            yield part
-
-
-def similar(
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = 20,
-    metric: str = "cosine",
-    full_text: bool = False,
-    probe_distance: int | None = None,
-) -> DataFrame:
+def similar(queries: DataFrame, chunks: DataFrame, k: int = 20, metric: str = "cosine", full_text: bool = False) -> DataFrame:
     """The k most similar chunks of each query, ties by chunk id.
 
-    ``queries`` has query_id and embedding; ``chunks`` chunk_id, file_path,
-    embedding and text; a ``model`` column on both is respected. Scores are
-    rounded to six digits before ranking; with ``l2`` they are negative distances.
+    ``queries`` has query_id and embedding; ``chunks`` chunk_id (once each),
+    file_path, embedding and text; a ``model`` column on both is respected, and
+    vectors are compared with those of their own width only. Scores are rounded
+    to six digits before ranking; with ``l2`` they are negative distances. Rows
+    without a usable vector take no part; ``knn.without_vector`` lists them.
     """
-    wanted = ["query_id", "embedding"] + (["model"] if "model" in queries.columns else [])
-    columns = ["chunk_id", "file_path", "embedding", "text"] + (["model"] if "model" in chunks.columns else [])
-    types = dict(queries.dtypes) | dict(chunks.dtypes)
-    schema = _HITS.format(types["query_id"], types["chunk_id"])
-    hits = []
-    for block in _query_blocks(queries.select(*wanted)):
-        scanned, probes = chunks, None
-        if probe_distance is not None:
-            probes = _probes(block["embedding"], probe_distance)
-            scanned = scanned.filter(F.col("bucket").isin(*np.flatnonzero(probes.any(axis=0)).tolist()))
-            hits.append(_scan(scanned.select(*columns, "bucket"), block, k, metric, schema, probes))
-        else:
-            hits.append(_scan(scanned.select(*columns), block, k, metric, schema, None))
-    if not hits:
-        hits = [chunks.sparkSession.createDataFrame([], schema)]
-    union = reduce(DataFrame.unionByName, hits)
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    ranked = union.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-    shown = F.col("text") if full_text else snippet(F.col("text"))
-    return ranked.select("query_id", "rank", "chunk_id", "file_path", "score", shown.alias("text"))
-
-
-# -- approximate search ------------------------------------------------------
-def with_bucket(chunks: DataFrame) -> DataFrame:
-    """Add the search bucket, 256 of them, by the signs of eight fixed projections."""
-    return chunks.withColumn("bucket", bucket_of(F.col("embedding")))
-
-
-def _probes(vectors: Iterable[Any], distance: int) -> np.ndarray:
-    """Buckets to look at per query: all within a Hamming distance of its own."""
-    from corpusaudit.functions.vectors import plane_mask
+    ranked, n = knn.nearest(queries, chunks, k, metric)
+    return _with_texts(ranked, chunks, k, n, full_text)
 
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    positions = np.arange(matrix.shape[1])
-    own = np.zeros(len(matrix), dtype=np.int64)
-    for p in range(N_PLANES):
-        signs = np.array([1 - 2 * (int(i & plane_mask(p)).bit_count() % 2) for i in positions])
-        own += ((matrix * signs).sum(axis=1) >= 0).astype(np.int64) << p
-    different = own[:, None] ^ np.arange(N_BUCKETS)[None, :]
-    return np.vectorize(lambda x: int(x).bit_count())(different) <= distance
 
+def similar_ann(
+    queries: DataFrame, chunks: DataFrame, k: int = 20, lists: knn.Lists | None = None, metric: str = "cosine", full_text: bool = False
+) -> DataFrame:
+    """As ``similar``, looking only at the lists nearest to each query.
 
-def similar_ann(queries: DataFrame, chunks: DataFrame, k: int = 20, probe_distance: int = 2, **options) -> DataFrame:
-    """As ``similar``, looking only at buckets near each query's own.
-
-    An index stored by bucket is read only where a query looks. Larger distances
-    find more; the number of planes finds everything.
+    Without ``lists`` they are trained here. Chunks that carry a ``bucket``, as
+    an index does, are read only in the lists that some query looks at. A query
+    always gets k chunks if there are as many.
     """
+    lists = lists or knn.train_lists(chunks, k)
     if "bucket" not in chunks.columns:
-        chunks = with_bucket(chunks)
-    return similar(queries, chunks, k, probe_distance=probe_distance, **options)
+        chunks = knn.with_list(chunks, lists)
+    ranked, n = knn.nearest_in_lists(queries, chunks, lists, k, metric)
+    return _with_texts(ranked, chunks, k, n, full_text)
 
 
 # -- uses of search ----------------------------------------------------------
 def centroids(chunks: DataFrame, by: str) -> DataFrame:
     """Mean vector per group as queries (query_id, embedding)."""
-    parts = chunks.select(F.col(by).alias("query_id"), F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("query_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    packed = means.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
-    return packed.select("query_id", F.col("v.x").alias("embedding"))
+    return knn.means(chunks, by)
 
 
 def pattern_groups(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
@@ -279,9 +191,10 @@ def retrieve_examples(queries: DataFrame, chunks: DataFrame, k: int = 5) -> Data
     return similar(queries, chunks, k, full_text=True)
 
 
-def context_for(queries: DataFrame, files: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """Search restricted to the chunks of listed files (column file_path)."""
-    return similar(queries, chunks.join(files.select("file_path").distinct(), "file_path", "left_semi"), k, full_text=True)
+def context_for(queries: DataFrame, files: DataFrame, chunks: DataFrame, k: int = 10, key: Keys = "file_path") -> DataFrame:
+    """Search restricted to the chunks of listed files; over many repositories ``key`` names the repository too."""
+    wanted = files.select(*key_list(key)).distinct()
+    return similar(queries, chunks.join(wanted, key_list(key), "left_semi"), k, full_text=True)
 
 
 # -- text search -------------------------------------------------------------
@@ -308,15 +221,48 @@ def guide_query(kind: str, subject: str, other: str = "python") -> str:
     return GUIDE_QUERIES[kind].format(subject, other)
 
 
-def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+_TOKEN = re.compile(r"[^\W_]+")
+
+Searches = Sequence[tuple[str, str]] | DataFrame
+
 
+def word_list(value: str | None) -> list[str]:
+    """Letters and digits in a row, in lower case."""
+    return _TOKEN.findall((value or "").lower())
+
+
+def _blocks(searches: Searches) -> Iterator[dict[str, list[str]]]:
+    """Different words of each search (a list of id and text, or a table of query_id and text), ``MOST_WORDS`` or so at a time."""
+    if not isinstance(searches, DataFrame):
+        block: dict[str, list[str]] = {}
+        held = 0
+        for query_id, value in searches:
+            block[query_id] = list(dict.fromkeys(word_list(value)))
+            held += len(block[query_id])
+            if held >= MOST_WORDS:
+                yield block
+                block, held = {}, 0
+        if block:
+            yield block
+        return
+    total = searches.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-total // (2 * MOST_WORDS))  # a word and its gap are two characters at least
+    for i in range(n):
+        rows = searches.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).select("query_id", "text").collect()
+        if rows:
+            yield {r["query_id"]: list(dict.fromkeys(word_list(r["text"]))) for r in rows}
 
-def _query_tokens(searches: Sequence[tuple[str, str]], limit: int = MAX_QUERIES) -> list[tuple[str, str]]:
-    """(query id, token) pairs of query texts, a list the caller writes and we bound."""
-    if len(searches) > limit:
-        raise ValueError(f"{len(searches)} searches exceed the limit of {limit}")
-    return [(q, t) for q, value in searches for t in dict.fromkeys(re.findall(r"[^\W_]+", value.lower()))]
+
+def _by_word(block: dict[str, list[str]]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for query_id, own in block.items():
+        for word in own:
+            out.setdefault(word, []).append(query_id)
+    return out
+
+
+def _union(spark: SparkSession, frames: list[DataFrame], schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
 
 
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -332,89 +278,133 @@ def html_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)
 
 
-def doc_search(guides: DataFrame, searches: Sequence[tuple[str, str]], k: int = 5) -> DataFrame:
+_GUIDE_HITS = "query_id string, url string, score double, title string, snippet string, severity string"
+
+
+def doc_search(guides: DataFrame, searches: Searches, k: int = 5) -> DataFrame:
     """The k guides that share most words with each search text, ties by URL.
 
     ``guides`` has url, title, text. The score is the share of the search's words
-    found in title or text. Only words of a search leave the page's row.
+    found in title or text; the severity is judged on the whole text. A URL that
+    occurs more than once counts by its best row, then the last by title. Each
+    task keeps its best k per search, so only those leave it.
     """
-    pairs = _query_tokens(searches)
-    spark = guides.sparkSession
-    sizes = pd.Series([q for q, _ in pairs]).value_counts().to_dict()
-    table = spark.createDataFrame([(q, t, sizes[q]) for q, t in pairs], "query_id string, token string, n_words int")
-    known = sorted({t for _, t in pairs})
-    found = F.array_distinct(
-        F.filter(tokens(F.concat_ws(" ", "title", "text")), lambda t: t.isin(*known))
-    )
-    matches = (
-        guides.select("url", F.explode(found).alias("token"))
-        .join(F.broadcast(table), "token")
-        .groupBy("query_id", "url")
-        .agg(F.round(F.count(F.lit(1)) / F.first("n_words"), SCORE_DIGITS).alias("score"))
-    )
+    rows = guides.select(
+        "url", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(snippet(F.col("text")), F.lit("")).alias("snippet"), extract_severity(F.coalesce("text", F.lit(""))).alias("severity"),
+    ).where("url IS NOT NULL")
+    found = [rows.mapInArrow(_guide_scorer(block, k), _GUIDE_HITS) for block in _blocks(searches)]
+    hits = _union(guides.sparkSession, found, _GUIDE_HITS)
+    best = hits.groupBy("query_id", "url").agg(F.max(F.struct("score", "title", "snippet", "severity")).alias("b")).select("query_id", "url", "b.*")
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("url"))
-    best = matches.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-    # At most k rows per search come back for their texts.
-    pages = guides.select("url", "title", snippet(F.col("text")).alias("snippet"))
-    return (
-        pages.join(F.broadcast(best), "url")
-        .withColumn("severity", extract_severity(F.col("snippet")))
-        .select("query_id", "rank", "url", "title", "snippet", "score", "severity")
-    )
-
-
-def keyword_scores(docs: DataFrame, searches: Sequence[tuple[str, str]], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 score of each search and document that share a word (columns doc_id, text)."""
-    pairs = _query_tokens(searches)
-    known = sorted({t for _, t in pairs})
-    sized = with_once(docs.select("doc_id", "text"), "t", tokens(F.col("text"))).select(
-        "doc_id", F.size("t").alias("n_words"), F.filter("t", lambda t: t.isin(*known)).alias("t")
-    )
-    # One row per search word, and one under "" for the totals, come to the driver.
-    marked = F.concat(F.array(F.lit("")), F.array_distinct("t"))
-    seen = sized.select("n_words", F.explode(marked).alias("token")).groupBy("token")
-    totals = {r["token"]: r for r in seen.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("avg")).collect()}
-    n, avg = (totals[""]["n"], totals[""]["avg"] or 1.0) if totals else (0, 1.0)
-    found = {t: totals[t]["n"] if t in totals else 0 for t in known}
-    idf = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in found.items()}
-    table = docs.sparkSession.createDataFrame([(q, t, idf[t]) for q, t in pairs], "query_id string, token string, idf double")
-    counts = (
-        sized.select("doc_id", "n_words", F.explode("t").alias("token"))
-        .groupBy("doc_id", "n_words", "token")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_words") / F.lit(avg)))
-    return (
-        counts.join(F.broadcast(table), "token")
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(gain), SCORE_DIGITS).alias("score"))
-    )
+    ranked = best.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "url", "title", "snippet", "score", "severity")
+
+
+def _guide_scorer(block: dict[str, list[str]], k: int):
+    by_word = _by_word(block)
+    sizes = {query_id: len(own) for query_id, own in block.items()}
+
+    def first(best: dict[str, tuple]) -> dict[str, tuple]:
+        return dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:k])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, dict[str, tuple]] = {query_id: {} for query_id in block}
+        for batch in batches:
+            for x in batch.to_pylist():
+                seen = Counter(q for w in {*word_list(x["title"]), *word_list(x["text"])} if w in by_word for q in by_word[w])
+                for query_id, n in seen.items():
+                    best = kept[query_id]
+                    row = (round(n / sizes[query_id], SCORE_DIGITS), x["title"], x["snippet"], x["severity"])
+                    best[x["url"]] = max(best.get(x["url"], row), row)
+                    if len(best) >= 8 * k + 64:
+                        kept[query_id] = first(best)
+        rows = [(q, url, *row) for q, best in kept.items() for url, row in first(best).items()]
+        kinds = [pa.string(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string()]
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in _GUIDE_HITS.split(", ")])
+
+    return run
+
+
+def keyword_scores(docs: DataFrame, searches: Searches, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 score of each search and document that share a word (columns doc_id, text).
+
+    Texts are read once: each document's counts of searched words are written,
+    the statistics of the corpus come from there, and the scores again are
+    computed inside the document's row.
+    """
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())])
+    scored = []
+    for block in _blocks(searches):
+        by_word = _by_word(block)
+        path = fresh_folder(docs.sparkSession, "word-counts")
+        counted = docs.select("doc_id", "text").mapInArrow(_word_counter(by_word), f"doc_id {kind.simpleString()}, n_words long, found array<string>, times array<long>")
+        counted.write.parquet(path)
+        counts = docs.sparkSession.read.schema(counted.schema).parquet(path)
+        size = counts.agg(F.count("*").alias("n"), F.avg("n_words").alias("mean")).first()
+        in_docs = {r["w"]: r["n"] for r in counts.select(F.explode("found").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+        idf = {w: math.log(1 + (size["n"] - d + 0.5) / (d + 0.5)) for w, d in in_docs.items()}
+        scored.append(counts.where(F.size("found") > 0).mapInArrow(_bm25(by_word, idf, size["mean"] or 1.0, k1, b), schema))
+    return reduce(DataFrame.unionByName, scored) if scored else docs.sparkSession.createDataFrame([], schema)
+
+
+def _word_counter(by_word: dict[str, list[str]]):
+    known = frozenset(by_word)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, found, times = [], [], []
+            for x in batch.column("text"):
+                own = word_list(x.as_py())
+                seen = Counter(w for w in own if w in known)
+                n.append(len(own))
+                found.append(list(seen))
+                times.append(list(seen.values()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
+                names=["doc_id", "n_words", "found", "times"],
+            )
+
+    return run
+
+
+def _bm25(by_word: dict[str, list[str]], idf: dict[str, float], mean: float, k1: float, b: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, query, score = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("n_words", "found", "times"))
+            for i, (n, found, times) in enumerate(zip(*columns)):
+                total: dict[str, float] = {}
+                for word, tf in zip(found, times):
+                    gain = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
+                    for q in by_word[word]:
+                        total[q] = total.get(q, 0.0) + gain
+                row += [i] * len(total)
+                query += total
+                score += [round(x, SCORE_DIGITS) for x in total.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query, pa.string()), batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(score, pa.float64())], names=["query_id", "doc_id", "score"]
+            )
+
+    return run
 
 
 def hybrid_search(
-    docs: DataFrame,
-    searches: Sequence[tuple[str, str]],
-    queries: DataFrame,
-    chunks: DataFrame,
-    k: int = 10,
-    depth: int = 100,
+    docs: DataFrame, searches: Searches, queries: DataFrame, chunks: DataFrame, k: int = 10, depth: int | None = None
 ) -> DataFrame:
-    """Keyword and vector lists of ``depth`` documents each, joined by reciprocal rank.
+    """Keyword and vector lists joined by reciprocal rank, the best k documents of each search.
 
     ``docs`` has doc_id, text; a chunk's ``chunk_id`` is the id of its document;
-    ``queries`` holds the vector of each search under the same query_id.
+    ``queries`` holds the vector of each search under the same query_id. Whole
+    lists are joined; ``depth`` takes only that many documents of each.
     """
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    by_words = (
-        keyword_scores(docs, searches)
-        .withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= depth)
-        .select("query_id", "doc_id", "rank")
-    )
-    by_vector = similar(queries, chunks, depth).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
-    fused = (
-        by_words.unionByName(by_vector)
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(1 / (60 + F.col("rank"))), 8).alias("score"))
-    )
+    by_words = keyword_scores(docs, searches).withColumn("rank", F.row_number().over(window))
+    by_vector, _ = knn.nearest(queries, chunks, depth or max(1, chunks.count()))
+    lists = by_words.select("query_id", "doc_id", "rank").unionByName(by_vector.select("query_id", F.col("chunk_id").alias("doc_id"), "rank"))
+    if depth is not None:
+        lists = lists.filter(F.col("rank") <= depth)
+    fused = lists.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 8).alias("score"))
     return fused.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusaudit import adapters
-from corpusaudit.operators import search
+from corpusaudit.operators import knn, search
 
 
 @pytest.fixture(scope="module")
@@ -37,8 +37,9 @@ def test_similar_equals_brute_force(chunks, queries, parts):
     assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in found.collect()} == brute_force(chunks, queries, 7)
 
 
-def test_more_queries_than_one_scan_carries(chunks, queries, monkeypatch):
-    monkeypatch.setattr(search, "MAX_QUERIES", 4)
+def test_many_queries_meet_blocks_in_parts(chunks, queries, monkeypatch):
+    for name, value in (("TRAVEL_BYTES", 0), ("TRAVEL_HITS", 0), ("QUERY_BLOCK", 3), ("BLOCK", 20)):
+        monkeypatch.setattr(knn, name, value)
     found = search.similar(queries, chunks, 7)
     assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in found.collect()} == brute_force(chunks, queries, 7)
 
@@ -72,18 +73,59 @@ def test_no_queries(chunks, queries):
     assert search.similar(queries.limit(0), chunks).isEmpty()
 
 
-def test_approximate_search_recall(chunks, queries):
-    exact = brute_force(chunks, queries, 10)
-    all_probes = search.similar_ann(queries, chunks, 10, probe_distance=8)
-    assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in all_probes.collect()} == exact
+def test_long_near_vectors_keep_their_distance(spark):
+    r = np.random.default_rng(1)
+    base = r.normal(size=64) * 1e4
+    rows = [(i, "f", (base + r.normal(size=64) * 1e-3).tolist(), "t") for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, file_path string, embedding array<double>, text string")
+    queries = spark.createDataFrame([("q", base.tolist())], "query_id string, embedding array<double>")
+    exact = sorted((float(np.round(np.sqrt(((np.array(v) - base) ** 2).sum()), 6)), i) for i, _, v, _ in rows)[:10]
+    found = search.similar(queries, chunks, 10, metric="l2").orderBy("rank").collect()
+    assert [(-r["score"], r["chunk_id"]) for r in found] == exact
+
+
+def test_widths_and_missing_vectors_side_by_side(spark):
+    chunks = spark.createDataFrame(
+        [(1, "f", [1.0, 0.0], "t"), (2, "f", [1.0], "t"), (3, "f", [float("nan"), 1.0], "t"), (4, "f", [], "t"), (5, "f", [None, 1.0], "t")],
+        "chunk_id int, file_path string, embedding array<float>, text string",
+    )
+    queries = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [2.0]), ("c", None), ("d", [1.0, 2.0, 3.0])], "query_id string, embedding array<double>")
+    found = search.similar(queries, chunks, 3)
+    assert sorted((r["query_id"], r["chunk_id"]) for r in found.collect()) == [("a", 1), ("b", 2)]
+    assert sorted(r["chunk_id"] for r in knn.without_vector(chunks).collect()) == [3, 4, 5]
+    assert [r["query_id"] for r in knn.without_vector(queries).collect()] == ["c"]
+
+
+def _recall(found, exact):
     wanted = {(q, c) for q, _, c in exact}
+    return len({(r["query_id"], r["chunk_id"]) for r in found} & wanted) / len(wanted)
+
+
+def test_approximate_search_recall(chunks, queries):
+    found = search.similar_ann(queries, chunks, 10, knn.train_lists(chunks, 10, recall=0.97)).collect()
+    assert len(found) == 10 * queries.count()
+    assert _recall(found, brute_force(chunks, queries, 10)) >= 0.9
+
 
-    def recall(distance):
-        found = search.similar_ann(queries, chunks, 10, probe_distance=distance)
-        return len({(r["query_id"], r["chunk_id"]) for r in found.collect()} & wanted) / len(wanted)
+def test_approximate_search_reads_little_of_clusters(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(30, 16)) * 5
+    rows = [(i, "f", (centres[i % 30] + r.normal(size=16)).tolist(), "t") for i in range(3000)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, file_path string, embedding array<double>, text string")
+    queries = spark.createDataFrame([(i, (centres[i] + r.normal(size=16)).tolist()) for i in range(20)], "query_id int, embedding array<double>")
+    lists = knn.train_lists(chunks, 10)
+    key = (16, None)
+    assert lists.probes[key] <= len(lists.centres[key]) / 5
+    found = search.similar_ann(queries, chunks, 10, lists).collect()
+    assert len(found) == 200 and _recall(found, brute_force(chunks, queries, 10)) >= 0.9
+    many = search.similar_ann(queries, chunks, 500, lists).groupBy("query_id").count().collect()
+    assert [r["count"] for r in many] == [500] * 20  # lists are added until they hold k
 
-    # Buckets within distance 3 are 93 of 256; the best chunks are found more often than that.
-    assert recall(1) < recall(3) and recall(3) > 93 / 256
+
+def test_means_equal_plain_ones(spark):
+    rows = [(i % 3, [float(i), 1.0]) for i in range(50)] + [(None, [2.0, 4.0]), (1, None), (7, [1.0, 2.0, 3.0])]
+    got = {r["query_id"]: r["embedding"] for r in knn.means(spark.createDataFrame(rows, "label int, embedding array<float>"), "label").collect()}
+    assert got == {g: [np.mean([i for i in range(50) if i % 3 == g]), 1.0] for g in range(3)} | {None: [2.0, 4.0], 7: [1.0, 2.0, 3.0]}
 
 
 def test_chunks_cover_all_words(spark):
@@ -113,6 +155,20 @@ def test_embedding_fallback(spark):
     assert rows[2]["error"] == "s: 413; l: refused"
 
 
+def test_texts_are_embedded_whole(spark):
+    long = "a " * 300 + "bbb " * 300
+    df = spark.createDataFrame([(0, long), (1, "a " * 300), (2, None), (3, "")], "chunk_id int, text string")
+    whole = {r["chunk_id"]: r["embedding"] for r in search.embed(df, search.word_length_embedder).collect()}
+    assert whole[0][1] == 300 and whole[0][3] == 300 and whole[1] != whole[0] and whole[2] is None
+
+    def narrow(texts):
+        assert all(len(t.split()) <= 250 for t in texts)
+        return search.word_length_embedder(texts)
+
+    pieces = {r["chunk_id"]: r["embedding"] for r in search.embed(df, narrow, max_words=250).collect()}
+    assert pieces[0][1] == 100 and pieces[0][3] == 100
+
+
 def test_guide_queries():
     assert search.guide_query("migration", "MySQLdb", "SQLAlchemy") == "MySQLdb to SQLAlchemy migration guide best practices"
     assert search.guide_query("vulnerabilities", "eval") == "python eval security vulnerability CVE"
@@ -123,5 +179,26 @@ def test_doc_search_by_shared_words(spark):
                                    "url string, title string, text string")
     found = search.doc_search(guides, [("q", "flask migration guide")], 2).orderBy("rank").collect()
     assert [(r["url"], r["score"]) for r in found] == [("u1", 1.0), ("u2", 0.333333)]
-    with pytest.raises(ValueError):
-        search.doc_search(guides, [("q", "x")] * 1001)
+    many = spark.createDataFrame([(f"q{i:04}", "guide" if i else "flask") for i in range(1500)], "query_id string, text string")
+    assert search.doc_search(guides, many, 1).count() == 1500
+
+
+def test_repeated_urls_and_late_severity(spark):
+    guides = spark.createDataFrame([("u", "t", "word " * 100 + "critical"), ("u", "t", "word other"), ("v", "t", "word"), (None, "t", "word"), ("w", None, None)],
+                                   "url string, title string, text string")
+    found = search.doc_search(guides, [("q", "word other")]).orderBy("rank").collect()
+    assert [(r["rank"], r["url"], r["score"]) for r in found] == [(1, "u", 1.0), (2, "v", 0.5)]
+    alone = search.doc_search(guides.limit(1), [("q", "word")]).first()
+    assert alone["severity"] == "critical" and len(alone["snippet"]) == 203
+
+
+def test_keyword_scores_for_many_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 7} " * (i % 3 + 1)) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    searches = [(f"q{i}", f"beta{i} alpha") for i in range(7)]
+    whole = {(r["query_id"], r["doc_id"]): r["score"] for r in search.keyword_scores(docs, searches).collect()}
+    assert len(whole) == 280
+    monkeypatch.setattr(search, "MOST_WORDS", 3)
+    table = spark.createDataFrame(searches, "query_id string, text string")
+    for given in (searches, table):
+        assert {(r["query_id"], r["doc_id"]): r["score"] for r in search.keyword_scores(docs, given).collect()} == whole
+    assert search.keyword_scores(docs, []).isEmpty()

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from corpusaudit.operators import search
+from corpusaudit.operators import knn, search
 from corpusaudit.sources import archives, outputs, tables, tree, uploads
 
 
@@ -89,14 +89,18 @@ def test_outputs_keep_full_paths(spark, tmp_path, rows):
                                           ("original", "c/b.py"), ("tests", "test_b.py")]
 
 
-def test_index_is_stored_by_bucket(spark, tmp_path, sf_dir):
+def test_index_is_stored_by_list(spark, tmp_path, sf_dir):
     from corpusaudit import adapters
 
     chunks = adapters.view(spark, sf_dir, "chunks")
-    tables.write_index(chunks, str(tmp_path / "index"))
-    index = tables.read_index(spark, str(tmp_path / "index"))
+    path = str(tmp_path / "index")
+    lists = tables.write_index(chunks, path)
+    index, again = tables.read_index(spark, path)
+    assert again.probes == lists.probes and all((again.centres[k] == c).all() for k, c in lists.centres.items())
     queries = search.centroids(chunks, "label")
-    near = search.similar_ann(queries, index, 5, probe_distance=8)
-    assert near.exceptAll(search.similar(queries, chunks, 5)).isEmpty()
-    plan = search.similar_ann(queries.limit(1), index, 5, probe_distance=1)._jdf.queryExecution().toString()
+    everything = knn.Lists(again.centres, {k: len(c) for k, c in again.centres.items()})
+    columns = ["query_id", "rank", "chunk_id", "score"]
+    near = search.similar_ann(queries, index, 5, everything).select(columns)
+    assert near.exceptAll(search.similar(queries, chunks, 5).select(columns)).isEmpty()
+    plan = search.similar_ann(queries.limit(1), index, 5, again)._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket" in plan
