@@ -8,10 +8,11 @@ from corpusaudit import dims
 from corpusaudit.catalog.registry import query, sql_language, v, values
 from corpusaudit.operators import analysis, quality
 from corpusaudit.operators import rules as R
-from corpusaudit.operators.cache import cached_split, merge_cache, transformation_examples, with_cache_key
+from corpusaudit.operators.cache import cached_split, merge_cache, store_examples, transformation_examples, with_cache_key
 from corpusaudit.operators.files import cache_key
 from corpusaudit.operators.grouping import first_per_group, last_write_wins
 from corpusaudit.plans import ranking, reports, statistics
+from corpusaudit.session import fresh_folder
 
 _SRC = v("sources")
 _DISPLAY = f"coalesce({sql_language('file_path', 'display')}, 'Unknown')"
@@ -433,6 +434,18 @@ def _(read):
     return transformation_examples(examples, wanted, 5, order).select("pattern", "example_no", "file_path", "pos")
 
 
+@query("stored_examples", f"""SELECT file_path, pattern, md5(content) AS before, md5('import logging' || chr(10) || content || chr(10)) AS after
+    FROM (SELECT *, 'pt_' || (doc_id % 5) AS pattern FROM {v('files')}) x WHERE pattern IN ('pt_1', 'pt_3')""")
+def _(read):
+    """Transformations stored as examples with their whole texts, and found again by pattern."""
+    done = read("transformations").withColumn("pattern", F.concat(F.lit("pt_"), (F.col("doc_id") % 5).cast("string")))
+    folder = fresh_folder(read.spark, "examples")
+    store_examples(done).write.parquet(folder)
+    wanted = read.spark.createDataFrame([("pt_1",), ("pt_3",), ("pt_9",)], "pattern string")
+    found = transformation_examples(read.spark.read.parquet(folder), wanted)
+    return found.select("file_path", "pattern", F.md5("before").alias("before"), F.md5("after").alias("after"))
+
+
 @query(
     "last_write_wins",
     f"""SELECT file_path, arg_max(overall_priority, batch) AS overall_priority FROM (SELECT file_path, overall_priority, 1 AS batch FROM {v('analyses')}

@@ -17,6 +17,7 @@ from corpusaudit.functions import severity
 from corpusaudit.operators import files as FI
 from corpusaudit.operators import grouping
 from corpusaudit.session import fresh_folder
+from corpusaudit.sources.storage import open_fs
 from corpusaudit.sources import archives, outputs, tables, tree, uploads
 
 _PARTS = "string_split(file_path, '/')"
@@ -57,7 +58,7 @@ def _(read):
     narrow = (F.col("doc_id") % 2 == 0) & ~text.rlike("[^\\x00-\\xff]")
     stored = F.when(narrow, F.encode(F.when(narrow, text), "ISO-8859-1")).otherwise(text.cast("binary"))
     raw = read("documents").select("doc_id", stored.alias("content"))
-    return tree.readable(tree.read_text(raw, max_size=1 << 30)).select("doc_id", "encoding", "content")
+    return tree.readable(tree.read_text(raw)).select("doc_id", "encoding", "content")
 
 
 def _zip_documents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,6 +92,73 @@ def _(read):
     )
 
 
+def _write_files(folder: str):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = open_fs(folder)
+        for batch in batches:
+            for repo, path, text in zip(batch["repo"], batch["file_path"], batch["content"]):
+                full = f"{base}/{repo}/{path}"
+                fs.create_dir(full.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(full, compression=None) as out:
+                    out.write(text.encode())
+            yield batch[["repo"]].drop_duplicates()
+
+    return run
+
+
+@query(
+    "scan_tree",
+    f"""SELECT repo, file_path, md5(regexp_replace(content, '\r\n?', chr(10), 'g')) AS digest, NULL::VARCHAR AS problem FROM {v('files')}
+    WHERE {sql_suffix('file_path')} IN ({names(dims.DISCOVERY_SUFFIXES)}) AND NOT list_has_any({_DIRS}, [{names(dims.DISCOVERY_EXCLUDED)}])
+    UNION ALL SELECT 'absent', '', NULL, 'unreadable'""",
+)
+def _(read):
+    """All documents as files of a tree per repository, walked and read; one of the roots doesn't exist."""
+    folder = fresh_folder(read.spark, "tree")
+    repos = read("files").select("repo", "file_path", "content").mapInPandas(_write_files(folder), "repo string").distinct()
+    roots = repos.select("repo", F.concat(F.lit(folder + "/"), "repo").alias("root")).checkpoint()
+    absent = read.spark.createDataFrame([("absent", folder + "/no/such/folder")], "repo string, root string")
+    files = tree.read_text(tree.scan_code_files(read.spark, roots.unionByName(absent)))
+    return files.select("repo", "file_path", F.md5("content").alias("digest"), F.substring_index("error", ":", 1).alias("problem"))
+
+
+def _write_archives(folder: str):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        number = frame["number"].iloc[0]
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as archive:
+            for doc_id, text in sorted(zip(frame["doc_id"], frame["text"])):
+                archive.writestr(f"src/f{doc_id}.py", text)
+        data = bytearray(buffer.getvalue())
+        for doc_id in frame["doc_id"][frame["doc_id"] % 10 == 7]:  # damage the stored text behind the member's header
+            name = f"src/f{doc_id}.py".encode()
+            data[data.index(name) + len(name)] ^= 255
+        fs, base = open_fs(folder)
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/r{number}.zip", compression=None) as out:
+            out.write(bytes(data))
+        return pd.DataFrame({"archive": [f"{folder}/r{number}.zip"]})
+
+    return run
+
+
+@query(
+    "scan_zips",
+    """SELECT 'r' || doc_id // 50 AS repo, 'src/f' || doc_id || '.py' AS file_path, CASE WHEN doc_id % 10 <> 7 THEN md5(text) END AS digest,
+      CASE WHEN doc_id % 10 = 7 THEN 'unreadable member' END AS problem FROM documents
+    UNION ALL SELECT 'absent', NULL, NULL, 'not a valid archive'""",
+)
+def _(read):
+    """Documents in archives of fifty, read by path; every tenth member is damaged, and one archive is missing."""
+    folder = fresh_folder(read.spark, "archives")
+    numbered = read("documents").select(F.floor(F.col("doc_id") / 50).alias("number"), "doc_id", "text")
+    written = numbered.groupBy("number").applyInPandas(_write_archives(folder), "archive string").checkpoint()
+    absent = read.spark.createDataFrame([(folder + "/absent.zip",)], "archive string")
+    return archives.read_zip_repos(written.unionByName(absent)).select(
+        "repo", "file_path", F.md5("content").alias("digest"), F.substring_index("error", ":", 1).alias("problem")
+    )
+
+
 @query(
     "validate_uploads",
     f"""SELECT file_path, reason IS NULL AS is_valid, reason, CASE WHEN reason IS NULL THEN {sql_language('file_path', 'upload')} END AS language

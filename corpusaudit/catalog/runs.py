@@ -25,18 +25,28 @@ def _ask(task: str, *parts: str) -> str:
     return " || chr(10) || ".join([quoted(requests.ASKS[task]), *parts])
 
 
-def _request_sql(task: str, *parts: str) -> str:
+def _request_sql(task: str, *parts: str, source: str = "") -> str:
     temperature, tokens, shape = requests.TASKS[task]
-    return f"""SELECT file_path, {quoted(task)} AS task, {temperature}::DOUBLE AS temperature, {tokens}::BIGINT AS max_tokens, {quoted(shape)}::VARCHAR AS response_schema,
-      md5({_ask(task, *parts)}) AS prompt FROM {_SRC}"""
+    piece = "piece::BIGINT AS piece, pieces::BIGINT AS pieces, first_line::BIGINT AS first_line" if source else "1::BIGINT AS piece, 1::BIGINT AS pieces, 1::BIGINT AS first_line"
+    return f"""SELECT repo, file_path, {quoted(task)} AS task, {temperature}::DOUBLE AS temperature, {tokens}::BIGINT AS max_tokens, {quoted(shape)}::VARCHAR AS response_schema,
+      md5({_ask(task, *parts)}) AS prompt, {piece} FROM {source or _SRC}"""
 
 
 def _shown(df):
     return df.select(
-        F.col("file_paths")[0].alias("file_path"), "task", "temperature", "max_tokens", "response_schema", F.md5("prompt").alias("prompt")
+        "repo", F.col("file_paths")[0].alias("file_path"), "task", "temperature", "max_tokens", "response_schema", F.md5("prompt").alias("prompt"),
+        "piece", "pieces", "first_line",
     )
 
 
+def _cut_sql(n: int) -> str:
+    """Pieces of n characters, numbered, with the line that each begins on."""
+    return f"""(SELECT * REPLACE (substr(content, (piece - 1) * {n} + 1, {n}) AS content), 1 + length(substr(content, 1, (piece - 1) * {n})) - length(replace(substr(content, 1, (piece - 1) * {n}), chr(10), '')) AS first_line
+      FROM (SELECT *, greatest(ceil(length(content) / {n}.0), 1)::BIGINT AS pieces, unnest(range(1, greatest(ceil(length(content) / {n}.0), 1)::BIGINT + 1)) AS piece FROM {_SRC}) w) cut"""
+
+
+_PART = "'File: ' || file_path || CASE WHEN pieces > 1 THEN ' (part ' || piece || ' of ' || pieces || ')' ELSE '' END"
+
 _FILE, _LANG = "'File: ' || file_path", f"'Language: ' || {_DISPLAY}"
 _PATTERN_LIST = "CASE " + _DISPLAY + " " + " ".join(f"WHEN {quoted(k)} THEN {quoted('; '.join(x))}" for k, x in dims.LEGACY_PATTERNS.items()) + " END"
 
@@ -45,10 +55,10 @@ _PATTERN_LIST = "CASE " + _DISPLAY + " " + " ".join(f"WHEN {quoted(k)} THEN {quo
     "requests_single",
     " UNION ALL ".join(
         [
-            _request_sql("language", _FILE, _LANG, "substr(content, 1, 500)"),
-            _request_sql("analyse", _FILE, _LANG, f"'Patterns: ' || {_PATTERN_LIST}", "substr(content, 1, CASE WHEN length(content) > 6000 THEN 4000 ELSE 6000 END)"),
-            _request_sql("security", _FILE, "substr(content, 1, 2000)"),
-            _request_sql("refactor", _FILE, "substr(content, 1, 2000)"),
+            _request_sql("language", _FILE, _LANG, "content"),
+            _request_sql("analyse", _FILE, _LANG, f"'Patterns: ' || {_PATTERN_LIST}", "content"),
+            _request_sql("security", _FILE, "content"),
+            _request_sql("refactor", _PART, "content", source=_cut_sql(2000)),
             _request_sql("transform", _FILE, "'Plan: p' || doc_id", "content"),
             _request_sql("hints", _FILE, "content"),
             _request_sql("docstrings", _FILE, "content"),
@@ -56,11 +66,11 @@ _PATTERN_LIST = "CASE " + _DISPLAY + " " + " ".join(f"WHEN {quoted(k)} THEN {quo
     ),
 )
 def _(read):
-    """One request per file for every single-file task."""
-    files = read("sources").select("file_path", "content", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("plan"))
+    """One request per whole file for every single-file task; for one of them, pieces that together are the file."""
+    files = read("sources").select("repo", "file_path", "content", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("plan"))
     out = None
     for task in ("language", "analyse", "security", "refactor", "transform", "hints", "docstrings"):
-        part = _shown(requests.build_requests(files, task))
+        part = _shown(requests.build_requests(files, task, 2000 if task == "refactor" else None))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -73,7 +83,6 @@ def _framework_sql(kind: str) -> str:
 
 
 _TESTED = f"coalesce({sql_language('file_path', 'tests')}, {_RULES_TESTS.replace('(c,', '(content,')})"
-_CLIP = "CASE WHEN length({0}) > 8000 THEN substr({0}, 1, 8000) || chr(10) || chr(10) || '# ... (truncated)' ELSE {0} END"
 _HEAD = [_FILE, f"'Module: ' || {sql_stem('file_path')}", f"'Language: ' || {_TESTED}"]
 
 
@@ -81,7 +90,7 @@ _HEAD = [_FILE, f"'Module: ' || {sql_stem('file_path')}", f"'Language: ' || {_TE
     "requests_tests",
     " UNION ALL ".join(
         [
-            _request_sql("unit-tests", *_HEAD, f"'Framework: ' || {_framework_sql('unit')}", _CLIP.format("content"), _CLIP.format("(content || 'x')")),
+            _request_sql("unit-tests", *_HEAD, f"'Framework: ' || {_framework_sql('unit')}", "content", "(content || 'x')"),
             _request_sql("security-tests", *_HEAD, f"'Framework: ' || {_framework_sql('security')}", "'Vulnerabilities: v'", "content"),
             _request_sql("performance-tests", *_HEAD, f"'Framework: ' || {_framework_sql('performance')}", "content"),
         ]
@@ -89,7 +98,7 @@ _HEAD = [_FILE, f"'Module: ' || {sql_stem('file_path')}", f"'Language: ' || {_TE
 )
 def _(read):
     files = read("sources").select(
-        "file_path", "content", F.concat("content", F.lit("x")).alias("modernized_code"), F.lit("v").alias("vulnerabilities")
+        "repo", "file_path", "content", F.concat("content", F.lit("x")).alias("modernized_code"), F.lit("v").alias("vulnerabilities")
     )
     parts = [_shown(requests.build_requests(files, t)) for t in ("unit-tests", "security-tests", "performance-tests")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -108,30 +117,37 @@ def _(read):
     return built.select(F.col("file_paths")[0].alias("first_path"), F.size("file_paths").alias("files"), F.md5("prompt").alias("prompt"))
 
 
-@query(
-    "requests_batch_analyse",
-    f"""SELECT min(file_path) AS first_path, count(*) AS files, CASE WHEN count(*) = 1 THEN 'analyse' ELSE 'batch-analyse' END AS task,
-      CASE WHEN count(*) > 1 THEN md5({_ask('batch-analyse', "string_agg(file_path || chr(10) || language || chr(10) || substr(content, 1, CASE WHEN n > 2 THEN 2000 ELSE 3000 END), chr(10) || chr(10) ORDER BY file_path)")}) END AS prompt
-    FROM (SELECT *, count(*) OVER (PARTITION BY repo, b) AS n FROM {_NUMBERED.replace('{n}', '3')}) y GROUP BY repo, b""",
-)
+def _batch_sql(n: int) -> str:
+    small = f"(SELECT * FROM {_SRC} WHERE length(content) <= {n}) s"
+    numbered = f"(SELECT *, {_DISPLAY} AS language, (row_number() OVER (PARTITION BY repo ORDER BY file_path) - 1) // 3 AS b FROM {small}) x"
+    body = "string_agg(file_path || chr(10) || language || chr(10) || content, chr(10) || chr(10) ORDER BY file_path)"
+    alone = _ask("analyse", "min('File: ' || file_path)", "min('Language: ' || language)", f"min('Patterns: ' || {_PATTERN_LIST})", "min(content)")
+    large = _request_sql("analyse", _PART, _LANG, f"'Patterns: ' || {_PATTERN_LIST}", "content", source=f"(SELECT * FROM {_cut_sql(n)} WHERE pieces > 1) l")
+    return f"""SELECT repo, min(file_path) AS first_path, count(*)::BIGINT AS files, CASE WHEN count(*) = 1 THEN 'analyse' ELSE 'batch-analyse' END AS task, 1::BIGINT AS piece, 1::BIGINT AS pieces,
+        CASE WHEN count(*) > 1 THEN md5({_ask('batch-analyse', body)}) ELSE md5({alone}) END AS prompt FROM {numbered} GROUP BY repo, b
+      UNION ALL SELECT repo, file_path, 1::BIGINT, task, piece, pieces, prompt FROM ({large}) y"""
+
+
+@query("requests_batch_analyse", _batch_sql(6000))
 def _(read):
-    built = requests.build_batch_requests(read("sources").select("repo", "file_path", "content"), "batch-analyse")
-    prompt = F.when(F.size("file_paths") > 1, F.md5("prompt"))
-    return built.select(F.col("file_paths")[0].alias("first_path"), F.size("file_paths").alias("files"), "task", prompt.alias("prompt"))
+    """Whole files in batches of three; files above 6000 characters alone, in pieces that together are the file."""
+    built = requests.build_batch_requests(read("sources").select("repo", "file_path", "content"), "batch-analyse", max_chars=6000)
+    return built.select("repo", F.col("file_paths")[0].alias("first_path"), F.size("file_paths").alias("files"), "task", "piece", "pieces", F.md5("prompt").alias("prompt"))
 
 
-def _group_sql(task: str, n: int) -> str:
-    shown = f"string_agg(file_path || chr(10) || substr(content, 1, {n}) || '...', chr(10) || chr(10) ORDER BY file_path)"
-    return f"""SELECT repo AS group_name, {quoted(task)} AS task, count(*) AS files, md5({_ask(task, "'Group: ' || repo", shown)}) AS prompt
-      FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_path) AS rn FROM {_SRC}) x WHERE rn <= 5 GROUP BY repo"""
+def _group_sql(task: str, n: int | None) -> str:
+    cut = _cut_sql(n) if n else f"(SELECT *, 1 AS piece, 1 AS pieces FROM {_SRC}) cut"
+    shown = """string_agg(repo || '/' || file_path || CASE WHEN pieces > 1 THEN ' (part ' || piece || ' of ' || pieces || ')' ELSE '' END || chr(10) || content, chr(10) || chr(10) ORDER BY file_path, piece)"""
+    return f"""SELECT {quoted(task)} AS task, count(*) AS files, b + 1 AS piece, max(b) OVER (PARTITION BY repo) + 1 AS pieces, md5({_ask(task, "'Group: ' || repo", shown)}) AS prompt
+      FROM (SELECT *, (row_number() OVER (PARTITION BY repo ORDER BY file_path, piece) - 1) // 5 AS b FROM {cut}) x GROUP BY repo, b"""
 
 
-@query("requests_groups", f"SELECT task, files, prompt FROM ({_group_sql('deep-analyse', 1000)} UNION ALL {_group_sql('integration-tests', 500)}) x")
+@query("requests_groups", f"{_group_sql('deep-analyse', 1000)} UNION ALL {_group_sql('integration-tests', None)}")
 def _(read):
-    groups = read("sources").select(F.col("repo").alias("group_name"), "file_path", "content")
-    parts = [requests.build_group_requests(groups, t) for t in ("deep-analyse", "integration-tests")]
-    both = parts[0].unionByName(parts[1])
-    return both.select("task", F.size("file_paths").alias("files"), F.md5("prompt").alias("prompt"))
+    """All files of each group, five to a request, whole or in pieces of 1000 characters."""
+    groups = read("sources").select(F.col("repo").alias("group_name"), "repo", "file_path", "content")
+    both = requests.build_group_requests(groups, "deep-analyse", max_chars=1000).unionByName(requests.build_group_requests(groups, "integration-tests"))
+    return both.select("task", F.size("file_paths").alias("files"), "piece", "pieces", F.md5("prompt").alias("prompt"))
 
 
 def _measure(prompts: Sequence[str]) -> list[str]:
@@ -141,11 +157,11 @@ def _measure(prompts: Sequence[str]) -> list[str]:
 
 @query(
     "batch_infer",
-    f"""SELECT file_path, 'Text' AS language, length({_ask('language', _FILE, _LANG, 'substr(content, 1, 500)')})::VARCHAR AS framework, NULL::VARCHAR AS error FROM {_SRC}""",
+    f"""SELECT file_path, 'Text' AS language, length({_ask('language', _FILE, _LANG, 'content')})::VARCHAR AS framework, NULL::VARCHAR AS error FROM {_SRC}""",
 )
 def _(read):
     """Requests, replies of a caller's function, and their parsed form."""
-    asked = requests.build_requests(read("sources").select("file_path", "content"), "language")
+    asked = requests.build_requests(read("sources").select("repo", "file_path", "content"), "language")
     answered = requests.batch_infer(asked, _measure).drop("error")
     parsed = replies.parse_replies(answered, "language")
     return (

@@ -110,7 +110,7 @@ def _(read):
 @query(
     "combine_patterns",
     f"""WITH {_CENTROIDS} SELECT file_path, string_agg('label ' || query_id, ' AND ' ORDER BY query_id) AS combined_pattern
-    FROM {_ranked(10)} WHERE rank <= 3 AND query_id IN (SELECT query_id FROM q ORDER BY query_id LIMIT 5) GROUP BY file_path""",
+    FROM {_ranked(10)} GROUP BY file_path""",
 )
 def _(read):
     groups = search.pattern_groups(_queries(read), read("chunks")).select(

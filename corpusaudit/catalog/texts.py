@@ -105,6 +105,29 @@ def _(read):
     return read("documents").select("doc_id", text.redact(F.col("text"), _SECRETS).alias("text"))
 
 
+def _masked(c: str) -> str:
+    for form in text.SECRET_FORMS:
+        c = f"regexp_replace({c}, {quoted(form)}, '[REDACTED]', 'g')"
+    return c
+
+
+@query("redact_forms", f"SELECT doc_id, {_masked('text')} AS text FROM documents")
+def _(read):
+    """Whatever looks like a token or a key, in whole texts."""
+    return read("documents").select("doc_id", text.redact(F.col("text"), forms=text.SECRET_FORMS).alias("text"))
+
+
+_ADDRESS = "[a-z]+[.][0-9]+@[a-z0-9.]+[a-z0-9]"
+
+
+@query("redact_known", f"SELECT doc_id, regexp_replace(text, '{_ADDRESS}', '[REDACTED]', 'g') AS text FROM documents")
+def _(read):
+    """All addresses that occur anywhere, taken as a table of secrets, in whole texts."""
+    documents = read("documents").select("doc_id", "text")
+    found = F.explode(F.regexp_extract_all("text", F.lit(_ADDRESS), F.lit(0)))
+    return text.redact_all(documents, "text", documents.select(found.alias("secret")))
+
+
 @query(
     "text_severity",
     """SELECT doc_id, CASE WHEN contains(t, 'critical') THEN 'critical' WHEN contains(t, 'high') THEN 'high'

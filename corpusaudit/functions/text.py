@@ -6,9 +6,10 @@ explicit characters so that Java regular expressions agree with it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.functions.once import let
@@ -158,16 +159,67 @@ def looks_truncated(c: Column) -> Column:
 
 
 # -- secrets and severities -------------------------------------------------
-def redact(c: Column, secrets: Sequence[str], limit: int = 1000) -> Column:
-    """Replace every known secret longer than five characters, in the order given."""
-    if len(secrets) > limit:
-        raise ValueError(f"{len(secrets)} secrets exceed the limit of {limit}")
+#: Forms of secrets that are known without their value.
+SECRET_FORMS = [
+    r"AKIA[0-9A-Z]{16}",
+    r"gh[pousr]_[0-9A-Za-z]{20,}",
+    r"sk-[0-9A-Za-z_-]{20,}",
+    r"xox[baprs]-[0-9A-Za-z-]{10,}",
+    r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    r"(?i:bearer|token|api[_-]?key|secret|password)[\"']?\s*[:=]\s*[\"']?[0-9A-Za-z_./+=-]{16,}",
+]
+
+
+def redact(c: Column, secrets: Sequence[str] = (), forms: Sequence[str] = ()) -> Column:
+    """Replace every known secret longer than five characters, in the order given, then whatever has one of the forms."""
     for secret in secrets:
         if len(secret) > 5:
             c = F.replace(c, F.lit(secret), F.lit(REDACTED))
+    for form in forms:
+        c = F.regexp_replace(c, form, REDACTED)
     return c
 
 
+def redact_all(df: DataFrame, column: str, secrets: DataFrame, block: int = 100_000) -> DataFrame:
+    """Replace the known secrets of a table (column secret) of any size, ``block`` or so of them in one reading of the text.
+
+    Of secrets that begin at the same place the longest counts; those of up to
+    five characters stay.
+    """
+    usable = secrets.where(F.length("secret") > 5).select("secret").distinct()
+    n = -(-usable.count() // block)
+    schema = df.schema
+    for i in range(n):
+        known = [r["secret"] for r in usable.where(F.pmod(F.xxhash64("secret"), F.lit(n)) == i).collect()]
+        df = df.mapInPandas(_replacer(column, known), schema)
+    return df
+
+
+def _replacer(column: str, known: list[str]):
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for secret in known:
+            automaton.add_word(secret, len(secret))
+        automaton.make_automaton()
+
+        def replaced(value: str | None) -> str | None:
+            if value is None or not known:
+                return value
+            out, at = [], 0
+            for last, length in automaton.iter_long(value):
+                out += [value[at : last + 1 - length], REDACTED]
+                at = last + 1
+            return "".join(out) + value[at:]
+
+        for frame in frames:
+            frame[column] = [replaced(x) for x in frame[column]]
+            yield frame
+
+    return run
+
+
 def extract_severity(c: Column) -> Column:
     """First severity word found as a substring, most severe first."""
     t = F.lower(c)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusaudit.functions import text
 from corpusaudit.operators.files import cache_key
 from corpusaudit.operators.grouping import first_per_group
 
@@ -15,12 +14,21 @@ def with_cache_key(files: DataFrame) -> DataFrame:
 
 
 def cached_split(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits with ``payload``, misses). The newest payload of a key is used."""
+    """(hits with ``payload``, misses). The newest payload of a key is used.
+
+    Keys alone are compared with the cache; only the texts that are missing from
+    it move.
+    """
     keyed = with_cache_key(files)
     newest = newest_payloads(cache)
     hits = keyed.drop("content").join(newest, "cache_key")
-    misses = keyed.join(newest.select("cache_key"), "cache_key", "left_anti")
-    return hits, misses
+    return hits, missing(keyed, newest)
+
+
+def missing(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows whose ``cache_key`` isn't among the known ones: first the keys, then the texts of those that are left."""
+    absent = keyed.select("cache_key").distinct().join(known.select("cache_key"), "cache_key", "left_anti")
+    return keyed.join(absent, "cache_key", "left_semi")
 
 
 def newest_payloads(cache: DataFrame) -> DataFrame:
@@ -38,20 +46,20 @@ def merge_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def store_examples(transformations: DataFrame) -> DataFrame:
-    """Examples (pattern, before, after, file_path), 500 characters of each text."""
-    return transformations.select(
-        "pattern",
-        text.head(F.col("original_code"), 500).alias("before"),
-        text.head(F.col("modernized_code"), 500).alias("after"),
-        "file_path",
-    )
+    """Examples (pattern, before, after, repo if there is one, file_path) with whole texts."""
+    repo = ["repo"] if "repo" in transformations.columns else []
+    return transformations.select("pattern", F.col("original_code").alias("before"), F.col("modernized_code").alias("after"), *repo, "file_path")
 
 
-def transformation_examples(examples: DataFrame, wanted: DataFrame, limit: int = 5, order: list[Column] | None = None) -> DataFrame:
-    """At most ``limit`` examples for each wanted pattern, in path order.
+def transformation_examples(
+    examples: DataFrame, wanted: DataFrame, limit: int | None = None, order: list[Column] | None = None
+) -> DataFrame:
+    """The examples for each wanted pattern, the first ``limit`` of each by ``order`` if that is given.
 
     Examples are cut per pattern before the join, so it never multiplies rows.
     """
-    order = order or [F.col("file_path").asc()]
-    best = first_per_group(examples, ["pattern"], order, limit, "example_no")
-    return wanted.select("pattern").distinct().join(best, "pattern")
+    patterns = wanted.select("pattern").distinct()
+    if limit is None:
+        return patterns.join(examples, "pattern")
+    best = first_per_group(examples, ["pattern"], order or [F.col("file_path").asc()], limit, "example_no")
+    return patterns.join(best, "pattern")

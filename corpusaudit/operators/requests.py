@@ -1,7 +1,9 @@
 """Request tables for batch inference, inference with a caller's function, retries.
 
 No model is shipped: a caller passes a function from prompts to replies. The
-tables carry what the model needs, cut to the sizes each task allows.
+tables carry whole texts. Where a model takes no more than ``max_chars``, a
+longer text is asked about in numbered pieces that together are the text, and
+``merge_pieces`` joins the replies again.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit import dims
-from corpusaudit.functions import paths, text
+from corpusaudit.functions import paths, severity, text
+from corpusaudit.functions.once import with_once
 from corpusaudit.operators.files import assign_test_framework, language_by_content
-from corpusaudit.operators.grouping import ROWS_PER_TASK, Keys, batches, first_per_group, key_list
+from corpusaudit.operators.grouping import ROWS_PER_TASK, Keys, batches, key_list
 from corpusaudit.operators.rules import with_language
 
 # Temperature and output limit per task, and the reply shape.
@@ -37,6 +40,9 @@ TASKS = {
 }
 CLASSIFY_BATCH = 25
 ANALYSE_BATCH = 3
+GROUP_BATCH = 5
+#: Tasks whose replies about pieces of a text can be joined.
+BY_PIECE = ["language", "analyse", "security", "refactor"]
 MAX_PATTERNS_SINGLE = 10
 MAX_PATTERNS_BATCH = 5
 
@@ -67,35 +73,71 @@ def _labelled(label: str, value: Column) -> Column:
 
 
 def _finish(df: DataFrame, task: str, file_paths: Column, prompt: Column) -> DataFrame:
+    """The request table. Its id tells apart equal files of several repositories and the pieces of a file."""
     temperature, max_tokens, shape = TASKS[task]
+    repo = (F.col("repo") if "repo" in df.columns else F.lit(None)).cast("string")
+    numbers = [(F.col(c) if c in df.columns else F.lit(1)).cast("int").alias(c) for c in ("piece", "pieces", "first_line")]
+    df = df.select(repo.alias("repo"), file_paths.alias("file_paths"), *numbers, prompt.alias("prompt"))
+    own = F.to_json(F.struct(F.lit(task).alias("task"), "repo", "file_paths", "piece", "first_line"))
     return df.select(
-        F.sha2(F.concat_ws("\0", F.lit(task), file_paths, prompt), 256).alias("request_id"),
+        F.sha2(F.concat(own, F.lit("\n"), F.col("prompt")), 256).alias("request_id"),
         F.lit(task).alias("task"),
-        file_paths.alias("file_paths"),
-        prompt.alias("prompt"),
+        "repo",
+        "file_paths",
+        "piece",
+        "pieces",
+        "first_line",
+        "prompt",
         F.lit(temperature).alias("temperature"),
         F.lit(max_tokens).alias("max_tokens"),
         F.lit(shape).cast("string").alias("response_schema"),
     )
 
 
-def build_requests(files: DataFrame, task: str) -> DataFrame:
-    """One request per file (columns file_path, content, and what the task adds).
+def in_pieces(files: DataFrame, max_chars: int | None) -> DataFrame:
+    """Rows of at most ``max_chars`` characters of ``content``, with piece, pieces and the line that each begins on.
+
+    The pieces of a file, in order, are its text; without a limit there is one.
+    """
+    content = F.coalesce("content", F.lit(""))
+    if max_chars is None:
+        return files.withColumns({"content": content, "piece": F.lit(1), "pieces": F.lit(1), "first_line": F.lit(1)})
+    last = F.greatest(F.ceil(F.length(content) / max_chars).cast("int"), F.lit(1)) - 1
+    texts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(content, i * max_chars + 1, F.lit(max_chars)))
+    ends = F.transform(texts, lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))))
+    cut = with_once(files, "cut", F.arrays_zip(texts.alias("text"), ends.alias("ends")))
+    cut = cut.withColumn("pieces", F.size("cut"))
+    # Line ends before a piece: a running sum over the pieces before it.
+    start = F.aggregate(F.slice("cut.ends", 1, F.col("at")), F.lit(1), lambda a, b: a + b)
+    return (
+        cut.select("*", F.posexplode("cut").alias("at", "p"))
+        .withColumns({"content": F.col("p.text"), "first_line": start, "piece": F.col("at") + 1})
+        .drop("cut", "at", "p")
+    )
+
+
+def build_requests(files: DataFrame, task: str, max_chars: int | None = None) -> DataFrame:
+    """One request per file, or per piece of it (columns file_path, content, repo if there are several, and what the task adds).
 
     ``transform`` reads a ``plan`` column, ``unit-tests`` ``modernized_code``,
     ``security-tests`` ``vulnerabilities`` (one text per file).
     """
+    if max_chars is not None and task not in BY_PIECE:
+        raise ValueError(f"{task!r} needs whole texts")
     path, content = F.col("file_path"), F.col("content")
-    named = with_language(files)
+    named = in_pieces(with_language(files), max_chars)
     language = _labelled("Language", F.col("language"))
     file_line = _labelled("File", path)
+    if max_chars is not None:
+        number = F.concat(F.lit(" (part "), F.col("piece").cast("string"), F.lit(" of "), F.col("pieces").cast("string"), F.lit(")"))
+        file_line = F.concat(file_line, F.when(F.col("pieces") > 1, number).otherwise(""))
     if task == "language":
-        parts = [file_line, language, text.head(content, 500)]
+        parts = [file_line, language, content]
     elif task == "analyse":
         patterns = dims.lookup(F.col("language"), {k: "; ".join(v) for k, v in dims.LEGACY_PATTERNS.items()})
-        parts = [file_line, language, _labelled("Patterns", patterns), text.adaptive_head(content)]
+        parts = [file_line, language, _labelled("Patterns", patterns), content]
     elif task in ("security", "refactor"):
-        parts = [file_line, text.head(content, 2000)]
+        parts = [file_line, content]
     elif task == "transform":
         parts = [file_line, _labelled("Plan", F.col("plan")), content]
     elif task in ("hints", "docstrings"):
@@ -107,7 +149,7 @@ def build_requests(files: DataFrame, task: str) -> DataFrame:
         named = assign_test_framework(named.withColumn("language", tested), kind)
         parts = [file_line, _labelled("Module", paths.stem(path)), language, _labelled("Framework", F.col("framework"))]
         if task == "unit-tests":
-            parts += [text.clip_marked(content), text.clip_marked(F.col("modernized_code"))]
+            parts += [content, F.col("modernized_code")]
         elif task == "security-tests":
             parts += [_labelled("Vulnerabilities", F.col("vulnerabilities")), content]
         else:
@@ -118,54 +160,90 @@ def build_requests(files: DataFrame, task: str) -> DataFrame:
 
 
 def build_batch_requests(
-    files: DataFrame, task: str, size: int | None = None, rows_per_task: int = ROWS_PER_TASK
+    files: DataFrame, task: str, size: int | None = None, rows_per_task: int = ROWS_PER_TASK, max_chars: int | None = None
 ) -> DataFrame:
     """Requests over contiguous batches of files per repository, in path order.
 
-    ``classify`` sends paths only; ``batch-analyse`` sends the head of each file
-    and leaves batches of one file to the ``analyse`` task.
+    ``classify`` sends paths only; ``batch-analyse`` sends whole files, and
+    leaves batches of one file, and files above ``max_chars``, to the ``analyse``
+    task, the latter in pieces.
     """
     size = size or {"classify": CLASSIFY_BATCH, "batch-analyse": ANALYSE_BATCH}[task]
     if task == "classify":
-        wanted = files.select("repo", "file_path")
-        item = F.struct("file_path")
-    else:
-        # Only heads move, cut to what the longest use below needs.
-        wanted = with_language(files).select(
-            "repo", "file_path", "language", text.adaptive_head(F.col("content")).alias("sample")
-        )
-        item = F.struct("file_path", "language", "sample")
-    numbered = batches(wanted, size, ["file_path"], ["repo"], rows_per_task)
-    grouped = numbered.groupBy("repo", "batch_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+        numbered = batches(files.select("repo", "file_path"), size, ["file_path"], ["repo"], rows_per_task)
+        grouped = numbered.groupBy("repo", "batch_id").agg(F.sort_array(F.collect_list(F.struct("file_path"))).alias("items"))
+        return _finish(grouped, task, F.col("items.file_path"), _prompt(task, F.to_json("items.file_path")))
+    wanted = with_language(files).select("repo", "file_path", "language", F.coalesce("content", F.lit("")).alias("content"))
+    long = F.lit(False) if max_chars is None else F.length("content") > max_chars
+    # Batches are numbered by path alone, so texts move once, to their batch.
+    small = wanted.filter(~long)
+    numbered = batches(small.select("repo", "file_path"), size, ["file_path"], ["repo"], rows_per_task)
+    item = F.struct("file_path", "language", "content")
+    grouped = (
+        small.join(numbered, ["repo", "file_path"]).groupBy("repo", "batch_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    )
     n = F.size("items")
-    if task == "batch-analyse":
-        shown = F.transform(
-            "items",
-            lambda f: F.concat_ws("\n", f["file_path"], f["language"], text.batch_head(f["sample"], n)),
-        )
-        prompt = _prompt(task, F.array_join(shown, "\n\n"))
-        requests = _finish(grouped.filter(n > 1), task, F.col("items.file_path"), prompt)
-        alone = grouped.filter(n == 1).select(
-            F.col("items")[0]["file_path"].alias("file_path"), F.col("items")[0]["sample"].alias("content")
-        )
-        return requests.unionByName(build_requests(alone, "analyse"))
-    return _finish(grouped, task, F.col("items.file_path"), _prompt(task, F.to_json("items.file_path")))
+    shown = F.transform("items", lambda f: F.concat_ws("\n", f["file_path"], f["language"], f["content"]))
+    requests = _finish(grouped.filter(n > 1), task, F.col("items.file_path"), _prompt(task, F.array_join(shown, "\n\n")))
+    alone = grouped.filter(n == 1).select("repo", F.col("items")[0]["file_path"].alias("file_path"), F.col("items")[0]["content"].alias("content"))
+    requests = requests.unionByName(build_requests(alone, "analyse"))
+    if max_chars is None:
+        return requests
+    return requests.unionByName(build_requests(wanted.filter(long).drop("language"), "analyse", max_chars))
 
 
-def build_group_requests(groups: DataFrame, task: str, max_files: int = 5) -> DataFrame:
-    """Requests over named groups of files (columns group_name, file_path, content).
+def build_group_requests(
+    groups: DataFrame, task: str, size: int = GROUP_BATCH, max_chars: int | None = None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Requests over named groups of files (columns group_name, file_path, content, repo if there are several).
 
-    ``deep-analyse`` shows 1000 characters of each of the first files by path,
-    ``integration-tests`` 500; the limit on files is part of the task.
+    All files of a group are shown, ``size`` to a request, in path order; a file
+    above ``max_chars`` in pieces, each of which counts as one.
     """
-    n = {"deep-analyse": 1000, "integration-tests": 500}[task]
-    heads = groups.select("group_name", "file_path", text.preview(F.col("content"), n).alias("sample"))
-    first = first_per_group(heads, ["group_name"], [F.col("file_path").asc()], max_files)
-    item = F.struct("file_path", "sample")
-    grouped = first.groupBy("group_name").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    shown = F.transform("items", lambda f: F.concat_ws("\n", f["file_path"], f["sample"]))
+    if task not in ("deep-analyse", "integration-tests"):
+        raise ValueError(f"{task!r} is not a task for groups")
+    cut = in_pieces(groups.withColumn("repo", F.col("repo") if "repo" in groups.columns else F.lit("")), max_chars)
+    order = ["file_path", "repo", "piece"]
+    numbered = batches(cut.select("group_name", *order), size, order, ["group_name"], rows_per_task)
+    item = F.struct(*order, "pieces", "content")
+    grouped = (
+        cut.join(numbered, ["group_name", *order]).groupBy("group_name", "batch_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    )
+    number = lambda f: F.concat(F.lit(" (part "), f["piece"].cast("string"), F.lit(" of "), f["pieces"].cast("string"), F.lit(")"))
+    shown = F.transform(
+        "items", lambda f: F.concat(F.concat_ws("/", F.nullif(f["repo"], F.lit("")), f["file_path"]), F.when(f["pieces"] > 1, number(f)).otherwise(""), F.lit("\n"), f["content"])
+    )
     prompt = _prompt(task, _labelled("Group", F.col("group_name")), F.array_join(shown, "\n\n"))
-    return _finish(grouped, task, F.col("items.file_path"), prompt)
+    parts = grouped.groupBy("group_name").agg(F.max("batch_id").alias("last"))
+    made = grouped.join(parts, "group_name").select("items", "group_name", (F.col("batch_id") + 1).alias("piece"), (F.col("last") + 1).alias("pieces"))
+    return _finish(made, task, F.col("items.file_path"), prompt)
+
+
+def merge_pieces(requests: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Analyses of pieces (request_id, patterns, overall_priority, modernization_score, requires_modernization) as one per file.
+
+    Patterns are put together, at the lines of the whole file and in order of
+    the pieces; the most severe priority, the lowest score and any need count.
+    """
+    asked = requests.select("request_id", "repo", F.col("file_paths")[0].alias("file_path"), "piece", "first_line")
+    moved = F.transform(
+        "patterns", lambda p: p.withField("line_numbers", F.transform(p["line_numbers"], lambda n: n + F.col("first_line") - 1))
+    )
+    rows = asked.join(analyses, "request_id").withColumn("patterns", moved)
+    ranked = F.struct(severity.rank(F.col("overall_priority")).alias("rank"), F.col("overall_priority"))
+    return (
+        rows.groupBy("repo", "file_path")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("piece", "patterns"))).alias("parts"),
+            F.max(ranked).alias("top"),
+            F.min("modernization_score").alias("modernization_score"),
+            F.bool_or("requires_modernization").alias("requires_modernization"),
+        )
+        .select(
+            "repo", "file_path", F.flatten("parts.patterns").alias("patterns"), F.col("top.overall_priority").alias("overall_priority"),
+            "modernization_score", "requires_modernization",
+        )
+    )
 
 
 # -- inference ---------------------------------------------------------------

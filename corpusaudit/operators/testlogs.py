@@ -1,7 +1,7 @@
 """Test-runner logs as one result schema.
 
 Parsers are column expressions over the whole log, so a table of logs of all
-languages is read once. Only the stored copy of a log is clipped.
+languages is read once. Logs are kept whole unless the caller clips the stored copy.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ COMPILATION_FAILED = "Java compilation error"
 SUITE_FAILED = "Test suite failed to run (compilation/syntax error)"
 RUNNERS = "python java javascript typescript".split()
 UNSUPPORTED = f"Supported languages: {', '.join(RUNNERS)}"
-CLIP = 10_000
 
 PYTEST_WORDS = "passed failed error skipped".split()
 JEST_WORDS = "total passed failed skipped".split()
@@ -176,19 +175,21 @@ def jest_json_success(log: Column, exit_code: Column) -> Column:
     )
 
 
-def normalise_validations(logs: DataFrame, mode: str = "runner") -> DataFrame:
+def normalise_validations(logs: DataFrame, mode: str = "runner", clip: int | None = None) -> DataFrame:
     """Logs (language, stdout, stderr, exit_code, coverage_html) in one result schema.
 
     ``runner`` parses full reports, ``sandbox`` takes exit codes and Jest JSON,
     ``local`` counts Python result words. One pass; a language without a runner
-    gives an error row.
+    gives an error row. ``clip`` keeps only so many characters of the stored logs;
+    an ``execution_time`` in seconds is passed on, 0 where it is missing.
     """
     out, err = F.coalesce("stdout", F.lit("")), F.coalesce("stderr", F.lit(""))
     language, exit_code = F.lower("language"), F.col("exit_code")
     script = language.isin("javascript", "typescript")
     success, error, coverage = exit_code == 0, F.lit(None).cast("string"), F.lit(0.0)
     by_exit = exit_code_counts(exit_code)
-    dropped = ["stdout", "stderr", "exit_code", "coverage_html", "language"]
+    dropped = ["stdout", "stderr", "exit_code", "coverage_html", "language", "execution_time"]
+    took = F.coalesce(F.col("execution_time").cast("double"), F.lit(0.0)) if "execution_time" in logs.columns else F.lit(0.0)
     keys = [c for c in logs.columns if c not in dropped]
     if mode == "runner":
         found = F.when(language == "java", surefire_error(out, err, exit_code)).when(script, jest_error(out))
@@ -221,8 +222,9 @@ def normalise_validations(logs: DataFrame, mode: str = "runner") -> DataFrame:
         F.coalesce(coverage, F.lit(0.0)).alias("coverage_percent"),
         "exit_code",
         F.when(supported, F.lit(mode)).otherwise("unsupported").alias("execution_mode"),
-        head(out, CLIP).alias("stdout"),
-        head(err, CLIP).alias("stderr"),
+        (out if clip is None else head(out, clip)).alias("stdout"),
+        (err if clip is None else head(err, clip)).alias("stderr"),
+        took.alias("execution_time"),
     )
     return parsed.select(
         *keys,
@@ -233,6 +235,7 @@ def normalise_validations(logs: DataFrame, mode: str = "runner") -> DataFrame:
         "exit_code",
         "execution_mode",
         "error",
+        "execution_time",
         "stdout",
         "stderr",
     )

@@ -103,11 +103,11 @@ def transformable(analyses: DataFrame, files: DataFrame, key: Keys = "file_path"
     )
 
 
-def combine_patterns(groups: DataFrame, max_groups: int | None = 5, max_files: int | None = 3) -> DataFrame:
+def combine_patterns(groups: DataFrame, max_groups: int | None = None, max_files: int | None = None) -> DataFrame:
     """Files with the names of their groups joined by AND, in group order.
 
     ``groups`` has group_no, name and a files array in rank order; the limits
-    are the numbers of groups and of files per group to use, None for all.
+    are the numbers of groups and of files per group to use, by default all.
     """
     chosen = groups if max_groups is None else groups.orderBy("group_no").limit(max_groups)
     files = F.col("files") if max_files is None else F.slice("files", 1, max_files)

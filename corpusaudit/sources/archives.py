@@ -1,10 +1,15 @@
-"""Repositories packed as ZIP archives, one row per member."""
+"""Repositories packed as ZIP archives, one row per member.
+
+An archive that can't be opened is one row with an ``error``; a member that
+can't be read, damaged or encrypted, is a row of its own and loses no other.
+"""
 
 from __future__ import annotations
 
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -33,6 +38,17 @@ def _members(archive: zipfile.ZipFile) -> Iterator[tuple[str, str | None, int, s
             yield info.filename, file_path, info.file_size, error
 
 
+#: What opening an archive or reading a member may raise. ValueError: too short to seek in; RuntimeError: encrypted.
+_BAD = (zipfile.BadZipFile, OSError, EOFError, ValueError, RuntimeError, NotImplementedError, zlib.error)
+
+
+def _content(archive: zipfile.ZipFile, member: str) -> tuple[bytes | None, str | None]:
+    try:
+        return archive.read(member), None
+    except _BAD as problem:
+        return None, f"unreadable member: {problem}"
+
+
 def _list(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Members of each archive; reads only the directory at the archive's end."""
     columns = [part.split()[0] for part in _MEMBERS.split(", ")]
@@ -47,7 +63,7 @@ def _list(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if len(rows) >= BATCH_ROWS:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
-            except (zipfile.BadZipFile, OSError, ValueError) as problem:  # ValueError: a file too short to seek in
+            except _BAD as problem:
                 rows.append((path, None, None, None, f"not a valid archive: {problem}"))
     if rows:
         yield pd.DataFrame(rows, columns=columns)
@@ -59,19 +75,26 @@ def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = 0
     for batch in batches:
         for path, group in batch.groupby("archive", sort=False):
-            fs, bare = open_fs(path)
             good = group["error"].isna()
             for row in group[~good].itertuples(index=False, name=None):
                 rows.append((*row, None))
-            if good.any():
+            wanted = list(group[good].itertuples(index=False, name=None))
+            try:
+                if not wanted:
+                    continue
+                fs, bare = open_fs(path)
                 with fs.open_input_file(bare) as handle, zipfile.ZipFile(handle) as archive:
-                    for row in group[good].itertuples(index=False, name=None):
-                        data = archive.read(row[1])
-                        rows.append((*row, data))
-                        held += len(data)
+                    while wanted:
+                        name, member, file_path, size, _ = wanted[0]
+                        data, error = _content(archive, member)
+                        rows.append((name, member, file_path, size, error, data))
+                        del wanted[0]
+                        held += len(data or b"")
                         if held >= BATCH_BYTES:
                             yield pd.DataFrame(rows, columns=columns)
                             rows, held = [], 0
+            except _BAD as problem:  # the archive as a whole
+                rows += [(*row[:4], f"unreadable archive: {problem}", None) for row in wanted]
     if rows:
         yield pd.DataFrame(rows, columns=columns)
 
@@ -97,13 +120,15 @@ def _expand(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for member, file_path, size, error in _members(archive):
-                        data = None if error else archive.read(member)
+                        data = None
+                        if error is None:
+                            data, error = _content(archive, member)
                         rows.append((path, member, file_path, size, error, data))
                         held += len(data or b"")
                         if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
                             yield pd.DataFrame(rows, columns=columns)
                             rows, held = [], 0
-            except zipfile.BadZipFile as problem:
+            except _BAD as problem:
                 rows.append((path, None, None, None, f"not a valid archive: {problem}", None))
     if rows:
         yield pd.DataFrame(rows, columns=columns)

@@ -15,7 +15,7 @@ def code_tree(tmp_path):
     files = {
         "pkg/__init__.py": b"", "pkg/_util.py": b"x = 1\r\ny = 2\r", "pkg/UP.PY": b"a", ".git/h.py": b"a",
         "node_modules/a.js": b"a", "pkg/build/x.py": b"a", "pkg/latin.py": "é = 1".encode("latin-1"),
-        "big.py": b"#" * (1024 * 1024 + 1), ".gitignore": b"a", "a.tar.gz": b"a", "deep/a/b/c/d.go": b"package d",
+        "big.py": b"#" * (2 << 20), ".gitignore": b"a", "a.tar.gz": b"a", "deep/a/b/c/d.go": b"package d",
         "pkg/.hidden.py": b"h", "pkg/data.R": b"r", "pkg/script.sh": b"s", "env/e.py": b"e",
     }
     for name, data in files.items():
@@ -37,16 +37,28 @@ def test_scan_discovery(spark, code_tree):
     assert good["pkg/_util.py"] == ("utf-8", "x = 1\ny = 2\n")
     assert good["pkg/latin.py"] == ("latin-1", "é = 1")
     assert "pkg/__init__.py" not in good
-    assert [r["file_path"] for r in tree.unreadable(decoded).collect()] == ["big.py"]
+    assert len(good["big.py"][1]) == 2 << 20 and tree.unreadable(decoded).isEmpty()
+    limited = tree.read_text(tree.scan_code_files(spark, {"r": code_tree}, max_size=1 << 20))
+    assert [r["file_path"] for r in tree.unreadable(limited).collect()] == ["big.py"]
+
+
+def test_what_cannot_be_read_stops_nothing(spark, code_tree, monkeypatch):
+    os.symlink("/no/such/file", os.path.join(code_tree, "pkg", "dangling.py"))
+    roots = {"r": code_tree, "absent": code_tree + "/nothing", "file": code_tree + "/big.py", "odd": "nofs://x/y"}
+    decoded = tree.read_text(tree.scan_code_files(spark, roots))
+    bad = {(r["repo"], r["file_path"], r["error"].split(":")[0]) for r in tree.unreadable(decoded).collect()}
+    assert {("absent", "", "unreadable"), ("file", "", "unreadable"), ("odd", "", "unreadable")} <= bad
+    good = {r["file_path"] for r in tree.readable(decoded).filter("repo = 'r'").collect()}
+    assert good == DISCOVERED - {"pkg/__init__.py"}
 
 
 def test_scan_index(spark, code_tree):
-    scanned = tree.scan_code_files(spark, {"r": code_tree}, profile="index", max_size=1 << 30)
+    scanned = tree.scan_code_files(spark, {"r": code_tree}, profile="index")
     expected = (DISCOVERED - {"pkg/.hidden.py"}) | {"pkg/data.R", "pkg/script.sh", "env/e.py"}
     assert {r["file_path"] for r in scanned.collect()} == expected
     texts = {r["file_path"]: r["content"] for r in tree.read_text(scanned, profile="index").collect()}
     assert texts["pkg/latin.py"] == " = 1"
-    assert len(texts["big.py"]) == 1024 * 1024 + 1
+    assert len(texts["big.py"]) == 2 << 20
 
 
 def test_scan_agrees_with_the_table_filter(spark, code_tree):
@@ -72,6 +84,23 @@ def test_zip_repos(spark, tmp_path):
     assert {(r["repo"], r["file_path"]) for r in archives.expand_archives(packed).collect()} == {g[:2] for g in got}
 
 
+def test_damaged_and_encrypted_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        for i in range(4):
+            z.writestr(f"f{i}.py", f"text {i}")
+    data = bytearray((tmp_path / "r.zip").read_bytes())
+    data[data.index(b"text 1")] ^= 255
+    at = data.index(b"PK\x01\x02", data.index(b"f2.py", data.index(b"PK\x01\x02")) - 60)
+    data[at + 8] |= 1  # the third member says that it is encrypted
+    (tmp_path / "r.zip").write_bytes(bytes(data))
+    listed = spark.createDataFrame([(str(tmp_path / "r.zip"),)], "archive string")
+    packed = spark.createDataFrame([("r.zip", bytes(data))], "archive string, content binary")
+    for got in (archives.read_zip_repos(listed), archives.expand_archives(packed)):
+        rows = {r["file_path"]: (r["content"], (r["error"] or "").split(":")[0]) for r in got.collect()}
+        assert rows["f0.py"] == (b"text 0", "") and rows["f3.py"] == (b"text 3", "")
+        assert rows["f1.py"] == rows["f2.py"] == (None, "unreadable member")
+
+
 def test_upload_checks_in_order(spark):
     rows = [("a.md", b"x" * 20), ("a.py", b"x" * 20), ("b.py", b"\xff"), ("C.PY", b"ok")]
     df = spark.createDataFrame(rows, "file_path string, content binary")
