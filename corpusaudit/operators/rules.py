@@ -1,7 +1,8 @@
 """Rule catalogue and legacy-pattern detection.
 
 The pattern names come from the fixed list in ``dims``; which line shows a
-pattern is our own definition, given by a regular expression per rule. A
+pattern is our own definition, given by a regular expression per rule; every
+entry of the list has one. A
 ``match`` rule reports the lines that match; an ``absent`` rule reports a file
 in which the expression matches nowhere.
 
@@ -149,6 +150,112 @@ RULES: list[Rule] = [
          "unquoted variable", "quote it", "Command injection", hints=("$",)),
     Rule("Shell", "Deprecated commands", "match", r"`[a-z]", "low", 0.7, 0.25, "backticks", "use $( )",
          hints=("`",)),
+    Rule("Python", "Synchronous I/O in async contexts", "match",
+         r"^ +.*\b(time[.]sleep|requests[.](get|post|put|delete)|urllib[.]request[.]urlopen|subprocess[.](run|call))\(", "medium", 0.5, 1.5,
+         "blocking call inside a function", "await an asynchronous call", hints=("time.sleep(", "requests.", "urlopen(", "subprocess.")),
+    Rule("Java", "Resource leaks (missing try-with-resources)", "match",
+         r"^[^(]*= *new +(FileInputStream|FileOutputStream|FileReader|FileWriter|BufferedReader|Scanner|Socket)\(", "high", 0.7, 1.5,
+         "resource opened outside try", "use try-with-resources", hints=("new ",)),
+    Rule("Java", "Missing null checks", "match", r"[.]get(Parameter|Attribute|Property|Header)?\([^()]*\)[.][a-z]", "medium", 0.5, 0.5,
+         "call on a value that may be null", "check it or use Optional", hints=(".get",)),
+    Rule("JavaScript", "Callback hell (no Promises/async-await)", "match", r"function *\([^)]*\) *[{].*function *\(|^ {8,}.*function *\(", "medium", 0.6, 2.0,
+         "nested callbacks", "use promises or async functions", hints=("function",)),
+    Rule("JavaScript", "Global namespace pollution", "match", r"^(window[.][a-zA-Z_$]+|[a-zA-Z_$][a-zA-Z0-9_$]*) *= *[^=]", "medium", 0.6, 1.0,
+         "assignment to a global", "declare it or export it", hints=("=",)),
+    Rule("TypeScript", "Missing strict mode", "match", r"// *@ts-(nocheck|ignore)|[\"']strict[\"'] *: *false", "medium", 0.8, 1.0,
+         "checks turned off", "turn strict checks on", hints=("@ts-", "strict")),
+    Rule("TypeScript", "Missing null checks", "match", r"[a-zA-Z0-9_)\]]![.;)\[]", "medium", 0.7, 0.5,
+         "not-null assertion", "check for null", hints=("!",)),
+    Rule("TypeScript", "Implicit any", "match", r"\bfunction\b[^(]*\( *[a-zA-Z_]+ *[,)]", "low", 0.7, 0.5,
+         "parameter without a type", "give it a type", hints=("function",)),
+    Rule("PHP", "No prepared statements", "match", r"(?i)query\( *[\"'][^\"']*[\"']? *[.]|query\( *\"[^\"]*[$]", "critical", 0.8, 2.0,
+         "query built from strings", "prepare the statement", "SQL injection", hints=("query(",)),
+    Rule("PHP", "register_globals usage", "match", r"register_globals|\bimport_request_variables\(|\bextract\( *[$]_", "high", 0.9, 2.0,
+         "request values as globals", "read the request by name", "Other security issues", hints=("register_globals", "import_request_variables(", "extract(")),
+    Rule("PHP", "Outdated PHP version syntax", "match", r"\b(ereg|eregi|split|each)\(|^ *var +[$]|<[?]( |$)|\barray\(", "medium", 0.7, 1.0,
+         "syntax of old versions", "use current syntax", hints=("ereg", "split(", "each(", "var ", "<?", "array(")),
+    Rule("PHP", "Missing error handling", "absent", r"\b(try|catch|set_error_handler)\b", "low", 0.4, 1.0,
+         "no error handling", "handle errors", hints=("try", "catch", "set_error_handler")),
+    Rule("Ruby", "Ruby 1.8/1.9 syntax", "match", r":[a-z_]+ *=> |\bputs +[\"'].*%|require *[\"']rubygems[\"']", "low", 0.7, 0.5,
+         "syntax of old versions", "use current syntax", hints=("=>", "puts ", "rubygems")),
+    Rule("Ruby", "Missing bundler", "match", r"^ *gem +[\"'][a-z_-]+[\"'] *$|system *\(?[\"']gem install|`gem install", "medium", 0.6, 0.5,
+         "gem outside a bundle", "list it in a Gemfile with a version", hints=("gem ",)),
+    Rule("Ruby", "Deprecated gem versions", "match", r"gem +[\"'](rails|activerecord)[\"'] *, *[\"'][~>=< ]*[1-4][.]", "high", 0.85, 3.0,
+         "retired version of a gem", "move to a maintained version", hints=("gem ",)),
+    Rule("Ruby", "Missing RSpec/Minitest", "match", r"Test::Unit|test/unit", "low", 0.8, 1.0, "retired test library", "use RSpec or Minitest",
+         hints=("test::unit", "test/unit")),
+    Rule("Ruby", "Synchronous I/O", "match", r"\b(Net::HTTP[.](get|post|start)|open-uri|File[.]read|IO[.]read)", "low", 0.5, 1.0,
+         "blocking call", "move it to a job", hints=("net::http", "open-uri", "file.read", "io.read")),
+    Rule("Go", "Missing error handling", "match", r"^[^=]*, *_ *:?= |^ *_ *= [a-zA-Z]", "medium", 0.7, 0.5, "error thrown away", "handle the error",
+         hints=("_",)),
+    Rule("Go", "Missing defer for cleanup", "match", r"^\s*[a-zA-Z.]+[.](Close|Unlock)\(\)", "medium", 0.6, 0.5, "cleanup without defer", "defer it",
+         hints=(".close()", ".unlock()")),
+    Rule("Go", "Race conditions", "match", r"\bgo +func *\( *\) *[{]", "medium", 0.5, 2.0, "goroutine over shared variables", "pass values in or lock",
+         hints=("go func",)),
+    Rule("C++", "Missing RAII", "match", r"\b(fopen|pthread_mutex_lock|CreateFile|socket)\(|[.]lock\(\);", "medium", 0.6, 2.0,
+         "resource without an owner", "wrap it in an object", hints=("fopen(", "pthread_mutex_lock(", "createfile(", "socket(", ".lock()")),
+    Rule("C++", "Missing const correctness", "match", r"\b(get|is|has)[A-Z][a-zA-Z0-9]*\( *\) *[;{]|\( *std::(string|vector<[^>]*>) *& ", "low", 0.5, 0.5,
+         "accessor or reference without const", "make it const", hints=("get", "is", "has", "std::")),
+    Rule("C++", "No move semantics", "match", r"[a-zA-Z_]\( *const +[A-Za-z_:]+ *& *[a-z]+ *\) *: *[a-z_]+\(", "low", 0.5, 1.0,
+         "copied constructor argument", "take by value and move", hints=("const ",)),
+    Rule("C++", "Deprecated C++98/03 features", "match", r"\b(auto_ptr|bind1st|bind2nd|random_shuffle|register)\b|\bthrow *\( *[A-Za-z_: ]*\) *[;{]", "medium", 0.85, 1.0,
+         "feature of an old standard", "use its replacement", hints=("auto_ptr", "bind1st", "bind2nd", "random_shuffle", "register", "throw")),
+    Rule("C#", "Missing async/await patterns", "match", r"[.](Result|Wait\(\)|GetAwaiter\(\)[.]GetResult\(\))", "medium", 0.7, 1.5,
+         "blocking on a task", "await it", hints=(".result", ".wait()", ".getawaiter()")),
+    Rule("C#", "Missing LINQ usage", "match", r"\bforeach *\(.*\) *([{] *)?(if *\(|[a-zA-Z]+[.]Add\()", "low", 0.6, 0.5, "loop that filters or copies", "use a query",
+         hints=("foreach",)),
+    Rule("C#", "Deprecated .NET Framework APIs", "match", r"\b(WebClient|HttpWebRequest|BinaryFormatter|System[.]Web[.]UI|Thread[.]Abort)\b", "high", 0.9, 2.0,
+         "retired interface", "use its replacement", hints=("webclient", "httpwebrequest", "binaryformatter", "system.web.ui", "thread.abort")),
+    Rule("C#", "Missing nullable reference types", "match", r"#nullable +disable|[!=]= *null\b", "low", 0.5, 0.5, "null handled by hand", "enable nullable types",
+         hints=("null",)),
+    Rule("C#", "Missing using statements", "match", r"^ *(var|[A-Z][a-zA-Z]*) +[a-z][a-zA-Z]* *= *new +(FileStream|StreamReader|StreamWriter|SqlConnection)\(", "high", 0.75, 1.0,
+         "resource outside using", "declare it with using", hints=("new ",)),
+    Rule("Rust", "Deprecated Rust 2015/2018 syntax", "match", r"\btry!\(|^ *extern +crate|\.\.\.[0-9]", "medium", 0.9, 0.5, "syntax of old editions", "use current syntax",
+         hints=("try!(", "extern", "...")),
+    Rule("Rust", "Missing lifetime annotations", "match", r"&'static +(str|\[)|: *&(str|\[[a-z0-9]+\]),", "low", 0.5, 0.5, "borrowed field", "name its lifetime",
+         hints=("&",)),
+    Rule("Rust", "Deprecated crate versions", "match", r"\b(rustc_serialize|failure|lazy_static)\b|extern crate (time|rand)\b", "medium", 0.8, 1.0,
+         "retired crate", "use its replacement", hints=("rustc_serialize", "failure", "lazy_static", "extern crate")),
+    Rule("Rust", "Missing async/await", "match", r"[.](and_then|map_err)\( *(move *)?[|]|tokio::run\(|\bthread::spawn\(", "low", 0.5, 1.5,
+         "hand-made concurrency", "use async functions", hints=("and_then(", "map_err(", "tokio::run(", "thread::spawn(")),
+    Rule("Kotlin", "Java-style code in Kotlin", "match", r"\bfun +(get|set)[A-Z]|; *$|[.]equals\(|\bnew +[A-Z]", "low", 0.6, 0.5, "Java idiom", "use the Kotlin one",
+         hints=("fun ", ";", ".equals(", "new ")),
+    Rule("Kotlin", "Missing data classes", "match", r"^ *class +[A-Z][a-zA-Z0-9]*\( *va[lr] +", "low", 0.7, 0.5, "class of values", "make it a data class", hints=("class ",)),
+    Rule("Kotlin", "Old collection APIs", "match", r"\b(ArrayList|HashMap|HashSet|Arrays[.]asList)\b", "low", 0.7, 0.5, "Java collection", "use Kotlin's builders",
+         hints=("arraylist", "hashmap", "hashset", "arrays.aslist")),
+    Rule("Kotlin", "Missing extension functions", "match", r"\b(object|class) +[A-Z][a-zA-Z]*(Utils?|Helpers?)\b", "low", 0.7, 1.0, "class of helpers", "write extensions",
+         hints=("util", "helper")),
+    Rule("Swift", "Old closure syntax", "match", r"[{] *\( *[a-z]+ *: *[A-Z][^)]*\) *(-> *[A-Za-z]+ *)?in\b", "low", 0.6, 0.5, "closure spelled out", "let types be inferred",
+         hints=(" in",)),
+    Rule("Swift", "Missing guard statements", "match", r"\bif +[a-z][a-zA-Z]* *== *nil *[{]", "low", 0.7, 0.5, "nested check for nil", "use guard", hints=("nil",)),
+    Rule("Swift", "Deprecated Swift 4 features", "match", r"\b(flatMap|index\(of:|characters[.]count|UIWebView|@UIApplicationMain)", "medium", 0.7, 0.5,
+         "retired feature", "use its replacement", hints=("flatmap", "index(of:", "characters.count", "uiwebview", "@uiapplicationmain")),
+    Rule("Swift", "Missing Codable protocol", "match", r"JSONSerialization|NSCoding|NSKeyedArchiver", "medium", 0.8, 1.5, "decoding by hand", "adopt Codable",
+         hints=("jsonserialization", "nscoding", "nskeyedarchiver")),
+    Rule("Scala", "Scala 2.x syntax", "match", r"\bimplicit +(val|def|class|object)|\bimport +[a-z.]+[.]_ *$|extends +App\b", "low", 0.8, 1.0,
+         "syntax of Scala 2", "use given, extension or @main", hints=("implicit ", "._", "extends app")),
+    Rule("Scala", "Missing for-comprehensions", "match", r"[.]flatMap\(.*[.](flatMap|map)\(", "low", 0.7, 0.5, "chained maps", "use a for-comprehension", hints=(".flatmap(",)),
+    Rule("Scala", "Missing implicit conversions", "match", r"\basInstanceOf\[|[.]toString[.]to(Int|Long|Double)", "medium", 0.6, 0.5,
+         "conversion by hand", "use a typed conversion", hints=("asinstanceof[", ".tostring.to")),
+    Rule("Scala", "Missing case classes", "match", r"^ *class +[A-Z][a-zA-Z0-9]*\( *va[lr] +", "low", 0.7, 0.5, "class of values", "make it a case class", hints=("class ",)),
+    Rule("R", "Missing tidyverse usage", "match", r"\b(sapply|lapply|tapply|aggregate|merge)\(", "info", 0.5, 0.5, "base function over a table", "use dplyr or purrr",
+         hints=("apply(", "aggregate(", "merge(")),
+    Rule("R", "Deprecated package versions", "match", r"\b(library|require)\( *[\"']?(reshape|plyr|rgdal|maptools)\b", "medium", 0.85, 1.0,
+         "retired package", "use its replacement", hints=("reshape", "plyr", "rgdal", "maptools")),
+    Rule("R", "Old data.frame usage", "match", r"\b(data[.]frame|read[.]csv)\(|stringsAsFactors", "info", 0.6, 0.5, "base table", "use a tibble",
+         hints=("data.frame(", "read.csv(", "stringsasfactors")),
+    Rule("R", "Missing ggplot2", "match", r"\b(plot|hist|barplot|boxplot)\(", "info", 0.6, 1.0, "base graphics", "use ggplot2", hints=("plot(", "hist(")),
+    Rule("Perl", "Perl 4 syntax", "match", r"(^|[^&])&[a-z_]+\(|\blocal *\([$]|'[a-z]+'[a-z]+\(", "medium", 0.7, 1.0, "syntax of Perl 4", "use current syntax",
+         hints=("&", "local", "'")),
+    Rule("Perl", "Deprecated CPAN modules", "match", r"\buse +(CGI|Switch|Error|Class::DBI|LWP::Simple)\b", "medium", 0.85, 2.0, "retired module", "use its replacement",
+         hints=("use ",)),
+    Rule("Perl", "Missing Moose/Moo", "match", r"\bbless +[$({]|@ISA *=", "low", 0.8, 1.5, "object made by hand", "use Moo or Moose", hints=("bless", "@isa")),
+    Rule("Perl", "Old regex syntax", "match", r"=~ */[^/]*/[a-wyz]* *[;)]|[$]&", "low", 0.5, 0.25, "expression without /x", "spell it out with /x", hints=("=~", "$&")),
+    Rule("Shell", "Missing shellcheck compliance", "match", r"\[ +[$][a-zA-Z_]+ +==? |\bfor +[a-z]+ +in +[$]\(ls|\bcat +[^|]*[|] *grep", "low", 0.7, 0.25,
+         "construct that shellcheck reports", "follow its advice", hints=("[ $", "for ", "cat ")),
+    Rule("Shell", "Missing function usage", "absent", r"^ *(function +)?[a-zA-Z_][a-zA-Z0-9_]* *\( *\)", "info", 0.4, 0.5, "no function", "split the script", hints=("()", "( )")),
+    Rule("Shell", "Security vulnerabilities", "match", r"\beval +|(curl|wget) [^|]*[|] *(sudo +)?(ba)?sh\b|chmod +(-R +)?777", "critical", 0.85, 1.5,
+         "command from outside, or open rights", "check what is run", "Command injection", hints=("eval ", "curl ", "wget ", "chmod ")),
 ]
 
 #: Rules that apply to a file of any language, known or not.
@@ -180,16 +287,16 @@ def _quoted(value: str | None) -> str:
 
 
 def _finding(content: str, rule: Rule) -> str:
-    """The finding of one rule as SQL text over ``content`` and ``lower``, null without a hit."""
+    """The finding of one rule as SQL text over ``content`` and ``t``, its lower-case form and lines; null without a hit."""
     regex = _quoted(java_regex(rule))
     hit = f"{content} RLIKE {regex}"
     if rule.hints:
         # A plain search is many times faster than the expression it rules out.
-        hit = "(" + " OR ".join(f"contains(lower, {_quoted(h)})" for h in rule.hints) + f") AND {hit}"
+        hit = "(" + " OR ".join(f"contains(t.lower, {_quoted(h)})" for h in rule.hints) + f") AND {hit}"
     if rule.kind == "absent":
         hit, line_numbers = f"NOT ({hit})", "CAST(array() AS array<int>)"
     else:
-        numbered = f"transform(split({content}, '\\n'), (l, i) -> CASE WHEN l RLIKE {regex} THEN i + 1 END)"
+        numbered = f"transform(t.lines, (l, i) -> CASE WHEN l RLIKE {regex} THEN i + 1 END)"
         line_numbers = f"filter({numbered}, n -> n IS NOT NULL)"
     return f"""CASE WHEN {hit} THEN named_struct('pattern_type', {_quoted(rule.pattern_type)},
         'severity', {_quoted(rule.severity)}, 'description', {_quoted(rule.description)}, 'line_numbers', {line_numbers},
@@ -210,8 +317,8 @@ def findings(language: str, content: str, rules: Sequence[Rule] | None = None) -
 
     def found(group: Sequence[Rule]) -> str:
         array = ", ".join(_finding(content, r) for r in group)
-        # The one-element transform names the lower-cased text, so it is made once.
-        named = f"transform(array(lower({content})), lower -> array({array}))[0]"
+        # The one-element transform names the lower-cased text and the lines, so they are made once.
+        named = f"transform(array(named_struct('lower', lower({content}), 'lines', split({content}, '\\n'))), t -> array({array}))[0]"
         return f"filter({named}, p -> p IS NOT NULL AND (p.kind = 'absent' OR size(p.line_numbers) > 0))"
 
     nothing = f"CAST(array() AS {FINDING})"
