@@ -300,7 +300,7 @@ def _(read):
 
 
 def _errors(read):
-    parsed = replies.parse_replies(read("replies"), "patterns")
+    parsed = replies.parse_replies(read("replies"), "patterns", strict=False)
     parse = replies.error_rows(parsed).select(F.lit("parse").alias("phase"), F.col("request_id").alias("item"), "error")
     runs = testlogs.normalise_validations(read("logs").withColumn("stderr", F.lit("")))
     failed = runs.filter(F.col("error").isNotNull()).select(
@@ -329,7 +329,7 @@ def _(read):
     f"""SELECT 'parse' AS phase, item, rn AS error_no FROM (SELECT request_id::VARCHAR AS item, row_number() OVER (ORDER BY request_id::VARCHAR) AS rn FROM {v('replies')} WHERE request_id % 5 >= 2) x WHERE rn <= 5""",
 )
 def _(read):
-    parsed = replies.parse_replies(read("replies"), "patterns")
+    parsed = replies.parse_replies(read("replies"), "patterns", strict=False)
     parse = replies.error_rows(parsed).select(F.lit("parse").alias("phase"), F.col("request_id").alias("item"), "error")
     return reports.shown_errors(reports.error_log(parse)).select("phase", "item", "error_no")
 

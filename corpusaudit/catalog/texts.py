@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit import dims
@@ -141,8 +144,8 @@ def _(read):
 # -- replies -----------------------------------------------------------------
 @query(
     "parse_replies",
-    """SELECT request_id, CASE request_id % 5 WHEN 2 THEN 'bad pattern' WHEN 3 THEN 'empty reply' WHEN 4 THEN 'malformed JSON' END AS error,
-      CASE request_id % 5 WHEN 0 THEN 'high' END AS priority, CASE WHEN request_id % 5 < 2 THEN (response_text::JSON->>'modernization_score')::DOUBLE END AS score
+    """SELECT request_id, CASE request_id % 5 WHEN 1 THEN 'missing field' WHEN 2 THEN 'missing field' WHEN 3 THEN 'empty reply' WHEN 4 THEN 'malformed JSON' END AS error,
+      CASE request_id % 5 WHEN 0 THEN 'high' END AS priority, CASE WHEN request_id % 5 = 0 THEN (response_text::JSON->>'modernization_score')::DOUBLE END AS score
     FROM (SELECT request_id, CASE WHEN request_id % 5 IN (3, 4) THEN '{}' ELSE response_text END AS response_text FROM """
     + v("replies")
     + ") x",
@@ -167,17 +170,18 @@ _SHAPES = """SELECT event_id AS request_id,
     "parse_reply_shapes",
     """SELECT event_id AS request_id, s.shape, CASE event_id % 3 WHEN 0 THEN NULL
       WHEN 1 THEN CASE s.shape WHEN 'language' THEN NULL ELSE 'value outside enum' END ELSE 'missing field' END AS error
-    FROM events, (VALUES ('language'), ('classification'), ('analysis'), ('tests')) s(shape)""",
+    FROM events, (VALUES ('language'), ('classification'), ('analysis'), ('tests')) s(shape)
+    UNION ALL SELECT event_id, s.shape, 'missing field' FROM events, (VALUES ('patterns'), ('batch')) s(shape)""",
 )
 def _(read):
-    """The four flat reply shapes, each checked for required fields and enums."""
+    """All reply shapes, each checked for required fields and enums."""
     events = read("events")
     rows = events.sparkSession.sql(_SHAPES, events=events)
     parsed = [
         replies.parse_replies(rows, shape).select("request_id", F.lit(shape).alias("shape"), "error")
-        for shape in ("language", "classification", "analysis", "tests")
+        for shape in ("language", "classification", "analysis", "tests", "patterns", "batch")
     ]
-    return parsed[0].unionByName(parsed[1]).unionByName(parsed[2]).unionByName(parsed[3])
+    return reduce(DataFrame.unionByName, parsed)
 
 
 @query(

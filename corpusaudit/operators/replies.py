@@ -57,20 +57,40 @@ def _outside(c: Column, allowed: list[str]) -> Column:
     return c.isNotNull() & ~c.isin(*allowed)
 
 
-def _checks(shape: str, r: Column) -> list[tuple[str, Column]]:
+# Fields that the reply to an analysis, and each of its patterns, must have.
+ANALYSIS_FIELDS = ["patterns", "modernization_score", "requires_modernization", "overall_priority"]
+PATTERN_FIELDS = ["pattern_type", "severity", "line_numbers", "confidence", "description", "recommendation", "estimated_effort_hours"]
+
+
+def _lacks(r: Column, fields: list[str]) -> Column:
+    bad = F.lit(False)
+    for field in fields:
+        bad = bad | r[field].isNull()
+    return bad
+
+
+def _analysis_lacks(r: Column, strict: bool) -> Column:
+    """A reply without its required fields; unless ``strict``, only the list of patterns is required."""
+    if not strict:
+        return r["patterns"].isNull()
+    return _lacks(r, ANALYSIS_FIELDS) | F.coalesce(F.exists(r["patterns"], lambda p: _lacks(p, PATTERN_FIELDS)), F.lit(False))
+
+
+def _checks(shape: str, r: Column, strict: bool) -> list[tuple[str, Column]]:
     """(error, condition) pairs; the first that holds is reported."""
     none = F.lit(False)
     if shape == "language":
         return [("missing field", r["language"].isNull() | r["confidence"].isNull())]
     if shape == "patterns":
         return [
+            ("missing field", _analysis_lacks(r, strict)),
             ("bad pattern", F.coalesce(_patterns_bad(r["patterns"]), none)),
             ("value outside enum", _outside(r["overall_priority"], dims.SEVERITIES)),
         ]
     if shape == "batch":
         files = r["files"]
         return [
-            ("missing field", F.coalesce(F.exists(files, lambda f: f["file_path"].isNull()), none)),
+            ("missing field", F.coalesce(F.exists(files, lambda f: f["file_path"].isNull() | _analysis_lacks(f, strict)), F.lit(True))),
             ("bad pattern", F.coalesce(F.exists(files, lambda f: F.coalesce(_patterns_bad(f["patterns"]), none)), none)),
             (
                 "value outside enum",
@@ -103,14 +123,18 @@ def _checks(shape: str, r: Column) -> list[tuple[str, Column]]:
     return [("missing field", missing), ("value outside enum", F.coalesce(outside, none))]
 
 
-def parse_replies(replies: DataFrame, shape: str) -> DataFrame:
-    """Add ``reply`` (typed, null when bad) and ``error`` (null when good)."""
+def parse_replies(replies: DataFrame, shape: str, strict: bool = True) -> DataFrame:
+    """Add ``reply`` (typed, null when bad) and ``error`` (null when good).
+
+    All fields that a shape requires must be there. Unless ``strict``, analyses
+    and patterns may leave out what has a default, but not their patterns.
+    """
     schema = SHAPES[shape] + ", corrupt string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
     parsed = with_once(replies, "reply", F.from_json("response_text", schema, options))
     empty = F.coalesce(strip(F.col("response_text")), F.lit("")) == ""
     error = F.when(empty, "empty reply").when(F.col("reply.corrupt").isNotNull(), "malformed JSON")
-    for name, bad in _checks(shape, F.col("reply")):
+    for name, bad in _checks(shape, F.col("reply"), strict):
         error = error.when(bad, name)
     return parsed.withColumn("error", error).withColumn(
         "reply", F.when(F.col("error").isNull(), F.col("reply").dropFields("corrupt"))
@@ -145,7 +169,7 @@ def analyses_from_replies(replies: DataFrame) -> DataFrame:
     Good replies get the defaults for missing values. Neutral means no patterns,
     ``info``, 100, not required.
     """
-    parsed = parse_replies(replies, "patterns")
+    parsed = parse_replies(replies, "patterns", strict=False)
     good, r = F.col("error").isNull(), F.col("reply")
     return parsed.select(
         *[c for c in replies.columns if c != "response_text"],
@@ -162,7 +186,7 @@ def explode_batch(replies: DataFrame) -> DataFrame:
 
     A file without patterns keeps one row with a null pattern type.
     """
-    parsed = parse_replies(replies, "batch").filter(F.col("error").isNull())
+    parsed = parse_replies(replies, "batch", strict=False).filter(F.col("error").isNull())
     files = parsed.select("request_id", F.explode("reply.files").alias("f"))
     rows = files.select("request_id", "f", F.explode_outer(_filled(F.col("f.patterns"))).alias("p"))
     return rows.select(

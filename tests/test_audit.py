@@ -92,7 +92,8 @@ GOOD = '{"patterns": [{"pattern_type": "t", "severity": "low", "description": "d
 @pytest.mark.parametrize("text, error", [
     (GOOD, None), ("", "empty reply"), (None, "empty reply"), ("{", "malformed JSON"),
     (GOOD.replace("low", "urgent"), "bad pattern"), (GOOD.replace('"description": "d", ', ""), "bad pattern"),
-    ('{"patterns": [], "overall_priority": "soon"}', "value outside enum"), ("{}", None),
+    ('{"patterns": [], "overall_priority": "soon"}', "value outside enum"), ("{}", "missing field"),
+    ('{"patterns": []}', None),
 ])
 def test_replies(spark, text, error):
     df = spark.createDataFrame([("1", text)], "request_id string, response_text string")
@@ -106,6 +107,56 @@ def test_replies(spark, text, error):
         assert (row["overall_priority"], row["modernization_score"], row["requires_modernization"]) == ("medium", 50.0, True)
 
 
+def test_required_fields(spark):
+    whole = ('{"patterns": [{"pattern_type": "p", "severity": "low", "line_numbers": [], "confidence": 1, "description": "d", "recommendation": "r", '
+             '"estimated_effort_hours": 1}], "modernization_score": 1, "requires_modernization": true, "overall_priority": "low"}')
+    file = whole[:-1] + ', "file_path": "f", "language": "Go", "framework": null}'
+    texts = [whole, whole.replace('"confidence": 1, ', ""), whole.replace('"modernization_score": 1, ', ""), "{}"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "request_id string, response_text string")
+    got = {r["request_id"]: r["error"] for r in replies.parse_replies(df, "patterns").collect()}
+    assert got == {"0": None, "1": "missing field", "2": "missing field", "3": "missing field"}
+    batches = ['{"files": [%s]}' % file, '{"files": [%s]}' % file.replace('"file_path": "f", ', ""), '{"files": [{"file_path": "f"}]}', "{}"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(batches)], "request_id string, response_text string")
+    got = {r["request_id"]: r["error"] for r in replies.parse_replies(df, "batch").collect()}
+    assert got == {"0": None, "1": "missing field", "2": "missing field", "3": "missing field"}
+
+
+def test_pieces_cover_the_text_and_replies_join(spark):
+    text = "".join(f"line {i}\n" for i in range(50))
+    files = spark.createDataFrame([("r1", "a.py", text), ("r2", "a.py", text), ("r1", "b.py", ""), ("r1", "c.py", None)], "repo string, file_path string, content string")
+    asked = requests.build_requests(files, "security", max_chars=37).cache()
+    assert asked.select("request_id").distinct().count() == asked.count()
+    rows = asked.filter("repo = 'r1' AND file_paths[0] = 'a.py'").orderBy("piece").collect()
+    shown = [r["prompt"].split("\n", 2)[2] for r in rows]
+    assert "".join(shown) == text and [r["pieces"] for r in rows] == [len(rows)] * len(rows)
+    assert [r["first_line"] for r in rows] == [1 + "".join(shown[:i]).count("\n") for i in range(len(rows))]
+    found = asked.select("request_id", F.expr("array(named_struct('pattern_type', concat('p', piece), 'line_numbers', array(1)))").alias("patterns"),
+                         F.when(F.col("piece") == 2, "high").otherwise("low").alias("overall_priority"),
+                         F.col("piece").cast("double").alias("modernization_score"), (F.col("piece") == 3).alias("requires_modernization"))
+    merged = {(r["repo"], r["file_path"]): r for r in requests.merge_pieces(asked, found).collect()}
+    assert len(merged) == 4
+    one = merged["r2", "a.py"]
+    assert (one["overall_priority"], one["modernization_score"], one["requires_modernization"]) == ("high", 1.0, True)
+    assert [p["line_numbers"] for p in one["patterns"]] == [[r["first_line"]] for r in rows]
+
+
+def test_groups_and_batches_show_every_file(spark):
+    files = spark.createDataFrame([("g", "r", f"f{i:02}.py", "x" * (i * 10)) for i in range(12)], "group_name string, repo string, file_path string, content string")
+    asked = requests.build_group_requests(files, "deep-analyse", max_chars=60).collect()
+    assert sum(len(r["file_paths"]) for r in asked) == sum(max(1, -(-i * 10 // 60)) for i in range(12))
+    assert sum(r["prompt"].count("x") for r in asked) >= sum(i * 10 for i in range(12))
+    batches = requests.build_batch_requests(files, "batch-analyse", max_chars=60).collect()
+    assert {p for r in batches for p in r["file_paths"]} == {f"f{i:02}.py" for i in range(12)}
+    assert sum(r["prompt"].count("x") for r in batches) >= sum(i * 10 for i in range(12))
+
+
+def test_equal_files_of_several_repositories_have_their_own_ids(spark):
+    files = spark.createDataFrame([(f"r{i}", "setup.py", "same") for i in range(10)], "repo string, file_path string, content string")
+    asked = requests.build_requests(files, "refactor")
+    assert asked.select("request_id").distinct().count() == 10
+    assert asked.join(asked.select("request_id"), "request_id").count() == 10
+
+
 def test_failing_batches_stay_apart(spark):
     def predict(prompts):
         if any("bad" in p for p in prompts):
