@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -84,6 +85,16 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
 
 
+def _classes(docs: DataFrame, key: str, text: str, size: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every document, and (fp, root, component_id) of every fingerprint."""
+    prints = stored(fingerprints(docs, key, text, size), "fingerprints")
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints-distinct")
+    roots = components(links(distinct, limit))
+    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, grouped.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, limit: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id.
 
@@ -94,28 +105,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     its ids are null; repeated rows stay. Other columns are ignored; an empty
     table gives an empty result.
     """
-    prints = stored(fingerprints(docs, key, text, size), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints-distinct")
-    roots = components(links(distinct, limit))
-    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = grouped.join(least, "root").select("fp", "component_id")
+    prints, classes = _classes(docs, key, text, size, limit)
     return prints.join(classes, "fp").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, limit: int = 3) -> DataFrame:
-    """The documents whose id is their component's; all columns.
+    """One document of each component, the one whose id is the component's; all columns.
 
-    Rows that repeat an id with the same text are one document and stay once. A
-    null id stays only where a whole component has none, once per text.
+    Rows that repeat an id with the same text are one document and stay once. Of
+    a component without any id, one row stays.
     """
-    groups = near_duplicates(docs, key, text, size, limit)
-    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(unused(docs, "chosen"))).distinct()
-    kept = docs.join(chosen, docs[key].cast("long").eqNullSafe(chosen[chosen.columns[0]]), "left_semi")
-    print_of = unused(docs, "print")
-    return kept.withColumn(print_of, F.xxhash64(text)).dropDuplicates([key, print_of]).drop(print_of)
+    prints, classes = _classes(docs, key, text, size, limit)
+    id_of, print_of, root_of = (unused(docs, c) for c in ("chosen", "print", "root"))
+    chosen = prints.join(classes, "fp").where("id = component_id").select(F.col("id").alias(id_of)).distinct()
+    # Joined and reduced by the id alone, so texts move once.
+    named = docs.where(docs[key].isNotNull()).join(chosen, docs[key] == chosen[id_of], "left_semi")
+    named = named.withColumn(print_of, F.xxhash64(text)).dropDuplicates([key, print_of]).drop(print_of)
+
+    @F.pandas_udf("long")
+    def print_column(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(x, size) for x in texts], np.uint64).view(np.int64))
+
+    nameless = docs.where(docs[key].isNull()).withColumn(print_of, print_column(F.col(text).cast("binary")))
+    alone = classes.where("component_id IS NULL").select(F.col("fp").alias(print_of), F.col("root").alias(root_of))
+    return named.unionByName(nameless.join(alone, print_of).dropDuplicates([root_of]).select(*docs.columns))
 
 
 def _masks(total: int, limit: int) -> list[int]:

@@ -64,12 +64,15 @@ def _texts(n, seed=1):
 
 
 def test_components_equal_plain_loop(spark):
-    made = _texts(160) + [(500, None), (501, ""), (502, " \n\t"), (503, "One"), (504, "one"), (505, "ÀB c"), (None, "one"), (None, "alone here now")]
+    made = _texts(160) + [(500, None), (501, ""), (502, " \n\t"), (503, "One"), (504, "one"), (505, "ÀB c"), (None, "one"), (None, "alone here now"), (None, "alone here now")]
     made += [(7, made[0][1])] * 40 + [(600, "a b c\x0bd\x0ce")]
     docs, got = _check(spark, made)
     kept = simhash.one_per_group(docs)
     assert kept.columns == docs.columns
-    assert sorted({str(r["component_id"]) for r in got}) == sorted({str(r["doc_id"]) for r in kept.collect()})
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted({r["component_id"] for r in got} - {None}) == sorted({i for i in ids if i is not None})
+    # Of the rows without an id, one group has no other: its rows are one.
+    assert ids.count(None) == 1 and kept.where("doc_id IS NULL").first()["text"] == "alone here now"
 
 
 def test_full_buckets_are_sliced_and_cut_finer(spark, monkeypatch):
