@@ -60,6 +60,11 @@ FROM (SELECT doc_id, text, source AS repo,
       FROM {documents}) d
 """
 
+# The same files in two repositories.
+VIEWS["forks"] = """
+SELECT 'left' AS repo, file_path, content, doc_id FROM {sources} UNION ALL SELECT 'right' AS repo, file_path, content, doc_id FROM {sources}
+"""
+
 VIEWS["patterns"] = """
 SELECT 'f' || cast(l_orderkey AS string) || '.py' AS file_path, l_orderkey AS file_id,
        'pt_' || cast(l_partkey % 9 AS string) AS pattern_type,

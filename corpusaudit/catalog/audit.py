@@ -174,29 +174,35 @@ def _(read):
 _SEC = f"(SELECT * FROM {_FOUND} WHERE security IS NOT NULL)"
 
 
+_FORK = "fork"
+_FORKS = f"(VALUES ('left'), ('right')) {_FORK}(repo)"
+
+
 @query(
     "security_findings",
-    f"SELECT file_path, security AS vulnerability, severity, unnest(ns) AS line_number, description, recommendation FROM {_SEC} s",
+    f"SELECT {_FORK}.repo, file_path, security AS vulnerability, severity, unnest(ns) AS line_number, description, recommendation FROM {_SEC} s, {_FORKS}",
 )
 def _(read):
-    return R.security_findings(read("sources").select("file_path", "content"))
+    """Findings in the files of two repositories that hold the same paths."""
+    return R.security_findings(read("forks").select("repo", "file_path", "content"))
 
 
 @query(
     "security_scores",
-    f"""SELECT file_path, coalesce(n, 0) AS n_kinds, greatest(0, round(100 - coalesce(lost, 0), 4))::DOUBLE AS security_score FROM (SELECT file_path FROM {_SRC}) s
+    f"""SELECT {_FORK}.repo, file_path, coalesce(n, 0) AS n_kinds, greatest(0, round(100 - coalesce(lost, 0), 4))::DOUBLE AS security_score FROM {_FORKS}, (SELECT file_path FROM {_SRC}) s
     LEFT JOIN (SELECT file_path, count(*) AS n, sum({_WEIGHT} / 4.0 * confidence) AS lost FROM {_SEC} x GROUP BY file_path) p USING (file_path)""",
 )
 def _(read):
-    return R.security_scores(read("sources").select("file_path", "content"))
+    return R.security_scores(read("forks").select("repo", "file_path", "content"))
 
 
 @query(
     "duplicate_code",
-    f"SELECT sha256(content) AS content_hash, count(*) AS copies, min(file_path) AS first_path FROM {v('files')} GROUP BY 1 HAVING count(*) > 1",
+    f"SELECT sha256(content) AS content_hash, 2 * count(*) AS copies, 'left' AS first_repo, min(file_path) AS first_path FROM {_SRC} GROUP BY 1",
 )
 def _(read):
-    return quality.duplicate_code(read("files").select("file_path", "content"))
+    """Equal texts over two repositories that hold the same files."""
+    return quality.duplicate_code(read("forks").select("repo", "file_path", "content"))
 
 
 @query(
@@ -208,6 +214,25 @@ def _(read):
     return quality.duplicate_files(read("files").select("file_path", "content"))
 
 
+@query(
+    "near_copies",
+    f"""WITH RECURSIVE t AS (SELECT DISTINCT text, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> '') AS w FROM documents),
+      n AS (SELECT text, w, row_number() OVER (ORDER BY text) AS id FROM t WHERE len(w) > 0),
+      s AS (SELECT id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM n),
+      u AS (SELECT id, len(g) AS size, unnest(g) AS x FROM s),
+      common AS (SELECT a.id AS a, b.id AS b, any_value(a.size) AS m, any_value(b.size) AS k, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.id < b.id
+        WHERE a.size >= 0.8 * b.size AND b.size >= 0.8 * a.size GROUP BY a.id, b.id),
+      e AS (SELECT a, b FROM common WHERE c >= 0.8 * (m + k - c)), ab AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+      r AS (SELECT id, id AS root FROM n UNION SELECT ab.b, r.root FROM r JOIN ab ON ab.a = r.id),
+      g AS (SELECT text, min(root) AS root FROM r JOIN n USING (id) GROUP BY text),
+      f AS (SELECT file_path, count(*) OVER (PARTITION BY root) AS files, min(file_path) OVER (PARTITION BY root) AS first_path FROM {v('files')} JOIN g ON g.text = content)
+    SELECT file_path, first_path, files FROM f WHERE files > 1""",
+)
+def _(read):
+    """Groups of near copies among all texts; the SQL compares every two texts that share a shingle."""
+    return quality.near_copies(read("files").select("file_path", "content"))
+
+
 def _metrics(source: str, path: str, content: str) -> str:
     return f"""(SELECT *, 100 - 20 * ((max_line > 120)::BIGINT + (branches * 4 > n_lines)::BIGINT + (NOT handles_errors)::BIGINT + (comment_ratio < 0.05)::BIGINT) AS quality_score
     FROM (SELECT *, round(comment_lines / n_lines, 4) AS comment_ratio FROM (SELECT {path} AS file_path, len(string_split({content}, chr(10))) AS n_lines,

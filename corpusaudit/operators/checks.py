@@ -18,6 +18,7 @@ from corpusaudit import dims
 from corpusaudit.functions import paths
 from corpusaudit.functions.once import let, with_once
 from corpusaudit.functions.text import any_of, lines, strip, words
+from corpusaudit.operators.grouping import file_key
 
 # What is looked for in sources and tests.
 RELATIVE_IMPORTS = r"import\s+\{([^}]+)\}\s+from\s+[\"']\./"
@@ -295,25 +296,27 @@ def imported_modules(source: Column) -> Column:
 
 def import_edges(files: DataFrame, column: str = "source_code") -> DataFrame:
     """Edges from a file to the names of the modules it imports."""
-    return files.select("file_path", F.explode(imported_modules(F.col(column))).alias("module"))
+    return files.select(*file_key(files), F.explode(imported_modules(F.col(column))).alias("module"))
 
 
 def import_degrees(files: DataFrame, column: str = "source_code") -> DataFrame:
-    """Files a file depends on, and files that depend on it, matched by module name.
+    """Files a file depends on, and files that depend on it, matched by module name within a repository.
 
     Both are counted per module before joining back, so a name such as ``utils``
     that many files share or import never forms pairs.
     """
+    key = file_key(files)
+    module = [c for c in key if c != "file_path"] + ["module"]
     edges = import_edges(files, column)
-    named = files.select("file_path", paths.stem(F.col("file_path")).alias("module"))
-    holders = named.groupBy("module").agg(F.count(F.lit(1)).alias("holders"))
-    importers = edges.groupBy("module").agg(F.count(F.lit(1)).alias("importers"))
-    out = edges.join(holders, "module").groupBy("file_path").agg(F.sum("holders").alias("depends_on"))
+    named = files.select(*key, paths.stem(F.col("file_path")).alias("module"))
+    holders = named.groupBy(*module).agg(F.count(F.lit(1)).alias("holders"))
+    importers = edges.groupBy(*module).agg(F.count(F.lit(1)).alias("importers"))
+    out = edges.join(holders, module).groupBy(*key).agg(F.sum("holders").alias("depends_on"))
     return (
-        named.join(importers, "module", "left")
-        .join(out, "file_path", "left")
+        named.join(importers, module, "left")
+        .join(out, key, "left")
         .select(
-            "file_path",
+            *key,
             F.coalesce("depends_on", F.lit(0)).cast("bigint").alias("depends_on"),
             F.coalesce("importers", F.lit(0)).cast("bigint").alias("depended_on_by"),
         )

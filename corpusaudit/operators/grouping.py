@@ -25,6 +25,11 @@ def key_list(key: Keys) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def file_key(df: DataFrame) -> list[str]:
+    """What identifies a file of a table: its path, and its repository where the table names one."""
+    return [c for c in ("repo", "file_path") if c in df.columns]
+
+
 def salted_parts(df: DataFrame, keys: list[str], max_rows: int, salt: Column) -> DataFrame:
     """Add ``part``: 0 for a normal group, several values for one above ``max_rows``.
 

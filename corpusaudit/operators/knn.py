@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusaudit.session import fresh_folder
+from corpusaudit.session import stored
 
 SCORE_DIGITS = 6
 BLOCK, QUERY_BLOCK = 2048, 256
@@ -32,12 +32,6 @@ def _type(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
-def _stored(df: DataFrame, purpose: str) -> DataFrame:
-    path = fresh_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def vectors(df: DataFrame, key: str) -> DataFrame:
     """(id, model, list, v): the rows that have a vector, of one or more finite numbers."""
     v = F.col("embedding").cast("array<double>")
@@ -161,7 +155,7 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 
 def _query_blocks(rows: DataFrame, parts: int) -> tuple[DataFrame, int]:
     """Packed queries, to be broadcast or with a copy for each part, and their number."""
-    packed = _stored(_packed(rows, QUERY_BLOCK, 1).drop("part"), "query-blocks")
+    packed = stored(_packed(rows, QUERY_BLOCK, 1).drop("part"), "query-blocks")
     size = packed.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n")).first()
     named = packed.select(*[F.col(c).alias(f"q_{c}") for c in packed.columns])
     if size["bytes"] > TRAVEL_BYTES:
@@ -288,7 +282,7 @@ def nearest_in_lists(queries: DataFrame, indexed: DataFrame, lists: Lists, k: in
             picked = batch.take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays([*picked.select(["id", "model"]).columns, pa.array(at, pa.int32()), picked.column("v")], names=["id", "model", "list", "v"])
 
-    probed = _stored(asked.mapInArrow(run, asked.schema), "probes")
+    probed = stored(asked.mapInArrow(run, asked.schema), "probes")
     wanted = [r["list"] for r in probed.select("list").distinct().collect()]  # numbers of lists, at most MOST_LISTS
     packed, _ = _query_blocks(probed, parts)
     read = vectors(indexed.where(F.col("bucket").isin(*wanted)), "chunk_id")

@@ -2,33 +2,138 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.functions.once import with_once
 from corpusaudit.functions.text import lines
+from corpusaudit.operators.components import components
+from corpusaudit.operators.grouping import file_key
+from corpusaudit.session import stored
 
 BRANCH_WORDS = r"\b(if|for|while|case|catch|except|elif)\b"
 COMMENT_LINE = r"^ *(#|//|[*]|--)"
 ERROR_WORDS = r"\b(try|catch|except|rescue)\b"
 
 
+def _hashed(files: DataFrame) -> DataFrame:
+    return files.select(*file_key(files), F.sha2("content", 256).alias("content_hash"))
+
+
 def duplicate_code(files: DataFrame) -> DataFrame:
-    """Groups of files with the same text: hash, copies, first path.
+    """Groups of files with the same text: hash, copies, first file by repository and path.
 
     Counted with partial aggregation; no group is gathered in one place.
     """
+    key = file_key(files)
+    first = [F.col(f"first.{c}").alias(f"first_{c.removeprefix('file_')}") for c in key]
     return (
-        files.groupBy(F.sha2("content", 256).alias("content_hash"))
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("file_path").alias("first_path"))
+        _hashed(files).groupBy("content_hash")
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*key)).alias("first"))
         .filter(F.col("copies") > 1)
+        .select("content_hash", "copies", *first)
     )
 
 
 def duplicate_files(files: DataFrame) -> DataFrame:
     """Every file that shares its text with another, with its group."""
-    hashed = files.select("file_path", F.sha2("content", 256).alias("content_hash"))
-    return hashed.join(duplicate_code(files), "content_hash")
+    return _hashed(files).join(duplicate_code(files), "content_hash")
+
+
+# -- near copies -----------------------------------------------------------------
+#: Words of a shingle, least share of equal shingles, and bands times rows of the signature that finds candidates.
+SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 4
+
+
+def near_copies(files: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Each file that is a near copy of another, with the id of its group: the first file of it.
+
+    Two files are near copies if the sets of their five-word shingles have at
+    least ``similar`` of their union in common, and so on from file to file.
+    Equal texts are one. Candidates agree in a band of their MinHash signatures
+    (a pair at 0.8 is missed once in some twenty thousand). Files without words
+    have no near copies.
+    """
+    key = file_key(files)
+    rows = files.select(F.struct(*key).alias("file"), F.xxhash64(F.sha2("content", 256)).alias("text"), "content")
+    names = stored(rows.select("file", "text"), "near-files")
+    texts = rows.dropDuplicates(["text"]).select("text", "content")
+    signed = stored(texts.mapInArrow(_sign, "text long, shingles array<long>, bands array<long>").where("size(shingles) > 0"), "near-signatures")
+    links = _band_links(signed.select("text", F.posexplode("bands").alias("band", "value")), signed.select("text", "shingles"), similar)
+    groups = components(links.select(F.col("text").alias("a"), F.col("first").alias("b")))
+    rooted = names.join(groups, names["text"] == groups["node"], "left").select("file", F.coalesce("root", "text").alias("root"))
+    sizes = rooted.groupBy("root").agg(F.min("file").alias("first"), F.count("*").alias("files")).where("files > 1")
+    return rooted.join(sizes, "root").select("file.*", *[F.col(f"first.{c}").alias(f"first_{c.removeprefix('file_')}") for c in key], "files")
+
+
+def _band_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(text, first): links that connect all near copies of each band, without forming a band's pairs.
+
+    In each round, one text of every band, outside the band's largest cluster, is
+    compared with the texts of the band's other clusters and joins those it is
+    near. A band is done when all texts outside its largest cluster have had
+    their turn: any two texts of different clusters were then compared. A band of
+    n copies takes a round or two, not n squared comparisons.
+    """
+    band = ["band", "value"]
+    shared = members.groupBy(*band).agg(F.count("*").alias("n")).where("n > 1").select(*band)
+    state = stored(members.join(shared, band).select(*band, "text", F.col("text").alias("label"), F.lit(False).alias("done")), "near-bands")
+    links = members.sparkSession.createDataFrame([], "text long, first long")
+    while True:
+        clusters = state.groupBy(*band, "label").agg(F.count("*").alias("n"))
+        largest = clusters.groupBy(*band).agg(F.max(F.struct("n", "label")).alias("largest"))
+        outside = state.join(largest, band).where("label <> largest.label AND NOT done")
+        turn = stored(outside.groupBy(*band).agg(F.min(F.struct("text", "label")).alias("turn")).select(*band, F.col("turn.text").alias("first"), F.col("turn.label").alias("own")), "near-turns")
+        if turn.isEmpty():
+            return links
+        pairs = state.join(turn, band).where("label <> own")
+        near = _compared(pairs.select("text", "first").distinct(), sets, similar)
+        found = stored(pairs.join(near, ["text", "first"]).select(*band, "label", "own", "text", "first"), "near-links")
+        links = links.unionByName(found.select("text", "first").distinct())
+        target = found.groupBy(*band).agg(F.least(F.min("label"), F.min("own")).alias("target"))
+        joined = found.select(*band, "label").unionByName(found.select(*band, F.col("own").alias("label"))).distinct().join(target, band)
+        state = stored(
+            state.join(turn, band).join(joined, [*band, "label"], "left").select(
+                *band, "text", F.coalesce("target", "label").alias("label"), (F.col("done") | (F.col("text") == F.col("first"))).alias("done")
+            ),
+            "near-bands",
+        )
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs whose shingle sets have enough in common."""
+    a = sets.select(F.col("text"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("text").alias("first"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(a, "text").join(b, "first").where(both >= similar * (F.size("a") + F.size("b") - both)).select("text", "first")
+
+
+def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle hashes of each text, and a hash of each band of its signature."""
+    random = np.random.default_rng(11)
+    factor = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    offset = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    for batch in batches:
+        shingles, bands = [], []
+        for x in batch.column("content"):
+            own = (x.as_py() or "").split()
+            pieces = [" ".join(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1))] if own else []
+            hashes = np.unique(np.array([xxhash.xxh64_intdigest(p) for p in pieces], np.uint64))
+            shingles.append(hashes.view(np.int64))
+            if len(hashes):
+                least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+                for start in range(0, len(hashes), 1 << 14):
+                    least = np.minimum(least, (hashes[start : start + (1 << 14), None] * factor + offset).min(0))
+                bands.append(np.array([xxhash.xxh64_intdigest(band.tobytes()) for band in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64))
+            else:
+                bands.append(np.zeros(0, np.int64))
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(shingles, kind), pa.array(bands, kind)], names=["text", "shingles", "bands"])
 
 
 def quality_metrics(files: DataFrame) -> DataFrame:
@@ -72,4 +177,4 @@ def refactor_suggestions(files: DataFrame) -> DataFrame:
             advice(F.col("comment_ratio") < 0.05, "documentation", "low"),
         )
     )
-    return m.select("file_path", F.explode(found).alias("s")).select("file_path", "s.*")
+    return m.select(*file_key(files), F.explode(found).alias("s")).select(*file_key(files), "s.*")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from corpusaudit import dims
 from corpusaudit.functions import paths
 from corpusaudit.functions.once import with_once
+from corpusaudit.operators.grouping import file_key
 
 
 class Rule(NamedTuple):
@@ -373,11 +374,9 @@ def security_findings(files: DataFrame, rules: Sequence[Rule] | None = None) ->
     rules = [r for r in (RULES if rules is None else rules) if r.security]
     named = with_language(files)
     return (
-        named.select(
-            "file_path", F.explode(findings("language", "content", rules)).alias("p")
-        )
+        named.select(*file_key(files), F.explode(findings("language", "content", rules)).alias("p"))
         .select(
-            "file_path",
+            *file_key(files),
             F.col("p.security_class").alias("vulnerability"),
             F.col("p.severity").alias("severity"),
             F.explode("p.line_numbers").alias("line_number"),
@@ -391,7 +390,7 @@ def security_scores(files: DataFrame, rules: Sequence[Rule] | None = None) -> Da
     """0-100 per file: a quarter of the weight of each kind of finding is lost."""
     rules = [r for r in (RULES if rules is None else rules) if r.security]
     return detect_nested(files, rules).select(
-        "file_path",
+        *file_key(files),
         F.size("patterns").cast("bigint").alias("n_kinds"),
         modern_score(F.col("patterns")).alias("security_score"),
     )

@@ -39,15 +39,16 @@ def write_outputs(transformations: DataFrame, path: str) -> None:
 def select_run_artifacts(listing: DataFrame, transformations: DataFrame) -> DataFrame:
     """Top-level outputs (columns kind, path) whose name belongs to a file of this run.
 
-    A test belongs to the name left after every ``test_`` is removed. The names
+    Where both tables name the repository, it must be the same. A test belongs to the name left after every ``test_`` is removed. The names
     are made distinct first, so a name shared by many files never multiplies rows.
     """
-    names = transformations.select(paths.basename(F.col("file_path")).alias("owner")).distinct()
+    repo = [c for c in ("repo",) if c in listing.columns and c in transformations.columns]
+    names = transformations.select(*repo, paths.basename(F.col("file_path")).alias("owner")).distinct()
     owner = F.when(
         F.col("kind") == "tests", F.replace(F.col("path"), F.lit(TEST_PREFIX), F.lit(""))
     ).otherwise(F.col("path"))
     top_level = listing.filter(~F.col("path").contains("/"))
-    return top_level.withColumn("owner", owner).join(names, "owner", "left_semi").drop("owner")
+    return top_level.withColumn("owner", owner).join(names, [*repo, "owner"], "left_semi").drop("owner")
 
 
 def commit_batches(
