@@ -26,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that vocabulary cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters encoded at a time, lengths in a range.
-SEGMENT, RANGE = 1 << 20, 1024
+SEGMENT, RANGE = 1 << 20, 64
 _BREAK = re.compile(r"\S[ \n]")
 
 
