@@ -12,8 +12,9 @@ from corpusaudit.catalog.audit import _STATS, _SUMMARY
 from corpusaudit.catalog.files import _RULES_TESTS
 from corpusaudit.catalog.registry import query, quoted, sql_language, sql_stem, v
 from corpusaudit.operators import analysis, replies, requests, testlogs
+from corpusaudit.operators.cache import with_cache_key
 from corpusaudit.plans import reports, statistics
-from corpusaudit.session import fresh_folder
+from corpusaudit.session import fresh_folder, stored
 from corpusaudit.streaming import audit as stream
 from corpusaudit.streaming import progress
 
@@ -335,23 +336,42 @@ def _(read):
 
 
 # -- streams ---------------------------------------------------------------------
+def _stream(read, folder, cache=None):
+    """The files of two repositories that hold the same paths, as a stream."""
+    spark = read.spark
+    arriving = spark.readStream.schema(read("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(read.sf_dir)
+    sources = spark.sql(adapters.VIEWS["sources"], documents=arriving).select("file_path", "content")
+    files = sources.withColumn("repo", F.explode(F.array(F.lit("left"), F.lit("right"))))
+    stream.stream_audit(files, folder + "/results", folder + "/progress", cache).awaitTermination()
+
+
 @query(
     "stream_audit",
-    f"""SELECT file_path, overall_priority, modernization_score, requires_modernization, n_patterns FROM {_SUMMARY}""",
+    f"""SELECT repo, file_path, overall_priority, modernization_score, requires_modernization, n_patterns FROM {_SUMMARY}, (VALUES ('left'), ('right')) r(repo)""",
 )
 def _(read):
-    """The documents as a stream of files; results equal those of the batch audit."""
+    """The documents as a stream of files; results equal those of the batch audit, in each repository."""
+    folder = fresh_folder(read.spark, "stream-audit")
+    _stream(read, folder)
+    return stream.read_results(read.spark, folder + "/results").drop("cache_key")
+
+
+@query(
+    "stream_with_cache",
+    f"""SELECT repo, file_path, CASE WHEN doc_id % 2 = 0 THEN 'known' ELSE overall_priority END AS overall_priority, doc_id % 2 = 1 AS analysed
+    FROM (SELECT file_path, overall_priority, doc_id FROM {_SUMMARY} JOIN (SELECT file_path, doc_id FROM {_SRC}) d USING (file_path)) s, (VALUES ('left'), ('right')) r(repo)""",
+)
+def _(read):
+    """The same stream with a cache that holds every second file: those aren't analysed again."""
     spark = read.spark
-    arriving = (
-        spark.readStream.schema(read("documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(read.sf_dir)
-    )
-    files = spark.sql(adapters.VIEWS["sources"], documents=arriving).select("file_path", "content")
-    folder = fresh_folder(spark, "stream-audit")
-    running = stream.stream_audit(files, folder + "/results", folder + "/progress")
-    running.awaitTermination()
-    return stream.read_results(spark, folder + "/results").drop("cache_key", "batch_id")
+    folder = fresh_folder(spark, "stream-cache")
+    files = read("sources").filter("doc_id % 2 = 0").select("file_path", "content")
+    payload = F.to_json(F.struct(F.array().cast("array<string>").alias("patterns"), F.lit("known").alias("overall_priority")))
+    cache = stored(with_cache_key(files).select("cache_key", payload.alias("payload"), F.lit(0).alias("created_at")), "cache")
+    _stream(read, folder, cache)
+    made = stream.read_cache(spark, folder + "/results").select("cache_key", F.lit(True).alias("made"))
+    results = stream.read_results(spark, folder + "/results", cache).join(made, "cache_key", "left")
+    return results.select("repo", "file_path", "overall_priority", F.col("made").isNotNull().alias("analysed"))
 
 
 @query(

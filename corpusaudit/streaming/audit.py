@@ -1,4 +1,12 @@
-"""Audit of files as they arrive; each content is analysed once."""
+"""Audit of files as they arrive; each content is analysed once.
+
+Two streams read the files. One appends every file with the key of its content.
+The other keeps the keys that it has seen in its state, so that its cost is that
+of what arrives, not of the past, and hands new contents on: those that a given
+cache doesn't hold are analysed, and the analyses are a cache themselves, in the
+same form that batch runs read and merge. A file that occurs in several
+repositories is analysed once and has a result in each.
+"""
 
 from __future__ import annotations
 
@@ -7,47 +15,71 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpusaudit.operators import analysis
-from corpusaudit.operators.cache import with_cache_key
+from corpusaudit.operators.cache import missing, newest_payloads, with_cache_key
+from corpusaudit.operators.grouping import file_key
+
+CACHE = "cache_key string, payload string, created_at bigint, batch_id bigint"
+_PAYLOAD = "patterns array<struct<pattern_type:string,severity:string>>, overall_priority string, modernization_score double, requires_modernization boolean"
+
+
+class Audit:
+    """The two running streams."""
+
+    def __init__(self, queries: list[StreamingQuery]):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:  # noqa: N802 - as a stream's own
+        for query in self.queries:
+            query.awaitTermination()
+
 
-RESULTS = (
-    "cache_key string, file_path string, overall_priority string, modernization_score double, "
-    "requires_modernization boolean, n_patterns bigint, batch_id bigint"
-)
+def payloads(files: DataFrame) -> DataFrame:
+    """(cache_key, payload): the analyses of files (cache_key, file_path, content) as a cache stores them."""
+    done = analysis.analyse_files(files)
+    fields = ["patterns", "overall_priority", "modernization_score", "requires_modernization"]
+    return done.select("cache_key", F.to_json(F.struct(*fields)).alias("payload"))
 
 
-def analyse_batch(files: DataFrame, batch_id: int, out: str) -> None:
-    """Analyse the contents of one micro-batch that no earlier batch has seen.
+def analyse_batch(files: DataFrame, batch_id: int, out: str, cache: DataFrame | None = None) -> None:
+    """Analyse the new contents of one micro-batch that ``cache`` doesn't hold.
 
     A batch writes its own folder and replaces it when it is run again, so a
     restart after a lost executor or driver gives the same table.
     """
-    spark = files.sparkSession
+    fresh = files if cache is None else missing(files, cache)
+    made = payloads(fresh.select("cache_key", "file_path", "content")).withColumn("created_at", F.lit(batch_id).cast("bigint"))
+    made.write.mode("overwrite").parquet(f"{out}/cache/batch_id={batch_id}")
+
+
+def stream_audit(files: DataFrame, out: str, checkpoint: str, cache: DataFrame | None = None) -> Audit:
+    """Start the audit of a streaming DataFrame (file_path, content, repo if there are several) and take all that is there.
+
+    ``cache`` has cache_key, payload and created_at, as batch runs store it. The
+    state holds one key per content.
+    """
     keyed = with_cache_key(files)
-    once = keyed.groupBy("cache_key").agg(F.min(F.struct("file_path", "content")).alias("f"))
-    fresh = once.select("cache_key", "f.*")
-    if batch_id > 0:
-        seen = spark.read.schema(RESULTS).parquet(out).filter(F.col("batch_id") < batch_id).select("cache_key")
-        fresh = fresh.join(seen, "cache_key", "left_anti")
-    result = analysis.analyse_files(fresh).select(
-        "cache_key",
-        "file_path",
-        "overall_priority",
-        "modernization_score",
-        "requires_modernization",
-        F.size("patterns").cast("bigint").alias("n_patterns"),
+    arrived = keyed.select(*file_key(files), "cache_key")
+    log = arrived.writeStream.format("parquet").option("path", f"{out}/files").option("checkpointLocation", f"{checkpoint}/files")
+    contents = keyed.select("cache_key", "file_path", "content").dropDuplicates(["cache_key"])
+    analyses = contents.writeStream.foreachBatch(lambda batch, batch_id: analyse_batch(batch, batch_id, out, cache)).option(
+        "checkpointLocation", f"{checkpoint}/analyses"
     )
-    result.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    return Audit([log.trigger(availableNow=True).start(), analyses.trigger(availableNow=True).start()])
 
 
-def stream_audit(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Start the audit of a streaming DataFrame (file_path, content) and take all that is there."""
-    return (
-        files.writeStream.foreachBatch(lambda batch, batch_id: analyse_batch(batch, batch_id, out))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def read_cache(spark: SparkSession, out: str) -> DataFrame:
+    """The analyses that the stream made, for ``cached_split`` and ``merge_cache``."""
+    return spark.read.schema(CACHE).parquet(f"{out}/cache").drop("batch_id")
 
 
-def read_results(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(RESULTS).parquet(out)
+def read_results(spark: SparkSession, out: str, cache: DataFrame | None = None) -> DataFrame:
+    """One row per file that arrived, with the summary of its content's analysis, from the stream's cache or the given one."""
+    known = read_cache(spark, out)
+    if cache is not None:
+        known = known.unionByName(cache.select("cache_key", "payload", F.col("created_at").cast("bigint")))
+    arrived = spark.read.parquet(f"{out}/files").distinct()
+    joined = arrived.join(newest_payloads(known), "cache_key").withColumn("a", F.from_json("payload", _PAYLOAD))
+    return joined.select(
+        *file_key(arrived), "cache_key", "a.overall_priority", "a.modernization_score", "a.requires_modernization",
+        F.size("a.patterns").cast("bigint").alias("n_patterns"),
+    )

@@ -3,36 +3,55 @@
 from pyspark.sql import functions as F
 
 from corpusaudit import adapters
-from corpusaudit.operators import analysis
+from corpusaudit.operators import analysis, cache
 from corpusaudit.streaming import audit, progress
 
 
-def test_stream_equals_batch_with_redelivery(spark, sf_dir, tmp_path, rows):
-    files = adapters.view(spark, sf_dir, "sources").select("file_path", "content")
-    halves = [files.filter(F.crc32("file_path") % 2 == i) for i in (0, 1)]
+def _deliver(spark, tmp_path, *frames, cache=None):
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for frame in frames:
+        frame.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(source)
+    audit.stream_audit(stream, out, check, cache).awaitTermination()
+    return out
 
-    def deliver(*frames):
-        for frame in frames:
-            frame.write.mode("append").parquet(source)
-        stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        audit.stream_audit(stream, out, check).awaitTermination()
 
-    deliver(halves[0])
-    deliver(halves[0], halves[1], halves[1])
+def test_stream_equals_batch_with_redelivery(spark, sf_dir, tmp_path, rows):
+    files = adapters.view(spark, sf_dir, "sources").select("file_path", "content").limit(60)
+    halves = [files.filter(F.crc32("file_path") % 2 == i) for i in (0, 1)]
+    _deliver(spark, tmp_path, halves[0])
+    out = _deliver(spark, tmp_path, halves[0], halves[1], halves[1])
     batch = analysis.analyse_files(files).withColumn("n_patterns", F.size("patterns"))
     columns = ["file_path", "overall_priority", "modernization_score", "n_patterns"]
-    results = audit.read_results(spark, out)
-    assert rows(results, *columns) == rows(batch, *columns)
-    assert results.select("batch_id").distinct().count() > 1
+    assert rows(audit.read_results(spark, out), *columns) == rows(batch, *columns)
+    made = audit.read_cache(spark, out)
+    assert made.count() == files.distinct().count() and made.select("created_at").distinct().count() > 1
+
+
+def test_equal_files_of_two_repositories(spark, tmp_path, rows):
+    files = spark.createDataFrame([("x", "a.py", "print 'a'"), ("y", "a.py", "print 'a'"), ("y", "b.py", "pass")], "repo string, file_path string, content string")
+    out = _deliver(spark, tmp_path, files)
+    assert rows(audit.read_results(spark, out), "repo", "file_path") == [("x", "a.py"), ("y", "a.py"), ("y", "b.py")]
+    assert audit.read_cache(spark, out).count() == 2
+
+
+def test_stream_and_batch_share_a_cache(spark, tmp_path, rows):
+    files = spark.createDataFrame([(f"f{i}.py", f"print 'x{i}'") for i in range(8)], "file_path string, content string")
+    out = _deliver(spark, tmp_path, files.limit(5))
+    hits, misses = cache.cached_split(files, audit.read_cache(spark, out))
+    assert (hits.count(), misses.count()) == (5, 3)
+    made = audit.payloads(misses).withColumn("created_at", F.lit(9))
+    merged = cache.merge_cache(audit.read_cache(spark, out), made)
+    again = _deliver(spark, tmp_path / "second", files, cache=merged)
+    assert audit.read_cache(spark, again).isEmpty()
+    assert audit.read_results(spark, again, merged).count() == 8
 
 
 def test_a_batch_run_again_replaces_itself(spark, tmp_path):
-    files = spark.createDataFrame([("a.py", "x"), ("b.py", "y")], "file_path string, content string")
-    out = str(tmp_path / "out")
+    files = cache.with_cache_key(spark.createDataFrame([("a.py", "x"), ("b.py", "y")], "file_path string, content string"))
     for batch_id in (0, 1, 1):
-        audit.analyse_batch(files if batch_id == 0 else files.unionByName(files.withColumn("content", F.lit("z"))), batch_id, out)
-    assert audit.read_results(spark, out).count() == 4
+        audit.analyse_batch(files if batch_id == 0 else files.limit(1), batch_id, str(tmp_path))
+    assert audit.read_cache(spark, str(tmp_path)).count() == 3
 
 
 def test_progress_stream(spark, sf_dir, tmp_path, rows):
