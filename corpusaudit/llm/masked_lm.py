@@ -194,14 +194,22 @@ def window_counts(docs: DataFrame, symbol: np.ndarray, text: str = "text") -> Da
     return made.groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def _shard(part):
+    """A shard's counted windows as one row. It holds at most 2^25 / SHARDS of them, whatever the corpus."""
+    columns = (part.column(c).to_numpy().tobytes() for c in ("code", "n"))
+    return pa.table({"shard": part.column("shard")[:1], **{c: pa.array([x], pa.binary()) for c, x in zip(("codes", "n"), columns)}})
+
+
 def _learner(weights: list[np.ndarray], rates: list[float], seed: int):
-    """From a shard's counted windows to its weights, one after another, and the number of windows."""
+    """From the rows of shards to their weights, one after another, and their numbers of windows."""
 
-    def learn(part):
-        # A shard holds at most 2^25 / SHARDS windows, whatever the corpus.
-        codes, n = part.column("code").to_numpy(), part.column("n").to_numpy()
-        after = np.concatenate([w.ravel() for w in train(weights, codes, n, rates, seed)]).astype(np.float64)
-        return pa.table({"shard": part.column("shard")[:1], "weights": pa.array([after]), "n": np.array([float(n.sum())])})
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, codes, n in zip(*(batch.column(c) for c in ("shard", "codes", "n"))):
+                codes, n = np.frombuffer(codes.as_py(), np.int32), np.frombuffer(n.as_py(), np.int64)
+                after = np.concatenate([w.ravel() for w in train(weights, codes, n, rates, seed)]).astype(np.float64)
+                cells = [pa.array([shard.as_py()], pa.int32()), pa.array([after]), pa.array([float(n.sum())])]
+                yield pa.RecordBatch.from_arrays(cells, names=["shard", "weights", "n"])
 
     return learn
 
@@ -209,12 +217,13 @@ def _learner(weights: list[np.ndarray], rates: list[float], seed: int):
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, seed: int = 0) -> Network:
     """A network trained on all windows of all documents. Without any window it stays as it starts."""
     symbol = symbols(docs, text)
-    counted = stored(window_counts(docs, symbol, text).withColumn("shard", F.pmod(F.xxhash64(F.shiftright("code", BITS)), F.lit(SHARDS)).cast("int")), "windows")
+    counted = window_counts(docs, symbol, text).withColumn("shard", F.pmod(F.xxhash64(F.shiftright("code", BITS)), F.lit(SHARDS)).cast("int"))
+    shards = stored(counted.groupBy("shard").applyInArrow(_shard, "shard int, codes binary, n binary"), "windows")
     weights = start(seed)
     for r in range(rounds):
         rates = [RATE * (1 - (r * PASSES + i) / (rounds * PASSES)) for i in range(PASSES)]
         learner = _learner(weights, rates, seed + r)
-        parts = counted.groupBy("shard").applyInArrow(learner, "shard int, weights array<double>, n double").collect()  # SHARDS rows at most
+        parts = shards.mapInArrow(learner, "shard int, weights array<double>, n double").collect()  # SHARDS rows at most
         if not parts:
             break
         parts.sort(key=lambda x: x["shard"])
