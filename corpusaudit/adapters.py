@@ -105,7 +105,7 @@ FROM {files}
 """
 
 VIEWS["logs"] = """
-SELECT l_orderkey * 100 + l_linenumber AS file_id, l_partkey AS run_id, language, exit_code,
+SELECT l_orderkey * 100 + l_linenumber AS file_id, l_partkey AS run_id, language, exit_code, p AS told_passed, f AS told_failed,
        CASE language
          WHEN 'python' THEN CASE WHEN f = 2 THEN 't.py::a PASSED' || chr(10) || 't.py::b FAILED' || chr(10) || 't.py::c SKIPPED' || chr(10)
               ELSE '===== ' || cast(p AS string) || ' passed, ' || cast(f AS string) || ' failed, 1 skipped in 0.52s =====' || chr(10) || 'TOTAL    100   20    80%' END

@@ -590,27 +590,29 @@ _UNSUPPORTED = f"'Unsupported language: ' || language || {quoted('. ' + testlogs
 _SCRIPT_ERROR = f"CASE WHEN regexp_matches(stdout, 'Test Suites:\\s+\\d+\\s+failed') AND r = 0 THEN {quoted(testlogs.SUITE_FAILED)} END"
 
 
+# What each log says, from the numbers that it was made of (p passed, f failed), not from its text.
+_TOLD = f"""(SELECT *, CASE WHEN language = 'ruby' THEN {_UNSUPPORTED}
+      WHEN language = 'java' AND f = 2 THEN '[ERROR] missing symbol ' || p WHEN language = 'java' AND p = 7 THEN {quoted(testlogs.COMPILATION_FAILED)}
+      WHEN language = 'java' AND p = 8 AND exit_code = 0 THEN {quoted(testlogs.NO_TESTS)}
+      WHEN language IN ('javascript', 'typescript') AND p = 9 THEN {quoted(testlogs.SUITE_FAILED)} END AS error,
+      CASE WHEN language = 'python' THEN 'py' WHEN language = 'java' AND f < 2 AND p NOT IN (7, 8) THEN 'full' WHEN language = 'java' AND f < 2 AND p = 8 THEN 'empty'
+        WHEN language IN ('javascript', 'typescript') AND p NOT IN (9, 10, 11) THEN 'full' WHEN language IN ('javascript', 'typescript') AND p = 11 THEN 'total' END AS kind
+    FROM (SELECT *, told_passed AS p, told_failed AS f FROM {_LOGS}) l) t"""
+
+
 @query(
     "normalise_validations",
-    f"""WITH base AS (SELECT *, {_num('stdout', _SURE, 1)} AS jr, {_num('stdout', _SURE, 2)} + {_num('stdout', _SURE, 3)} AS jf, {_num('stdout', _SURE, 4)} AS js FROM {_JEST}),
-      py AS ({_pytest(f"CASE WHEN r > 0 THEN r ELSE {_FALL['PASSED']} + {_FALL['FAILED']} + {_FALL['ERROR']} END AS pr, CASE WHEN r > 0 THEN p ELSE {_FALL['PASSED']} END AS ppass, stdout, exit_code, language")}),
-      e AS (SELECT *, CASE language WHEN 'java' THEN {_JAVA_ERROR} WHEN 'ruby' THEN {_UNSUPPORTED} WHEN 'python' THEN NULL ELSE {_SCRIPT_ERROR} END AS error FROM base)
-    SELECT language, coalesce(error, '') AS error, count(*) AS logs, count_if(exit_code = 0 AND error IS NULL)::BIGINT AS successes,
-      sum(CASE WHEN language = 'java' AND error IS NULL THEN jr WHEN language IN ('javascript', 'typescript') AND error IS NULL THEN r ELSE 0 END)::BIGINT
-       + CASE WHEN language = 'python' THEN (SELECT sum(pr)::BIGINT FROM py WHERE language = 'python') ELSE 0 END AS tests_run,
-      sum(CASE WHEN language = 'java' AND error IS NULL THEN jr - jf - js WHEN language IN ('javascript', 'typescript') AND error IS NULL THEN pp ELSE 0 END)::BIGINT
-       + CASE WHEN language = 'python' THEN (SELECT sum(ppass)::BIGINT FROM py WHERE language = 'python') ELSE 0 END AS tests_passed
-    FROM e GROUP BY language, error""",
-)
-def _(read):
-    """All logs in one schema, summed per language and error."""
-    rows = testlogs.normalise_validations(_with_stderr(read))
-    return rows.groupBy("language", F.coalesce("error", F.lit("")).alias("error")).agg(
-        F.count(F.lit(1)).alias("logs"),
-        F.count_if("success").alias("successes"),
-        F.sum("tests_run").alias("tests_run"),
-        F.sum("tests_passed").alias("tests_passed"),
-    )
+    f"""SELECT file_id, run_id, language, exit_code = 0 AND error IS NULL AS success,
+      CASE WHEN kind = 'py' THEN CASE WHEN f = 2 THEN 2 ELSE p + f + 1 END WHEN kind = 'full' THEN p + f WHEN kind = 'total' THEN p ELSE 0 END::BIGINT AS tests_run,
+      CASE WHEN kind = 'py' AND f = 2 THEN 1 WHEN kind IN ('py', 'full', 'total') THEN p ELSE 0 END::BIGINT AS tests_passed,
+      CASE WHEN kind = 'py' AND f = 2 THEN 1 WHEN kind IN ('py', 'full') THEN f ELSE 0 END::BIGINT AS tests_failed, 0::BIGINT AS tests_errors,
+      CASE WHEN kind = 'py' THEN 1 ELSE 0 END::BIGINT AS tests_skipped,
+      CASE WHEN kind = 'py' AND f < 2 THEN 80 WHEN language = 'java' AND error IS NULL THEN p % 101 WHEN language IN ('javascript', 'typescript') AND kind = 'full' THEN 85.71 ELSE 0 END::DOUBLE AS coverage_percent,
+      exit_code::BIGINT AS exit_code, CASE WHEN language = 'ruby' THEN 'unsupported' ELSE 'runner' END AS execution_mode, error, 0::DOUBLE AS execution_time, md5(stdout) AS stdout FROM {_TOLD}""",
+)
+def _(read):
+    """Every log in one schema, with all its columns and whole texts."""
+    return testlogs.normalise_validations(_with_stderr(read)).drop("stderr", "told_passed", "told_failed").withColumn("stdout", F.md5("stdout"))
 
 
 @query(

@@ -207,20 +207,38 @@ def issue_rows(checked: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("message", issue_message(F.col("kind"), F.col("name")))
 
 
+#: Declarations at the start of a line; a match of one fixed expression, however many names are wanted.
+LINE_DECLARATION = r"\n((?:enum|interface|type|class|function)\s+\w+|const\s+\w+(?=\s*=))"
+
+
 def fix_exports_ts(source: Column, names: Column) -> Column:
-    """Put ``export`` before the first kind of declaration that matches, name by name."""
-
-    def export_name(code: Column, name: Column) -> Column:
-        result = F.when(F.lit(False), code)
-        for kind in FIX_ORDER:
-            tail = F.lit(r"\s*=)") if kind == "const" else F.lit(r"\b)")
-            pattern = F.concat(F.lit(rf"(?U)(\n)({kind}\s+"), name, tail)
-            # The plain search spares most sources the expressions of kinds they lack.
-            present = code.contains("\n" + kind) & F.regexp_like(code, pattern)
-            result = result.when(present, F.regexp_replace(code, pattern, F.lit("$1export $2")))
-        return result.otherwise(code)
-
-    return F.aggregate(names, source, export_name)
+    """Put ``export`` before every declaration of each name, of the first kind that it is declared as.
+
+    The declarations are read once; one expression then changes all names.
+    """
+
+    def declared(texts: Column) -> Column:
+        kinds = F.array(*[F.lit(k) for k in FIX_ORDER])
+        place = lambda d: F.array_position(kinds, F.regexp_extract(d, r"^\w+", 0))
+        return F.array_distinct(
+            F.transform(texts, lambda d: F.struct(F.regexp_extract(d, r"(?U)(\w+)$", 1).alias("name"), place(d).alias("place")))
+        )
+
+    def wanted(found: Column) -> Column:
+        def first(name: Column) -> Column:
+            return F.array_min(F.filter(found, lambda d: d["name"] == name))
+
+        return F.array_compact(F.transform(names, first))
+
+    def part(d: Column) -> Column:
+        kind = F.element_at(F.array(*[F.lit(k) for k in FIX_ORDER]), d["place"].cast("int"))
+        return F.concat(kind, F.lit(r"\s+"), d["name"], F.when(kind == "const", F.lit(r"\s*=")).otherwise(F.lit(r"\b")))
+
+    def replaced(parts: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?U)(\n)("), F.array_join(F.transform(parts, part), "|"), F.lit(")"))
+        return F.when(F.size(parts) > 0, F.regexp_replace(source, pattern, F.lit("$1export $2"))).otherwise(source)
+
+    return let(_all(source, LINE_DECLARATION), lambda texts: let(declared(texts), lambda found: let(wanted(found), replaced)))
 
 
 def fix_module_system_ts(source: Column) -> Column:

@@ -175,6 +175,65 @@ def jest_json_success(log: Column, exit_code: Column) -> Column:
     )
 
 
+def _staged(logs: DataFrame, language: Column, out: Column) -> DataFrame:
+    """Add, one stage after another, the line with the totals, its numbers as texts, and the numbers.
+
+    Each stage is a column of its own, so that all of it runs in generated code
+    and no expression is searched for twice.
+    """
+    script = language.isin("javascript", "typescript")
+    html = F.coalesce("coverage_html", F.lit("")) if "coverage_html" in logs.columns else F.lit("")
+    line = (
+        F.when(language == "python", F.regexp_extract(out, "(?d)" + PYTEST_SUMMARY, 1))
+        .when(language == "java", F.regexp_extract(out, "(?d)" + SUREFIRE, 0))
+        .when(script, F.regexp_extract(out, "(?d)" + JEST_TESTS, 1))
+    )
+    cover = (
+        F.when(language == "python", F.coalesce(_digits(F.regexp_extract(out, "(?d)" + COVERAGE_FULL, 1)), F.regexp_extract(out, "(?d)" + COVERAGE_SHORT, 1)))
+        .when(language == "java", F.regexp_extract(html, "(?d)" + JACOCO, 1))
+        .when(script, F.regexp_extract(out, "(?d)" + JEST_COVERAGE, 1))
+    )
+    logs = with_once(with_once(logs, "t_line", line), "t_cover", cover)
+    words = lambda names: F.array(*[F.regexp_extract("t_line", rf"(?d)(\d+)\s+{w}", 1) for w in names])
+    texts = (
+        F.when(language == "python", words(PYTEST_WORDS))
+        .when(language == "java", F.regexp_extract_all("t_line", F.lit(r"(\d+)"), F.lit(1)))
+        .when(script, words(JEST_WORDS))
+    )
+    logs = with_once(logs, "t_texts", texts)
+    numbers = [F.coalesce(F.when(F.length(t).between(1, 18), t.cast("bigint")), F.lit(0).cast("bigint")) for i in range(4) for t in [F.get("t_texts", F.lit(i))]]
+    return with_once(logs, "t_numbers", F.array(*numbers))
+
+
+def _digits(c: Column) -> Column:
+    return F.when(F.length(c).between(1, 18), c)
+
+
+def _as_number(c: Column) -> Column:
+    """A captured percentage, 0 where there is none or it has too many digits."""
+    return F.coalesce(F.when(F.length(c).between(1, 18), c.try_cast("double")), F.lit(0.0))
+
+
+def _staged_counts(language: Column, out: Column) -> Column:
+    a, b, c, d = (F.get("t_numbers", F.lit(i)) for i in range(4))
+    by_line = [count_of(out, f" {w.upper()}\n") for w in PYTEST_WORDS]
+    python = F.when(a + b + c + d > 0, _counts(a + b + c + d, a, b, c, d)).otherwise(
+        _counts(by_line[0] + by_line[1] + by_line[2], *by_line)
+    )
+    java = _counts(a, a - b - c - d, b + c, c, d)
+    inferred = (a > 0) & (b == 0) & (c == 0)
+    script = _counts(a, F.when(inferred, a - c - d).otherwise(b), c, skipped=d)
+    return F.when(language == "python", python).when(language == "java", java).when(language.isin("javascript", "typescript"), script)
+
+
+def _staged_error(language: Column, out: Column, err: Column, exit_code: Column) -> Column:
+    told = F.length(F.coalesce(F.get("t_texts", F.lit(0)), F.lit(""))).between(1, 18)
+    java = F.coalesce(build_failure(out, err), F.when(~told & (exit_code == 0), NO_TESTS))
+    failed = out.contains("Test Suites: ") & out.contains(" failed") & _int(out, JEST_SUITES).isNotNull()
+    script = F.when(failed & (F.get("t_numbers", F.lit(0)) == 0), SUITE_FAILED)
+    return F.when(language == "java", java).when(language.isin("javascript", "typescript"), script)
+
+
 def normalise_validations(logs: DataFrame, mode: str = "runner", clip: int | None = None) -> DataFrame:
     """Logs (language, stdout, stderr, exit_code, coverage_html) in one result schema.
 
@@ -190,20 +249,14 @@ def normalise_validations(logs: DataFrame, mode: str = "runner", clip: int | Non
     by_exit = exit_code_counts(exit_code)
     dropped = ["stdout", "stderr", "exit_code", "coverage_html", "language", "execution_time"]
     took = F.coalesce(F.col("execution_time").cast("double"), F.lit(0.0)) if "execution_time" in logs.columns else F.lit(0.0)
-    keys = [c for c in logs.columns if c not in dropped]
+    keys = [c for c in logs.columns if c not in dropped]  # before stages add theirs
     if mode == "runner":
-        found = F.when(language == "java", surefire_error(out, err, exit_code)).when(script, jest_error(out))
-        logs, error = with_once(logs, "run_error", found), F.col("run_error")
-        counts = (
-            F.when(language == "python", pytest_counts(out))
-            .when((language == "java") & error.isNull(), surefire_counts(out))
-            .when(script & error.isNull(), jest_counts(out))
-        )
-        coverage = (
-            F.when(language == "python", coverage_py(out))
-            .when((language == "java") & error.isNull(), jacoco_coverage(F.coalesce("coverage_html", F.lit(""))))
-            .when(script & error.isNull(), jest_coverage(out))
-        )
+        logs = _staged(logs, language, out)
+        counts, error = _staged_counts(language, out), _staged_error(language, out, err, exit_code)
+        logs, error = with_once(logs, "run_error", error), F.col("run_error")
+        counts = F.when(error.isNull() | (language == "python"), counts)
+        cover = _as_number(F.col("t_cover"))
+        coverage = F.when(language == "python", cover).when(error.isNull(), cover)
     elif mode == "sandbox":
         counts = F.when(language.isin("python", "java"), by_exit).when(script, jest_json_counts(out, exit_code))
         success = F.when(script, jest_json_success(out, exit_code)).otherwise(success)

@@ -97,7 +97,9 @@ def test_one_schema_for_all_languages(spark):
     assert [r["success"] for r in got] == [True, False, True, False, False]
     assert [r["tests_run"] for r in got] == [2, 0, 1, 0, 0]
     assert got[3]["error"].startswith("Unsupported language: ruby. Supported") and got[3]["execution_mode"] == "unsupported"
-    assert len(got[4]["stdout"]) == 10_000
+    assert len(got[4]["stdout"]) == 20_000 and {r["execution_time"] for r in got} == {0.0}
+    clipped = testlogs.normalise_validations(logs.withColumn("execution_time", F.lit(1.5)), clip=10_000).collect()
+    assert len(clipped[4]["stdout"]) == 10_000 and {r["execution_time"] for r in clipped} == {1.5}
 
 
 def test_a_summary_behind_a_long_log_counts(spark):
