@@ -406,7 +406,7 @@ def _(read):
 )
 def _(read):
     """The statistics of the audit bundle over whole texts."""
-    results = reports.audit(read("sources").select("repo", "file_path", "content"), cache=False)
+    results = reports.audit(read("sources").select("repo", "file_path", "content"))
     return results["statistics"].drop(*dims.SEVERITIES)
 
 

@@ -14,7 +14,7 @@ from corpusaudit import dims
 from corpusaudit.functions import severity
 from corpusaudit.functions.once import with_once
 from corpusaudit.operators import rules as R
-from corpusaudit.operators.grouping import Keys, first_per_group, key_list, salted_parts
+from corpusaudit.operators.grouping import Keys, batches, first_per_group, key_list
 
 FACTS = [
     "n_patterns", *[f"n_{s}" for s in dims.SEVERITIES], "pattern_score", "effort_hours",
@@ -150,16 +150,20 @@ def cap_patterns(patterns: DataFrame, n: int, order: list[Column], key: Keys = "
     return first_per_group(patterns, key_list(key), [*first, *order], n)
 
 
-def to_nested(patterns: DataFrame, fields: list[str], key: Keys = "file_path", max_per_row: int = 100_000) -> DataFrame:
-    """One row per file with its patterns as a sorted array.
+def to_nested(patterns: DataFrame, fields: list[str], key: Keys = "file_path", max_per_row: int | None = None) -> DataFrame:
+    """One row per file with its patterns as an array in the order of ``fields``.
 
-    A file with more than ``max_per_row`` patterns is spread over several rows,
-    numbered by ``part``, so that no array grows without bound.
+    With ``max_per_row``, a file with more patterns has several rows, numbered
+    from 0 by ``part``, that continue one another; ``fields`` must then tell the
+    patterns of a file apart.
     """
-    item = F.struct(*fields)
     keys = key_list(key)
-    salted = salted_parts(patterns.select(*keys, item.alias("p")), keys, max_per_row, F.xxhash64("p"))
-    return salted.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("p")).alias("patterns"))
+    rows = patterns.select(*keys, *[c for c in fields if c not in keys])
+    if max_per_row is None:
+        numbered = rows.withColumn("part", F.lit(0))
+    else:
+        numbered = batches(rows, max_per_row, fields, keys).withColumn("part", F.col("batch_id").cast("int"))
+    return numbered.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("patterns"))
 
 
 def to_flat(nested: DataFrame, key: Keys = "file_path") -> DataFrame:

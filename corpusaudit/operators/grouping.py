@@ -30,21 +30,6 @@ def file_key(df: DataFrame) -> list[str]:
     return [c for c in ("repo", "file_path") if c in df.columns]
 
 
-def salted_parts(df: DataFrame, keys: list[str], max_rows: int, salt: Column) -> DataFrame:
-    """Add ``part``: 0 for a normal group, several values for one above ``max_rows``.
-
-    Only the counts of oversized groups are joined back; adaptive execution
-    broadcasts them when they prove small and splits skewed partitions otherwise.
-    """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > max_rows)
-    parts = F.ceil(F.col("n_rows") / max_rows)
-    return (
-        df.join(hot, keys, "left")
-        .withColumn("part", F.coalesce(F.pmod(salt, parts), F.lit(0)).cast("int"))
-        .drop("n_rows")
-    )
-
-
 def _cut_points(df: DataFrame, key: Column, rows: int, rows_per_task: int) -> tuple[Column, int]:
     """Sampled cut points in order, as one constant array, and their number.
 

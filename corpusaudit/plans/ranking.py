@@ -59,7 +59,7 @@ def plan_steps(patterns: DataFrame, order: list[str], key: Keys = "file_path", p
 def transformation_plan(analyses: DataFrame, patterns: DataFrame, order: list[str], key: Keys = "file_path") -> DataFrame:
     """One plan per file: ordered steps, effort of the kept patterns, priority.
 
-    Steps are at most one per pattern type, which the rule catalogue bounds.
+    Steps are at most one per pattern type of the file.
     """
     steps = plan_steps(patterns, order, key)
     step = F.struct("first_seen", "pattern_type", "severity", "confidence", "estimated_effort_hours")

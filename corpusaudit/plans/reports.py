@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from corpusaudit import dims
 from corpusaudit.operators import analysis
 from corpusaudit.operators.grouping import first_per_group
 from corpusaudit.plans import ranking, statistics
+from corpusaudit.session import stored
 
 Section = list[tuple[str, Column]]
 
@@ -154,15 +154,13 @@ def shown_errors(errors: DataFrame, n: int = 5) -> DataFrame:
     return first_per_group(errors, ["phase"], [F.asc("item"), F.asc("error")], n, "error_no")
 
 
-def audit(files: DataFrame, rules=None, cache: bool = True) -> dict[str, DataFrame]:
+def audit(files: DataFrame, rules=None) -> dict[str, DataFrame]:
     """All results of an audit of files (repo, file_path, content).
 
     The texts are read once: the analyses carry what every result needs and are
-    kept on executor disks; lost blocks are computed again from the texts.
+    written to the shared folder.
     """
-    analysed = analysis.categorise(analysis.with_facts(analysis.analyse_files(files, rules)))
-    if cache:
-        analysed = analysed.persist(StorageLevel.MEMORY_AND_DISK)
+    analysed = stored(analysis.categorise(analysis.with_facts(analysis.analyse_files(files, rules))), "audit")
     flat_facts = analysed.drop("patterns")
     return {
         "analyses": analysed,

@@ -195,7 +195,6 @@ def test_audit_bundle(spark, sf_dir):
     plans = results["plans"]
     assert plans.count() == results["analyses"].filter("requires_modernization").count()
     assert {r["section"] for r in results["report"].collect()} == {"summary", "languages", "severities", "top files"}
-    results["analyses"].unpersist()
 
 
 def test_empty_inputs(spark, rows):
