@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusaudit.session import fresh_folder
+from corpusaudit.session import stored  # noqa: F401 - used by the operators
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -16,13 +16,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows written to the shared folder and read again, so that lineage ends there."""
-    path = fresh_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,8 @@ import re
 import pytest
 import xxhash
 
-from corpusaudit.llm import components, queries, simhash
+from corpusaudit.llm import queries, simhash
+from corpusaudit.operators import components
 
 
 def _print(text, size=3):
