@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusaudit.functions.once import with_once
@@ -48,6 +48,8 @@ def duplicate_files(files: DataFrame) -> DataFrame:
 # -- near copies -----------------------------------------------------------------
 #: Words of a shingle, least share of equal shingles, and bands times rows of the signature that finds candidates.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 4
+#: Texts of a band that are compared with the rest of it in one round.
+TURNS = 8
 
 
 def near_copies(files: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -74,32 +76,35 @@ def near_copies(files: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def _band_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """(text, first): links that connect all near copies of each band, without forming a band's pairs.
 
-    In each round, one text of every band, outside the band's largest cluster, is
-    compared with the texts of the band's other clusters and joins those it is
-    near. A band is done when all texts outside its largest cluster have had
-    their turn: any two texts of different clusters were then compared. A band of
-    n copies takes a round or two, not n squared comparisons.
+    In each round, a few texts of every band, outside the band's largest
+    cluster, are compared with the texts of the band's other clusters and join
+    those they are near. A band is done when all texts outside its largest
+    cluster have had their turn: any two texts of different clusters were then
+    compared. A band of n copies takes a round or two, not n squared comparisons.
     """
     band = ["band", "value"]
     shared = members.groupBy(*band).agg(F.count("*").alias("n")).where("n > 1").select(*band)
     state = stored(members.join(shared, band).select(*band, "text", F.col("text").alias("label"), F.lit(False).alias("done")), "near-bands")
     links = members.sparkSession.createDataFrame([], "text long, first long")
+    order = Window.partitionBy(*band).orderBy("first")
     while True:
         clusters = state.groupBy(*band, "label").agg(F.count("*").alias("n"))
         largest = clusters.groupBy(*band).agg(F.max(F.struct("n", "label")).alias("largest"))
-        outside = state.join(largest, band).where("label <> largest.label AND NOT done")
-        turn = stored(outside.groupBy(*band).agg(F.min(F.struct("text", "label")).alias("turn")).select(*band, F.col("turn.text").alias("first"), F.col("turn.label").alias("own")), "near-turns")
+        outside = state.join(largest, band).where("label <> largest.label AND NOT done").select(*band, F.col("text").alias("first"), F.col("label").alias("own"))
+        turn = stored(outside.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TURNS).drop("place"), "near-turns")
         if turn.isEmpty():
             return links
         pairs = state.join(turn, band).where("label <> own")
         near = _compared(pairs.select("text", "first").distinct(), sets, similar)
         found = stored(pairs.join(near, ["text", "first"]).select(*band, "label", "own", "text", "first"), "near-links")
         links = links.unionByName(found.select("text", "first").distinct())
-        target = found.groupBy(*band).agg(F.least(F.min("label"), F.min("own")).alias("target"))
-        joined = found.select(*band, "label").unionByName(found.select(*band, F.col("own").alias("label"))).distinct().join(target, band)
+        target = found.groupBy(*band, "own").agg(F.least(F.min("label"), F.min("own")).alias("target"))
+        both = found.select(*band, "own", F.explode(F.array("label", "own")).alias("label")).distinct()
+        joined = both.join(target, [*band, "own"]).groupBy(*band, "label").agg(F.min("target").alias("target"))
+        had = turn.select(*band, F.col("first").alias("text"), F.lit(True).alias("had"))
         state = stored(
-            state.join(turn, band).join(joined, [*band, "label"], "left").select(
-                *band, "text", F.coalesce("target", "label").alias("label"), (F.col("done") | (F.col("text") == F.col("first"))).alias("done")
+            state.join(turn.select(*band).distinct(), band).join(joined, [*band, "label"], "left").join(had, [*band, "text"], "left").select(
+                *band, "text", F.coalesce("target", "label").alias("label"), (F.col("done") | F.coalesce("had", F.lit(False))).alias("done")
             ),
             "near-bands",
         )
