@@ -1,13 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Texts become sequences of word hashes, letters in lower case and punctuation
-dropped. A first reading of the corpus counts in how many documents each n-gram
-of the test items occurs; the rarer half of every item's n-grams are its seeds.
-Rarity is relative to the item, so a passage that a third of all documents hold
-keeps its seeds. In a second reading, each seed that a document shares joins it
-to the item, and the words around are aligned with the whole item by local
-alignment, which bridges changed, added and dropped words. The window around a
-seed is as wide as any alignment through it can be that reaches the threshold.
+dropped. Seeds are pairs of words that are next to each other or have one word
+between them, in the item and in the document, so that a word changed, added or
+dropped between the two breaks no pair. A first reading of the corpus counts in
+how many documents each pair of the test items occurs, and the rarest places of
+every item are its seeds, as many as lose nothing (``Items.rare``): any
+alignment that reaches the threshold meets ``needed`` of them. In a second
+reading, a stretch of a document that meets that many is joined to the item, and
+the words around are aligned with the whole item by local alignment. The window
+around a seed is as wide as any alignment through it can be that reaches the
+threshold, so the result is that of aligning every item with every text.
 
 Both readings are narrow: the items travel to the documents. They are bounded:
 items beyond ``MOST_WORDS`` words are taken in further passes, split by hash, so
@@ -16,6 +19,7 @@ that a benchmark of any size is checked whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -28,11 +32,11 @@ from pyspark.sql import functions as F
 
 from corpusaudit.llm.common import stored
 
-#: Words of an n-gram, and of all items that travel together.
-GRAM, MOST_WORDS = 3, 1 << 21
-#: Part of an item's n-grams that are seeds, and the number that always are.
-RARE, LEAST_SEEDS = 0.5, 8
-#: Points of a matching word, and cost of a changed, added or dropped one.
+#: Distances of the two words of a pair, and words of all items that travel together.
+GAPS, MOST_WORDS = (1, 2), 1 << 20
+#: Part of an item's places that are seeds, if those that lose nothing are fewer. It decides speed only.
+RARE = 0.75
+#: Points of a matching word, and cost of a changed, added or dropped one; half of the points or more (``_met``).
 MATCH, COST = 2, 1
 #: Part of the points of a whole match from which a document holds an item.
 THRESHOLD = 0.5
@@ -120,50 +124,78 @@ def _grouped(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(start, np.cumsum([len(x) + 1 for x in group]) - 1, side="right")
 
 
-def grams(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size`` words in a row."""
-    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
-    for i in range(size):
-        out = out * np.uint64(0x94D049BB133111EB) + words[i : i + len(out)]
-    return _mixed(out)
+def pairs(words: np.ndarray, gap: int) -> np.ndarray:
+    """Hash of every two words at a distance; of every word for the distance 0."""
+    if not gap:
+        return _mixed(words)
+    return _mixed(words[:-gap] * np.uint64(0x94D049BB133111EB) + words[gap:])
+
+
+def _met(length: int, threshold: float) -> tuple[int, bool]:
+    """How many places of an item any alignment at the threshold meets, and whether by pairs.
+
+    Of m matching words and e edits, 2m - e >= 2 * threshold * length. Between
+    the m words are m - 1 gaps, at most e / 2 of them with two edits or more, so
+    threshold * length - 1 gaps have one edit at most: their two words are at a
+    distance of 1 or 2 in the item and in the text. Where that is no gap at all,
+    single words are met.
+    """
+    least = math.ceil(threshold * length - 1e-9)
+    return (least - 1, True) if least > 1 else (1, False)
 
 
 @dataclass
 class Items:
-    """Test items that travel together: ids, words, and seeds as sorted hashes with item and offset."""
+    """Test items that travel together: ids, words, seeds as sorted hashes with item and offset, and how many seeds are needed."""
 
     ids: list[int]
     words: list[np.ndarray]
+    threshold: float
     seeds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offset: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    needed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @classmethod
-    def of(cls, ids: list[int], words: list[np.ndarray]) -> Items:
-        """With every n-gram as a seed; an item of fewer words is one seed as a whole."""
-        found = [(grams(w, min(GRAM, len(w))), np.full(max(1, len(w) - GRAM + 1), i)) for i, w in enumerate(words)]
-        seeds = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-        item = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-        offset = np.concatenate([np.arange(len(x)) for x, _ in found]) if found else np.zeros(0, np.int64)
-        return cls(ids, words)._with(seeds, item, offset)
-
-    def _with(self, seeds: np.ndarray, item: np.ndarray, offset: np.ndarray) -> Items:
+    def of(cls, ids: list[int], words: list[np.ndarray], threshold: float) -> Items:
+        """With every place as a seed."""
+        found, needed = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], []
+        for i, w in enumerate(words):
+            least, paired = _met(len(w), threshold)
+            needed.append(least)
+            for gap in GAPS if paired else (0,):
+                if len(w) > gap:
+                    h = pairs(w, gap)
+                    found.append((h, np.full(len(h), i), np.arange(len(h))))
+        return cls(ids, words, threshold)._with(*(np.concatenate(x) for x in zip(*found)), np.array(needed, np.int64))
+
+    def _with(self, seeds: np.ndarray, item: np.ndarray, offset: np.ndarray, needed: np.ndarray) -> Items:
         order = np.lexsort((offset, item, seeds))
-        return Items(self.ids, self.words, seeds[order], item[order], offset[order])
+        return Items(self.ids, self.words, self.threshold, seeds[order], item[order], offset[order], needed)
 
     def parts(self) -> tuple:
         """Plain arrays, which tasks can read without this class."""
-        return self.ids, self.words, self.seeds, self.item, self.offset
+        return self.ids, self.words, self.threshold, self.seeds, self.item, self.offset, self.needed
 
     def rare(self, seen: dict[int, int]) -> Items:
-        """With the rarer part of each item's seeds; ``seen`` counts documents by hash."""
+        """With the seeds of each item's rarer places; ``seen`` counts documents by hash.
+
+        Of an item's places, an alignment at the threshold meets ``needed``. Each
+        place that is left out takes one away at most, so one fewer is needed,
+        and at least one stays.
+        """
         counts = np.array([seen.get(int(h), 0) for h in self.seeds.view(np.int64)], np.int64)
-        order = np.lexsort((self.offset, counts, self.item))
-        item = self.item[order]
-        first = np.searchsorted(item, item)
-        total = np.bincount(item, minlength=len(self.ids))[item]
-        kept = order[np.arange(len(item)) - first < np.maximum(LEAST_SEEDS, np.ceil(RARE * total))]
-        return self._with(self.seeds[kept], self.item[kept], self.offset[kept])
+        place = np.concatenate([[0], np.cumsum([len(w) for w in self.words])])[self.item] + self.offset
+        places, first, at = np.unique(place, return_index=True, return_inverse=True)
+        often = np.bincount(at, counts)
+        item = self.item[first]
+        order = np.lexsort((places, often, item))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(item, item[order])
+        total = np.bincount(item, minlength=len(self.ids))
+        most = np.minimum(total, np.maximum(total - self.needed + 1, np.ceil(RARE * total).astype(np.int64)))
+        kept = (rank < most[item])[at]
+        return self._with(self.seeds[kept], self.item[kept], self.offset[kept], np.maximum(1, self.needed - (total - most)))
 
     @cached_property
     def filter(self) -> np.ndarray:
@@ -173,27 +205,27 @@ class Items:
         return out
 
     @cached_property
-    def sizes(self) -> list[int]:
-        return sorted({min(GRAM, len(w)) for w in self.words})
+    def gaps(self) -> list[int]:
+        return sorted({gap for w in self.words for gap in (GAPS if _met(len(w), self.threshold)[1] else (0,))})
 
     def found(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first word and seed number (of the first equal seed) of every n-gram that is a seed, by text."""
+        """Text, first word and seed number (of the first equal seed) of every pair that is a seed."""
         out = []
-        for size in self.sizes:
-            h = grams(words, size)
+        for gap in self.gaps:
+            h = pairs(words, gap)
             at = np.flatnonzero(self.filter[(h >> np.uint64(42)).astype(np.int64)])
             seed = np.searchsorted(self.seeds, h[at])
             hit = seed < len(self.seeds)
             hit[hit] = self.seeds[seed[hit]] == h[at[hit]]
             at, seed = at[hit], seed[hit]
             text = np.searchsorted(ends, at, side="right")
-            whole = at + size <= ends[np.minimum(text, len(ends) - 1)]
+            whole = at + gap < ends[np.minimum(text, len(ends) - 1)]
             out.append((text[whole], at[whole], seed[whole]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def _windows(items: Items, words: np.ndarray, ends: np.ndarray, threshold: float) -> dict[int, list[tuple[int, int, int]]]:
-    """For each item, (text, first, last) of the words that a seed's alignment may cover; overlapping ones of a text are one."""
+    """For each item, (text, first, last) of the words that an alignment may cover; overlapping ones of a text are one."""
     text, at, seed = items.found(words, ends)
     if not len(text):
         return {}
@@ -201,11 +233,21 @@ def _windows(items: Items, words: np.ndarray, ends: np.ndarray, threshold: float
     n = last - seed
     row = np.repeat(np.arange(len(text)), n)
     each = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + seed[row]
-    text, at, item = text[row], at[row] - items.offset[each], items.item[each]
+    text, at, item, offset = text[row], at[row], items.item[each], items.offset[each]
+    lengths = np.array([len(w) for w in items.words])
+    slack = np.floor(MATCH * lengths * (1 - threshold) / COST + 1e-9).astype(np.int64)
+    # An alignment is at most as long as its item and the words that it can add, so its seeds are that near each other.
+    order = np.lexsort((at, item))
+    text, at, item, offset = text[order], at[order], item[order], offset[order]
+    place = item * (len(words) + 2 * (lengths + slack).max() + 1) + at
+    span = (lengths + slack)[item]
+    need = items.needed[item]
+    begin, behind = np.searchsorted(place, place - span), np.searchsorted(place, place + span, side="right")
+    near = behind - begin >= need  # on both sides together; an alignment's seeds are all among them
+    text, at, item, offset = text[near], at[near], item[near], offset[near]
     starts = np.concatenate([[0], ends[:-1]])
-    length = np.array([len(w) for w in items.words])[item]
-    slack = np.floor(MATCH * length * (1 - threshold) / COST).astype(np.int64)
-    low, high = np.maximum(starts[text], at - slack), np.minimum(ends[text], at + length + slack)
+    low = np.maximum(starts[text], at - offset - slack[item])
+    high = np.minimum(ends[text], at - offset + lengths[item] + slack[item])
     out: dict[int, list[tuple[int, int, int]]] = {}
     order = np.lexsort((low, text, item))
     for i, t, a, b in zip(item[order].tolist(), text[order].tolist(), low[order].tolist(), high[order].tolist()):
@@ -273,14 +315,14 @@ def _load(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     return stored(made.groupBy("words").agg(F.min("id").alias("item_id"), F.sort_array(F.collect_set("id")).alias("items")), "benchmark-items")
 
 
-def _passes(docs: DataFrame, items: DataFrame, text: str) -> Iterator[Items]:
+def _passes(docs: DataFrame, items: DataFrame, text: str, threshold: float) -> Iterator[Items]:
     """Items with their seeds, ``MOST_WORDS`` words at a time in expectation; one reading of the texts for each."""
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     n = max(1, -(-total // MOST_WORDS))
     for i in range(n if total else 0):
         rows = items.where(F.pmod(F.xxhash64("words"), F.lit(n)) == i).select("item_id", "words").orderBy("item_id").collect()
         if rows:
-            every = Items.of([r["item_id"] for r in rows], [np.array(r["words"], np.int64).view(np.uint64) for r in rows])
+            every = Items.of([r["item_id"] for r in rows], [np.array(r["words"], np.int64).view(np.uint64) for r in rows], threshold)
             yield every.rare(_document_counts(docs, every, text))
 
 
@@ -333,7 +375,7 @@ def contaminated(
     items = _load(benchmark, item_key, item_text)
     kind = docs.schema[key].dataType.simpleString()
     out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, score double, start_word int, end_word int")
-    for own in _passes(docs, items, text):
+    for own in _passes(docs, items, text, threshold):
         each = docs.select(F.col(key).alias("doc_id"), hits_column(own, F.col(text), threshold, docs.sparkSession).alias("hits"))
         out = out.unionByName(each.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*"))
     return out.join(items.select("item_id", "items"), "item_id").select("doc_id", "item_id", "score", "start_word", "end_word", "items")
@@ -344,6 +386,6 @@ def keep_clean(
 ) -> DataFrame:
     """The documents that hold no test item, all columns."""
     out = docs
-    for own in _passes(docs, _load(benchmark, item_key, item_text), text):
+    for own in _passes(docs, _load(benchmark, item_key, item_text), text, threshold):
         out = out.where(F.size(hits_column(own, F.col(text), threshold, docs.sparkSession)) == 0)
     return out.select(*docs.columns)

@@ -121,3 +121,30 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert exact and exact <= got
     texts, tests = dict(docs), dict(items)
     assert all(_align(_words(tests[i]), _words(texts[d])) >= len(_words(tests[i])) for d, i in got)
+
+
+def test_lone_edited_copies_equal_brute_force(spark):
+    r = random.Random(5)
+    new = iter(range(10**6))
+    item = [r.choice(_WORDS) for _ in range(39)]
+    text = lambda n: " ".join(r.choice(_WORDS) for _ in range(n))
+    spoilt = lambda places: " ".join(f"new{next(new)}" if i in places else w for i, w in enumerate(item))
+    copies = [
+        spoilt(range(4, 35, 5)),  # of 37 three-word sequences, 21 are gone
+        spoilt(range(2, 39, 3)),  # all of them
+        " ".join(f"{w} new{next(new)}" for w in item),  # all pairs of neighbours
+        " ".join(w for i, w in enumerate(item) if i % 3),
+        " ".join(item[19:]),
+        " ".join(item[:20]),
+    ]
+    for copy in copies:  # each the only holder of the item
+        docs = [(1, f"{text(50)} {copy} {text(50)}", 1, "x"), (2, text(200), 1, "x")]
+        items = [(1, " ".join(item)), (2, text(30))]
+        expected = _plain(docs, items)
+        assert [x[:2] for x in expected] == [(1, 1)] and _got(spark, docs, items)[1] == expected
+
+
+@pytest.mark.parametrize("threshold", [0.35, 0.5, 0.8])
+def test_production_parameters_equal_brute_force(spark, threshold):
+    docs, items = _case(4)
+    assert _got(spark, docs, items, threshold=threshold)[1] == _plain(docs, items, threshold)
