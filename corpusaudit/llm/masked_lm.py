@@ -1,17 +1,19 @@
 """Documents scored by a masked pseudo-likelihood.
 
-Tokens are letters: the most frequent bytes of the corpus, lower-case, one
-symbol each, and one for all others. A small network reads the two symbols on
-either side of a position, which is itself masked, and gives the probability of
-every symbol there; a document's score is the sum of the log-probabilities of
-all its symbols, each predicted from both sides.
+Tokens are bytes, every one a symbol of its own, but A to Z count as a to z. A
+small network reads the two symbols on either side of a position, which is
+itself masked, and gives the probability of every symbol there; a document's
+score is the sum of the log-probabilities of all its symbols, each predicted from
+both sides.
 
 The corpus is gathered whole: every window of five symbols of every document is
 counted, in tasks first and then by a shuffle, so that the network is trained on
-the exact counts of all windows. There are at most 2^25 different windows, in
-``SHARDS`` parts; a round trains a copy of the network on each part and averages
-the copies, weighted by their windows. Scoring fills a table of the network's
-answers, context by context as they occur, and then only looks up.
+the exact counts of all windows. They are dealt by hash of their context into
+shards of about ``SHARD`` different windows, so that tasks grow in number and not
+in size. A round trains a copy of the network on each shard and averages the
+copies, weighted by their windows; the sums are made by a shuffle, in whole
+numbers, so that they don't depend on its order. Scoring asks the network once
+for each different window of a piece, and remembers some.
 """
 
 from __future__ import annotations
@@ -26,14 +28,18 @@ from pyspark.sql import functions as F
 
 from corpusaudit.llm.common import stored
 
-#: Bits of a symbol; symbol 0 is beyond an edge of the text, the last one is any rarer byte.
-BITS = 5
+#: Bits of a symbol; symbol 0 is beyond an edge of the text, the others are bytes.
+BITS = 8
 SYMBOLS = 1 << BITS
 CONTEXTS = 1 << 4 * BITS
 EMBEDDING, HIDDEN = 12, 64
 SHARDS, ROUNDS, PASSES, BATCH, RATE = 8, 6, 4, 256, 0.02
-#: Bytes taken together when windows are made, and windows counted at a time.
-PIECE, COUNTED = 1 << 22, 1 << 23
+#: Different windows of a shard, about, if there are more than ``SHARDS`` shards of them.
+SHARD = 1 << 17
+#: Bytes taken together when windows are made, windows counted at a time, and windows that scoring remembers.
+PIECE, COUNTED, KNOWN = 1 << 21, 1 << 22, 1 << 21
+#: Weights are summed as whole numbers of this part of one.
+UNIT = 2.0**-40
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -90,9 +96,7 @@ def train(weights: list[np.ndarray], codes: np.ndarray, counts: np.ndarray, rate
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
     contexts, first = np.unique(codes >> BITS, return_index=True)
-    group = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(codes))))
-    table = np.zeros((len(contexts), SYMBOLS), np.float32)
-    table[group, codes & (SYMBOLS - 1)] = counts
+    edges, target = np.append(first, len(codes)), codes & (SYMBOLS - 1)
     weights = [w.copy() for w in weights]
     one, two = ([np.zeros_like(w) for w in weights] for _ in range(2))
     random, step = np.random.default_rng(seed), 0
@@ -101,7 +105,11 @@ def train(weights: list[np.ndarray], codes: np.ndarray, counts: np.ndarray, rate
         shuffled = random.permutation(len(contexts))
         for at in range(0, len(contexts), BATCH):
             rows, step = shuffled[at : at + BATCH], step + 1
-            for w, a, b, g in zip(weights, one, two, _gradients(weights, contexts[rows], table[rows], mean)):
+            n = edges[rows + 1] - edges[rows]
+            own = np.arange(n.sum()) + np.repeat(edges[rows] - (np.cumsum(n) - n), n)
+            table = np.zeros((len(rows), SYMBOLS), np.float32)
+            table[np.repeat(np.arange(len(rows)), n), target[own]] = counts[own]
+            for w, a, b, g in zip(weights, one, two, _gradients(weights, contexts[rows], table, mean)):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 w -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
@@ -126,7 +134,7 @@ def windows(texts: Iterable[tuple[int, bytes | None]], symbol: np.ndarray) -> It
 
     def made(group: list[tuple[int, bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         joined = np.frombuffer(b"\0\0" + b"\0\0".join(x[1] for x in group) + b"\0\0", np.uint8)
-        s = symbol[joined].astype(np.int32)
+        s = symbol[joined].astype(np.int64)
         code = s[:-4] << BITS | s[1:-3]
         code = (code << BITS | s[3:-1]) << BITS | s[4:]
         code = code << BITS | s[2:-2]
@@ -150,29 +158,12 @@ def windows(texts: Iterable[tuple[int, bytes | None]], symbol: np.ndarray) -> It
 
 def _counted(values: np.ndarray, name: str) -> pa.RecordBatch:
     keys, n = np.unique(values, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n.astype(np.int64))], names=[name, "n"])
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=[name, "n"])
 
 
-def symbols(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The symbol of each byte, from the counts of all bytes of all documents; 0 only for the zero byte."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                for a in range(0, len(data := x.as_py() or b""), PIECE):
-                    total += np.bincount(_LOWER[np.frombuffer(data[a : a + PIECE], np.uint8)], minlength=256)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["byte", "n"])
-
-    seen = docs.select(F.col(text).cast("binary")).mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
-    ranked = sorted((-r["n"], r["byte"]) for r in seen.collect() if r["byte"])  # at most 256 rows
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    for i, (_, byte) in enumerate(ranked[: SYMBOLS - 2], 1):
-        symbol[byte] = i
-    symbol = symbol[_LOWER]
-    symbol[0] = 0
-    return symbol
+def symbols(docs: DataFrame | None = None) -> np.ndarray:
+    """The symbol of each byte, the same whatever the documents: itself, in lower case; 0 only for the zero byte."""
+    return _LOWER.copy()
 
 
 def window_counts(docs: DataFrame, symbol: np.ndarray, text: str = "text") -> DataFrame:
@@ -190,49 +181,84 @@ def window_counts(docs: DataFrame, symbol: np.ndarray, text: str = "text") -> Da
         if held:
             yield _counted(np.concatenate(held), "code")
 
-    made = docs.select(F.col(text).cast("binary")).mapInArrow(count, "code int, n long")
+    made = docs.select(F.col(text).cast("binary")).mapInArrow(count, "code long, n long")
     return made.groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _shard(part):
-    """A shard's counted windows as one row. It holds at most 2^25 / SHARDS of them, whatever the corpus."""
+    """A shard's counted windows as one row. It holds about ``SHARD`` of them, whatever the corpus."""
     columns = (part.column(c).to_numpy().tobytes() for c in ("code", "n"))
     return pa.table({"shard": part.column("shard")[:1], **{c: pa.array([x], pa.binary()) for c, x in zip(("codes", "n"), columns)}})
 
 
-def _learner(weights: list[np.ndarray], rates: list[float], seed: int):
-    """From the rows of shards to their weights, one after another, and their numbers of windows."""
+def _learner(weights: list[np.ndarray], rates: list[float], seed: int, total: int):
+    """From the rows of shards, trained one after another, to their part of the average: each weight's place and sum in ``UNIT``."""
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed = None
         for batch in batches:
-            for shard, codes, n in zip(*(batch.column(c) for c in ("shard", "codes", "n"))):
-                codes, n = np.frombuffer(codes.as_py(), np.int32), np.frombuffer(n.as_py(), np.int64)
+            for codes, n in zip(*(batch.column(c) for c in ("codes", "n"))):
+                codes, n = np.frombuffer(codes.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
                 after = np.concatenate([w.ravel() for w in train(weights, codes, n, rates, seed)]).astype(np.float64)
-                cells = [pa.array([shard.as_py()], pa.int32()), pa.array([after]), pa.array([float(n.sum())])]
-                yield pa.RecordBatch.from_arrays(cells, names=["shard", "weights", "n"])
+                part = np.rint(after * (float(n.sum()) / total / UNIT)).astype(np.int64)
+                summed = part if summed is None else summed + part
+        if summed is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(summed), dtype=np.int32)), pa.array(summed)], names=["place", "part"])
 
     return learn
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, seed: int = 0) -> Network:
     """A network trained on all windows of all documents. Without any window it stays as it starts."""
-    symbol = symbols(docs, text)
-    counted = window_counts(docs, symbol, text).withColumn("shard", F.pmod(F.xxhash64(F.shiftright("code", BITS)), F.lit(SHARDS)).cast("int"))
-    shards = stored(counted.groupBy("shard").applyInArrow(_shard, "shard int, codes binary, n binary"), "windows")
-    weights = start(seed)
+    symbol, weights = symbols(docs), start(seed)
+    counted = stored(window_counts(docs, symbol, text), "window-counts")
+    different, total = counted.agg(F.count("*"), F.sum("n")).first()
+    if not different:
+        return Network(symbol, weights)
+    number = F.lit(max(SHARDS, -(-different // SHARD)))
+    dealt = counted.withColumn("shard", F.pmod(F.xxhash64(F.shiftright("code", BITS)), number).cast("int"))
+    shards = stored(dealt.groupBy("shard").applyInArrow(_shard, "shard int, codes binary, n binary"), "windows")
+    edges = np.cumsum([w.size for w in weights])[:-1]
     for r in range(rounds):
         rates = [RATE * (1 - (r * PASSES + i) / (rounds * PASSES)) for i in range(PASSES)]
-        learner = _learner(weights, rates, seed + r)
-        parts = shards.mapInArrow(learner, "shard int, weights array<double>, n double").collect()  # SHARDS rows at most
-        if not parts:
-            break
-        parts.sort(key=lambda x: x["shard"])
-        flat = np.average([x["weights"] for x in parts], axis=0, weights=[x["n"] for x in parts]).astype(np.float32)
-        edges = np.cumsum([w.size for w in weights])[:-1]
+        parts = shards.mapInArrow(_learner(weights, rates, seed + r, total), "place int, part long")
+        summed = sorted(parts.groupBy("place").agg(F.sum("part").alias("part")).collect())  # one row per weight
+        flat = (np.array([x["part"] for x in summed]) * UNIT).astype(np.float32)
         weights = [x.reshape(w.shape) for x, w in zip(np.split(flat, edges), weights)]
     return Network(symbol, weights)
 
 
+class _Answers:
+    """Log-probabilities of windows under a network; those asked for are remembered until they are too many."""
+
+    def __init__(self, network: Network):
+        self.network, self.codes, self.values = network, np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        asked, which = np.unique(codes, return_inverse=True)
+        at = np.searchsorted(self.codes, asked)
+        known = at < len(self.codes)
+        known[known] = self.codes[at[known]] == asked[known]
+        values = np.empty(len(asked), np.float32)
+        values[known] = self.values[at[known]]
+        values[~known] = new = self._computed(asked[~known])
+        if len(self.codes) + len(new) > KNOWN:
+            self.codes, self.values = asked, values
+        else:
+            self.codes, self.values = np.insert(self.codes, at[~known], asked[~known]), np.insert(self.values, at[~known], new)
+        return values[which]
+
+    def _computed(self, codes: np.ndarray) -> np.ndarray:
+        """For sorted codes."""
+        contexts, group = np.unique(codes >> BITS, return_inverse=True)
+        out = np.empty(len(codes), np.float32)
+        for a in range(0, len(contexts), 1 << 12):
+            low, high = np.searchsorted(group, [a, a + (1 << 12)])
+            found = self.network.log_probabilities(contexts[a : a + (1 << 12)])
+            out[low:high] = found[group[low:high] - a, codes[low:high] & (SYMBOLS - 1)]
+        return out
+
+
 def score(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, tokens, log_likelihood (the sum) and score (the mean, null without tokens).
 
@@ -241,20 +267,13 @@ def score(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "t
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((CONTEXTS, SYMBOLS), np.float32)  # pages are taken as contexts occur; 0 is not yet known
-        known = np.zeros(CONTEXTS, bool)
-        flat = table.reshape(-1)
+        answers = _Answers(network)
         for batch in batches:
             total, tokens = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for rows, starts, code in windows(enumerate(x.as_py() for x in batch.column("text")), network.symbol):
                 used = code >= 0
-                context = code[used] >> BITS
-                missing = np.unique(context[~known[context]])
-                for a in range(0, len(missing), 1 << 16):
-                    part = missing[a : a + (1 << 16)]
-                    table[part], known[part] = network.log_probabilities(part), True
                 value = np.zeros(len(code))
-                value[used] = flat[code[used]]
+                value[used] = answers.of(code[used])
                 np.add.at(total, rows, np.add.reduceat(value, starts))
                 np.add.at(tokens, rows, np.add.reduceat(used.astype(np.int64), starts))
             with np.errstate(invalid="ignore"):

@@ -109,3 +109,40 @@ def test_query_scores_every_document(spark, sf_dir):
     assert got.count() == docs.count()
     per_letter = got.agg(F.sum("log_likelihood") / F.sum("tokens")).first()[0]
     assert -2.4 < per_letter < -0.5  # letters alone, without neighbours, cost about 2.9
+
+
+def test_every_byte_is_told_apart(spark):
+    symbol = lm.symbols(_docs(spark))
+    assert len({int(symbol[b]) for b in range(1, 256)}) == 255 - 26
+    r = random.Random(7)
+    words = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(n))
+    latin = [(i, words("abcdefghijklmnopqrstuvwxyz.,", 400)) for i in range(20)]
+    other = ["мир и труд " * 40, "2468 " * 80, "日本語 " * 40, "{[(<>)]}" * 60]
+    docs = spark.createDataFrame(latin + [(100 + i, x) for i, x in enumerate(other)], "doc_id long, text string")
+    network = lm.fit(docs)
+    mixed = [(200 + i, "".join(r.sample(x, len(x)))) for i, x in enumerate(other)]
+    scores = {x["doc_id"]: x["score"] for x in lm.score(docs.unionByName(spark.createDataFrame(mixed, docs.schema)), network).collect()}
+    assert all(scores[100 + i] > scores[200 + i] + 0.5 for i in range(len(other)))
+
+
+def test_shards_grow_with_the_windows(spark, monkeypatch):
+    docs = _docs(spark)
+    whole = lm.fit(docs, rounds=1)
+    monkeypatch.setattr(lm, "SHARD", 10)
+    sizes = []
+    made = lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, name: sizes.append((name, (out := made(df, name)).count())) or out)
+    small = lm.fit(docs, rounds=1)
+    sizes = dict(sizes)
+    assert sizes["windows"] > lm.SHARDS and sizes["windows"] >= sizes["window-counts"] / 40
+    assert all(a.shape == b.shape and np.isfinite(b).all() for a, b in zip(whole.weights, small.weights))
+
+
+def test_answers_that_are_forgotten_are_the_same(monkeypatch):
+    r, network = np.random.default_rng(1), lm.Network(lm.symbols(), lm.start(2))
+    codes = r.integers(1, 1 << 5 * lm.BITS, 5000) | 1
+    plain = network.log_probabilities(codes >> lm.BITS)[np.arange(5000), codes & (lm.SYMBOLS - 1)]
+    monkeypatch.setattr(lm, "KNOWN", 1000)
+    answers = lm._Answers(network)
+    parts = [answers.of(codes[a : a + 700]) for a in range(0, 5000, 350)]
+    assert all(np.allclose(x, plain[a : a + 700], atol=1e-4) for a, x in zip(range(0, 5000, 350), parts))
