@@ -75,14 +75,15 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp): a row per document; the fingerprint as a signed long."""
+    """(id, fp, print): a row per document; the fingerprint as a signed long, and a hash of the text itself."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), size) for x in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found), batch.column("print")], names=["id", "fp", "print"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    read = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("print"))
+    return read.mapInArrow(run, "id long, fp long, print long")
 
 
 def _classes(docs: DataFrame, key: str, text: str, size: int, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -114,15 +115,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, limit: int = 3) -> DataFrame:
     """One document of each component, the one whose id is the component's; all columns.
 
-    Rows that repeat an id with the same text are one document and stay once. Of
-    a component without any id, one row stays.
+    Rows that repeat an id with the same text are one document and stay once. If
+    the id has several texts in a component, one of them stays. Of a component
+    without any id, one row stays.
     """
     prints, classes = _classes(docs, key, text, size, limit)
-    id_of, print_of, root_of = (unused(docs, c) for c in ("chosen", "print", "root"))
-    chosen = prints.join(classes, "fp").where("id = component_id").select(F.col("id").alias(id_of)).distinct()
-    # Joined and reduced by the id alone, so texts move once.
-    named = docs.where(docs[key].isNotNull()).join(chosen, docs[key] == chosen[id_of], "left_semi")
-    named = named.withColumn(print_of, F.xxhash64(text)).dropDuplicates([key, print_of]).drop(print_of)
+    id_of, text_of, print_of, root_of = (unused(docs, c) for c in ("chosen", "chosen_print", "print", "root"))
+    # An id may stand for several texts, in one component or more: one text of each component is chosen.
+    chosen = prints.join(classes, "fp").where("id = component_id").groupBy("root").agg(F.min("id").alias(id_of), F.min("print").alias(text_of))
+    # Joined and reduced by the same columns, so texts move once.
+    named = docs.where(docs[key].isNotNull()).withColumn(print_of, F.xxhash64(text))
+    named = named.join(chosen, (named[key] == chosen[id_of]) & (named[print_of] == chosen[text_of]), "left_semi")
+    named = named.dropDuplicates([key, print_of]).drop(print_of)
 
     @F.pandas_udf("long")
     def print_column(texts: pd.Series) -> pd.Series:

@@ -129,3 +129,14 @@ def test_chain_of_links(spark):
 def test_query_equals_plain_loop(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.QUERIES["op3_simhash"](spark, sf_dir).collect()), key=str) == _plain(docs)
+
+
+def test_one_row_stays_of_ids_with_several_texts(spark):
+    words = [f"word{i}" for i in range(400)]
+    one, near, other = " ".join(words), " ".join(words).upper(), " ".join(reversed(words))
+    rows = [(5, one), (5, near), (7, one), (5, one), (3, other), (5, other), (9, "alone"), (9, "apart from it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len({f for _, f in roots}) == 4
+    kept = sorted(tuple(r) for r in simhash.one_per_group(docs).collect())
+    assert len(kept) == 4 and kept[0] == (3, other) and kept[1] in ((5, one), (5, near)) and kept[2:] == [(9, "alone"), (9, "apart from it")]
