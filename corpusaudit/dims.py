@@ -11,109 +11,155 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Folders and suffixes of the two scan profiles.
-DISCOVERY_SUFFIXES = (
-    ".py .java .js .ts .jsx .tsx .php .rb .go .rs .cpp .c .h .cs .swift .kt .scala .pl .r"
-).split()
-DISCOVERY_EXCLUDED = (
-    "__pycache__ .git .svn node_modules venv env .venv dist build .idea .vscode "
-    ".pytest_cache .mypy_cache"
-).split()
-INDEX_EXCLUDED = "node_modules venv __pycache__ build dist".split()
+DISCOVERY_SUFFIXES = [
+    ".py", ".java", ".js", ".ts", ".jsx", ".tsx", ".php", ".rb", ".go", ".rs", ".cpp", ".c", ".h", ".cs",
+    ".swift", ".kt", ".scala", ".pl", ".r",
+]
+DISCOVERY_EXCLUDED = [
+    "__pycache__", ".git", ".svn", "node_modules", "venv", "env", ".venv", "dist", "build", ".idea",
+    ".vscode", ".pytest_cache", ".mypy_cache",
+]
+INDEX_EXCLUDED = ["node_modules", "venv", "__pycache__", "build", "dist"]
 
-# Display name of a language and its suffixes. A lower-cased
-# suffix is looked up, so the upper-case ".R" only matters to the index profile.
+# Display name of a language by suffix. A lower-cased suffix is
+# looked up, so the upper-case ".R" only matters to the index profile.
 DISPLAY_LANGUAGES = {
-    "Python": ".py .pyw",
-    "Python (Cython)": ".pyx",
-    "Java": ".java",
-    "JavaScript": ".js",
-    "JavaScript (React)": ".jsx",
-    "JavaScript (ES Module)": ".mjs",
-    "JavaScript (CommonJS)": ".cjs",
-    "TypeScript": ".ts",
-    "TypeScript (React)": ".tsx",
-    "PHP": ".php .php3 .php4 .php5 .phtml",
-    "Ruby": ".rb .rbw",
-    "Go": ".go",
-    "C": ".c",
-    "C/C++ Header": ".h",
-    "C++": ".cpp .cc .cxx .c++",
-    "C++ Header": ".hpp .hh .hxx .h++",
-    "C#": ".cs",
-    "Rust": ".rs",
-    "Kotlin": ".kt",
-    "Kotlin Script": ".kts",
-    "Swift": ".swift",
-    "Scala": ".scala",
-    "Scala Script": ".sc",
-    "R": ".r .R",
-    "Perl": ".pl",
-    "Perl Module": ".pm",
-    "Perl Test": ".t",
-    "Perl Documentation": ".pod",
-    "Shell": ".sh",
-    "Bash": ".bash",
-    "Zsh": ".zsh",
-    "Fish Shell": ".fish",
+    ".py": "Python",
+    ".pyw": "Python",
+    ".pyx": "Python (Cython)",
+    ".java": "Java",
+    ".js": "JavaScript",
+    ".jsx": "JavaScript (React)",
+    ".mjs": "JavaScript (ES Module)",
+    ".cjs": "JavaScript (CommonJS)",
+    ".ts": "TypeScript",
+    ".tsx": "TypeScript (React)",
+    ".php": "PHP",
+    ".php3": "PHP",
+    ".php4": "PHP",
+    ".php5": "PHP",
+    ".phtml": "PHP",
+    ".rb": "Ruby",
+    ".rbw": "Ruby",
+    ".go": "Go",
+    ".c": "C",
+    ".h": "C/C++ Header",
+    ".cpp": "C++",
+    ".cc": "C++",
+    ".cxx": "C++",
+    ".c++": "C++",
+    ".hpp": "C++ Header",
+    ".hh": "C++ Header",
+    ".hxx": "C++ Header",
+    ".h++": "C++ Header",
+    ".cs": "C#",
+    ".rs": "Rust",
+    ".kt": "Kotlin",
+    ".kts": "Kotlin Script",
+    ".swift": "Swift",
+    ".scala": "Scala",
+    ".sc": "Scala Script",
+    ".r": "R",
+    ".R": "R",
+    ".pl": "Perl",
+    ".pm": "Perl Module",
+    ".t": "Perl Test",
+    ".pod": "Perl Documentation",
+    ".sh": "Shell",
+    ".bash": "Bash",
+    ".zsh": "Zsh",
+    ".fish": "Fish Shell",
 }
 # Short names used when search queries are chosen.
 SEARCH_LANGUAGES = {
-    "python": ".py",
-    "java": ".java",
-    "javascript": ".js .jsx",
-    "typescript": ".ts .tsx",
-    "cpp": ".cpp",
-    "c": ".c .h",
-    "csharp": ".cs",
-    "go": ".go",
-    "ruby": ".rb",
-    "php": ".php",
-    "kotlin": ".kt",
-    "scala": ".scala",
-    "rust": ".rs",
-    "swift": ".swift",
+    ".py": "python",
+    ".java": "java",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".cpp": "cpp",
+    ".c": "c",
+    ".h": "c",
+    ".cs": "csharp",
+    ".go": "go",
+    ".rb": "ruby",
+    ".php": "php",
+    ".kt": "kotlin",
+    ".scala": "scala",
+    ".rs": "rust",
+    ".swift": "swift",
 }
 # Short names used when tests are requested.
 TEST_LANGUAGES = {
-    "python": ".py .pyw .pyx",
-    "java": ".java",
-    "javascript": ".js .jsx .mjs .cjs",
-    "typescript": ".ts .tsx",
-    "php": ".php .php3 .php4 .php5 .phtml",
-    "ruby": ".rb .rbw",
-    "go": ".go",
-    "c": ".c .h",
-    "cpp": ".cpp .cc .cxx .c++ .hpp .hh .hxx .h++",
-    "csharp": ".cs",
-    "rust": ".rs",
-    "kotlin": ".kt .kts",
-    "swift": ".swift",
-    "scala": ".scala .sc",
-    "r": ".r .R",
-    "perl": ".pl .pm .t .pod",
-    "shell": ".sh .bash .zsh .fish",
+    ".py": "python",
+    ".pyw": "python",
+    ".pyx": "python",
+    ".java": "java",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".php": "php",
+    ".php3": "php",
+    ".php4": "php",
+    ".php5": "php",
+    ".phtml": "php",
+    ".rb": "ruby",
+    ".rbw": "ruby",
+    ".go": "go",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".c++": "cpp",
+    ".hpp": "cpp",
+    ".hh": "cpp",
+    ".hxx": "cpp",
+    ".h++": "cpp",
+    ".cs": "csharp",
+    ".rs": "rust",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".swift": "swift",
+    ".scala": "scala",
+    ".sc": "scala",
+    ".r": "r",
+    ".R": "r",
+    ".pl": "perl",
+    ".pm": "perl",
+    ".t": "perl",
+    ".pod": "perl",
+    ".sh": "shell",
+    ".bash": "shell",
+    ".zsh": "shell",
+    ".fish": "shell",
 }
 # Languages whose tests can be run, and of uploaded files.
 RUNNER_LANGUAGES = {
-    "python": ".py .pyw .pyx",
-    "java": ".java",
-    "javascript": ".js .jsx .mjs .cjs",
-    "typescript": ".ts .tsx",
+    ".py": "python",
+    ".pyw": "python",
+    ".pyx": "python",
+    ".java": "java",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".ts": "typescript",
+    ".tsx": "typescript",
 }
 UPLOAD_LANGUAGES = RUNNER_LANGUAGES
 
-
-def _by_suffix(languages: dict[str, str]) -> dict[str, str]:
-    return {suffix: name for name, suffixes in languages.items() for suffix in suffixes.split()}
-
-
 #: scheme -> suffix -> language. The five schemes disagree on purpose.
 LANGUAGE_SCHEMES = {
-    "display": _by_suffix(DISPLAY_LANGUAGES),
-    "search": _by_suffix(SEARCH_LANGUAGES),
-    "tests": _by_suffix(TEST_LANGUAGES),
-    "runner": _by_suffix(RUNNER_LANGUAGES),
-    "upload": _by_suffix(UPLOAD_LANGUAGES),
+    "display": DISPLAY_LANGUAGES,
+    "search": SEARCH_LANGUAGES,
+    "tests": TEST_LANGUAGES,
+    "runner": RUNNER_LANGUAGES,
+    "upload": UPLOAD_LANGUAGES,
 }
 SCHEME_DEFAULTS = {"display": "Unknown", "tests": "python", "runner": "python"}
 INDEX_SUFFIXES = list(LANGUAGE_SCHEMES["display"])
@@ -155,10 +201,11 @@ PERFORMANCE_FRAMEWORKS = {
 }
 
 # Packages recognised in import lines.
-PYTHON_PACKAGES = (
-    "sqlalchemy pymysql requests flask django numpy pandas fastapi pydantic aiohttp httpx pytest"
-).split()
-SCRIPT_PACKAGES = "express axios lodash moment react jest".split()
+PYTHON_PACKAGES = [
+    "sqlalchemy", "pymysql", "requests", "flask", "django", "numpy", "pandas", "fastapi", "pydantic",
+    "aiohttp", "httpx", "pytest",
+]
+SCRIPT_PACKAGES = ["express", "axios", "lodash", "moment", "react", "jest"]
 
 # Target versions offered per language, and framework versions.
 TARGET_VERSIONS = {

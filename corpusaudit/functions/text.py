@@ -23,8 +23,8 @@ SPACES = (
 FENCE = "```"
 
 # Language tags that may follow an opening fence.
-FIRST_BLOCK_TAGS = "python java javascript typescript cpp c go js ts py".split()
-LARGEST_BLOCK_TAGS = "python java javascript typescript pytest py js ts go ruby rb".split()
+FIRST_BLOCK_TAGS = ["python", "java", "javascript", "typescript", "cpp", "c", "go", "js", "ts", "py"]
+LARGEST_BLOCK_TAGS = ["python", "java", "javascript", "typescript", "pytest", "py", "js", "ts", "go", "ruby", "rb"]
 # Beginnings that mark a reply without fences as code.
 CODE_STARTS = ["import ", "from ", "def ", "class ", "async def ", "@pytest", "@test"]
 # Signs that a reply was not cut off.

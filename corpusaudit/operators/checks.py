@@ -23,13 +23,13 @@ from corpusaudit.operators.grouping import file_key
 # What is looked for in sources and tests.
 RELATIVE_IMPORTS = r"import\s+\{([^}]+)\}\s+from\s+[\"']\./"
 EXPORT_LIST = r"export\s+\{([^}]*)\}"
-TS_KINDS = "function class enum interface type".split()
-JS_KINDS = "function class const let var".split()
+TS_KINDS = ["function", "class", "enum", "interface", "type"]
+JS_KINDS = ["function", "class", "const", "let", "var"]
 PY_FROM_IMPORT = r"from\s+\w+\s+import\s+([^#\n]+)"
 PY_IMPORT = r"import\s+(\w+)"
 TOP_LEVEL_AWAIT = r"\btop-level\s+await\b|^await\s+"
 CLI_MARKERS = ["process.argv[1]", "if (require.main === module)"]
-FIX_ORDER = "enum interface type class function const".split()
+FIX_ORDER = ["enum", "interface", "type", "class", "function", "const"]
 # The blocks that are cut out of a source.
 URL_BLOCK = (
     r"\n// Modern ES module.*?\n.*?import.*?from ['\"]url['\"];.*?\n.*?import.*?from ['\"]path['\"];"

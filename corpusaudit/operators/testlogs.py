@@ -26,12 +26,12 @@ NO_TESTS = "No tests detected by Maven Surefire (missing @Test annotations?)"
 BUILD_FAILED = "Maven build failed"
 COMPILATION_FAILED = "Java compilation error"
 SUITE_FAILED = "Test suite failed to run (compilation/syntax error)"
-RUNNERS = "python java javascript typescript".split()
+RUNNERS = ["python", "java", "javascript", "typescript"]
 UNSUPPORTED = f"Supported languages: {', '.join(RUNNERS)}"
 
-PYTEST_WORDS = "passed failed error skipped".split()
-JEST_WORDS = "total passed failed skipped".split()
-COUNTERS = "tests_run tests_passed tests_failed tests_errors tests_skipped".split()
+PYTEST_WORDS = ["passed", "failed", "error", "skipped"]
+JEST_WORDS = ["total", "passed", "failed", "skipped"]
+COUNTERS = ["tests_run", "tests_passed", "tests_failed", "tests_errors", "tests_skipped"]
 
 
 def _as_int(digits: Column) -> Column:
