@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.functions.once import let
+from corpusaudit.session import stored
 
 # Characters Python treats as white space.
 SPACES = (
@@ -180,22 +181,52 @@ def redact(c: Column, secrets: Sequence[str] = (), forms: Sequence[str] = ()) ->
     return c
 
 
+#: Blocks of secrets that one reading of the texts looks for; beyond them, texts and spans are written.
+BLOCKS_AT_ONCE = 4
+
+
 def redact_all(df: DataFrame, column: str, secrets: DataFrame, block: int = 100_000) -> DataFrame:
-    """Replace the known secrets of a table (column secret) of any size, ``block`` or so of them in one reading of the text.
+    """Replace the known secrets of a table (column secret) of any size; those of up to five characters stay.
 
-    Of secrets that begin at the same place the longest counts; those of up to
-    five characters stay.
+    Every block of about ``block`` secrets marks the places of all of them in the
+    original text. Marked stretches that overlap are one, and each is replaced
+    once at the end, so no part of a secret stays, whichever others begin in it,
+    and the result is the same for every size of block. Null texts stay null.
     """
     usable = secrets.where(F.length("secret") > 5).select("secret").distinct()
     n = -(-usable.count() // block)
-    schema = df.schema
+    schema, spans = df.schema, _unused(df, "spans")
     for i in range(n):
         known = [r["secret"] for r in usable.where(F.pmod(F.xxhash64("secret"), F.lit(n)) == i).collect()]
-        df = df.mapInPandas(_replacer(column, known), schema)
+        if not i:
+            df = df.withColumn(spans, F.array().cast("array<int>"))
+        df = df.mapInPandas(_marker(column, spans, known), df.schema)
+        if i + 1 == n:
+            df = df.mapInPandas(_cutter(column, spans), schema)
+        elif (i + 1) % BLOCKS_AT_ONCE == 0:
+            df = stored(df, "redacted")
     return df
 
 
-def _replacer(column: str, known: list[str]):
+def _unused(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches that overlap as one, in order; those that only touch stay apart. Any grouping of the input gives the same."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _marker(column: str, spans: str, known: list[str]):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
@@ -204,22 +235,34 @@ def _replacer(column: str, known: list[str]):
             automaton.add_word(secret, len(secret))
         automaton.make_automaton()
 
-        def replaced(value: str | None) -> str | None:
+        def marked(value: str | None, before: Sequence[int]) -> list[int]:
             if value is None or not known:
-                return value
-            out, at = [], 0
-            for last, length in automaton.iter_long(value):
-                out += [value[at : last + 1 - length], REDACTED]
-                at = last + 1
-            return "".join(out) + value[at:]
+                return list(before)
+            found = [(last + 1 - length, last + 1) for last, length in automaton.iter(value)]
+            return [x for span in joined_spans([*zip(before[::2], before[1::2]), *found]) for x in span]
 
         for frame in frames:
-            frame[column] = [replaced(x) for x in frame[column]]
+            frame[spans] = [marked(x, before) for x, before in zip(frame[column], frame[spans])]
             yield frame
 
     return run
 
 
+def _cutter(column: str, spans: str):
+    def cut(value: str | None, marked: Sequence[int]) -> str | None:
+        if value is None or not len(marked):
+            return value
+        edges = [0, *marked, len(value)]
+        return REDACTED.join(value[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame[column] = [cut(x, marked) for x, marked in zip(frame[column], frame[spans])]
+            yield frame.drop(columns=spans)
+
+    return run
+
+
 def extract_severity(c: Column) -> Column:
     """First severity word found as a substring, most severe first."""
     t = F.lower(c)

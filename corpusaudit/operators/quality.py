@@ -6,14 +6,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.functions.once import with_once
 from corpusaudit.functions.text import lines
-from corpusaudit.operators.components import components
 from corpusaudit.operators.grouping import file_key
+from corpusaudit.operators.lists import Fits, list_components
 from corpusaudit.session import stored
 
 BRANCH_WORDS = r"\b(if|for|while|case|catch|except|elif)\b"
@@ -46,10 +47,10 @@ def duplicate_files(files: DataFrame) -> DataFrame:
 
 
 # -- near copies -----------------------------------------------------------------
-#: Words of a shingle, least share of equal shingles, and bands times rows of the signature that finds candidates.
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 4
-#: Texts of a band that are compared with the rest of it in one round.
-TURNS = 8
+#: Words of a shingle, and least share of equal shingles.
+SHINGLE, SIMILAR = 5, 0.8
+#: Shingles that a task counts together, how often one must occur there, and how many of the most frequent order the others.
+CHUNK, OFTEN, MOST_FREQUENT = 1 << 20, 4, 1 << 17
 
 
 def near_copies(files: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -57,88 +58,113 @@ def near_copies(files: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     Two files are near copies if the sets of their five-word shingles have at
     least ``similar`` of their union in common, and so on from file to file.
-    Equal texts are one. Candidates agree in a band of their MinHash signatures
-    (a pair at 0.8 is missed once in some twenty thousand). Files without words
-    have no near copies.
+    Equal texts are one. Files without words have no near copies.
+
+    The join is exact. Shingles have one order everywhere, from rare to frequent.
+    Two near sets meet in their first shingles, a fifth of each at 0.8, so only
+    those are indexed; and they meet by places from which enough equal shingles
+    can still follow. A header that many files share comes last in the order and
+    is in no list. What meets is compared in full, a list's copies with the
+    list's leaders (``list_components``).
     """
     key = file_key(files)
     rows = files.select(F.struct(*key).alias("file"), F.xxhash64(F.sha2("content", 256)).alias("text"), "content")
     names = stored(rows.select("file", "text"), "near-files")
     texts = rows.dropDuplicates(["text"]).select("text", "content")
-    signed = stored(texts.mapInArrow(_sign, "text long, shingles array<long>, bands array<long>").where("size(shingles) > 0"), "near-signatures")
-    links = _band_links(signed.select("text", F.posexplode("bands").alias("band", "value")), signed.select("text", "shingles"), similar)
-    groups = components(links.select(F.col("text").alias("a"), F.col("first").alias("b")))
+    sets = stored(texts.mapInArrow(_shingled, "text long, shingles array<long>").where("size(shingles) > 0"), "near-sets")
+    members = near_lists(sets, similar)
+    groups = list_components(members, _fits(similar), lambda pairs: _compared(pairs, sets, similar))
     rooted = names.join(groups, names["text"] == groups["node"], "left").select("file", F.coalesce("root", "text").alias("root"))
     sizes = rooted.groupBy("root").agg(F.min("file").alias("first"), F.count("*").alias("files")).where("files > 1")
     return rooted.join(sizes, "root").select("file.*", *[F.col(f"first.{c}").alias(f"first_{c.removeprefix('file_')}") for c in key], "files")
 
 
-def _band_links(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """(text, first): links that connect all near copies of each band, without forming a band's pairs.
+def _shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted shingle hashes of each text; fewer words than a shingle has are one."""
+    for batch in batches:
+        shingles = []
+        for x in batch.column("content"):
+            own = (x.as_py() or "").split()
+            pieces = (" ".join(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1))) if own else ()
+            shingles.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(shingles, pa.list_(pa.int64()))], names=["text", "shingles"])
+
+
+def frequent_shingles(sets: DataFrame) -> dict[int, int]:
+    """The most frequent shingles and how often they were counted, ``MOST_FREQUENT`` at most.
 
-    In each round, a few texts of every band, outside the band's largest
-    cluster, are compared with the texts of the band's other clusters and join
-    those they are near. A band is done when all texts outside its largest
-    cluster have had their turn: any two texts of different clusters were then
-    compared. A band of n copies takes a round or two, not n squared comparisons.
+    They decide the order of shingles, and so how much is compared, never what is
+    found. One that is rare wherever a task reads isn't frequent.
     """
-    band = ["band", "value"]
-    shared = members.groupBy(*band).agg(F.count("*").alias("n")).where("n > 1").select(*band)
-    state = stored(members.join(shared, band).select(*band, "text", F.col("text").alias("label"), F.lit(False).alias("done")), "near-bands")
-    links = members.sparkSession.createDataFrame([], "text long, first long")
-    order = Window.partitionBy(*band).orderBy("first")
-    while True:
-        clusters = state.groupBy(*band, "label").agg(F.count("*").alias("n"))
-        largest = clusters.groupBy(*band).agg(F.max(F.struct("n", "label")).alias("largest"))
-        outside = state.join(largest, band).where("label <> largest.label AND NOT done").select(*band, F.col("text").alias("first"), F.col("label").alias("own"))
-        turn = stored(outside.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TURNS).drop("place"), "near-turns")
-        if turn.isEmpty():
-            return links
-        pairs = state.join(turn, band).where("label <> own")
-        near = _compared(pairs.select("text", "first").distinct(), sets, similar)
-        found = stored(pairs.join(near, ["text", "first"]).select(*band, "label", "own", "text", "first"), "near-links")
-        links = links.unionByName(found.select("text", "first").distinct())
-        target = found.groupBy(*band, "own").agg(F.least(F.min("label"), F.min("own")).alias("target"))
-        both = found.select(*band, "own", F.explode(F.array("label", "own")).alias("label")).distinct()
-        joined = both.join(target, [*band, "own"]).groupBy(*band, "label").agg(F.min("target").alias("target"))
-        had = turn.select(*band, F.col("first").alias("text"), F.lit(True).alias("had"))
-        state = stored(
-            state.join(turn.select(*band).distinct(), band).join(joined, [*band, "label"], "left").join(had, [*band, "text"], "left").select(
-                *band, "text", F.coalesce("target", "label").alias("label"), (F.col("done") | F.coalesce("had", F.lit(False))).alias("done")
-            ),
-            "near-bands",
-        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def counted() -> pa.RecordBatch:
+            shingle, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(shingle[times >= OFTEN]), pa.array(times[times >= OFTEN])], names=["shingle", "n"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            n += len(held[-1])
+            if n >= CHUNK:
+                yield counted()
+                held, n = [], 0
+        yield counted()
+
+    counts = sets.select("shingles").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return {r["shingle"]: r["n"] for r in counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()}
+
+
+def near_lists(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(list, node, n, place): the inverted lists of the sets' first shingles that hold two texts or more.
+
+    ``sets`` has text and shingles, each text once.
+    """
+    frequent = frequent_shingles(sets)
+    shingle = np.array(sorted(frequent), np.int64)
+    sent = sets.sparkSession.sparkContext.broadcast((shingle, np.array([frequent[int(s)] for s in shingle], np.int64)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = sent.value
+        for batch in batches:
+            column = batch.column("shingles")
+            for start in range(0, batch.num_rows, 512):
+                part = column.slice(start, 512)
+                size = pa.compute.list_value_length(part).to_numpy()
+                flat, row = part.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+                n = np.zeros(len(flat), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    n = np.where(known[at] == flat, times[at], 0)
+                order = np.lexsort((flat, n, row))
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                first = place <= (size - np.ceil(similar * size - 1e-9))[row]
+                node = batch.column("text").slice(start, 512).to_numpy()
+                columns = [flat[order][first], node[row][first], size[row][first].astype(np.int32), place[first].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "node", "n", "place"])
+
+    entries = sets.mapInArrow(run, "list long, node long, n int, place int")
+    shared = entries.groupBy("list").agg(F.count("*").alias("texts")).where("texts > 1").select("list")
+    return stored(entries.join(shared, "list", "left_semi"), "near-lists")
+
+
+def _fits(similar: float) -> Fits:
+    """Sizes are near enough, and enough equal shingles can follow from the places where two sets meet."""
+
+    def fits(one, other):
+        low, high = F.least(one("n"), other("n")), F.greatest(one("n"), other("n"))
+        after = F.least(one("n") - one("place"), other("n") - other("place"))
+        return (low >= similar * high - 1e-9) & ((1 + similar) * after >= similar * (low + high) - 1e-9)
+
+    return fits
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs whose shingle sets have enough in common."""
-    a = sets.select(F.col("text"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("text").alias("first"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "text").join(b, "first").where(both >= similar * (F.size("a") + F.size("b") - both)).select("text", "first")
-
-
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle hashes of each text, and a hash of each band of its signature."""
-    random = np.random.default_rng(11)
-    factor = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    offset = random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-    for batch in batches:
-        shingles, bands = [], []
-        for x in batch.column("content"):
-            own = (x.as_py() or "").split()
-            pieces = [" ".join(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1))] if own else []
-            hashes = np.unique(np.array([xxhash.xxh64_intdigest(p) for p in pieces], np.uint64))
-            shingles.append(hashes.view(np.int64))
-            if len(hashes):
-                least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-                for start in range(0, len(hashes), 1 << 14):
-                    least = np.minimum(least, (hashes[start : start + (1 << 14), None] * factor + offset).min(0))
-                bands.append(np.array([xxhash.xxh64_intdigest(band.tobytes()) for band in least.reshape(BANDS, ROWS)], np.uint64).view(np.int64))
-            else:
-                bands.append(np.zeros(0, np.int64))
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(shingles, kind), pa.array(bands, kind)], names=["text", "shingles", "bands"])
+    """The pairs (a, b) whose shingle sets have enough in common."""
+    one, other = (sets.select(F.col("text").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("a", "b"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.join(one, "a").join(other, "b").where(both >= similar * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
 def quality_metrics(files: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusaudit.operators import checks, quality, rules
+from corpusaudit.operators import checks, lists, quality, rules
 
 
 def _shingles(text):
@@ -49,7 +50,15 @@ def test_near_copies_equal_all_pairs(spark):
     assert got == expected
 
 
-def test_a_large_group_takes_few_rounds(spark, monkeypatch):
+def _counted(monkeypatch):
+    """How many pairs each comparison gets."""
+    seen = []
+    compared = quality._compared
+    monkeypatch.setattr(quality, "_compared", lambda pairs, *rest: seen.append(pairs.count()) or compared(pairs, *rest))
+    return seen
+
+
+def test_a_large_group_takes_few_comparisons(spark, monkeypatch):
     r = random.Random(5)
     base = [f"w{r.randrange(2000)}" for _ in range(400)]
     rows = []
@@ -57,12 +66,47 @@ def test_a_large_group_takes_few_rounds(spark, monkeypatch):
         own = list(base)
         own[r.randrange(400)] = f"x{i}"
         rows.append((f"f{i:04}", " ".join(own)))
-    seen = []
-    compared = quality._compared
-    monkeypatch.setattr(quality, "_compared", lambda pairs, *rest: seen.append(pairs.count()) or compared(pairs, *rest))
+    seen = _counted(monkeypatch)
     found = quality.near_copies(spark.createDataFrame(rows, "file_path string, content string"))
     assert [(x["first_path"], x["files"]) for x in found.select("first_path", "files").distinct().collect()] == [("f0000", 400)]
-    assert len(seen) <= 6 and sum(seen) < 400 * quality.BANDS
+    assert len(seen) <= lists.ROUNDS + 1 and sum(seen) < 400 * 20
+
+
+@pytest.mark.parametrize("files", [40, 160, 2000])
+def test_unlike_files_under_one_header(spark, monkeypatch, files):
+    """A header of two thirds of every text brings no comparisons that grow with the square of the files."""
+    r = random.Random(6)
+    header = " ".join(f"license{i}" for i in range(120))
+    rows = [(f"f{i:04}", header + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(60))) for i in range(files)]
+    rows.append(("twin", rows[3][1] + " more"))
+    seen = _counted(monkeypatch)
+    found = quality.near_copies(spark.createDataFrame(rows, "file_path string, content string").repartition(3))
+    assert sorted((x["file_path"], x["first_path"], x["files"]) for x in found.collect()) == [("f0003", "f0003", 2), ("twin", "f0003", 2)]
+    assert len(seen) <= lists.ROUNDS + 1 and sum(seen) <= 5
+
+
+def test_rounds_and_order_never_change_the_groups(spark, monkeypatch):
+    """Chains, stragglers and several groups in a list, however many rounds there are and whatever is frequent."""
+    r = random.Random(8)
+    rows, own = [], [f"c{i}" for i in range(60)]
+    for i in range(60):  # a chain: each is near the next only
+        own = own[1:] + [f"d{i}"] if i % 2 else [f"e{i}"] + own[:-1]
+        rows.append(("r", f"chain{i:02}", " ".join(own)))
+    shared = [f"s{i}" for i in range(40)]
+    rows += [("r", f"mix{i:02}", " ".join(shared[: 30 + i % 11] + [f"m{i % 6}{j}" for j in range(i % 14)])) for i in range(60)]
+    r.shuffle(rows)
+    expected = _groups(rows)
+    files = spark.createDataFrame(rows, "repo string, file_path string, content string")
+    for rounds, few, often in ((0, 0, 4), (1, 0, 2), (4, 10**9, 4), (4, 0, 10**9)):
+        monkeypatch.setattr(quality, "OFTEN", often)
+        monkeypatch.setattr(lists, "FEW", few)
+        members = quality.near_lists(sets := quality.stored(files.selectExpr("xxhash64(file_path) AS text", "content").mapInArrow(quality._shingled, "text long, shingles array<long>"), "test-sets"))
+        groups = lists.list_components(members, quality._fits(0.8), lambda pairs: quality._compared(pairs, sets, 0.8), rounds=rounds)
+        named = files.selectExpr("xxhash64(file_path) AS node", "file_path").join(groups, "node", "left").selectExpr("coalesce(root, node) AS root", "file_path").collect()
+        found = {}
+        for x in named:
+            found.setdefault(x["root"], []).append(x["file_path"])
+        assert sorted((f, min(g), len(g)) for g in found.values() if len(g) > 1 for f in g) == [(f[1], g[1], n) for f, g, n in expected]
 
 
 def test_no_files(spark):
