@@ -2,9 +2,9 @@
 
 A text becomes lower-case words (ASCII letters and digits, and everything
 outside ASCII) with one space between. An overlapped scan then finds a match at
-every word: look-arounds hold its ends to word boundaries, and the match is the
-longest run from there, so that its beginnings up to each space are the shorter
-runs. The checksum of each run, by the number of buckets, is a feature. Texts
+every word: it looks behind for a space and ahead for a word's end, and the match
+is the longest run from there, so that its beginnings up to each space are the
+shorter runs. The checksum of each run, by the number of buckets, is a feature. Texts
 are scanned once; the buckets of every document are written, and all else reads
 those: the counts of the corpus and of the target, the gain of a bucket (the log
 of its smoothed share in the target over that in the corpus), a document's mean
@@ -21,6 +21,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,11 @@ SIZE, BUCKETS, SEED = 2, 10_000, 7
 #: Words that a document needs to be drawn, and per cent of those documents that are.
 LEAST_WORDS, PERCENT = 20, 25
 #: Documents whose order one task makes.
-ROWS_PER_TASK = 50_000
+ROWS_PER_TASK = 10_000
 #: Factor of gains and noise, which are whole numbers.
 UNIT = 1000
-_HELD = 1 << 20
+#: Bytes of buckets and matches that are held at a time.
+_HELD, _MATCHES = 1 << 20, 1 << 16
 _KEPT = frozenset([*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)])
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c in _KEPT else 32 for c in range(256))
 
@@ -49,22 +51,18 @@ def words_of(text: str | None) -> bytes:
 
 
 def scanner(size: int) -> regex.Pattern:
-    """Matches the longest run of up to ``size`` words from a word's start to a word's end."""
+    """Matches the longest run of up to ``size`` words from a space (which isn't in the match) to a word's end."""
     more = rb"(?: [^ ]++){0,%d}+" % (size - 1) if size > 1 else rb""
-    return regex.compile(rb"(?<![^ ])[^ ]++" + more + rb"(?![^ ])")
+    return regex.compile(rb" \K[^ ]++" + more + rb"(?![^ ])")
 
 
-def features(words: bytes, size: int = SIZE, pattern: regex.Pattern | None = None) -> Iterator[int]:
-    """Checksums of all runs of 1 to ``size`` words, repeats included."""
-    crc = zlib.crc32
-    for match in (pattern or scanner(size)).finditer(words, overlapped=True):
-        run = match[0]
-        yield crc(run)
-        end = run.rfind(b" ")
-        while end > 0:
-            run = run[:end]
-            yield crc(run)
-            end = run.rfind(b" ")
+def features(words: bytes, size: int = SIZE, pattern: regex.Pattern | None = None) -> Iterator[np.ndarray]:
+    """Checksums of all runs of 1 to ``size`` words, repeats included, some at a time."""
+    matches = (pattern or scanner(size)).finditer(b" " + words, overlapped=True)
+    while runs := [match[0] for match in islice(matches, _MATCHES)]:
+        while runs:
+            yield np.fromiter(map(zlib.crc32, runs), np.uint32, len(runs))
+            runs = [head for head in [run.rpartition(b" ")[0] for run in runs] if head]
 
 
 def bucketed(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
@@ -78,7 +76,7 @@ def bucketed(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
             at, n_words, n_features, packed, held = 0, [], [], [], 0
             for i, x in enumerate(batch.column("text")):
                 words = words_of(x.as_py())
-                own = (np.fromiter(features(words, size, pattern), np.uint32) % np.uint32(buckets)).astype(width)
+                own = np.concatenate([np.zeros(0, width), *((part % np.uint32(buckets)).astype(width) for part in features(words, size, pattern))])
                 own.sort()
                 n_words.append(words.count(b" ") + 1 if words else 0)
                 n_features.append(len(own))
