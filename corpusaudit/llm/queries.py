@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusaudit.llm import decontaminate, language, lengths, masked_lm, mixing, pivot_search, quality, resample, simhash, urls, warc
+from corpusaudit.llm import decontaminate, jaccard_join, language, lengths, masked_lm, mixing, pivot_search, quality, resample, simhash, spelling, urls, warc
 from corpusaudit.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query()
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of five-word shingles and the group of near copies that it is in."""
+    return jaccard_join.near_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with the more frequent form that it is a variant of."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's importance weight towards the benchmark's words, and the ranks of those drawn."""
