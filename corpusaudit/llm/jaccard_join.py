@@ -41,46 +41,107 @@ SIZE, SIMILAR = 5, 80
 MOST_LIGHT = 16
 #: Shingles that are counted together, how often one occurs there to be frequent, and frequent ones at most that order shingles.
 CHUNK, OFTEN, MOST_FREQUENT = 1 << 20, 8, 1 << 17
-#: Bytes of a text that are cut to words at a time, words whose hashes are kept, and bits that mark the sets to be read.
-SEGMENT, MOST_WORDS, MARKS = 1 << 20, 1 << 20, 1 << 24
+#: Bytes that are cut to words together, ids that go to the texts as they are, and bits that mark more of them.
+SEGMENT, MOST_SENT, MARKS = 1 << 20, 1 << 18, 1 << 24
 _HELD = 1 << 17
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 # -- sets ------------------------------------------------------------------------
-class _Hashes(dict):
-    """Hash of each word, made once."""
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A number for each byte of a word, 0 for white space; A to Z count as a to z.
+_VALUE = np.array([0 if c in b"\t\n\v\f\r " else c + 33 if 65 <= c <= 90 else c + 1 for c in range(256)], np.uint64)
+
+
+class _Powers:
+    """Powers of the hash base and of its inverse, made once in a process."""
+
+    made: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if cls.made is None or len(cls.made[0]) <= n:
+            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+            cls.made = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 2 * SEGMENT), x)]), dtype=np.uint64) for x in (_BASE, inverse))
+        return cls.made
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word: sums of its bytes' numbers times powers of a base, for all words at once."""
+    value = _VALUE[np.frombuffer(data, np.uint8)]
+    inside = np.concatenate([[False], value > 0, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    up, down = _Powers.of(len(value))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(value)], dtype=np.uint64)])
+    return _mixed((total[end] - total[start]) * down[start]), start
+
+
+def _words_of(texts: Iterable[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of texts: the word hashes of all, and where the words of each text end among them."""
+    group, held = [], 0
+    for text in texts:
+        text = text or b""
+        if len(text) > SEGMENT:
+            if group:
+                yield _grouped(group)
+                group, held = [], 0
+            words = np.concatenate([_word_hashes(piece)[0] for piece in _cut(text)])
+            yield words, np.array([len(words)])
+            continue
+        group.append(text)
+        held += len(text)
+        if held > SEGMENT:
+            yield _grouped(group)
+            group, held = [], 0
+    if group:
+        yield _grouped(group)
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def _grouped(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    words, start = _word_hashes(b" ".join(group))
+    return words, np.searchsorted(start, np.cumsum([len(x) + 1 for x in group]) - 1, side="right")
 
 
-def _word_hashes(text: bytes, known: _Hashes) -> np.ndarray:
-    out, start = [], 0
+def _cut(text: bytes) -> Iterator[bytes]:
+    start = 0
     while start < len(text):
         end = start + SEGMENT
         while end < len(text) and text[end] not in b"\t\n\v\f\r ":
             end += 1
-        words = text[start:end].translate(_LOWER).split()
-        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        yield text[start:end]
         start = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingle_set(text: bytes | None, size: int = SIZE, known: _Hashes | None = None) -> np.ndarray:
-    """Sorted hashes of the different runs of ``size`` words; fewer words are one run, none gives nothing."""
-    words = _word_hashes(text or b"", _Hashes() if known is None else known)
-    n = min(size, len(words))
-    if not n:
-        return words
-    h = np.full(len(words) - n + 1, n, np.uint64)
-    for i in range(n):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[i : len(words) - n + 1 + i]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(h ^ (h >> np.uint64(29)))
+def shingle_sets(texts: Iterable[bytes | None], size: int = SIZE) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its different runs of ``size`` words; fewer words are one run, none gives nothing."""
+    for words, ends in _words_of(texts):
+        runs = _runs(words, size)
+        start = 0
+        for end in ends.tolist():
+            if end - start >= size:
+                own = np.sort(runs[start : end - size + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+            else:
+                yield _runs(words[start:end], end - start) if end > start else np.zeros(0, np.uint64)
+            start = end
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    n = max(0, len(words) - size + 1)
+    h = np.full(n, size, np.uint64)
+    for i in range(size):
+        h = _mixed(h) + words[i : n + i]
+    return _mixed(h * np.uint64(0x94D049BB133111EB))
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    return (x.as_py() for x in batch.column("text"))
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -106,11 +167,10 @@ def _facts(docs: DataFrame, size: int, most_light: int) -> DataFrame:
     """A row per document: id, set size, node and, of a small set, the shingles; and rows without n: frequent shingles and their counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, chunk, held = _Hashes(), [], 0
+        chunk, held = [], 0
         for batch in batches:
             rows = []
-            for key, x in zip(batch.column("id"), batch.column("text")):
-                own = shingle_set(x.as_py(), size, known)
+            for key, own in zip(batch.column("id"), shingle_sets(_texts(batch), size)):
                 chunk.append(own)
                 held += len(own)
                 rows.append((key.as_py(), len(own), node_of(own) if len(own) else None, own.view(np.int64) if len(own) <= most_light else None, None))
@@ -254,10 +314,9 @@ def entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, rows = _Hashes(), 0, []
+        held, rows = 0, []
         for batch in batches:
-            for x in batch.column("text"):
-                own = shingle_set(x.as_py(), size, known)
+            for own in shingle_sets(_texts(batch), size):
                 if len(own) < least:
                     continue
                 times = _times(own, sent.value)
@@ -318,9 +377,9 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(wanted: DataFrame) -> np.ndarray:
-    """``MARKS`` bits, set where a wanted (node, id) falls; at most a 64th as many numbers are collected."""
-    slot = F.col("node").bitwiseXOR(F.coalesce("id", F.lit(0))).bitwiseAND(MARKS - 1)
-    words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.lit(1).cast("long") * F.pow(F.lit(2.0), F.col("slot") % 32).cast("long")).alias("bits"))
+    """``MARKS`` bits, set where a wanted id falls; a 32nd as many numbers are collected at most."""
+    slot = F.xxhash64("id").bitwiseAND(MARKS - 1)
+    words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("slot") % 32).cast("long")).alias("bits"))
     out = np.zeros(MARKS // 32, np.uint32)
     for row in words.collect():
         out[row["word"]] = row["bits"]
@@ -328,36 +387,56 @@ def _marks(wanted: DataFrame) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the wanted (node, id); texts that the marks show not to be wanted end where they are read."""
-    sent = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
+    """(node, shingles) of the wanted (node, id).
+
+    Only the texts of wanted ids are read as words: a few ids go to the texts,
+    more of them as marks, which a few other texts may fit too.
+    """
+    wanted = stored(wanted, "jaccard-wanted")
+    if wanted.count() <= MOST_SENT:
+        picked = docs.join(F.broadcast(wanted.select(F.col("id").alias("own"))), F.col("id").eqNullSafe(F.col("own")), "left_semi").select("id", "text")
+    else:
+        picked = docs.select("id", "text", F.xxhash64("id").bitwiseAND(MARKS - 1).alias("slot")).mapInArrow(_marked(docs, wanted), "id long, text binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, kind = _Hashes(), pa.list_(pa.int64())
         for batch in batches:
             rows, held = [], 0
-            for key, x in zip(batch.column("id").to_pylist(), batch.column("text")):
-                own = shingle_set(x.as_py(), size, known)
-                if not len(own):
-                    continue
-                node = node_of(own)
-                slot = (node ^ (key or 0)) & (MARKS - 1)
-                if sent.value[slot >> 5] >> np.uint32(slot & 31) & np.uint32(1):
-                    rows.append((node, key, own.view(np.int64)))
+            for key, own in zip(batch.column("id").to_pylist(), shingle_sets(_texts(batch), size)):
+                if len(own):
+                    rows.append((node_of(own), key, own.view(np.int64)))
                     held += len(own)
-                    if held >= _HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), kind))], names=["node", "id", "shingles"])
-                        rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), kind))], names=["node", "id", "shingles"])
+                if held >= _HELD:
+                    yield _named_sets(rows)
+                    rows, held = [], 0
+            yield _named_sets(rows)
 
-    read = docs.mapInArrow(run, "node long, id long, shingles array<long>")
+    read = picked.mapInArrow(run, "node long, id long, shingles array<long>")
     own = wanted.select(F.col("node").alias("own"), F.col("id").alias("own_id"))
     return read.join(own, (F.col("node") == F.col("own")) & F.col("id").eqNullSafe(F.col("own_id")), "left_semi").dropDuplicates(["node"]).select("node", "shingles")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs of nodes (a, b) whose sets are linked."""
-    one, other = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("a", "b"))
+def _marked(docs: DataFrame, wanted: DataFrame):
+    sent = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            keep = (sent.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1)
+            yield batch.select(["id", "text"]).filter(pa.array(keep.astype(bool)))
+
+    return run
+
+
+def _named_sets(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["node", "id", "shingles"])
+
+
+def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int = SIZE, similar: int = SIMILAR) -> DataFrame:
+    """The pairs of nodes (a, b) whose whole sets are linked; ``sets`` names a document (node, id) for each."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    full = stored(_sets_of(docs, nodes.join(sets.select("node", "id"), "node"), size), "jaccard-compared")
+    one, other = (full.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("a", "b"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     enough = 100 * both >= similar * (F.size("a_set") + F.size("b_set") - both)
     return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
@@ -385,8 +464,6 @@ def near_groups(
     if boundary is None:
         boundary = choose_boundary(*_costs(small, frequent, similar), most_light, similar)
     members = stored(entries(read, frequent, least_listed(boundary, similar), size, similar), "jaccard-lists")
-    wanted = members.select("node").distinct().join(sets.select("node", "id"), "node")
-    full = stored(_sets_of(read, wanted, size), "jaccard-compared")
 
     def fits(one, other) -> Column:
         """One set is heavy, sizes are near, and the overlap can be reached from this shingle on."""
@@ -394,7 +471,7 @@ def near_groups(
         after = F.least(one("n") - one("place"), other("n") - other("place"))
         return (high > boundary) & (100 * low >= similar * high) & ((100 + similar) * after >= similar * (low + high))
 
-    roots = list_components(members, fits, lambda pairs: _linked(pairs, full, similar), light_links(small, boundary, similar))
+    roots = list_components(members, fits, lambda pairs: linked(pairs, read, sets, size, similar), light_links(small, boundary, similar))
     classes = sets.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     named = classes.join(least, "root").select(F.col("node").alias("own"), "component_id")

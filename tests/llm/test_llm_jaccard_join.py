@@ -94,15 +94,27 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("boundary", [None, 0, 6, 12])
-def test_boundaries_hot_groups_and_odd_rows(spark, monkeypatch, boundary):
+@pytest.mark.parametrize("boundary, sent", [(None, 1 << 18), (0, 0), (12, 1 << 18)])
+def test_boundaries_hot_groups_and_odd_rows(spark, monkeypatch, boundary, sent):
     monkeypatch.setattr(jaccard_join, "OFTEN", 4)
+    monkeypatch.setattr(jaccard_join, "MOST_SENT", sent)
     rows = _made() + ODD
     docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, node int, id string")
     found = jaccard_join.near_groups(docs, boundary=boundary)
     assert _sorted(found.collect()) == _sorted(_plain(rows))
 
 
+def test_sets_are_those_of_the_words(monkeypatch):
+    texts = [None, "", " \t", "a", "A", "a b", "b a", "a b c d e", "A B\nc\x0bD e f", "x " * 700, "é Ünï ß a b", *("w%d " % (i % 9) * 3 + "common tail of some words" for i in range(40))]
+    plain = [_set(t) for t in texts]
+    for segment in (1 << 20, 64):
+        monkeypatch.setattr(jaccard_join, "SEGMENT", segment)
+        found = list(jaccard_join.shingle_sets(None if t is None else t.encode() for t in texts))
+        assert [len(x) for x in found] == [len(x) for x in plain]
+        for i, j in combinations(range(len(texts)), 2):
+            assert len(np.intersect1d(found[i], found[j])) == len(plain[i] & plain[j])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.near_groups(docs).count() == 0
