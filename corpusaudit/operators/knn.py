@@ -9,7 +9,8 @@ blocks keeps the best k per query, so no pair of query and chunk becomes a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusaudit.session import stored
 
@@ -175,6 +177,87 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, metric: str = "cosine
     return _ranked(_meet(asked, blocks, k, metric), k), n
 
 
+class Ahead:
+    """How many rows come before each wanted one in the order of falling scores, ties by id."""
+
+    def __init__(self, wanted: list[tuple[float, object]]):
+        self.wanted = sorted((-score, key) for score, key in wanted)
+        self.scores = np.array([s for s, _ in self.wanted])
+        self.counts = np.zeros(len(self.wanted) + 1, np.int64)
+
+    def add(self, scores: np.ndarray, ids: Sequence) -> None:
+        place, behind = (np.searchsorted(self.scores, -scores, side=side) for side in ("left", "right"))
+        for i in np.flatnonzero(place < behind).tolist():  # a wanted row, or one with its score
+            place[i] = bisect_right(self.wanted, (-scores[i], ids[i]))
+        self.counts += np.bincount(place, minlength=len(self.counts))
+
+    def rows(self) -> list[tuple[object, int]]:
+        return [(key, int(n)) for (_, key), n in zip(self.wanted, np.cumsum(self.counts))]
+
+
+def _by_query(rows: list, *fields: str) -> dict:
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["query_id"], []).append(tuple(r[f] for f in fields))
+    return out
+
+
+def places(queries: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, doc_id, rank): the place of each wanted (query_id, doc_id) among all chunks by cosine, counted and not sorted.
+
+    ``wanted`` names chunks by ``doc_id`` and is small enough to travel; those
+    without a vector have no place. A first pass finds their scores, a second one
+    counts in every task how many chunks are better.
+    """
+    parts = _parts(chunks)
+    asked, _ = _query_blocks(vectors(queries.drop("bucket"), "query_id"), parts)
+    blocks = _packed(vectors(chunks.drop("bucket"), "chunk_id"), BLOCK, parts)
+    sent = wanted.sparkSession.sparkContext.broadcast(_by_query(wanted.select("query_id", "doc_id").collect(), "doc_id"))
+    query_type, id_type = _type(wanted, "query_id"), _type(wanted, "doc_id")
+
+    def found(query, scores: np.ndarray, ids: list, held: dict) -> Iterator[tuple]:
+        own = {key for (key,) in sent.value.get(query, ())}
+        return ((query, key, float(scores[i])) for i, key in enumerate(ids) if key in own)
+
+    scored = _each_pair(asked, blocks, found, lambda held: (), [query_type, id_type, T.DoubleType()], "score")
+    known = wanted.sparkSession.sparkContext.broadcast(_by_query(scored.collect(), "score", "doc_id"))
+
+    def counted(query, scores: np.ndarray, ids: list, held: dict) -> Iterator[tuple]:
+        if query in known.value:
+            if query not in held:
+                held[query] = Ahead(known.value[query])
+            held[query].add(scores, ids)
+        return iter(())
+
+    ahead = _each_pair(asked, blocks, counted, lambda held: ((q, key, n) for q, own in held.items() for key, n in own.rows()), [query_type, id_type, T.LongType()], "better")
+    return ahead.groupBy("query_id", "doc_id").agg((F.sum("better") + 1).alias("rank"))
+
+
+def _each_pair(queries: DataFrame, blocks: DataFrame, each, last, kinds: list[T.DataType], value: str) -> DataFrame:
+    """(query_id, doc_id, value): what ``each`` says of every query and the scores of a block, and ``last`` at a task's end."""
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(("query_id", "doc_id", value), kinds)])
+    same = (F.col("width") == F.col("q_width")) & F.col("model").eqNullSafe(F.col("q_model"))
+    same &= F.col("part") == F.col("q_part") if "q_part" in queries.columns else F.lit(True)
+    arrow = [to_arrow_type(t) for t in kinds]
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 3, arrow)], names=schema.names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width = batch.column("width")[i].as_py()
+                x, q = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, width) for c in ("data", "q_data"))
+                ids = batch.column("ids")[i].as_py()
+                scores = np.round(_unit(q) @ _unit(x).T, SCORE_DIGITS) + 0.0
+                yield rows([r for query, own in zip(batch.column("q_ids")[i].as_py(), scores) for r in each(query, own, ids, held)])
+        yield rows(list(last(held)))
+
+    travelling = queries if "q_part" in queries.columns else F.broadcast(queries)
+    return blocks.join(travelling, same).select("width", "ids", "data", "q_ids", "q_data").mapInArrow(run, schema)
+
+
 # -- lists ---------------------------------------------------------------------
 @dataclass
 class Lists:

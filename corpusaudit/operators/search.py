@@ -1,7 +1,7 @@
 """Chunks, embeddings and search.
 
-Vectors are searched by ``knn``; words are counted and scored inside a
-document's row.
+Vectors are searched by ``knn``; words are counted in the task that reads a text
+and scored block by block.
 """
 
 from __future__ import annotations
@@ -10,20 +10,23 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusaudit.functions.once import with_once
 from corpusaudit.functions.text import extract_severity, snippet, words
 from corpusaudit.operators import knn
 from corpusaudit.operators.grouping import Keys, key_list
-from corpusaudit.session import fresh_folder
+from corpusaudit.session import stored
 
 SCORE_DIGITS = 6
 #: Words of searches that travel to the tasks together; more are answered in further scans.
@@ -327,70 +330,154 @@ def _guide_scorer(block: dict[str, list[str]], k: int):
     return run
 
 
+#: Documents of a posting block, and (search, candidate) pairs that travel to the tasks together.
+POSTING_BLOCK, MOST_CANDIDATES = 2048, 1 << 20
+
+
+@dataclass
+class _Keywords:
+    """Posting blocks of one block of searches, and what BM25 needs of the corpus."""
+
+    blocks: DataFrame
+    by_word: dict[str, list[str]]
+    idf: dict[str, float]
+    mean: float
+    k1: float
+    b: float
+
+    def scores(self, best: int | None = None) -> DataFrame:
+        """(query_id, doc_id, score) of the documents that share a word with a search, or of the ``best`` in each task."""
+        kind = self.blocks.schema["ids"].dataType.elementType
+        schema = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())])
+        return self.blocks.mapInArrow(_bm25(self.by_word, self.idf, self.mean, self.k1, self.b, best), schema)
+
+
+def _keywords(docs: DataFrame, block: dict[str, list[str]], k1: float, b: float) -> _Keywords:
+    """The documents' posting blocks for the searched words, written, and the statistics that come from them."""
+    by_word = _by_word(block)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"n long, words long, ids array<{kind}>, lengths array<int>, postings array<struct<word:string,most:int,shortest:int,docs:array<int>,times:array<int>>>"
+    blocks = stored(docs.select("doc_id", "text").mapInArrow(_posting_blocks(by_word), schema), "posting-blocks")
+    size = blocks.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    n = size["n"] or 0
+    listed = blocks.select(F.explode("postings").alias("p")).groupBy("p.word").agg(F.sum(F.size("p.docs")).alias("n")).collect()  # a row for each searched word
+    idf = {r["word"]: math.log(1 + (n - r["n"] + 0.5) / (r["n"] + 0.5)) for r in listed}
+    return _Keywords(blocks, by_word, idf, (size["words"] or 0) / n if n and size["words"] else 1.0, k1, b)
+
+
 def keyword_scores(docs: DataFrame, searches: Searches, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 score of each search and document that share a word (columns doc_id, text).
 
-    Texts are read once: each document's counts of searched words are written,
-    the statistics of the corpus come from there, and the scores again are
-    computed inside the document's row.
+    Texts are read once and written as posting blocks of the searched words; the
+    statistics of the corpus and all scores come from there.
+    """
+    scored = [_keywords(docs, block, k1, b).scores() for block in _blocks(searches)]
+    return _union(docs.sparkSession, scored, f"query_id string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def _posting_blocks(by_word: dict[str, list[str]]):
+    """A row for every ``POSTING_BLOCK`` documents: how many, their words, and of those with a searched word the ids, lengths and postings.
+
+    A posting carries the largest count of its word and the shortest document it
+    is in, which bound the score of every document of the block.
     """
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("query_id", T.StringType()), T.StructField("doc_id", kind), T.StructField("score", T.DoubleType())])
-    scored = []
-    for block in _blocks(searches):
-        by_word = _by_word(block)
-        path = fresh_folder(docs.sparkSession, "word-counts")
-        counted = docs.select("doc_id", "text").mapInArrow(_word_counter(by_word), f"doc_id {kind.simpleString()}, n_words long, found array<string>, times array<long>")
-        counted.write.parquet(path)
-        counts = docs.sparkSession.read.schema(counted.schema).parquet(path)
-        size = counts.agg(F.count("*").alias("n"), F.avg("n_words").alias("mean")).first()
-        in_docs = {r["w"]: r["n"] for r in counts.select(F.explode("found").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-        idf = {w: math.log(1 + (size["n"] - d + 0.5) / (d + 0.5)) for w, d in in_docs.items()}
-        scored.append(counts.where(F.size("found") > 0).mapInArrow(_bm25(by_word, idf, size["mean"] or 1.0, k1, b), schema))
-    return reduce(DataFrame.unionByName, scored) if scored else docs.sparkSession.createDataFrame([], schema)
-
-
-def _word_counter(by_word: dict[str, list[str]]):
     known = frozenset(by_word)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, ids, lengths, postings = 0, 0, [], [], {}
+
+        def block(kind: pa.DataType) -> pa.RecordBatch:
+            rows = [
+                {"word": w, "most": max(times), "shortest": min(lengths[d] for d in own), "docs": own, "times": times} for w, (own, times) in postings.items()
+            ]
+            posting = pa.list_(pa.struct([("word", pa.string()), ("most", pa.int32()), ("shortest", pa.int32()), ("docs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]))
+            cells = ((n, pa.int64()), (total, pa.int64()), (ids, pa.list_(kind)), (lengths, pa.list_(pa.int32())), (rows, posting))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], names=["n", "words", "ids", "lengths", "postings"])
+
+        kind = None
         for batch in batches:
-            n, found, times = [], [], []
-            for x in batch.column("text"):
+            kind = batch.schema.field("doc_id").type
+            for key, x in zip(batch.column("doc_id"), batch.column("text")):
                 own = word_list(x.as_py())
-                seen = Counter(w for w in own if w in known)
-                n.append(len(own))
-                found.append(list(seen))
-                times.append(list(seen.values()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "found", "times"],
-            )
+                seen = Counter(filter(known.__contains__, own))
+                n, total = n + 1, total + len(own)
+                for word, times in seen.items():
+                    docs, counts = postings.setdefault(word, ([], []))
+                    docs.append(len(ids))
+                    counts.append(times)
+                if seen:
+                    ids.append(key.as_py())
+                    lengths.append(len(own))
+                if n >= POSTING_BLOCK:
+                    yield block(kind)
+                    n, total, ids, lengths, postings = 0, 0, [], [], {}
+        if n:
+            yield block(kind)
 
     return run
 
 
-def _bm25(by_word: dict[str, list[str]], idf: dict[str, float], mean: float, k1: float, b: float):
+def _bm25(by_word: dict[str, list[str]], idf: dict[str, float], mean: float, k1: float, b: float, best: int | None):
+    def gain(word: str, times, length):
+        return idf[word] * times * (k1 + 1) / (times + k1 * (1 - b + b * length / mean))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = None
+        kept: dict[str, tuple[np.ndarray, list]] = {}
         for batch in batches:
-            row, query, score = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("n_words", "found", "times"))
-            for i, (n, found, times) in enumerate(zip(*columns)):
-                total: dict[str, float] = {}
-                for word, tf in zip(found, times):
-                    gain = idf[word] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
-                    for q in by_word[word]:
-                        total[q] = total.get(q, 0.0) + gain
-                row += [i] * len(total)
-                query += total
-                score += [round(x, SCORE_DIGITS) for x in total.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query, pa.string()), batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(score, pa.float64())], names=["query_id", "doc_id", "score"]
-            )
+            kind = batch.schema.field("ids").type.value_type
+            for row in batch.to_pylist():
+                lengths = np.array(row["lengths"], float)
+                asked: dict[str, list[dict]] = {}
+                for posting in row["postings"]:
+                    for q in by_word[posting["word"]]:
+                        asked.setdefault(q, []).append(posting)
+                for q, own in asked.items():
+                    if best is not None and q in kept and len(kept[q][0]) >= best:
+                        # No document of the block can have more than all its words at their largest count in its shortest document.
+                        if round(sum(gain(p["word"], p["most"], p["shortest"]) for p in own) + 1e-9, SCORE_DIGITS) < kept[q][0][-1]:
+                            continue
+                    total, hit = np.zeros(len(lengths)), np.zeros(len(lengths), bool)
+                    for p in own:
+                        at = np.array(p["docs"])
+                        total[at] += gain(p["word"], np.array(p["times"], float), lengths[at])
+                        hit[at] = True
+                    at = np.flatnonzero(hit)
+                    score, ids = np.array([round(float(x), SCORE_DIGITS) for x in total[at]]), [row["ids"][i] for i in at]
+                    if best is None:
+                        yield _scored([q] * len(ids), ids, score, kind)
+                        continue
+                    if q in kept:
+                        score, ids = np.concatenate([kept[q][0], score]), kept[q][1] + ids
+                    order = sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:best]
+                    kept[q] = score[order], [ids[i] for i in order]
+        for q, (score, ids) in kept.items():
+            yield _scored([q] * len(ids), ids, score, kind)
 
     return run
 
 
+def _scored(queries: list[str], ids: list, score: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(queries, pa.string()), pa.array(ids, kind), pa.array(score, pa.float64())], names=["query_id", "doc_id", "score"])
+
+
+# -- both lists ----------------------------------------------------------------
+#: What is added to a rank before its reciprocal is taken, and digits of a fused score.
+RANK_OFFSET, FUSED_DIGITS = 60, 8
+
+
+def enough_depth(k: int) -> int:
+    """Ranks of both lists after which no document that is in neither can be among the best k.
+
+    The first k of either list have 1 / (60 + k) at least, and a document that
+    neither list shows down to a depth has less than two reciprocals of it.
+    """
+    depth = 2 * k + RANK_OFFSET
+    while round(2 / (RANK_OFFSET + depth + 1), FUSED_DIGITS) >= round(1 / (RANK_OFFSET + k), FUSED_DIGITS):
+        depth += 1
+    return depth
+
+
 def hybrid_search(
     docs: DataFrame, searches: Searches, queries: DataFrame, chunks: DataFrame, k: int = 10, depth: int | None = None
 ) -> DataFrame:
@@ -399,12 +486,77 @@ def hybrid_search(
     ``docs`` has doc_id, text; a chunk's ``chunk_id`` is the id of its document;
     ``queries`` holds the vector of each search under the same query_id. Whole
     lists are joined; ``depth`` takes only that many documents of each.
+
+    Neither list is sorted or written whole. Tasks keep the first documents of
+    each search, as many as make the result certain (``enough_depth``). Those
+    that only one list shows have their place in the other one counted: how many
+    rows there are better.
     """
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    by_words = keyword_scores(docs, searches).withColumn("rank", F.row_number().over(window))
-    by_vector, _ = knn.nearest(queries, chunks, depth or max(1, chunks.count()))
-    lists = by_words.select("query_id", "doc_id", "rank").unionByName(by_vector.select("query_id", F.col("chunk_id").alias("doc_id"), "rank"))
-    if depth is not None:
-        lists = lists.filter(F.col("rank") <= depth)
-    fused = lists.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 8).alias("score"))
-    return fused.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    seen = depth or enough_depth(k)
+    fused = [_fused(docs, block, queries, chunks, seen, depth is None) for block in _small_blocks(searches, seen)]
+    asked = searches.select("query_id") if isinstance(searches, DataFrame) else docs.sparkSession.createDataFrame([(q,) for q, _ in searches], "query_id string")
+    alone = queries.join(asked, "query_id", "left_anti")
+    if not alone.isEmpty():  # vectors without words
+        fused.append(_fused(docs, {}, alone, chunks, seen, depth is None))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    both = _union(docs.sparkSession, fused, f"query_id string, doc_id {kind}, rank int")
+    total = both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1 / (RANK_OFFSET + F.col("rank"))), FUSED_DIGITS).alias("score"))
+    return total.withColumn("rank", _rank()).filter(F.col("rank") <= k)
+
+
+def _rank() -> Column:
+    return F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id")))
+
+
+def _small_blocks(searches: Searches, depth: int) -> Iterator[dict[str, list[str]]]:
+    """Blocks of searches whose candidates travel together."""
+    most = max(1, MOST_CANDIDATES // (2 * depth))
+    for block in _blocks(searches):
+        names = list(block)
+        for i in range(0, len(names), most):
+            yield {q: block[q] for q in names[i : i + most]}
+
+
+def _fused(docs: DataFrame, block: dict[str, list[str]], queries: DataFrame, chunks: DataFrame, seen: int, whole: bool) -> DataFrame:
+    """(query_id, doc_id, rank): a row for each list that a candidate of these searches is in."""
+    asked = queries.where(F.col("query_id").isin(*block)) if block else queries
+    words = _keywords(docs, block, 1.2, 0.75) if block else None
+    by_vector = stored(knn.nearest(asked, chunks, seen)[0].select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank"), "vector-list")
+    if words is None:
+        return by_vector.select("query_id", "doc_id", "rank")
+    ranked = words.scores(seen).withColumn("rank", _rank()).where(F.col("rank") <= seen)
+    by_words = stored(ranked, "word-list")
+    lists = [by_words, by_vector]
+    if whole:
+        only_words = by_words.join(by_vector, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id")
+        only_vector = by_vector.join(by_words, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id")
+        lists += [_places(words.scores(), only_vector), knn.places(asked, chunks, only_words)]
+    return reduce(DataFrame.unionByName, [x.select("query_id", "doc_id", F.col("rank").cast("int").alias("rank")) for x in lists])
+
+
+def _places(scored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, doc_id, rank) of the ``wanted`` (query_id, doc_id, at most ``MOST_CANDIDATES``) in the order of all scores.
+
+    Each task counts its better rows for every wanted one; those that have no
+    score are in no place.
+    """
+    by_query: dict[str, list[tuple]] = {}
+    for r in scored.join(F.broadcast(wanted), ["query_id", "doc_id"]).collect():
+        by_query.setdefault(r["query_id"], []).append((r["score"], r["doc_id"]))
+    sent = scored.sparkSession.sparkContext.broadcast(by_query)
+    kind = scored.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = {q: knn.Ahead(own) for q, own in sent.value.items()}
+        for batch in batches:
+            for part in batch.column("query_id").dictionary_encode().dictionary.to_pylist() if batch.num_rows else ():
+                if part in ahead:
+                    own = batch.filter(pa.compute.equal(batch.column("query_id"), part))
+                    ahead[part].add(own.column("score").to_numpy(), own.column("doc_id").to_pylist())
+        rows = [(q, key, n) for q, own in ahead.items() for key, n in own.rows()]
+        columns = list(zip(*rows)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), arrow, pa.int64()))], names=["query_id", "doc_id", "better"])
+
+    counted = scored.mapInArrow(run, f"query_id string, doc_id {kind.simpleString()}, better long")
+    return counted.groupBy("query_id", "doc_id").agg((F.sum("better") + 1).alias("rank"))

@@ -1,5 +1,8 @@
 """Search against brute force, embedding fallbacks, text search."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +205,66 @@ def test_keyword_scores_for_many_words(spark, monkeypatch):
     for given in (searches, table):
         assert {(r["query_id"], r["doc_id"]): r["score"] for r in search.keyword_scores(docs, given).collect()} == whole
     assert search.keyword_scores(docs, []).isEmpty()
+
+
+def _fused_by_sorting(docs, searches, vectors, chunks, k):
+    """Both whole lists sorted and joined."""
+    by_words, out = {}, []
+    n = len(docs)
+    mean = sum(len(search.word_list(t)) for _, t in docs) / n
+    for q, text in searches:
+        for d, t in docs:
+            own, score = Counter(search.word_list(t)), 0.0
+            length = sum(own.values())
+            for w in dict.fromkeys(search.word_list(text)):
+                if own[w]:
+                    df = sum(w in search.word_list(x) for _, x in docs)
+                    score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * own[w] * 2.2 / (own[w] + 1.2 * (0.25 + 0.75 * length / mean))
+            if score:
+                by_words.setdefault(q, []).append((-round(score, 6), d))
+    for q in {q for q, _ in searches} | set(vectors):
+        total = {}
+        lists = [sorted(by_words.get(q, []))]
+        if q in vectors:
+            unit = lambda v: np.array(v) / np.linalg.norm(v)
+            lists.append(sorted((-round(float(unit(vectors[q]) @ unit(v)), 6), d) for d, v in chunks))
+        for own in lists:
+            for rank, (_, d) in enumerate(own, 1):
+                total[d] = total.get(d, 0) + 1 / (60 + rank)
+        best = sorted((-round(s, 8), d) for d, s in total.items())[:k]
+        out += [(q, d, -s, i + 1) for i, (s, d) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, candidates", [(2048, 1 << 20), (16, 500)])
+def test_hybrid_lists_are_joined_without_being_sorted(spark, monkeypatch, block, candidates):
+    monkeypatch.setattr(search, "POSTING_BLOCK", block)
+    monkeypatch.setattr(search, "MOST_CANDIDATES", candidates)
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "other", "words"], rng.integers(1, 9)))) for i in range(400)]
+    chunks = [(i, rng.integers(-3, 4, 3).astype(float).tolist()) for i in range(40, 440)]
+    chunks = [(i, v if any(v) else [1.0, 0.0, 0.0]) for i, v in chunks]
+    searches = [("a", "alpha gamma"), ("b", "beta beta delta nothing"), ("c", "unknown")]
+    vectors = {"a": [1.0, 2.0, 0.5], "c": [0.0, 1.0, -1.0], "d": [1.0, 1.0, 1.0]}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    vecs = spark.createDataFrame([(i, f"f{i}", v, "") for i, v in chunks], "chunk_id long, file_path string, embedding array<double>, text string").repartition(3)
+    asked = spark.createDataFrame(list(vectors.items()), "query_id string, embedding array<double>")
+    for k in (1, 10):
+        expected = _fused_by_sorting(docs, searches, vectors, chunks, k)
+        for given in (searches, spark.createDataFrame(searches, "query_id string, text string")):
+            found = search.hybrid_search(df, given, asked, vecs, k=k).collect()
+            assert sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in found) == expected
+        if block == 16:
+            break
+
+
+def test_depth_that_makes_the_result_certain():
+    assert search.enough_depth(10) == 80 and all(2 / (61 + search.enough_depth(k)) < 1 / (60 + k) for k in (1, 5, 100, 3000))
+
+
+def test_hybrid_plan_sorts_no_list_whole(spark, monkeypatch):
+    """No task gets more than the first rows of each task for a search."""
+    monkeypatch.setattr(search, "POSTING_BLOCK", 64)
+    docs = spark.range(0, 4000, 1, 4).selectExpr("id AS doc_id", "concat('alpha ', repeat('beta ', cast(id % 7 AS int))) AS text")
+    words = search._keywords(docs, {"q": ["alpha", "beta"]}, 1.2, 0.75)
+    assert words.scores().count() == 4000 and words.scores(10).count() <= 10 * words.blocks.rdd.getNumPartitions()
