@@ -381,3 +381,19 @@ def _(read):
 )
 def _(read):
     return progress.latest_progress(read("progress"))
+
+
+@query(
+    "stream_progress",
+    f"""SELECT run_id, phase, message, CASE phase WHEN 'Phase 1' THEN 0.15 WHEN 'Phase 2' THEN 0.30 WHEN 'Phase 3' THEN 0.45 WHEN 'Phase 4' THEN 0.65 WHEN 'Phase 5' THEN 0.85 ELSE 0.5 END::DOUBLE AS progress, events
+    FROM (SELECT run_id, arg_max(phase, (ts, seq)) AS phase, arg_max(message, (ts, seq)) AS message, count(*) AS events FROM {v('progress')} GROUP BY run_id) x""",
+)
+def _(read):
+    """The events as a stream: what it wrote last of each run is what a batch gives."""
+    folder = fresh_folder(read.spark, "stream-progress")
+    events = read("progress")
+    events.write.parquet(f"{folder}/events")
+    writer = progress.stream_progress(read.spark.readStream.schema(events.schema).parquet(f"{folder}/events"), "10000 days")
+    writer = writer.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch_id}"))
+    writer.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    return progress.latest_of_batches(read.spark.read.parquet(f"{folder}/rows"))

@@ -35,6 +35,30 @@ def newest_payloads(cache: DataFrame) -> DataFrame:
     return cache.groupBy("cache_key").agg(F.max_by("payload", "created_at").alias("payload"))
 
 
+#: Characters of a key that name the part of a stored cache it is in: 256 parts.
+KEY_PART = 2
+
+
+def key_part(key: Column) -> Column:
+    return F.substring(key, 1, KEY_PART)
+
+
+def write_cache(cache: DataFrame, path: str, mode: str = "append") -> None:
+    """Store analyses (cache_key, payload, created_at) in parts by the beginning of their key."""
+    cache.select("cache_key", "payload", "created_at", key_part(F.col("cache_key")).alias("key_part")).write.partitionBy("key_part").mode(mode).parquet(path)
+
+
+def look_up(stored_cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of a cache with a ``key_part`` that have one of the keys; only the parts that the keys fall in are read.
+
+    The driver holds the names of those parts, at most one for each beginning of
+    a key, and the cache's rows are met by key without moving payloads of others.
+    """
+    wanted = keys.select("cache_key").distinct()
+    parts = [r[0] for r in wanted.select(key_part(F.col("cache_key")).alias("part")).distinct().collect()]
+    return stored_cache.where(F.col("key_part").isin(*parts)).join(wanted, "cache_key", "left_semi")
+
+
 def merge_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     """Union of both; the newest payload wins."""
     both = cache.select("cache_key", "payload", "created_at").unionByName(

@@ -48,24 +48,79 @@ def test_stream_and_batch_share_a_cache(spark, tmp_path, rows):
 
 
 def test_a_batch_run_again_replaces_itself(spark, tmp_path):
-    files = cache.with_cache_key(spark.createDataFrame([("a.py", "x"), ("b.py", "y")], "file_path string, content string"))
+    files = cache.with_cache_key(spark.createDataFrame([("a.py", "x"), ("b.py", "y"), ("c.py", "z")], "file_path string, content string"))
     for batch_id in (0, 1, 1):
-        audit.analyse_batch(files if batch_id == 0 else files.limit(1), batch_id, str(tmp_path))
-    assert audit.read_cache(spark, str(tmp_path)).count() == 3
+        audit.analyse_batch(files.where("file_path < 'c.py'") if batch_id == 0 else files, batch_id, str(tmp_path))
+    made = audit.read_cache(spark, str(tmp_path))
+    assert sorted(r["created_at"] for r in made.collect()) == [0, 0, 1]  # what batch 0 has analysed is found by key
+
+
+def _state_rows(query):
+    return query.lastProgress["stateOperators"][0]["numRowsTotal"] if query.lastProgress else None
+
+
+def test_keys_leave_the_state_and_stay_known(spark, tmp_path, rows):
+    """Contents come again after the watermark has passed them: the state has forgotten them, the cache hasn't."""
+    day = lambda d, names: spark.createDataFrame([(n, f"text of {n}", d) for n in names], "file_path string, content string, at string").withColumn("at", F.to_timestamp("at"))
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    sizes = []
+    for frame in (day("2024-01-01", [f"a{i}" for i in range(40)]), day("2024-01-05", [f"b{i}" for i in range(5)]), day("2024-01-06", ["c1", "a1", "a2"]), day("2023-12-01", ["late"])):
+        frame.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        running = audit.stream_audit(stream, out, check, delay="1 hour", arrived="at")
+        running.awaitTermination()
+        sizes.append(_state_rows(running.queries[1]))
+    assert sizes[0] >= 40 and max(sizes[1:]) < sizes[0] / 2, sizes
+    made = audit.read_cache(spark, out)
+    assert made.count() == made.select("cache_key").distinct().count() == 46
+    assert rows(audit.unanalysed(spark, out), "file_path") == [("late",)]
+    assert audit.read_results(spark, out).count() == 46
+
+
+def test_a_stored_cache_is_read_in_parts(spark, tmp_path):
+    files = cache.with_cache_key(spark.createDataFrame([(f"f{i}.py", f"x{i}") for i in range(600)], "file_path string, content string"))
+    made = files.select("cache_key", F.lit("{}").alias("payload"), F.lit(1).cast("bigint").alias("created_at"))
+    cache.write_cache(made, str(tmp_path / "cache"))
+    stored = spark.read.parquet(str(tmp_path / "cache"))
+    few = files.limit(3)
+    found = cache.look_up(stored, few)
+    assert {r["cache_key"] for r in found.collect()} == {r["cache_key"] for r in few.collect()}
+    parts = {r["cache_key"][:2] for r in few.collect()}
+    read = {f.split("key_part=")[1][:2] for f in found.inputFiles()} if found.inputFiles() else parts
+    assert "PartitionFilters: [key_part" in found._jdf.queryExecution().executedPlan().toString() and parts <= read
+    out = _deliver(spark, tmp_path / "s", files.select("file_path", "content").union(spark.createDataFrame([("new.py", "new")])), cache=str(tmp_path / "cache"))
+    assert audit.read_cache(spark, out).count() == 1
+
+
+def _progress(spark, tmp_path, *frames, delay="1 day"):
+    """Rows that the stream wrote, and the state's size after each delivery."""
+    source, out, sizes = str(tmp_path / "events"), str(tmp_path / "rows"), []
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        writer = progress.stream_progress(stream, delay).foreachBatch(lambda batch, batch_id: batch.write.mode("append").parquet(out))
+        query = writer.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "check")).start()
+        query.awaitTermination()
+        sizes.append(_state_rows(query))
+    return spark.read.parquet(out), sizes
 
 
 def test_progress_stream(spark, sf_dir, tmp_path, rows):
     events = adapters.view(spark, sf_dir, "progress")
-    events.write.parquet(str(tmp_path / "events"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    seen = []
+    written, _ = _progress(spark, tmp_path, events, delay="10000 days")
+    assert rows(progress.latest_of_batches(written)) == rows(progress.latest_progress(events))
+
 
-    def keep(batch, batch_id):
-        seen.extend(batch.collect())
+def test_ended_runs_leave_the_state(spark, tmp_path, rows):
+    def events(day, runs):
+        made = spark.createDataFrame([(r, i, f"Phase {1 + i % 5}", None) for r in runs for i in range(3)], "run_id string, seq bigint, phase string, message string")
+        return made.withColumn("ts", F.to_timestamp(F.lit(day)))
 
-    writer = progress.stream_progress(stream).foreachBatch(keep).trigger(availableNow=True)
-    writer.option("checkpointLocation", str(tmp_path / "check")).start().awaitTermination()
-    assert sorted((tuple(r) for r in seen), key=str) == rows(progress.latest_progress(events))
+    frames = [events("2024-01-01", [f"r{i}" for i in range(30)]), events("2024-01-10", ["s1", "s2"]), events("2024-01-20", ["t1"])]
+    written, sizes = _progress(spark, tmp_path, *frames)
+    assert sizes[0] >= 30 and max(sizes[1:]) < sizes[0] / 2, sizes
+    every = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    assert rows(progress.latest_of_batches(written)) == rows(progress.latest_progress(every))
 
 
 def test_phases(spark):
