@@ -18,7 +18,9 @@ are summed for every size, and the boundary is where the total is least.
 The frequent shingles, which decide the order, are those that occur in many of
 the texts that a task reads together; the order is the same everywhere and
 decides speed only. Entries of frequent shingles are dealt out by set, the others
-by shingle, so a shingle of a third of all texts isn't one task's.
+by shingle, so a shingle of a third of all texts isn't one task's. A short list
+is scanned where it is sorted and gives pairs; a long one gives its entries,
+which ``operators.lists`` links without forming the list's pairs.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ MOST_LIGHT = 16
 CHUNK, OFTEN, MOST_FREQUENT = 1 << 20, 8, 1 << 17
 #: Bytes that are cut to words together, ids that go to the texts as they are, and bits that mark more of them.
 SEGMENT, MOST_SENT, MARKS = 1 << 20, 1 << 18, 1 << 24
+#: Entries of a list whose pairs are formed.
+SHORT = 24
 _HELD = 1 << 17
 
 
@@ -302,16 +306,17 @@ def _subsets(rows: list[tuple]) -> pa.RecordBatch:
 
 
 # -- heavy sets --------------------------------------------------------------------
-_ENTRY = "list long, node long, n int, place int"
+_MET = "list long, node long, n int, place int, other long"
 
 
-def entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int, size: int = SIZE, similar: int = SIMILAR) -> DataFrame:
-    """(list, node, n, place): members of the inverted lists that hold two sets or more; each entry once.
+def meetings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], boundary: int, size: int = SIZE, similar: int = SIMILAR) -> DataFrame:
+    """What meets in the inverted lists of sets that may be linked with a heavy one.
 
-    ``place`` counts from 0 in the set's order. A list that no other set is in
-    ends in the task where it is sorted.
+    Rows with ``other`` are pairs of nodes of a short list that may be linked.
+    Rows without are entries of a long list (list, node, n, place), where
+    ``place`` counts from 0 in the set's order. A list of one set gives nothing.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent, least = docs.sparkSession.sparkContext.broadcast(frequent), least_listed(boundary, similar)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = 0, []
@@ -329,9 +334,9 @@ def entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int
                     held, rows = 0, []
         yield _entries(rows)
 
-    every = docs.select("text").mapInArrow(run, f"deal long, {_ENTRY}, often boolean")
+    every = docs.select("text").mapInArrow(run, "deal long, list long, node long, n int, place int, often boolean")
     dealt = every.repartition(partitions(docs.sparkSession), "deal").sortWithinPartitions("list", "node")
-    return dealt.mapInArrow(_shared, _ENTRY).distinct()
+    return dealt.mapInArrow(lambda batches: _scanned(batches, boundary, similar), _MET).distinct()
 
 
 def _entries(rows: list[tuple]) -> pa.RecordBatch:
@@ -345,35 +350,76 @@ def _entries(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["deal", "list", "node", "n", "place", "often"])
 
 
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by list and node, the entries of frequent shingles and of lists with several nodes.
+def _reach(n, other_n, place, other_place, boundary: int, similar: int, least, greatest):
+    """Whether one set is heavy, sizes are near, and the overlap can be reached from the shingle at these places on; for arrays or columns."""
+    low, high, after = least(n, other_n), greatest(n, other_n), least(n - place, other_n - other_place)
+    return (high > boundary) & (100 * low >= similar * high) & ((100 + similar) * after >= similar * (low + high))
 
-    Between batches, a list that has had one node so far waits with its first row.
+
+_NAMES = ["list", "node", "n", "place"]
+
+
+def _scanned(batches: Iterable[pa.RecordBatch], boundary: int, similar: int) -> Iterator[pa.RecordBatch]:
+    """Rows by list and node: pairs of short lists, entries of long ones and of frequent shingles.
+
+    The last list of a batch waits for the next one, unless it is long already.
     """
-    names = ["list", "node", "n", "place"]
-    last_list = last_node = waiting = None
-    nodes = 0
+    held: dict[str, np.ndarray] | None = None
+    long = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*names, "often")}
-        lists, node = rows["list"], rows["node"]
-        new_list = np.concatenate([[lists[0] != last_list], lists[1:] != lists[:-1]])
-        new_node = new_list | np.concatenate([[node[0] != last_node], node[1:] != node[:-1]])
-        part = np.cumsum(new_list)  # 0 goes on with the last batch's list
-        seen = np.bincount(part, new_node)
-        seen[0] += nodes
-        if waiting is not None and seen[0] > 1:
-            yield waiting
-        if part[-1] or seen[0] > 1:
-            waiting = None
-        keep = (new_node & (seen[part] > 1)) | rows["often"]
-        last_list, last_node, nodes = lists[-1], node[-1], min(2, int(seen[-1]))
-        own = pa.RecordBatch.from_arrays([pa.array(rows[c]) for c in names], names=names)
-        if nodes == 1 and part[-1]:
-            waiting = own.slice(int(np.searchsorted(part, part[-1])), 1)
-        if keep.any():
-            yield own.filter(pa.array(keep))
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*_NAMES, "often")}
+        direct = rows["often"] | ((rows["list"] == long) if long is not None else False)
+        if direct.any():
+            yield _entry_rows(rows, direct)
+            rows = {c: x[~direct] for c, x in rows.items()}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+        if not len(rows["list"]):
+            held = None
+            continue
+        # A repeated text is one entry.
+        new = np.concatenate([[True], (rows["list"][1:] != rows["list"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])
+        rows = {c: x[new] for c, x in rows.items()}
+        start = int(np.searchsorted(rows["list"], rows["list"][-1]))
+        yield from _lists_met({c: x[:start] for c, x in rows.items()}, boundary, similar)
+        held = {c: x[start:] for c, x in rows.items()}
+        if len(held["list"]) > SHORT:
+            long = held["list"][0]
+            yield _entry_rows(held, np.ones(len(held["list"]), bool))
+            held = None
+    if held is not None:
+        yield from _lists_met(held, boundary, similar)
+
+
+def _entry_rows(rows: dict[str, np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(rows[c][keep]) for c in _NAMES]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.int64())], names=[*_NAMES, "other"])
+
+
+def _lists_met(rows: dict[str, np.ndarray], boundary: int, similar: int) -> Iterator[pa.RecordBatch]:
+    """Whole lists: the pairs of each that may be linked, each pair once for these rows, or a long list's entries."""
+    lists = rows["list"]
+    if not len(lists):
+        return
+    first = np.concatenate([[True], lists[1:] != lists[:-1]])
+    size = np.diff(np.append(np.flatnonzero(first), len(lists)))[np.cumsum(first) - 1]
+    if (size > SHORT).any():
+        yield _entry_rows(rows, size > SHORT)
+    rows = {c: x[(size > 1) & (size <= SHORT)] for c, x in rows.items()}
+    found = []
+    for step in range(1, SHORT):
+        i = np.flatnonzero(rows["list"][step:] == rows["list"][:-step])
+        if not len(i):
+            break
+        j = i + step
+        near = _reach(rows["n"][i], rows["n"][j], rows["place"][i], rows["place"][j], boundary, similar, np.minimum, np.maximum)
+        found.append(np.stack([rows["node"][i[near]], rows["node"][j[near]]], 1))  # in the order of nodes
+    if found:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        none = [pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int32(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([none[0], pa.array(pairs[:, 0]), none[1], none[2], pa.array(pairs[:, 1])], names=[*_NAMES, "other"])
 
 
 def _marks(wanted: DataFrame) -> np.ndarray:
@@ -463,15 +509,15 @@ def near_groups(
     small = sets.where(F.col("n") <= most_light)
     if boundary is None:
         boundary = choose_boundary(*_costs(small, frequent, similar), most_light, similar)
-    members = stored(entries(read, frequent, least_listed(boundary, similar), size, similar), "jaccard-lists")
+    met = stored(meetings(read, frequent, boundary, size, similar), "jaccard-lists")
+    pairs = met.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    links = light_links(small, boundary, similar).unionByName(linked(pairs, read, sets, size, similar))
 
     def fits(one, other) -> Column:
-        """One set is heavy, sizes are near, and the overlap can be reached from this shingle on."""
-        low, high = F.least(one("n"), other("n")), F.greatest(one("n"), other("n"))
-        after = F.least(one("n") - one("place"), other("n") - other("place"))
-        return (high > boundary) & (100 * low >= similar * high) & ((100 + similar) * after >= similar * (low + high))
+        return _reach(one("n"), other("n"), one("place"), other("place"), boundary, similar, F.least, F.greatest)
 
-    roots = list_components(members, fits, lambda pairs: linked(pairs, read, sets, size, similar), light_links(small, boundary, similar))
+    long = met.where("other IS NULL").drop("other")
+    roots = list_components(long, fits, lambda pairs: linked(pairs, read, sets, size, similar), links)
     classes = sets.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     named = classes.join(least, "root").select(F.col("node").alias("own"), "component_id")

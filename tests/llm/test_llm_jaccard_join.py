@@ -98,6 +98,7 @@ ODD = [
 def test_boundaries_hot_groups_and_odd_rows(spark, monkeypatch, boundary, sent):
     monkeypatch.setattr(jaccard_join, "OFTEN", 4)
     monkeypatch.setattr(jaccard_join, "MOST_SENT", sent)
+    monkeypatch.setattr(jaccard_join, "SHORT", 24 if boundary is None else 3)
     rows = _made() + ODD
     docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, node int, id string")
     found = jaccard_join.near_groups(docs, boundary=boundary)
@@ -137,15 +138,20 @@ def test_boundary_follows_the_cost():
     assert jaccard_join.choose_boundary({}, {}) == 0
 
 
-def test_lists_across_batches():
-    """Entries of shared lists survive any cut into batches; those of single sets don't."""
+def test_lists_across_batches(monkeypatch):
+    """Any cut into batches gives the pairs of short lists and the entries of long and frequent ones; single sets give nothing."""
+    monkeypatch.setattr(jaccard_join, "SHORT", 4)
     rng = np.random.default_rng(4)
-    rows = sorted((int(x), int(y)) for x, y in zip(rng.integers(0, 60, 200), rng.integers(0, 5, 200)))
-    for step in (1, 2, 3, 7, 200):
+    rows = sorted((int(x), int(y)) for x, y in zip(rng.integers(0, 60, 300), rng.integers(0, 9, 300)))
+    of = {x: sorted({y for a, y in rows if a == x}) for x, _ in rows}
+    entries = {(x, y) for x, own in of.items() for y in own if x == 7 or len(own) > 4}
+    pairs = {p for x, own in of.items() if x != 7 and len(own) <= 4 for p in combinations(own, 2)}
+    for step in (1, 2, 3, 7, 300):
         batches = []
         for i in range(0, len(rows), step):
             part = rows[i : i + step]
             arrays = [pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array([9] * len(part), pa.int32()), pa.array([0] * len(part), pa.int32()), pa.array([r[0] == 7 for r in part])]
             batches.append(pa.RecordBatch.from_arrays(arrays, names=["list", "node", "n", "place", "often"]))
-        found = {(r["list"], r["node"]) for b in jaccard_join._shared(batches) for r in b.to_pylist()}
-        assert found == {r for r in rows if r[0] == 7 or len({y for x, y in rows if x == r[0]}) > 1}
+        found = [r for b in jaccard_join._scanned(batches, 0, 80) for r in b.to_pylist()]
+        assert {(r["list"], r["node"]) for r in found if r["other"] is None} == entries
+        assert {(r["node"], r["other"]) for r in found if r["other"] is not None} == pairs
