@@ -192,6 +192,14 @@ SELECT vec_id AS chunk_id, 'f' || cast(vec_id AS string) || '.py' AS file_path,
 FROM {embeddings}
 """
 
+#: Modules whose names recur in fifteen packages, with the module paths that they import.
+VIEWS["packages"] = """
+SELECT concat('p', doc_id % 5, '/q', doc_id % 3, '/m', cast(floor(doc_id / 15) AS bigint) % 40, '_', cast(floor(doc_id / 600) AS bigint), '.py') AS file_path,
+       concat('from m', (doc_id * 7) % 40, '_0 import x', chr(10), 'from .m', (doc_id * 3) % 40, '_0 import y', chr(10), 'import q', (doc_id + 1) % 3, '.m', (doc_id * 11) % 40, '_0', chr(10), replace(replace(coalesce(text, ''), 'import', 'export'), 'from', 'form')) AS source_code,
+       concat('m', (doc_id * 7) % 40, '_0') AS near, concat('p', doc_id % 5, '/q', doc_id % 3, '/m', (doc_id * 3) % 40, '_0') AS beside, concat('q', (doc_id + 1) % 3, '/m', (doc_id * 11) % 40, '_0') AS other
+FROM {documents}
+"""
+
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusaudit import dims
 from corpusaudit.catalog.registry import names, query, quoted, v, values
 from corpusaudit.functions import text
-from corpusaudit.operators import analysis, checks, replies, testlogs
+from corpusaudit.operators import analysis, checks, imports, replies, testlogs
 
 # The white space of text.SPACES as a RE2 class and as DuckDB characters.
 _WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in text.SPACES) + "]"
@@ -414,6 +414,20 @@ def _(read):
     return checks.import_degrees(read("python_pairs").select("file_path", "test_code"), "test_code")
 
 
+@query(
+    "resolved_imports",
+    f"""WITH files AS (SELECT * FROM {v('packages')}), modules AS (SELECT file_path AS target, regexp_replace(file_path, '[.]py$', '') AS module FROM files),
+      wanted AS (SELECT file_path, near AS want FROM files UNION ALL SELECT file_path, other FROM files),
+      found AS (SELECT w.file_path, w.want, m.target, row_number() OVER (PARTITION BY w.file_path, w.want ORDER BY
+          CASE WHEN split_part(w.file_path, '/', 1) <> split_part(m.target, '/', 1) THEN 0 WHEN split_part(w.file_path, '/', 2) <> split_part(m.target, '/', 2) THEN 1 ELSE 2 END DESC,
+          length(m.target), m.target) AS place FROM wanted w JOIN modules m ON m.module = w.want OR ends_with(m.module, '/' || w.want))
+    SELECT file_path, target FROM (SELECT file_path, target FROM found WHERE place = 1 UNION SELECT file_path, target FROM files JOIN modules ON module = beside) x WHERE file_path <> target""",
+)
+def _(read):
+    """Modules whose names recur in fifteen packages: each import means the nearest."""
+    return imports.resolved_imports(read("packages").select("file_path", "source_code"))
+
+
 _TESTED = f"""(SELECT doc_id, test_code AS t, 'javascript' AS language FROM {_PAIRS} UNION ALL SELECT doc_id, test_code, 'python' FROM {_PY}
   UNION ALL SELECT doc_id, source_code, 'java' FROM {_PAIRS} UNION ALL SELECT doc_id, text, 'python' FROM documents) x"""
 
