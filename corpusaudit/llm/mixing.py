@@ -3,10 +3,12 @@
 Documents are summed to cells of source, language and topic; all fitting is on
 cells. A round scales the cells of every source so that the source has its share
 of the tokens, then those of every language, then of every topic, and rounds
-repeat until all three marginals hold. A cell's fitted tokens over its tokens,
-scaled so that the largest ratio is one, is the probability that each of its
-documents is kept; a hash of the document's key decides, so the sample is the
-same in every run. Everything is DataFrame and SQL expressions; a share is a sum
+repeat until all three marginals hold; the error that is left is returned. A
+cell's fitted tokens over its tokens is its ratio, and each of its documents is
+kept with the probability min(1, c x ratio), where c is such that the sample has
+the wanted share of all tokens: a small cell with a large ratio is kept whole and
+sets no scale for the others, and the sample grows with the corpus. A hash of
+the document's key decides, so the sample is the same in every run. Everything is DataFrame and SQL expressions; a share is a sum
 per value, computed from partial sums, and no source, however large, is gathered
 in a task.
 """
@@ -23,8 +25,11 @@ from corpusaudit.llm.common import stored, unused
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponent of a dimension's own token shares that gives its targets: below one, small parts count for more.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-#: Rounds at most, and the relative error of every marginal at which they end.
-ROUNDS, TOLERANCE = 40, 1e-9
+#: Rounds at most, the relative error of every marginal at which they end, and the part of a round's error
+#: that the next one must get below: targets that contradict each other leave an error that no round removes.
+ROUNDS, TOLERANCE, STALLED = 100, 1e-12, 0.999
+#: Share of all tokens that the sample has in expectation.
+SHARE = 0.5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,8 +70,11 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, t
     ``cells`` has the dimensions of ``targets`` and tokens, each combination
     once; a target has value and share. A value without a target, or with a null
     or negative one, gets none of the mix; targets of values that have no tokens
-    are spread over the others. Null is a value like any other. If targets
-    contradict each other, the last dimension holds after the last round.
+    are spread over the others. Null is a value like any other. Rounds end when
+    all marginals hold to the tolerance, or the error falls no more; ``fit_error`` is the largest relative
+    error of a marginal that is left. If targets contradict each other, the last
+    dimension holds after the last round and the error says how far the others
+    are off.
     """
     whole = cells
     for d, target in targets.items():
@@ -78,26 +86,62 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, t
         d: state.where("weight > 0").groupBy(d).agg(F.first(f"want_{d}").alias("want")).agg(F.sum("want").alias("all")).first()["all"]
         for d in targets
     }
+    error = float("inf")
     for _ in range(rounds):
         for d in targets:
             sums = state.where("weight > 0").groupBy(F.col(d).alias("v")).agg(F.sum("weight").alias("n"), F.first(f"want_{d}").alias("want"))
-            factor = sums.select("v", (F.col("want") / F.lit(wants[d]) / F.col("n")).alias(f"by_{d}"))
-            joined = state.drop(f"by_{d}").join(factor, F.col(d).eqNullSafe(F.col("v")), "left").drop("v")
-            state = stored(joined.withColumn("weight", F.coalesce(F.col("weight") * F.col(f"by_{d}"), F.lit(0.0))), "mix")
-        if tolerance > 0:
-            off = reduce(F.greatest, [F.abs(F.col(f"by_{d}") - 1) for d in targets], F.lit(0.0))
-            if (state.where("weight > 0").agg(F.max(off).alias("off")).first()["off"] or 0.0) <= tolerance:
-                break
-    return state.select(*cells.columns, "weight")
-
-
-def chances(cells: DataFrame, targets: dict[str, DataFrame] | None = None, **limits) -> DataFrame:
-    """The cells with the probability that a document of each is kept, to six decimals. ``limits`` are those of ``fit``."""
+            factor = sums.select("v", (F.col("want") / F.lit(wants[d]) / F.col("n")).alias("factor"))
+            joined = state.join(factor, F.col(d).eqNullSafe(F.col("v")), "left")
+            state = joined.select(*[c for c in state.columns if c != "weight"], F.coalesce(F.col("weight") * F.col("factor"), F.lit(0.0)).alias("weight"))
+        state = stored(state, "mix")  # lineage ends with each round
+        before, error = error, _off(state, wants)
+        if error <= tolerance or (tolerance > 0 and error > STALLED * before):
+            break
+    return state.select(*cells.columns, "weight", F.lit(error).alias("fit_error"))
+
+
+def _off(state: DataFrame, wants: dict[str, float]) -> float:
+    """The largest relative error of a marginal of any dimension."""
+    used = state.where("weight > 0")
+    each = [used.groupBy(d).agg((F.sum("weight") * F.lit(want) / F.first(f"want_{d}") - 1).alias("off")).select("off") for d, want in wants.items()]
+    return reduce(DataFrame.unionAll, each).agg(F.max(F.abs("off")).alias("off")).first()["off"] or 0.0
+
+
+def scale(fitted: DataFrame, share: float = SHARE) -> float:
+    """The c for which min(1, c x weight / tokens) of all cells keeps ``share`` of their tokens.
+
+    Cells that reach one give their whole tokens, the others share what is left by
+    weight. That grows c, so more cells may reach one; when none does, c is exact.
+    """
+    used = fitted.where("weight > 0").select("tokens", "weight")
+    total = fitted.agg(F.sum("tokens").alias("n")).first()["n"] or 0
+    c = 0.0
+    while True:
+        full = F.lit(c) * F.col("weight") >= F.col("tokens")
+        parts = used.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("rest")).first()
+        rest = parts["rest"] or 0.0
+        if not rest:  # everything that can be kept is
+            return c
+        now = max(0.0, share * total - (parts["full"] or 0)) / rest
+        if now <= c * (1 + 1e-15):
+            return c
+        c = now
+
+
+def chances(cells: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, **limits) -> DataFrame:
+    """The cells with the probability that a document of each is kept, and ``fit_error``. ``limits`` are those of ``fit``."""
     by = [c for c in cells.columns if c != "tokens"]
-    fitted = fit(cells, targets or {d: tempered(cells, d, TEMPER[d]) for d in by}, **limits)
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    most = fitted.agg(F.max(ratio).alias("most")).first()["most"] or 1.0
-    return stored(fitted.select(*by, F.round(ratio / F.lit(most), 6).alias("probability")), "mix-chances")
+    fitted = stored(fit(cells, targets or {d: tempered(cells, d, TEMPER[d]) for d in by}, **limits), "mix-fitted")
+    c = scale(fitted, share)
+    chance = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("weight") / F.col("tokens"))).otherwise(0.0)
+    return stored(fitted.select(*by, chance.alias("probability"), "fit_error"), "mix-chances")
+
+
+def shares(mixed: DataFrame, dimension: str) -> DataFrame:
+    """(value, tokens, expected): the tokens of each value of a dimension in ``mix``'s rows, and the share that the sample is expected to have of it."""
+    sums = mixed.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("kept"))
+    total = mixed.agg(F.sum(F.col("tokens") * F.col("probability")).alias("kept")).first()["kept"] or 1.0
+    return sums.select("value", "tokens", (F.col("kept") / F.lit(total)).alias("expected"))
 
 
 def _facts(docs: DataFrame, text: str, dimensions: dict[str, Column] | None) -> dict[str, Column]:
@@ -111,11 +155,15 @@ def _cells(facts: DataFrame, by: list[str]) -> DataFrame:
 
 def mix(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, key: str = "doc_id", text: str = "text", seed: int = 0,
-    dimensions: dict[str, Column] | None = None, **limits,
+    dimensions: dict[str, Column] | None = None, share: float = SHARE, **limits,
 ) -> DataFrame:
-    """One row per document: doc_id, its value of each dimension, tokens, probability and kept.
+    """One row per document: doc_id, its value of each dimension, tokens, probability, kept and fit_error.
 
-    Without ``targets`` each dimension's are its own tempered token shares.
+    The sample has ``share`` of all tokens in expectation, or all that have a
+    target if that is less. Without ``targets`` each dimension's are its own
+    tempered token shares; cells that are kept whole may have less than their
+    part of them (``shares`` tells). The probability decides as it is and is
+    shown to six decimals.
     Nulls are values of their own; a null or empty text has no tokens, no share
     of the weight, and is not kept. Documents with equal keys, null too, are kept
     by the same number; repeated rows count each; other columns are ignored; an
@@ -123,23 +171,23 @@ def mix(
     """
     facts = stored(docs.select(F.col(key).alias("doc_id"), *[c.alias(n) for n, c in _facts(docs, text, dimensions).items()]), "mix-facts")
     by = [c for c in facts.columns if c not in ("doc_id", "tokens")]
-    chance = chances(_cells(facts, by), targets, **limits).toDF(*[f"own_{d}" for d in by], "probability")
+    chance = chances(_cells(facts, by), targets, share, **limits).toDF(*[f"own_{d}" for d in by], "chance", "fit_error")
     same = reduce(lambda a, b: a & b, [F.col(d).eqNullSafe(F.col(f"own_{d}")) for d in by])
     return facts.join(chance, same).select(
-        "doc_id", *by, "tokens", "probability",
-        ((F.col("tokens") > 0) & (uniform(F.col("doc_id"), seed) < F.col("probability"))).alias("kept"),
+        "doc_id", *by, "tokens", F.round("chance", 6).alias("probability"),
+        ((F.col("tokens") > 0) & (uniform(F.col("doc_id"), seed) < F.col("chance"))).alias("kept"), F.round("fit_error", 9).alias("fit_error"),
     )
 
 
 def sample(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, key: str = "doc_id", text: str = "text", seed: int = 0,
-    dimensions: dict[str, Column] | None = None, **limits,
+    dimensions: dict[str, Column] | None = None, share: float = SHARE, **limits,
 ) -> DataFrame:
     """The documents that ``mix`` keeps, all columns."""
     facts = {f"mix_{n}": c for n, c in _facts(docs, text, dimensions).items()}
     own = {n: unused(docs, n) for n in facts}
     by = [n for n in facts if n != "mix_tokens"]
-    chance = chances(_cells(docs.select(*[facts[n].alias(n[4:]) for n in facts]), [n[4:] for n in by]), targets, **limits)
+    chance = chances(_cells(docs.select(*[facts[n].alias(n[4:]) for n in facts]), [n[4:] for n in by]), targets, share, **limits).drop("fit_error")
     chance = chance.toDF(*[unused(docs, f"own_{n}") for n in by], unused(docs, "mix_probability"))
     marked = docs.withColumns({own[n]: c for n, c in facts.items()})
     same = reduce(lambda a, b: a & b, [F.col(own[n]).eqNullSafe(F.col(c)) for n, c in zip(by, chance.columns)])

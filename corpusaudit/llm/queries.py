@@ -71,12 +71,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Rounds of raking: at sf0.01 and above, all marginals then hold to ten digits.
-MIX_ROUNDS = 12
+#: Rounds of raking in SQL, which can't stop by itself; the operator stops when its marginals hold.
+SQL_ROUNDS = 30
 
 
-def _mix_sql(documents: str = "documents", rounds: int = MIX_ROUNDS) -> str:
-    """The same mix: rounds written out one after another."""
+def _mix_sql(documents: str = "documents", rounds: int = SQL_ROUNDS) -> str:
+    """The same mix: rounds written out one after another, and the scale from the cells in the order of their ratios."""
     steps, last = [], "c0"
     for r in range(rounds):
         for d in mixing.DIMENSIONS:
@@ -92,6 +92,10 @@ def _mix_sql(documents: str = "documents", rounds: int = MIX_ROUNDS) -> str:
         f" FROM (SELECT {d}, sum(tokens)::DOUBLE AS n FROM facts GROUP BY {d}) x WHERE n > 0)"
         for d in mixing.DIMENSIONS
     )
+    off = " UNION ALL ".join(
+        f"SELECT max(abs(s.n / t.share - 1)) AS off FROM (SELECT {d}, sum(w) AS n FROM {last} GROUP BY {d}) s JOIN t_{d} t ON s.{d} IS NOT DISTINCT FROM t.{d}"
+        for d in mixing.DIMENSIONS
+    )
     same = " AND ".join(f"facts.{d} IS NOT DISTINCT FROM p.{d}" for d in mixing.DIMENSIONS)
     return f"""WITH facts AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN text IS NULL THEN NULL
         WHEN regexp_matches(text, '[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]') THEN 'legal' WHEN contains(text, ' | ') THEN 'table'
@@ -99,16 +103,21 @@ def _mix_sql(documents: str = "documents", rounds: int = MIX_ROUNDS) -> str:
         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM {documents}),
       {targets}, c0 AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE AS w FROM facts
         GROUP BY ALL HAVING sum(tokens) > 0), {", ".join(steps)},
-      p AS (SELECT source, lang, topic, round(w / tokens / max(w / tokens) OVER (), 6) AS probability FROM {last})
-    SELECT doc_id, facts.source, facts.lang, facts.topic, tokens, coalesce(probability, 0) AS probability,
-      tokens > 0 AND ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < coalesce(probability, 0) AS kept
+      ranked AS (SELECT *, {mixing.SHARE} * sum(tokens) OVER () AS wanted, coalesce(sum(tokens) OVER (before), 0) AS full_tokens, sum(w) OVER (rest) AS rest
+        FROM {last} WINDOW before AS (ORDER BY w / tokens DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        rest AS (ORDER BY w / tokens DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+      scale AS (SELECT max((wanted - full_tokens) / rest) AS c FROM ranked WHERE wanted > full_tokens),
+      p AS (SELECT source, lang, topic, least(1, c * w / tokens) AS probability FROM {last}, scale)
+    SELECT doc_id, facts.source, facts.lang, facts.topic, tokens, round(coalesce(probability, 0), 6) AS probability,
+      tokens > 0 AND ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < coalesce(probability, 0) AS kept,
+      (SELECT round(max(off), 9) FROM ({off}) o) AS fit_error
     FROM facts LEFT JOIN p ON {same}"""
 
 
 @_query(_mix_sql())
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability in a mix raked to tempered shares of sources, languages and topics."""
-    return mixing.mix(_table(spark, sf_dir, "documents"), rounds=MIX_ROUNDS, tolerance=0.0)
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 #: The rules that URLs are judged by.
