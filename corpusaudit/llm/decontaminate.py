@@ -40,10 +40,12 @@ RARE = 0.75
 MATCH, COST = 2, 1
 #: Part of the points of a whole match from which a document holds an item.
 THRESHOLD = 0.5
+#: Matching words that an item needs at least. An item of fewer words is in a document that is nothing else.
+LEAST_WORDS = 5
 #: Bytes that are hashed together, and cells that are aligned together.
 PIECE, CELLS = 1 << 20, 1 << 20
 
-HITS = "array<struct<item_id:bigint,score:double,start_word:int,end_word:int>>"
+HITS = "array<struct<item:bigint,score:double,start_word:int,end_word:int>>"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.zeros(256, np.uint64)  # 0 between words
@@ -131,6 +133,11 @@ def pairs(words: np.ndarray, gap: int) -> np.ndarray:
     return _mixed(words[:-gap] * np.uint64(0x94D049BB133111EB) + words[gap:])
 
 
+def share_of(length, threshold: float):
+    """The part of a whole match that an item of so many words needs."""
+    return np.maximum(threshold, np.minimum(length, LEAST_WORDS) / length)
+
+
 def _met(length: int, threshold: float) -> tuple[int, bool]:
     """How many places of an item any alignment at the threshold meets, and whether by pairs.
 
@@ -146,7 +153,7 @@ def _met(length: int, threshold: float) -> tuple[int, bool]:
 
 @dataclass
 class Items:
-    """Test items that travel together: ids, words, seeds as sorted hashes with item and offset, and how many seeds are needed."""
+    """Test items that travel together: ids, words, seeds as sorted hashes with item and offset, how many seeds are needed, and the ids of short items by their words."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -155,27 +162,30 @@ class Items:
     item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offset: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     needed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    short: dict[bytes, int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, ids: list[int], words: list[np.ndarray], threshold: float) -> Items:
         """With every place as a seed."""
+        short = {w.tobytes(): i for i, w in zip(ids, words) if len(w) < LEAST_WORDS}
+        ids, words = [i for i, w in zip(ids, words) if len(w) >= LEAST_WORDS], [w for w in words if len(w) >= LEAST_WORDS]
         found, needed = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], []
         for i, w in enumerate(words):
-            least, paired = _met(len(w), threshold)
+            least, paired = _met(len(w), share_of(len(w), threshold))
             needed.append(least)
             for gap in GAPS if paired else (0,):
                 if len(w) > gap:
                     h = pairs(w, gap)
                     found.append((h, np.full(len(h), i), np.arange(len(h))))
-        return cls(ids, words, threshold)._with(*(np.concatenate(x) for x in zip(*found)), np.array(needed, np.int64))
+        return cls(ids, words, threshold, short=short)._with(*(np.concatenate(x) for x in zip(*found)), np.array(needed, np.int64))
 
     def _with(self, seeds: np.ndarray, item: np.ndarray, offset: np.ndarray, needed: np.ndarray) -> Items:
         order = np.lexsort((offset, item, seeds))
-        return Items(self.ids, self.words, self.threshold, seeds[order], item[order], offset[order], needed)
+        return Items(self.ids, self.words, self.threshold, seeds[order], item[order], offset[order], needed, self.short)
 
     def parts(self) -> tuple:
         """Plain arrays, which tasks can read without this class."""
-        return self.ids, self.words, self.threshold, self.seeds, self.item, self.offset, self.needed
+        return self.ids, self.words, self.threshold, self.seeds, self.item, self.offset, self.needed, self.short
 
     def rare(self, seen: dict[int, int]) -> Items:
         """With the seeds of each item's rarer places; ``seen`` counts documents by hash.
@@ -206,7 +216,7 @@ class Items:
 
     @cached_property
     def gaps(self) -> list[int]:
-        return sorted({gap for w in self.words for gap in (GAPS if _met(len(w), self.threshold)[1] else (0,))})
+        return sorted({gap for w in self.words for gap in (GAPS if _met(len(w), share_of(len(w), self.threshold))[1] else (0,))})
 
     def found(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word and seed number (of the first equal seed) of every pair that is a seed."""
@@ -235,7 +245,7 @@ def _windows(items: Items, words: np.ndarray, ends: np.ndarray, threshold: float
     each = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + seed[row]
     text, at, item, offset = text[row], at[row], items.item[each], items.offset[each]
     lengths = np.array([len(w) for w in items.words])
-    slack = np.floor(MATCH * lengths * (1 - threshold) / COST + 1e-9).astype(np.int64)
+    slack = np.floor(MATCH * lengths * (1 - share_of(lengths, threshold)) / COST + 1e-9).astype(np.int64)
     # An alignment is at most as long as its item and the words that it can add, so its seeds are that near each other.
     order = np.lexsort((at, item))
     text, at, item, offset = text[order], at[order], item[order], offset[order]
@@ -283,8 +293,9 @@ def contained(items: Items, texts: Iterable[str | None], threshold: float) -> It
         for i, places in _windows(items, words, ends, threshold).items():
             item = items.words[i]
             most = MATCH * len(item)
+            least = share_of(len(item), threshold) * most - 1e-9
             # More points than its matching words have, a window can't reach.
-            places = [p for p in places if MATCH * np.isin(words[p[1] : p[2]], item).sum() >= threshold * most]
+            places = [p for p in places if MATCH * np.isin(words[p[1] : p[2]], item).sum() >= least]
             places.sort(key=lambda p: p[2] - p[1])
             while places:
                 width = places[-1][2] - places[-1][1]
@@ -293,15 +304,18 @@ def contained(items: Items, texts: Iterable[str | None], threshold: float) -> It
                 for row, (_, a, b) in zip(rows, group):
                     row[: b - a] = words[a:b]
                 for row, score, end, (text, a, _) in zip(rows, *align(item, rows), group):
-                    if score >= threshold * most and score / most > found[text].get(i, (0.0,))[0]:
+                    if score >= least and score / most > found[text].get(i, (0.0,))[0]:
                         start = end - align(item[::-1], row[None, end - 1 :: -1])[1][0]
                         found[text][i] = (float(score / most), int(a + start - starts[text]), int(a + end - starts[text]))
-        for own in found:
+        for own, a, b in zip(found, starts.tolist(), ends.tolist()):
+            if 0 < b - a < LEAST_WORDS and (whole := items.short.get(words[a:b].tobytes())) is not None:
+                yield [(whole, 1.0, 0, b - a)]
+                continue
             yield sorted((items.ids[i], *x) for i, x in own.items())
 
 
 def _load(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """(item_id, words, items): every different word sequence with its smallest id and all ids; items without words are left out."""
+    """(item, words, item_id, n_items): every different word sequence under a hash of it, its smallest id and how many rows have it; items without words are left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,9 +324,10 @@ def _load(benchmark: DataFrame, key: str, text: str) -> DataFrame:
                 lists += np.split(words.view(np.int64), ends[:-1])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lists, pa.list_(pa.int64()))], names=["id", "words"])
 
-    rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     made = rows.mapInArrow(run, "id long, words array<long>").where("size(words) > 0")
-    return stored(made.groupBy("words").agg(F.min("id").alias("item_id"), F.sort_array(F.collect_set("id")).alias("items")), "benchmark-items")
+    same = made.groupBy("words").agg(F.min("id").alias("item_id"), F.count("*").alias("n_items"))
+    return stored(same.select(F.xxhash64("words").alias("item"), "words", "item_id", "n_items"), "benchmark-items")
 
 
 def _passes(docs: DataFrame, items: DataFrame, text: str, threshold: float) -> Iterator[Items]:
@@ -320,9 +335,9 @@ def _passes(docs: DataFrame, items: DataFrame, text: str, threshold: float) -> I
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     n = max(1, -(-total // MOST_WORDS))
     for i in range(n if total else 0):
-        rows = items.where(F.pmod(F.xxhash64("words"), F.lit(n)) == i).select("item_id", "words").orderBy("item_id").collect()
+        rows = items.where(F.pmod(F.xxhash64("words"), F.lit(n)) == i).select("item", "words").orderBy("item").collect()
         if rows:
-            every = Items.of([r["item_id"] for r in rows], [np.array(r["words"], np.int64).view(np.uint64) for r in rows], threshold)
+            every = Items.of([r["item"] for r in rows], [np.array(r["words"], np.int64).view(np.uint64) for r in rows], threshold)
             yield every.rare(_document_counts(docs, every, text))
 
 
@@ -353,7 +368,7 @@ def hits_column(items: Items, text: Column, threshold: float, spark: SparkSessio
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Items(*sent.value)
         for texts in batches:
-            found = ([dict(zip(("item_id", "score", "start_word", "end_word"), x)) for x in hit] for hit in contained(own, texts, threshold))
+            found = ([dict(zip(("item", "score", "start_word", "end_word"), x)) for x in hit] for hit in contained(own, texts, threshold))
             yield pd.Series(list(found), dtype=object)
 
     return hits(text)
@@ -363,22 +378,24 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row per document and test item that it holds: doc_id, item_id, score, start_word, end_word, items.
+    """One row per document and test item that it holds: doc_id, item_id, score, start_word, end_word, n_items.
 
     The score is the alignment's points over those of a whole match, 1 for an
     exact copy; the words are those of the best place, counted from 0, the last
     one excluded. Test items with the same words are one, under their smallest
-    id, and ``items`` lists all ids. Items without words or without an id are in
-    no document. Null and empty texts hold nothing; repeated rows and null keys
+    id, a null one if they have no other, and ``n_items`` says how many rows they
+    are. At least ``LEAST_WORDS`` words must match; an item of fewer words, such
+    as ``is true``, is in a document that has its words and no others. Items
+    without words are in no document. Null and empty texts hold nothing; repeated rows and null keys
     stay; other columns are ignored; empty tables give an empty result.
     """
     items = _load(benchmark, item_key, item_text)
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, score double, start_word int, end_word int")
+    out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item long, score double, start_word int, end_word int")
     for own in _passes(docs, items, text, threshold):
         each = docs.select(F.col(key).alias("doc_id"), hits_column(own, F.col(text), threshold, docs.sparkSession).alias("hits"))
         out = out.unionByName(each.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*"))
-    return out.join(items.select("item_id", "items"), "item_id").select("doc_id", "item_id", "score", "start_word", "end_word", "items")
+    return out.join(items.select("item", "item_id", "n_items"), "item").select("doc_id", "item_id", "score", "start_word", "end_word", "n_items")
 
 
 def keep_clean(

@@ -11,18 +11,18 @@ each language, whatever the number of documents.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusaudit.llm.common import crc_remainder, spread, unused
 
-#: Bytes of a dictionary, documents of a language that it is made of in expectation, and characters of each.
-DICTIONARY, SAMPLE, PIECE = 128 << 10, 500, 600
+#: Bytes of a dictionary, and documents of a language that it is made of in expectation.
+DICTIONARY, SAMPLE = 128 << 10, 200
 LEVEL, BLOCK = 6, 4096
 #: Bytes up to which a text is encoded in several rotations of its words: sizes are whole bytes, too coarse for a few words.
 SHORT, ROTATIONS = 256, 16
@@ -31,12 +31,13 @@ NARROW = 0.002
 #: Part at which the score is one half.
 HALF = 0.01
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> str:
-    """Lower-case letters, with a space for everything between."""
-    return _OTHER.sub(" ", (text or "").lower()).strip()
+    """Lower-case letters (Unicode category L) with their marks, and a space for everything between; nothing without a letter."""
+    out = _OTHER.sub(" ", (text or "").lower()).strip()
+    return out if _LETTER.search(out) else ""
 
 
 def blocks_of(text: str | None) -> list[bytes]:
@@ -59,19 +60,25 @@ def held_out(key: str) -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language of documents that aren't held out.
 
-    About ``SAMPLE`` documents of a language are taken by a hash of key and text, and of
-    each the ``PIECE`` characters in its middle; pieces that several languages
-    share are left out. Null languages and texts without letters teach nothing.
+    About ``SAMPLE`` different documents of a language are taken by a hash of key
+    and text, and their whole texts fill the dictionary in the order of that hash;
+    of a text that is larger than a dictionary, its first ``DICTIONARY``
+    characters are fetched, and no more could be used. Texts that several
+    languages share are left out. Null languages and texts without letters teach
+    nothing.
     """
-    usable = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), spread(F.col(key)).alias("at"), F.col(text).alias("text"))
-    totals = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row per language
+    at = F.xxhash64(F.lit(17), F.col(key).cast("string"), F.col(text))
+    usable = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), at.alias("at"), F.col(text).alias("text"))
+    totals = {r["lang"]: max(1, r["n"]) for r in usable.groupBy("lang").agg(F.approx_count_distinct("at").alias("n")).collect()}  # one row per language
     if not totals:
         return {}
     total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])[F.col("lang")]
-    length = F.length("text")
-    piece = F.substring("text", F.greatest(F.lit(1), F.floor((length - PIECE) / 2).cast("int") + 1), F.lit(PIECE))
-    rows = usable.where(F.pmod("at", total) < SAMPLE).select("lang", "at", piece.alias("piece")).collect()  # SAMPLE x PIECE for a language
-    pieces = sorted({(r["lang"], r["at"], letters(r["piece"])) for r in rows if letters(r["piece"])})
+    sampled = usable.where(F.pmod("at", total) < SAMPLE).select("lang", "at", F.substring("text", 1, DICTIONARY).alias("text"))
+    rows = sampled.dropDuplicates(["lang", "at"]).collect()  # SAMPLE x DICTIONARY for a language, equal rows once
+    first: dict[tuple[str, str], int] = {}
+    for r in sorted(rows, key=lambda r: r["at"]):
+        first.setdefault((r["lang"], letters(r["text"])), r["at"])
+    pieces = sorted((name, at, words) for (name, words), at in first.items() if words)
     users: dict[str, set[str]] = {}
     for name, _, words in pieces:
         users.setdefault(words, set()).add(name)

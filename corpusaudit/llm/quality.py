@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """A model of ``label`` from the texts of labelled documents that aren't held out.
 
     Above ``SAMPLE`` labelled documents, about as many are taken by a hash of
-    their key. A key with several labels has the smallest; null keys and labels
+    their key. Of a key with several texts, one is taken by their hash. A key with several labels has the smallest; null keys and labels
     other than 0 and 1 are left out. Without usable labels every score is 0.5.
     """
     usable = (
@@ -163,10 +163,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             values = _matrix(x.as_py() for x in batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), lists], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("print"), lists], names=["id", "y", "print", "x"])
 
-    chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(sample), "id")
-    rows = chosen.select("id", "y", "text").mapInArrow(measure, "id long, y double, x array<double>").collect()  # bounded by SAMPLE
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("print")).join(F.broadcast(sample), "id")
+    measured = texts.select("id", "y", "text", "print").mapInArrow(measure, "id long, y double, print long, x array<double>")
+    one = measured.groupBy("id", "y").agg(F.min(F.struct("print", "x")).alias("first"))  # one text of each key
+    rows = one.select("id", "y", F.col("first.x").alias("x")).collect()  # bounded by SAMPLE
     rows.sort(key=lambda r: (r["id"], r["x"]))  # the same model however tasks end
     return boost(np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS)), np.array([r["y"] for r in rows]))
 

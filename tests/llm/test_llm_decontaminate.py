@@ -30,14 +30,19 @@ def _align(item, text):
 def _plain(docs, items, threshold=0.5):
     same = {}
     for i, t in items:
-        if i is not None and _words(t):
-            same.setdefault(tuple(_words(t)), set()).add(i)
+        if _words(t):
+            same.setdefault(tuple(_words(t)), []).append(i)
     out = []
     for d, t, *_ in docs:
         for w, ids in same.items():
+            least = min((i for i in ids if i is not None), default=None)
+            if len(w) < dc.LEAST_WORDS:
+                if tuple(_words(t)) == w:
+                    out.append((d, least, 1.0, len(ids)))
+                continue
             score = _align(w, _words(t)) / (2 * len(w))
-            if score >= threshold:
-                out.append((d, min(ids), round(score, 9), sorted(ids)))
+            if score >= threshold - 1e-12 and score * len(w) >= dc.LEAST_WORDS - 1e-9:
+                out.append((d, least, round(score, 9), len(ids)))
     return sorted(out, key=str)
 
 
@@ -49,14 +54,14 @@ def _got(spark, docs, items, **options):
     assert kept.columns == made.columns
     bad = {str(r["doc_id"]) for r in found}
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d[0]) for d in docs if str(d[0]) not in bad)
-    return found, sorted(((r["doc_id"], r["item_id"], round(r["score"], 9), r["items"]) for r in found), key=str)
+    return found, sorted(((r["doc_id"], r["item_id"], round(r["score"], 9), r["n_items"]) for r in found), key=str)
 
 
 def _case(seed=1):
     r = random.Random(seed)
     text = lambda n: " ".join(r.choice(_WORDS) for _ in range(n))
     items = [(i, text(r.randint(12, 40)).capitalize() + ".") for i in range(12)]
-    items += [(20, items[3][1].upper()), (21, "two words"), (22, "Lone"), (23, ""), (24, None), (None, items[1][1]), (25, "?!")]
+    items += [(20, items[3][1].upper()), (21, "two words"), (22, "Lone"), (23, ""), (24, None), (None, items[1][1]), (25, "?!"), (None, text(15)), (26, "one two three four"), (27, text(5))]
     docs = []
     for d in range(60):
         words = items[r.randrange(12)][1].split()
@@ -65,7 +70,7 @@ def _case(seed=1):
             words[at : at + r.choice([0, 1, 1])] = [r.choice(_WORDS)] * r.choice([0, 1, 1])
             words = words or ["x"]
         docs.append((d, text(r.randint(0, 80)) + " " + ", ".join(words) + "—" + text(r.randint(0, 80)), 1, "x"))
-    docs += [(100 + d, text(100), 1, "x") for d in range(20)] + [(200, None, 1, "x"), (201, "", 1, "x"), (202, "so TWO-words", 1, "x"), (203, "a lone one", 1, "x")]
+    docs += [(100 + d, text(100), 1, "x") for d in range(20)] + [(200, None, 1, "x"), (201, "", 1, "x"), (202, "so TWO-words", 1, "x"), (203, "a lone one", 1, "x"), (206, "Lone!", 1, "x"), (207, "Two, words", 1, "x"), (208, items[-1][1], 1, "x"), (209, items[-3][1], 1, "x")]
     docs += [(None, items[5][1], None, None), (7, items[2][1], 1, "x"), (204, (items[0][1] + " " + text(30) + " ") * 3, 1, "x"), (205, "Ünï " + items[4][1], 1, "x")]
     return docs + [(300 + i, text(20) + " " + items[6][1] + " " + text(20), 1, "x") for i in range(60)], items
 
@@ -110,7 +115,7 @@ def test_very_long_text(spark, monkeypatch):
     item = " ".join(_WORDS[i * 7 % len(_WORDS)] for i in range(30))
     long = "lorem ipsum dolor " * 200_000 + item + " sit amet" * 200_000
     found, got = _got(spark, [(1, long, 1, "x"), (2, "lorem " * 1000, 1, "x")], [(5, item)])
-    assert got == [(1, 5, 1.0, [5])] and (found[0]["start_word"], found[0]["end_word"]) == (600_000, 600_030)
+    assert got == [(1, 5, 1.0, 1)] and (found[0]["start_word"], found[0]["end_word"]) == (600_000, 600_030)
 
 
 def test_query_equals_brute_force(spark, sf_dir):
@@ -148,3 +153,17 @@ def test_lone_edited_copies_equal_brute_force(spark):
 def test_production_parameters_equal_brute_force(spark, threshold):
     docs, items = _case(4)
     assert _got(spark, docs, items, threshold=threshold)[1] == _plain(docs, items, threshold)
+
+
+def test_short_items_leave_ordinary_text_alone(spark):
+    docs = [(i, f"the {i} is true of the many words that {i} is true for", 1, "x") for i in range(50)] + [(60, "Is true.", 1, "x"), (61, "THE", 1, "x"), (62, "the the", 1, "x")]
+    items = [(1, "the"), (2, "is true"), (None, "IS TRUE"), (3, "of")]
+    assert _got(spark, docs, items)[1] == [(60, 2, 1.0, 2), (61, 1, 1.0, 1)]
+
+
+def test_items_without_an_id_are_taken_out(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    docs = [(1, f"before {item} after", 1, "x"), (2, "something else altogether in other words", 1, "x")]
+    assert _got(spark, docs, [(None, item)])[1] == [(1, None, 1.0, 1)]
+    made = spark.createDataFrame(docs, _SCHEMA)
+    assert [r["doc_id"] for r in dc.keep_clean(made, spark.createDataFrame([(None, item)], "item_id long, text string")).collect()] == [2]

@@ -84,3 +84,25 @@ def test_query_accuracy_on_held_out_rows(spark, sf_dir):
     got = queries.QUERIES["op2_language"](spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     rows = got.where("lang IS NOT NULL").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows) > 0
+
+
+def test_signs_that_are_no_letters(spark):
+    """Superscripts, fractions and circled digits are no letters; marks belong to the word that they are in."""
+    rows = _rows()
+    odd = {901: "½ ² ①", 902: "²", 903: "\u0301 \u0902", 904: "12 ⅔ ٣ ㊂"}
+    got = {r["doc_id"]: r for r in language.classify(spark.createDataFrame(rows + [(i, t, "aa", "x", 0.1) for i, t in odd.items()], _SCHEMA)).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and not got[i]["accepted"] for i in odd)
+    assert language.letters("Stra\u0301ße² हिन्दी x½y") == "stra\u0301ße हिन्दी x y"
+
+
+def test_an_id_that_repeats_is_bounded(spark):
+    """Many rows of one id don't all come to the driver, and whole texts teach."""
+    same = spark.range(30_000).selectExpr("7L AS doc_id", "'tala mira sonu keto' AS text", "'aa' AS lang")
+    other = spark.range(30_000).selectExpr("8L AS doc_id", "concat('grzt kwarp ', id) AS text", "'bb' AS lang")
+    both = same.unionByName(other)
+    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in (7, 8))
+    found = language.fit(both)
+    assert found["aa"] == b"tala mira sonu keto "
+    assert found["bb"].count(b"grzt") == 1  # digits aren't letters, so those texts are one
+    long = spark.createDataFrame([(7, "tala " * 2000 + "last word", "aa"), (8, "grzt " * 2000, "bb")], "doc_id long, text string, lang string")
+    assert language.fit(long)["aa"].endswith(b"last word ")

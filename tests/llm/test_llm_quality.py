@@ -88,3 +88,15 @@ def test_query_accuracy_on_held_out_rows(spark, sf_dir):
     got = queries.QUERIES["op1_quality"](spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
     right = sum(r["predicted"] == r["quality"] for r in got)
     assert right >= 0.95 * len(got) > 0
+
+
+def test_an_id_that_repeats_is_bounded(spark, monkeypatch):
+    """Many texts of one labelled id don't all come to the driver, and the model is that of one of them."""
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    learnt = []
+    boost = quality.boost
+    monkeypatch.setattr(quality, "boost", lambda x, y: learnt.append(len(y)) or boost(x, y))
+    docs = spark.range(30_001).selectExpr("7L AS doc_id", "concat('text ', id % 100) AS text").unionByName(spark.range(100, 130).selectExpr("id AS doc_id", "'other words here' AS text"))
+    labels = spark.createDataFrame([(7, 1)] + [(i, 0) for i in range(100, 130)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    assert learnt and learnt[0] <= 31
