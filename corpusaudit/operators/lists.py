@@ -19,7 +19,7 @@ from corpusaudit.operators.components import components
 from corpusaudit.session import stored
 
 #: Rounds with leaders at most, and pairs for each row of a list that are left to the last step.
-ROUNDS, FEW = 4, 4
+ROUNDS, FEW = 2, 4
 
 Fits = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -50,7 +50,8 @@ def list_components(members: DataFrame, fits: Fits, near: Callable[[DataFrame],
             apart = (F.col("group") != F.col("leader.group")) & fits(F.col, lambda c: F.col(f"leader.{c}"))
             pairs = mixed.where(apart).select(*_ends("node", "leader.node"))
         pairs = stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "list-pairs")
-        known = known.unionByName(stored(near(pairs).select("a", "b"), "list-links"))
+        stars = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as good as the links that made them, and fewer
+        known = stars.unionByName(stored(near(pairs).select("a", "b"), "list-links"))
         if number == rounds or _few(mixed):
             return components(known)
         seen = seen.unionByName(pairs)
