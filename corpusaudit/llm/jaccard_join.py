@@ -44,7 +44,7 @@ MOST_LIGHT = 16
 #: Shingles that are counted together, how often one occurs there to be frequent, and frequent ones at most that order shingles.
 CHUNK, OFTEN, MOST_FREQUENT = 1 << 20, 8, 1 << 17
 #: Bytes that are cut to words together, ids that go to the texts as they are, and bits that mark more of them.
-SEGMENT, MOST_SENT, MARKS = 1 << 20, 1 << 18, 1 << 24
+SEGMENT, MOST_SENT, MARKS = 1 << 18, 1 << 18, 1 << 24
 #: Entries of a list whose pairs are formed.
 SHORT = 24
 _HELD = 1 << 17

@@ -108,7 +108,7 @@ def test_boundaries_hot_groups_and_odd_rows(spark, monkeypatch, boundary, sent):
 def test_sets_are_those_of_the_words(monkeypatch):
     texts = [None, "", " \t", "a", "A", "a b", "b a", "a b c d e", "A B\nc\x0bD e f", "x " * 700, "é Ünï ß a b", *("w%d " % (i % 9) * 3 + "common tail of some words" for i in range(40))]
     plain = [_set(t) for t in texts]
-    for segment in (1 << 20, 64):
+    for segment in (1 << 18, 64):
         monkeypatch.setattr(jaccard_join, "SEGMENT", segment)
         found = list(jaccard_join.shingle_sets(None if t is None else t.encode() for t in texts))
         assert [len(x) for x in found] == [len(x) for x in plain]
