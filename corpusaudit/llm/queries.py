@@ -103,7 +103,7 @@ def _mix_sql(documents: str = "documents", rounds: int = SQL_ROUNDS) -> str:
         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM {documents}),
       {targets}, c0 AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE AS w FROM facts
         GROUP BY ALL HAVING sum(tokens) > 0), {", ".join(steps)},
-      ranked AS (SELECT *, {mixing.SHARE} * sum(tokens) OVER () AS wanted, coalesce(sum(tokens) OVER (before), 0) AS full_tokens, sum(w) OVER (rest) AS rest
+      ranked AS (SELECT *, {mixing.SHARE} * sum(tokens) OVER () AS wanted, coalesce(sum(tokens) OVER before, 0) AS full_tokens, sum(w) OVER rest AS rest
         FROM {last} WINDOW before AS (ORDER BY w / tokens DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
         rest AS (ORDER BY w / tokens DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
       scale AS (SELECT max((wanted - full_tokens) / rest) AS c FROM ranked WHERE wanted > full_tokens),
