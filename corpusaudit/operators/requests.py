@@ -254,21 +254,28 @@ RESPONSES = "request_id string, response_text string, error string"
 def batch_infer(requests: DataFrame, predict_fn: PredictFn, batch_size: int = 8) -> DataFrame:
     """Apply the caller's function to the prompts, ``batch_size`` at a time.
 
-    A failing batch gives error rows for its requests only.
+    A failing batch is halved until what fails is found, so one prompt that the
+    function refuses is one error row and costs about twice the logarithm of the
+    batch in further calls. A batch with the wrong number of replies fails too.
     """
 
+    def answers(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            replies = list(predict_fn(prompts))
+            if len(replies) != len(prompts):
+                raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+            return [(reply, None) for reply in replies]
+        except Exception as problem:  # noqa: BLE001 - any failure of the caller's function
+            if len(prompts) == 1:
+                return [(None, str(problem))]
+            half = len(prompts) // 2
+            return answers(prompts[:half]) + answers(prompts[half:])
+
     def infer(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                try:
-                    replies = list(predict_fn(part["prompt"].tolist()))
-                    if len(replies) != len(part):
-                        raise ValueError(f"{len(replies)} replies to {len(part)} prompts")
-                    errors: list[str | None] = [None] * len(part)
-                except Exception as problem:  # noqa: BLE001 - any failure of the caller's function
-                    replies, errors = [None] * len(part), [str(problem)] * len(part)
-                yield pd.DataFrame({"request_id": part["request_id"], "response_text": replies, "error": errors})
+            prompts = frame["prompt"].tolist()
+            found = [x for i in range(0, len(prompts), batch_size) for x in answers(prompts[i : i + batch_size])]
+            yield pd.DataFrame({"request_id": frame["request_id"], "response_text": [r for r, _ in found], "error": [e for _, e in found]})
 
     return requests.select("request_id", "prompt").mapInPandas(infer, RESPONSES)
 

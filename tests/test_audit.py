@@ -157,6 +157,23 @@ def test_equal_files_of_several_repositories_have_their_own_ids(spark):
     assert asked.join(asked.select("request_id"), "request_id").count() == 10
 
 
+def test_one_bad_prompt_is_one_error_row(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def predict(prompts):
+        with open(calls, "a") as log:
+            log.write(f"{len(prompts)}\n")
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("refused")
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(str(i), "bad" if i == 333 else f"ok {i}") for i in range(1000)], "request_id string, prompt string")
+    out = requests.batch_infer(df.coalesce(1), predict, 8).collect()
+    assert [(r["request_id"], r["error"]) for r in out if r["error"]] == [("333", "refused")]
+    assert {r["request_id"]: r["response_text"] for r in out} == {str(i): None if i == 333 else f"OK {i}" for i in range(1000)}
+    assert len(open(calls).readlines()) == 125 + 6
+
+
 def test_failing_batches_stay_apart(spark):
     def predict(prompts):
         if any("bad" in p for p in prompts):
@@ -165,7 +182,7 @@ def test_failing_batches_stay_apart(spark):
 
     df = spark.createDataFrame([(str(i), "bad" if i == 3 else "ok") for i in range(6)], "request_id string, prompt string")
     out = {r["request_id"]: (r["response_text"], r["error"]) for r in requests.batch_infer(df.coalesce(1), predict, 2).collect()}
-    assert [k for k, v in out.items() if v[1]] == ["2", "3"] and out["0"] == ("OK", None)
+    assert [k for k, v in out.items() if v[1]] == ["3"] and out["0"] == out["2"] == ("OK", None)
 
 
 def test_routing(spark, rows):
