@@ -34,27 +34,33 @@ def list_components(members: DataFrame, fits: Fits, near: Callable[[DataFrame],
     their key, so the rows of a large list needn't meet in one task.
     """
     fields = [c for c in members.columns if c != "list"]
-    known = stored(links.select("a", "b"), "list-links") if links is not None else members.sparkSession.createDataFrame([], "a long, b long")
-    seen = members.sparkSession.createDataFrame([], "a long, b long")
+    groups = components(links.select("a", "b")) if links is not None else None
+    seen = None
     for number in range(rounds + 1):
-        groups = components(known)
-        grouped = members.join(groups, "node", "left").select(*members.columns, F.coalesce("root", "node").alias("group"))
+        if groups is None:
+            grouped = members.withColumn("group", F.col("node"))
+        else:
+            grouped = members.join(groups, "node", "left").select(*members.columns, F.coalesce("root", "node").alias("group"))
         spread = grouped.groupBy("list").agg(
             F.min("group").alias("low"), F.max("group").alias("high"),
             F.min(F.struct(F.xxhash64(F.lit(number), "node").alias("order"), *fields, "group")).alias("leader"),
         )
         mixed = stored(grouped.join(spread.where("low <> high").select("list", "leader"), "list"), "list-members")
-        if number == rounds or _few(mixed):
+        last = number == rounds or _few(mixed)
+        if last:
             pairs = _all_pairs(mixed, fields, fits)
         else:
             apart = (F.col("group") != F.col("leader.group")) & fits(F.col, lambda c: F.col(f"leader.{c}"))
             pairs = mixed.where(apart).select(*_ends("node", "leader.node"))
-        pairs = stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "list-pairs")
-        stars = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as good as the links that made them, and fewer
-        known = stars.unionByName(stored(near(pairs).select("a", "b"), "list-links"))
-        if number == rounds or _few(mixed):
-            return components(known)
-        seen = seen.unionByName(pairs)
+        pairs = pairs.distinct()
+        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "list-pairs")
+        known = near(pairs).select("a", "b")
+        if groups is not None:  # stars are as good as the links that made them, and fewer
+            known = known.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        groups = components(known)
+        if last:
+            return groups
+        seen = pairs if seen is None else seen.unionByName(pairs)
     raise AssertionError
 
 
