@@ -20,7 +20,8 @@ the texts that a task reads together; the order is the same everywhere and
 decides speed only. Entries of frequent shingles are dealt out by set, the others
 by shingle, so a shingle of a third of all texts isn't one task's. A short list
 is scanned where it is sorted and gives pairs; a long one gives its entries,
-which ``operators.lists`` links without forming the list's pairs.
+which ``operators.lists`` links without forming the list's pairs. Sketches of the
+sets discard most pairs before texts are read again.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ MOST_LIGHT = 16
 CHUNK, OFTEN, MOST_FREQUENT = 1 << 20, 8, 1 << 17
 #: Bytes that are cut to words together, ids that go to the texts as they are, and bits that mark more of them.
 SEGMENT, MOST_SENT, MARKS = 1 << 18, 1 << 18, 1 << 24
-#: Entries of a list whose pairs are formed.
-SHORT = 24
+#: Entries of a list whose pairs are formed, and bits of a sketch.
+SHORT, BITS = 24, 1024
 _HELD = 1 << 17
 
 
@@ -164,11 +165,21 @@ def prefix(n: int, similar: int = SIMILAR) -> int:
     return n - -(-similar * n // 100) + 1
 
 
-_FACTS = "id long, n long, node long, shingles array<long>, times array<long>"
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of shingles falls on each of ``BITS`` bits, as longs.
+
+    A shingle that only one of two sets has changes one bit, so the bits in which
+    two sketches differ are never more than the shingles in which the sets do.
+    """
+    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_FACTS = "id long, n long, node long, shingles array<long>, times array<long>, sketch array<long>"
 
 
 def _facts(docs: DataFrame, size: int, most_light: int) -> DataFrame:
-    """A row per document: id, set size, node and, of a small set, the shingles; and rows without n: frequent shingles and their counts."""
+    """A row per document: id, set size, node, sketch and, of a small set, the shingles; and rows without n: frequent shingles and their counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
@@ -177,7 +188,7 @@ def _facts(docs: DataFrame, size: int, most_light: int) -> DataFrame:
             for key, own in zip(batch.column("id"), shingle_sets(_texts(batch), size)):
                 chunk.append(own)
                 held += len(own)
-                rows.append((key.as_py(), len(own), node_of(own) if len(own) else None, own.view(np.int64) if len(own) <= most_light else None, None))
+                rows.append((key.as_py(), len(own), node_of(own) if len(own) else None, own.view(np.int64) if len(own) <= most_light else None, None, sketch_of(own)))
                 if held >= CHUNK:
                     rows.append(_often(chunk))
                     chunk, held = [], 0
@@ -189,13 +200,13 @@ def _facts(docs: DataFrame, size: int, most_light: int) -> DataFrame:
 
 def _often(chunk: list[np.ndarray]) -> tuple:
     shingles, times = np.unique(np.concatenate(chunk), return_counts=True) if chunk else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return None, None, None, shingles[times >= OFTEN].view(np.int64), times[times >= OFTEN]
+    return None, None, None, shingles[times >= OFTEN].view(np.int64), times[times >= OFTEN], None
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
-    columns = zip(*rows) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "n", "node", "shingles", "times"])
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+    columns = zip(*rows) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "n", "node", "shingles", "times", "sketch"])
 
 
 def _frequent(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -479,7 +490,15 @@ def _named_sets(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int = SIZE, similar: int = SIMILAR) -> DataFrame:
-    """The pairs of nodes (a, b) whose whole sets are linked; ``sets`` names a document (node, id) for each."""
+    """The pairs of nodes (a, b) whose whole sets are linked; ``sets`` has node, n, sketch and the id of a document.
+
+    Sketches first: pairs that differ in more bits than linked sets differ in
+    shingles are none. The texts of the others are read and compared in full.
+    """
+    one, other = (sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")) for side in ("a", "b"))
+    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    total = F.col("a_n") + F.col("b_n")
+    pairs = stored(pairs.join(one, "a").join(other, "b").where((100 + similar) * (total - apart) >= 2 * similar * total).select("a", "b"), "jaccard-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     full = stored(_sets_of(docs, nodes.join(sets.select("node", "id"), "node"), size), "jaccard-compared")
     one, other = (full.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("a", "b"))
@@ -505,7 +524,7 @@ def near_groups(
     read = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     facts = stored(_facts(read, size, most_light), "jaccard-facts")
     frequent = _frequent(facts)
-    sets = stored(facts.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("shingles").alias("shingles")), "jaccard-sets")
+    sets = stored(facts.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("shingles").alias("shingles"), F.min("sketch").alias("sketch")), "jaccard-sets")
     small = sets.where(F.col("n") <= most_light)
     if boundary is None:
         boundary = choose_boundary(*_costs(small, frequent, similar), most_light, similar)

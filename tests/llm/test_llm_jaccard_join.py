@@ -116,6 +116,15 @@ def test_sets_are_those_of_the_words(monkeypatch):
             assert len(np.intersect1d(found[i], found[j])) == len(plain[i] & plain[j])
 
 
+def test_sketches_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(0, 400))) for _ in range(2))
+        bits = int(np.bitwise_count(jaccard_join.sketch_of(a).view(np.uint64) ^ jaccard_join.sketch_of(b).view(np.uint64)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.near_groups(docs).count() == 0
