@@ -337,9 +337,14 @@ def _(read):
 
 # -- streams ---------------------------------------------------------------------
 def _stream(read, folder, cache=None):
-    """The files of two repositories that hold the same paths, as a stream."""
+    """The files of two repositories that hold the same paths, as a stream.
+
+    The documents are one file or a folder of part files. The path is a pattern
+    that fits it alone: a stream can read a file that a pattern names, but not
+    one that is its base path.
+    """
     spark = read.spark
-    arriving = spark.readStream.schema(read("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(read.sf_dir)
+    arriving = spark.readStream.schema(read("documents").schema).parquet(f"{read.sf_dir}/documents.parque[t]")
     sources = spark.sql(adapters.VIEWS["sources"], documents=arriving).select("file_path", "content")
     files = sources.withColumn("repo", F.explode(F.array(F.lit("left"), F.lit("right"))))
     stream.stream_audit(files, folder + "/results", folder + "/progress", cache).awaitTermination()

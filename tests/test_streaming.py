@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusaudit import adapters
+from corpusaudit.catalog import QUERIES
 from corpusaudit.operators import analysis, cache
 from corpusaudit.streaming import audit, progress
 
@@ -55,6 +56,18 @@ def test_a_batch_run_again_replaces_itself(spark, tmp_path):
     assert sorted(r["created_at"] for r in made.collect()) == [0, 0, 1]  # what batch 0 has analysed is found by key
 
 
+def test_documents_in_part_files_are_streamed(spark, tmp_path, rows):
+    texts = [(i, f"import os\nprint 'text {i}'\n", "en", "web", 25) for i in range(12)]
+    documents = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    documents.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "file" / "documents.parquet")
+    documents.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    for name in ("stream_audit", "stream_with_cache"):
+        one, parts = (rows(QUERIES[name](spark, str(tmp_path / kind))) for kind in ("file", "parts"))
+        assert len(one) == 24 and one == parts
+
+
 def _state_rows(query):
     return query.lastProgress["stateOperators"][0]["numRowsTotal"] if query.lastProgress else None
 
