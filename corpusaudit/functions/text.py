@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusaudit.functions.once import let
 from corpusaudit.session import stored
@@ -181,31 +183,43 @@ def redact(c: Column, secrets: Sequence[str] = (), forms: Sequence[str] = ()) ->
     return c
 
 
-#: Blocks of secrets that one reading of the texts looks for; beyond them, texts and spans are written.
-BLOCKS_AT_ONCE = 4
+#: Least length of a known secret; bits of the filter for each secret, and at most; characters that a task hashes together.
+SHORTEST, FILTER_BITS, MOST_BITS, CHARS = 6, 64, 1 << 27, 1 << 19
 
 
 def redact_all(df: DataFrame, column: str, secrets: DataFrame, block: int = 100_000) -> DataFrame:
     """Replace the known secrets of a table (column secret) of any size; those of up to five characters stay.
 
-    Every block of about ``block`` secrets marks the places of all of them in the
-    original text. Marked stretches that overlap are one, and each is replaced
-    once at the end, so no part of a secret stays, whichever others begin in it,
-    and the result is the same for every size of block. Null texts stay null.
+    One reading of the texts, however many secrets there are, marks the places
+    whose characters a filter knows; the pieces there are then looked up among
+    the secrets by a join, so that only secrets are replaced. The filter has room
+    for whole blocks of ``block`` secrets, up to ``MOST_BITS``; a fuller one
+    lets more pieces be looked up and changes no result. Marked stretches that
+    overlap are one, and each is replaced once at the end, so no part of a secret
+    stays, whichever others begin in it. Null texts stay null.
     """
-    usable = secrets.where(F.length("secret") > 5).select("secret").distinct()
-    n = -(-usable.count() // block)
-    schema, spans = df.schema, _unused(df, "spans")
-    for i in range(n):
-        known = [r["secret"] for r in usable.where(F.pmod(F.xxhash64("secret"), F.lit(n)) == i).collect()]
-        if not i:
-            df = df.withColumn(spans, F.array().cast("array<int>"))
-        df = df.mapInPandas(_marker(column, spans, known), df.schema)
-        if i + 1 == n:
-            df = df.mapInPandas(_cutter(column, spans), schema)
-        elif (i + 1) % BLOCKS_AT_ONCE == 0:
-            df = stored(df, "redacted")
-    return df
+    usable = stored(secrets.where(F.length("secret") >= SHORTEST).select("secret").distinct(), "secrets")
+    n = usable.count()
+    if not n:
+        return df
+    lengths = sorted(r["n"] for r in usable.select(F.length("secret").alias("n")).distinct().collect())
+    steps = _steps(lengths)
+    size = min(-(-n // block) * min(block, n) * FILTER_BITS, MOST_BITS)
+    words = np.zeros(-(-size // 64), np.int64)
+    slots = usable.mapInArrow(_slots(steps, size), "slot long").groupBy(F.expr("slot div 64").alias("word"))
+    found = slots.agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits")).toArrow()
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    places, row, spans = _unused(df, "places"), _unused(df, "row"), _unused(df, "spans")
+    numbered = df.withColumn(row, F.monotonically_increasing_id())
+    schema = T.StructType([*numbered.schema.fields, T.StructField(places, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("secret", T.StringType())])))])
+    marked = stored(numbered.mapInArrow(_marker(column, places, steps, size, sent), schema), "redacted")
+    some = marked.where(F.size(places) > 0)
+    sure = some.select(row, F.explode(places).alias("p")).select(row, "p.*").join(usable, "secret", "left_semi")
+    stretch = F.struct("start", (F.col("start") + F.length("secret")).alias("stop"))
+    cut = some.drop(places).join(sure.groupBy(row).agg(F.collect_list(stretch).alias(spans)), row, "left").drop(row)
+    return marked.where(F.size(places) == 0).select(*df.columns).unionByName(cut.mapInArrow(_cutter(column, spans), df.schema))
 
 
 def _unused(df: DataFrame, name: str) -> str:
@@ -226,39 +240,132 @@ def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _marker(column: str, spans: str, known: list[str]):
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
+def _steps(lengths: list[int]) -> list[tuple[int, bool]]:
+    """(length, whole) in the order of a search: beginnings of 6, 12, 24... characters narrow the places, whole secrets are hits."""
+    begin, steps = SHORTEST, [(x, True) for x in lengths]
+    while begin <= lengths[-1]:
+        steps.append((begin, False))
+        begin *= 2
+    return sorted(steps)
+
+
+class _Hashed:
+    """Hashes of any stretch of joined texts, from sums over their characters; where a stretch lies doesn't matter."""
+
+    #: Odd factors, the first with its inverse modulo 2**64.
+    FACTOR = 0x9E3779B97F4A7C15
+    BACK = pow(FACTOR, -1, 1 << 64)
+    MIX = np.uint64(0xFF51AFD7ED558CCD)
+
+    powers = backs = np.ones(1, np.uint64)
+
+    def __init__(self, texts: Sequence[str]):
+        self.joined = "".join(texts)
+        codes = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.sizes = np.array([len(x) for x in texts], np.int64)
+        ends = np.cumsum(self.sizes)
+        self.starts = ends - self.sizes
+        self.ends = np.repeat(ends, self.sizes)
+        if len(_Hashed.powers) < len(codes):
+            for name, factor in (("powers", self.FACTOR), ("backs", self.BACK)):
+                each = np.full(max(len(codes), 2 * CHARS), factor, np.uint64)
+                each[0] = 1
+                setattr(_Hashed, name, np.cumprod(each))
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * _Hashed.powers[: len(codes)], out=self.sums[1:])
+
+    def room(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The places with so many characters left in their text."""
+        return at[at + length <= self.ends[at]]
+
+    def slots(self, at: np.ndarray, length: int, whole: bool, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two bits of the stretches of one length that begin at these places."""
+        h = (self.sums[at + length] - self.sums[at]) * _Hashed.backs[at] + np.uint64(2 * length + whole)
+        for _ in range(2):
+            h ^= h >> np.uint64(33)
+            h *= self.MIX
+        h ^= h >> np.uint64(33)
+        low, bits = np.uint64(32), np.uint64(size)
+        return ((h >> low) * bits) >> low, ((h & np.uint64(0xFFFFFFFF)) * bits) >> low
+
+
+def _slots(steps: list[tuple[int, bool]], size: int):
+    """The bits of the filter that the secrets set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _slices(batch.column("secret")):
+                hashed = _Hashed(texts)
+                bits = []
+                for length, whole in steps:
+                    own = hashed.starts[hashed.sizes == length if whole else hashed.sizes >= length]
+                    bits += hashed.slots(own, length, whole, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(bits)).view(np.int64))], names=["slot"])
 
-        automaton = ahocorasick.Automaton()
-        for secret in known:
-            automaton.add_word(secret, len(secret))
-        automaton.make_automaton()
+    return run
 
-        def marked(value: str | None, before: Sequence[int]) -> list[int]:
-            if value is None or not known:
-                return list(before)
-            found = [(last + 1 - length, last + 1) for last, length in automaton.iter(value)]
-            return [x for span in joined_spans([*zip(before[::2], before[1::2]), *found]) for x in span]
 
-        for frame in frames:
-            frame[spans] = [marked(x, before) for x, before in zip(frame[column], frame[spans])]
-            yield frame
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts in turn, with the number of the first, as many together as have about ``CHARS`` characters; nulls as empty ones."""
+    first, held, n = 0, [], 0
+    for x in texts:
+        held.append(x.as_py() or "")
+        n += len(held[-1])
+        if n >= CHARS:
+            yield first, held
+            first, held, n = first + len(held), [], 0
+    if held:
+        yield first, held
+
+
+def _marker(column: str, places: str, steps: list[tuple[int, bool]], size: int, sent):
+    """Adds the places of each text that the filter knows, with the pieces there."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+
+        def known(slot: np.ndarray) -> np.ndarray:
+            return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+        def hits(hashed: _Hashed, at: np.ndarray, length: int, whole: bool) -> np.ndarray:
+            one, other = hashed.slots(at, length, whole, size)
+            seen = np.flatnonzero(known(one))
+            return at[seen[known(other[seen])]]
+
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("secret", pa.string())]))
+        for batch in batches:
+            for first, texts in _slices(batch.column(column)):
+                hashed = _Hashed(texts)
+                at, marks = np.arange(len(hashed.joined)), [[] for _ in texts]
+                for length, whole in steps:
+                    if not len(at):
+                        break
+                    near = hits(hashed, hashed.room(at, length), length, whole)
+                    if not whole:
+                        at = near
+                        continue
+                    owner = np.searchsorted(hashed.starts, near, side="right") - 1
+                    for i, a, b in zip(owner.tolist(), near.tolist(), (near - hashed.starts[owner]).tolist()):
+                        marks[i].append({"start": b, "secret": hashed.joined[a : a + length]})
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks, kind)], names=[*part.schema.names, places])
 
     return run
 
 
 def _cutter(column: str, spans: str):
-    def cut(value: str | None, marked: Sequence[int]) -> str | None:
-        if value is None or not len(marked):
+    def cut(value: str, marked: list[dict] | None) -> str:
+        if not marked:
             return value
-        edges = [0, *marked, len(value)]
+        edges = [0, *(x for span in joined_spans((m["start"], m["stop"]) for m in marked) for x in span), len(value)]
         return REDACTED.join(value[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame[column] = [cut(x, marked) for x, marked in zip(frame[column], frame[spans])]
-            yield frame.drop(columns=spans)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut(x.as_py(), marked.as_py()) for x, marked in zip(batch.column(column), batch.column(spans))]
+            names = [c for c in batch.schema.names if c != spans]
+            columns = [pa.array(texts, batch.column(c).type) if c == column else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 

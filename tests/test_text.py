@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusaudit import dims
 from corpusaudit.functions import paths, text
 from corpusaudit.operators import files
+from corpusaudit.session import stored
 
 
 def column(spark, values, expression):
@@ -107,6 +108,30 @@ def test_redaction_is_the_same_for_every_block(spark):
         assert {r["spans"] for r in got.collect()} == {"own"}
 
 
+def test_many_blocks_take_one_reading(spark, monkeypatch):
+    """Texts aren't read or written once more for every few blocks, and what the filter takes for a secret stays if it isn't one."""
+    written = []
+    monkeypatch.setattr(text, "stored", lambda df, purpose: written.append(purpose) or stored(df, purpose))
+    secrets = [f"name.{i}@host{i % 7}.example" for i in range(400)] + [f"name.{i}" for i in range(10, 400, 3)] + ["x" * 90, "y" * 30 + "é"]
+    texts = [f"to name.{i}@host{i % 7}.example, name.{i + 1}! " * (i % 3) + "x" * i + "y" * 30 + "é" * (i % 2) for i in range(120)] + [None, "", "short"]
+
+    def plain(value):
+        found = [(i, i + len(x)) for x in secrets for i in range(len(value or "")) if value.startswith(x, i)]
+        out = value
+        for start, stop in reversed(text.joined_spans(found)):
+            out = out[:start] + text.REDACTED + out[stop:]
+        return out
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    table = spark.createDataFrame([(x,) for x in [*secrets, None, "abc"]], "secret string")
+    for bits in (64, 1):
+        monkeypatch.setattr(text, "FILTER_BITS", bits)
+        written.clear()
+        got = {r["i"]: r["t"] for r in text.redact_all(df, "t", table, 20).collect()}
+        assert got == {i: plain(t) for i, t in enumerate(texts)}
+        assert written == ["secrets", "redacted"]
+
+
 def test_heads(spark):
     t = ["a" * 201, "a" * 200]
     assert column(spark, t, text.snippet) == ["a" * 200 + "...", "a" * 200]
