@@ -11,6 +11,7 @@ from corpusaudit import dims
 from corpusaudit.catalog.registry import names, query, quoted, v, values
 from corpusaudit.functions import text
 from corpusaudit.operators import analysis, checks, imports, replies, testlogs
+from corpusaudit.session import stored
 
 # The white space of text.SPACES as a RE2 class and as DuckDB characters.
 _WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in text.SPACES) + "]"
@@ -139,10 +140,10 @@ _NAMES = "[a-z]+[.][0-9]+"
     f"SELECT doc_id, regexp_replace(text, '{_NAMES}(@[a-z0-9.]+[a-z0-9])?', '[REDACTED]', 'g') AS text FROM documents",
 )
 def _(read):
-    """Addresses and the names that they begin with, in ten blocks: a name alone goes, an address goes whole."""
+    """Addresses and the names that they begin with, in ten blocks of a filter: a name alone goes, an address goes whole."""
     documents = read("documents").select("doc_id", "text")
     found = F.explode(F.array_union(F.regexp_extract_all("text", F.lit(_ADDRESS), F.lit(0)), F.regexp_extract_all("text", F.lit(_NAMES), F.lit(0))))
-    secrets = documents.select(found.alias("secret")).distinct()
+    secrets = stored(documents.select(found.alias("secret")).distinct(), "found")
     return text.redact_all(documents, "text", secrets, block=max(1, -(-secrets.count() // 10)))
 
 
