@@ -24,6 +24,8 @@ from corpusaudit.session import stored
 
 SCORE_DIGITS = 6
 BLOCK, QUERY_BLOCK = 2048, 256
+#: Vectors that a task compares with all centres at once, and blocks' worth of vectors that it holds.
+SLICE, HELD = 512, 32
 #: Bytes of query vectors up to which they travel whole, and hits up to which their texts are looked up by broadcast.
 TRAVEL_BYTES, TRAVEL_HITS = 16 << 20, 100_000
 #: Vectors that lists are trained on, lists at most, and queries that their number of probes is measured with.
@@ -64,10 +66,12 @@ def _packed(rows: DataFrame, size: int, parts: int) -> DataFrame:
 
         number = TaskContext.get().partitionId()
         held: dict[tuple, tuple[list, list]] = {}
+        sizes: dict[tuple, int] = {}
 
         def block(key: tuple) -> pa.RecordBatch:
             nonlocal number
             ids, data = held.pop(key)
+            del sizes[key]
             number += 1
             cells = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.string()), pa.array([key[2]], pa.int32()), pa.array([number % parts], pa.int32()),
                      pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids)), pa.array([np.concatenate(data).tobytes()], pa.binary())]
@@ -89,8 +93,11 @@ def _packed(rows: DataFrame, size: int, parts: int) -> DataFrame:
                     ids, data = held.setdefault(key, ([], []))
                     ids.append(batch.column("id").take(pa.array(part)))
                     data.append(flat[start[part][:, None] + np.arange(key[0])].ravel())
-                    if sum(map(len, ids)) >= size:
+                    sizes[key] = sizes.get(key, 0) + len(part)
+                    if sizes[key] >= size:
                         yield block(key)
+            while sum(sizes.values()) > HELD * size:  # many lists, none of them full
+                yield block(max(sizes, key=sizes.get))
         for key in list(held):
             yield block(key)
 
@@ -273,6 +280,11 @@ class Lists:
             return np.zeros((len(v), 1), np.int64)
         return np.argsort(-(_unit(v) @ centres.T), axis=1, kind="stable")
 
+    def nearest(self, key: tuple[int, str | None], v: np.ndarray) -> np.ndarray:
+        """The first of ``near``."""
+        centres = self.centres.get(key)
+        return np.zeros(len(v), np.int64) if centres is None else (_unit(v) @ centres.T).argmax(axis=1)
+
 
 def train_lists(chunks: DataFrame, k: int = 20, recall: float = 0.95) -> Lists:
     """Lists by spherical k-means over a bounded sample, about the square root of the number of chunks.
@@ -321,7 +333,7 @@ def with_list(chunks: DataFrame, lists: Lists) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lists(centres, probes)
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             models = batch.column("model").to_pylist() if "model" in batch.schema.names else [None] * batch.num_rows
             bucket: list[int | None] = [None] * batch.num_rows
             groups: dict[tuple, list[int]] = {}
@@ -330,7 +342,7 @@ def with_list(chunks: DataFrame, lists: Lists) -> DataFrame:
                 if v and all(y is not None and np.isfinite(y) for y in v):
                     groups.setdefault((len(v), models[i]), []).append(i)
             for key, rows in groups.items():
-                for i, b in zip(rows, own.near(key, np.array([lists_[i] for i in rows], float))[:, 0].tolist()):
+                for i, b in zip(rows, own.nearest(key, np.array([lists_[i] for i in rows], float)).tolist()):
                     bucket[i] = b
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *batch.columns], schema=pa.schema([("bucket", pa.int32()), *batch.schema]))
 
@@ -349,7 +361,7 @@ def nearest_in_lists(queries: DataFrame, indexed: DataFrame, lists: Lists, k: in
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lists(centres, probes)
-        for batch in batches:
+        for batch in (whole.slice(i, 8) for whole in batches for i in range(0, whole.num_rows, 8)):
             take, at = [], []
             models = batch.column("model").to_pylist()
             for i, v in enumerate(batch.column("v").to_pylist()):

@@ -268,3 +268,41 @@ def test_hybrid_plan_sorts_no_list_whole(spark, monkeypatch):
     docs = spark.range(0, 4000, 1, 4).selectExpr("id AS doc_id", "concat('alpha ', repeat('beta ', cast(id % 7 AS int))) AS text")
     words = search._keywords(docs, {"q": ["alpha", "beta"]}, 1.2, 0.75)
     assert words.scores().count() == 4000 and words.scores(10).count() <= 10 * words.blocks.rdd.getNumPartitions()
+
+
+def test_listing_holds_few_vectors_at_once():
+    """A task's memory doesn't grow with the number of lists times an Arrow batch's rows."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    r = np.random.default_rng(3)
+    centres = knn._unit(r.normal(size=(800, 16)))
+    centres[1] = centres[0]  # the first of equals
+    lists = knn.Lists({(16, None): centres}, {(16, None): 3})
+    v = np.concatenate([centres[:2], r.normal(size=(9998, 16))])
+    chunks = SimpleNamespace(schema=T.StructType([T.StructField("embedding", T.ArrayType(T.DoubleType()))]), mapInArrow=lambda run, schema: run)
+    chunks.drop = lambda name: chunks
+    batch = pa.RecordBatch.from_arrays([pa.array(v.tolist(), pa.list_(pa.float64()))], names=["embedding"])
+    run = knn.with_list(chunks, lists)
+    tracemalloc.start()
+    got = [x for part in run(iter([batch])) for x in part.column("bucket").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == lists.near((16, None), v)[:, 0].tolist()
+    assert peak < 40 << 20
+
+
+def test_blocks_of_many_lists_are_passed_on_before_they_are_full(spark, monkeypatch):
+    monkeypatch.setattr(knn, "HELD", 1)
+    rows = spark.createDataFrame([(i, None, i % 40, [float(i), 1.0]) for i in range(400)], "id long, model string, list int, v array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        blocks = knn._packed(rows, 60, 4).select("list", "ids", "data").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(i for b in blocks for i in b["ids"]) == list(range(400))
+    assert all(i % 40 == b["list"] for b in blocks for i in b["ids"]) and all(len(b["data"]) == 16 * len(b["ids"]) for b in blocks)
+    assert len(blocks) > 40
