@@ -51,6 +51,8 @@ def duplicate_files(files: DataFrame) -> DataFrame:
 SHINGLE, SIMILAR = 5, 0.8
 #: Shingles that a task counts together, how often one must occur there, and how many of the most frequent order the others.
 CHUNK, OFTEN, MOST_FREQUENT = 1 << 20, 4, 1 << 17
+#: Texts in pairs whose numbers travel whole to the sets.
+TRAVEL_TEXTS = 1 << 20
 
 
 def near_copies(files: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -161,7 +163,9 @@ def _fits(similar: float) -> Fits:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have enough in common."""
+    """The pairs (a, b) whose shingle sets have enough in common. Only the sets of texts that are in a pair move, unless those are many."""
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("text")).distinct()
+    sets = sets.join(F.broadcast(paired) if paired.count() <= TRAVEL_TEXTS else paired, "text", "left_semi")
     one, other = (sets.select(F.col("text").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("a", "b"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     return pairs.join(one, "a").join(other, "b").where(both >= similar * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")

@@ -121,3 +121,15 @@ def test_equal_paths_of_two_repositories_stay_apart(spark, rows):
     assert rows(checks.import_degrees(files.withColumnRenamed("content", "source_code"))) == [("x", "a.py", 1, 1), ("x", "b.py", 1, 1), ("y", "a.py", 0, 0)]
     same = files.withColumn("content", F.lit("same"))
     assert rows(quality.duplicate_code(same), "copies", "first_repo", "first_path") == [(3, "x", "a.py")]
+
+
+def test_only_sets_of_paired_texts_move(spark, rows, monkeypatch):
+    own = {1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 5, 6], 3: [1, 2, 9], 4: [7, 8]}
+    sets = quality.stored(spark.createDataFrame(list(own.items()), "text long, shingles array<long>"), "test-sets")
+    pairs = quality.stored(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), "test-pairs")
+    for most in (quality.TRAVEL_TEXTS, 0):
+        monkeypatch.setattr(quality, "TRAVEL_TEXTS", most)
+        near = quality._compared(pairs, sets, 0.8)
+        assert rows(near) == [(1, 2)]
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftSemi") == 2 and plan.count("strategy=broadcast") == (2 if most else 0)
