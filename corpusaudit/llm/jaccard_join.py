@@ -15,13 +15,14 @@ Subsets cost their number, which grows fast with the size; lists cost entries
 and what is scanned in them, which depends on how frequent the shingles are. Both
 are summed for every size, and the boundary is where the total is least.
 
-The frequent shingles, which decide the order, are those that occur in many of
-the texts that a task reads together; the order is the same everywhere and
-decides speed only. Entries of frequent shingles are dealt out by set, the others
+The frequent shingles, which decide the order, are those that occur more than
+once among the texts that a task reads together, summed over all of these; the
+order is the same everywhere and decides speed only. Entries of frequent shingles are dealt out by set, the others
 by shingle, so a shingle of a third of all texts isn't one task's. A short list
 is scanned where it is sorted and gives pairs; a long one gives its entries,
 which ``operators.lists`` links without forming the list's pairs. Sketches of the
-sets discard most pairs before texts are read again.
+sets discard most pairs before texts are read again: short ones first, then for
+large sets ones that grow with the set, as few bits tell nothing of many shingles.
 """
 
 from __future__ import annotations
@@ -42,11 +43,11 @@ from corpusaudit.operators.lists import list_components
 SIZE, SIMILAR = 5, 80
 #: Largest boundary that is considered.
 MOST_LIGHT = 16
-#: Shingles that are counted together, how often one occurs there to be frequent, and frequent ones at most that order shingles.
+#: Shingles that are counted together, how often one is counted to be frequent, and frequent ones at most that order shingles.
 CHUNK, OFTEN, MOST_FREQUENT = 1 << 20, 8, 1 << 17
 #: Bytes that are cut to words together, ids that go to the texts as they are, and bits that mark more of them.
 SEGMENT, MOST_SENT, MARKS = 1 << 18, 1 << 18, 1 << 24
-#: Entries of a list whose pairs are formed, and bits of a sketch.
+#: Entries of a list whose pairs are formed, and bits of a short sketch.
 SHORT, BITS = 24, 1024
 _HELD = 1 << 17
 
@@ -165,21 +166,36 @@ def prefix(n: int, similar: int = SIMILAR) -> int:
     return n - -(-similar * n // 100) + 1
 
 
-def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """Whether an even or odd number of shingles falls on each of ``BITS`` bits, as longs.
+def sketch_of(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Whether an even or odd number of shingles falls on each of ``bits`` bits, as longs.
 
     A shingle that only one of two sets has changes one bit, so the bits in which
     two sketches differ are never more than the shingles in which the sets do.
     """
-    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_FACTS = "id long, n long, node long, shingles array<long>, times array<long>, sketch array<long>"
+def wide_sketch_of(shingles: np.ndarray) -> np.ndarray | None:
+    """A sketch with as many bits as the largest power of two that is no more than the set; None where ``BITS`` are as many."""
+    bits = 1 << max(0, len(shingles).bit_length() - 1)
+    return sketch_of(shingles, bits) if bits > BITS else None
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """The bits in which two sketches differ, 0 if one is empty. The longer is folded: what falls on a bit of it falls on that bit modulo the shorter's."""
+    least = min(len(a), len(b))
+    if not least:
+        return 0
+    a, b = (np.bitwise_xor.reduce(x.view(np.uint64).reshape(-1, least), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+_FACTS = "id long, n long, node long, shingles array<long>, times array<long>, sketch array<long>, wide array<long>"
 
 
 def _facts(docs: DataFrame, size: int, most_light: int) -> DataFrame:
-    """A row per document: id, set size, node, sketch and, of a small set, the shingles; and rows without n: frequent shingles and their counts."""
+    """A row per document: id, set size, node, sketches and, of a small set, the shingles; and rows without n: shingles that occur more than once, and their counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = [], 0
@@ -188,7 +204,8 @@ def _facts(docs: DataFrame, size: int, most_light: int) -> DataFrame:
             for key, own in zip(batch.column("id"), shingle_sets(_texts(batch), size)):
                 chunk.append(own)
                 held += len(own)
-                rows.append((key.as_py(), len(own), node_of(own) if len(own) else None, own.view(np.int64) if len(own) <= most_light else None, None, sketch_of(own)))
+                small = own.view(np.int64) if len(own) <= most_light else None
+                rows.append((key.as_py(), len(own), node_of(own) if len(own) else None, small, None, sketch_of(own), wide_sketch_of(own)))
                 if held >= CHUNK:
                     rows.append(_often(chunk))
                     chunk, held = [], 0
@@ -200,19 +217,24 @@ def _facts(docs: DataFrame, size: int, most_light: int) -> DataFrame:
 
 def _often(chunk: list[np.ndarray]) -> tuple:
     shingles, times = np.unique(np.concatenate(chunk), return_counts=True) if chunk else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return None, None, None, shingles[times >= OFTEN].view(np.int64), times[times >= OFTEN], None
+    return None, None, None, shingles[times > 1].view(np.int64), times[times > 1], None, None
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
-    columns = zip(*rows) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "n", "node", "shingles", "times", "sketch"])
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4
+    columns = zip(*rows) if rows else [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["id", "n", "node", "shingles", "times", "sketch", "wide"])
 
 
 def _frequent(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles in order, and their counts."""
+    """The most frequent shingles in order, and their counts.
+
+    Counts are sums over all texts, so a shingle that is spread thinly over a
+    large table is known too; its list would grow with the table.
+    """
     each = facts.where("n IS NULL").select(F.explode(F.arrays_zip("shingles", "times")).alias("s")).select("s.*")
-    top = each.groupBy("shingles").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingles").limit(MOST_FREQUENT).collect()
+    counted = each.groupBy("shingles").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
+    top = counted.orderBy(F.desc("times"), "shingles").limit(MOST_FREQUENT).collect()
     shingles = np.array([r["shingles"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], np.array([r["times"] for r in top], np.int64)[order]
@@ -489,16 +511,46 @@ def _named_sets(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["node", "id", "shingles"])
 
 
-def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int = SIZE, similar: int = SIMILAR) -> DataFrame:
-    """The pairs of nodes (a, b) whose whole sets are linked; ``sets`` has node, n, sketch and the id of a document.
+def _alike(one, other, similar: int) -> Column:
+    """Whether two sets' short sketches differ in no more bits than linked sets differ in shingles."""
+    apart = F.aggregate(F.zip_with(one("sketch"), other("sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    total = one("n") + other("n")
+    return (100 + similar) * (total - apart) >= 2 * similar * total
+
 
-    Sketches first: pairs that differ in more bits than linked sets differ in
-    shingles are none. The texts of the others are read and compared in full.
+def maybe_linked(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose sketches don't differ in more bits than linked sets differ in shingles; ``sets`` has node, n, sketch and wide.
+
+    Short sketches first, as they are the least that moves, then the wide ones
+    of what is left: these are an eighth of a byte or less for each shingle.
     """
     one, other = (sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")) for side in ("a", "b"))
-    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    total = F.col("a_n") + F.col("b_n")
-    pairs = stored(pairs.join(one, "a").join(other, "b").where((100 + similar) * (total - apart) >= 2 * similar * total).select("a", "b"), "jaccard-pairs")
+    alike = _alike(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), similar)
+    near = pairs.join(one, "a").join(other, "b").where(alike).select("a", "b", (F.col("a_n") + F.col("b_n")).alias("total"))
+    one, other = (sets.where("wide IS NOT NULL").select(F.col("node").alias(side), F.col("wide").alias(f"{side}_wide")) for side in ("a", "b"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.array([bits_apart(x, y) for x, y in zip(_lists(batch.column("a_wide")), _lists(batch.column("b_wide")))], np.int64)
+            total = batch.column("total").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((100 + similar) * (total - apart) >= 2 * similar * total))
+
+    return near.join(one, "a", "left").join(other, "b", "left").select("a", "b", "total", "a_wide", "b_wide").mapInArrow(run, "a long, b long")
+
+
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The numbers of each row; a null is empty."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (values[start:end] for start, end in zip(ends[:-1], ends[1:]))
+
+
+def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int = SIZE, similar: int = SIMILAR) -> DataFrame:
+    """The pairs of nodes (a, b) whose whole sets are linked; ``sets`` has node, n, sketches and the id of a document.
+
+    Pairs whose sketches are too far apart are none. The texts of the others
+    are read and compared in full.
+    """
+    pairs = stored(maybe_linked(pairs, sets, similar), "jaccard-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     full = stored(_sets_of(docs, nodes.join(sets.select("node", "id"), "node"), size), "jaccard-compared")
     one, other = (full.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")) for side in ("a", "b"))
@@ -524,7 +576,7 @@ def near_groups(
     read = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     facts = stored(_facts(read, size, most_light), "jaccard-facts")
     frequent = _frequent(facts)
-    sets = stored(facts.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("shingles").alias("shingles"), F.min("sketch").alias("sketch")), "jaccard-sets")
+    sets = stored(facts.where("n > 0").groupBy("node").agg(*[F.min(c).alias(c) for c in ("id", "n", "shingles", "sketch", "wide")]), "jaccard-sets")
     small = sets.where(F.col("n") <= most_light)
     if boundary is None:
         boundary = choose_boundary(*_costs(small, frequent, similar), most_light, similar)
@@ -536,7 +588,8 @@ def near_groups(
         return _reach(one("n"), other("n"), one("place"), other("place"), boundary, similar, F.least, F.greatest)
 
     long = met.where("other IS NULL").drop("other")
-    roots = list_components(long, fits, lambda pairs: linked(pairs, read, sets, size, similar), links)
+    alike, sketches = (lambda one, other: _alike(one, other, similar)), sets.select("node", "sketch")
+    roots = list_components(long, fits, lambda pairs: linked(pairs, read, sets, size, similar), links, facts=sketches, alike=alike)
     classes = sets.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     named = classes.join(least, "root").select(F.col("node").alias("own"), "component_id")

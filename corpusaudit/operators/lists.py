@@ -24,14 +24,20 @@ ROUNDS, FEW = 2, 4
 Fits = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def list_components(members: DataFrame, fits: Fits, near: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+def list_components(
+    members: DataFrame, fits: Fits, near: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, rounds: int = ROUNDS,
+    facts: DataFrame | None = None, alike: Fits | None = None,
+) -> DataFrame:
     """(node, root) as ``components`` gives them, of all near pairs that share a list, and of the given ``links`` (a, b).
 
     ``members`` has list, node (a long) and what ``fits`` reads: a condition on
     two members of a list, given as functions from column names to columns, that
     every near pair meets in one of its lists at least. ``near`` takes (a, b)
     and returns the pairs that are. Leaders are minima, lists are joined by
-    their key, so the rows of a large list needn't meet in one task.
+    their key, so the rows of a large list needn't meet in one task. ``alike`` is
+    a condition that every near pair meets in any list, by ``facts`` of each node
+    too (node and further columns): in the last step only pairs that meet both
+    leave the join, as what comes after it would move them for each pair.
     """
     fields = [c for c in members.columns if c != "list"]
     groups = components(links.select("a", "b")) if links is not None else None
@@ -48,7 +54,7 @@ def list_components(members: DataFrame, fits: Fits, near: Callable[[DataFrame],
         mixed = stored(grouped.join(spread.where("low <> high").select("list", "leader"), "list"), "list-members")
         last = number == rounds or _few(mixed)
         if last:
-            pairs = _all_pairs(mixed, fields, fits)
+            pairs = _all_pairs(mixed, fields, fits, facts, alike)
         else:
             apart = (F.col("group") != F.col("leader.group")) & fits(F.col, lambda c: F.col(f"leader.{c}"))
             pairs = mixed.where(apart).select(*_ends("node", "leader.node"))
@@ -75,7 +81,10 @@ def _ends(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _all_pairs(mixed: DataFrame, fields: list[str], fits: Fits) -> DataFrame:
+def _all_pairs(mixed: DataFrame, fields: list[str], fits: Fits, facts: DataFrame | None, alike: Fits | None) -> DataFrame:
+    if facts is not None:
+        mixed, fields = mixed.join(facts, "node"), [*fields, *[c for c in facts.columns if c != "node"]]
     one, other = (mixed.select("list", *[F.col(c).alias(f"{side}_{c}") for c in (*fields, "group")]) for side in ("one", "other"))
-    met = one.join(other, "list").where(F.col("one_group") < F.col("other_group"))
-    return met.where(fits(lambda c: F.col(f"one_{c}"), lambda c: F.col(f"other_{c}"))).select(*_ends("one_node", "other_node"))
+    ends = [lambda c, side=side: F.col(f"{side}_{c}") for side in ("one", "other")]
+    met = one.join(other, "list").where((F.col("one_group") < F.col("other_group")) & fits(*ends))
+    return (met if alike is None else met.where(alike(*ends))).select(*_ends("one_node", "other_node"))

@@ -7,8 +7,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusaudit.llm import jaccard_join, queries
+from corpusaudit.operators.lists import list_components
 
 
 def _set(text):
@@ -125,6 +127,50 @@ def test_sketches_differ_by_no_more_than_the_sets():
         assert bits <= len(np.setxor1d(a, b))
 
 
+def test_wide_sketches_of_any_two_sizes():
+    rng = np.random.default_rng(3)
+    for n in (1023, 2047, 2048, 4095, 4100, 9000):
+        pool = np.unique(rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64))
+        a = np.sort(rng.permutation(pool)[:n])
+        wide = jaccard_join.wide_sketch_of(a)
+        assert wide is None if n < 2048 else n / 2 < 64 * len(wide) <= n
+        for b in (a, a[: n // 2], np.sort(rng.permutation(a)[: n - n // 9]), np.sort(rng.permutation(pool)[:n])):
+            other = jaccard_join.wide_sketch_of(b)
+            if wide is not None and other is not None:
+                assert jaccard_join.bits_apart(wide, other) == jaccard_join.bits_apart(other, wide) <= len(np.setxor1d(a, b))
+    assert jaccard_join.bits_apart(jaccard_join.sketch_of(a), np.zeros(0, np.int64)) == 0
+
+
+def test_unlike_long_sets_are_told_apart_by_sketches(spark):
+    """Pairs of very long texts are discarded before any set moves; linked ones and short ones stay."""
+    rng = np.random.default_rng(6)
+    new = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    base = new(5000)
+    made = [base, np.concatenate([base[:4600], new(420)]), new(5000), np.concatenate([base[:2500], new(2300)]), base[:4050], new(40)]
+    made.append(np.concatenate([made[5][:38], new(2)]))
+    sets = {i: np.unique(x) for i, x in enumerate(made)}
+    wide = {i: jaccard_join.wide_sketch_of(x) for i, x in sets.items()}
+    rows = [(i, i, len(x), jaccard_join.sketch_of(x).tolist(), None if wide[i] is None else wide[i].tolist()) for i, x in sets.items()]
+    table = spark.createDataFrame(rows, "node long, id long, n long, sketch array<long>, wide array<long>")
+    pairs = [p for p in combinations(sets, 2) if 100 * min(len(sets[i]) for i in p) >= 80 * max(len(sets[i]) for i in p)]
+    expected = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    found = {(r["a"], r["b"]) for r in jaccard_join.maybe_linked(pairs, table).collect()}
+    assert found == expected == {(0, 1), (0, 4), (1, 4), (5, 6)}
+    narrow = jaccard_join.maybe_linked(pairs, table.withColumn("wide", F.lit(None).cast("array<long>")))
+    assert {(0, 2), (0, 3)} <= {(r["a"], r["b"]) for r in narrow.collect()}
+
+
+def test_shingles_spread_over_many_chunks_are_frequent(spark, monkeypatch):
+    """Two occurrences in each of many chunks are counted together; a shingle of one chunk isn't among them."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 30)
+    texts = [f"seen in all of them {' '.join(f'x{i}_{k}' for k in range(14))}" for i in range(40)] + ["only two of these here", "only two of these here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.col("text").cast("binary").alias("text")).coalesce(1)
+    known, times = jaccard_join._frequent(jaccard_join._facts(docs, 5, 16))
+    one = next(jaccard_join.shingle_sets([b"seen in all of them"]))
+    assert known.tolist() == one.tolist() and times[0] >= 30
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.near_groups(docs).count() == 0
@@ -164,3 +210,20 @@ def test_lists_across_batches(monkeypatch):
         found = [r for b in jaccard_join._scanned(batches, 0, 80) for r in b.to_pylist()]
         assert {(r["list"], r["node"]) for r in found if r["other"] is None} == entries
         assert {(r["node"], r["other"]) for r in found if r["other"] is not None} == pairs
+
+
+def test_unlike_sets_of_a_long_list_leave_no_pairs(spark):
+    """Where all pairs of a list meet, those whose sketches are apart don't leave the join."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = {i: np.concatenate([base[:10] if i else base[:57], rng.integers(0, 1 << 63, 50 if i else 3).astype(np.uint64)]) for i in range(40)} | {40: base}
+    members = spark.createDataFrame([(1, i, len(x), 0) for i, x in sets.items()], "list long, node long, n int, place int")
+    sketches = spark.createDataFrame([(i, jaccard_join.sketch_of(x).tolist()) for i, x in sets.items()], "node long, sketch array<long>")
+    given = []
+
+    def near(pairs):
+        given.extend((r["a"], r["b"]) for r in pairs.collect())
+        return pairs
+
+    roots = list_components(members, lambda one, other: one("place") == other("place"), near, rounds=0, facts=sketches, alike=lambda one, other: jaccard_join._alike(one, other, 80))
+    assert given == [(0, 40)] and [tuple(r) for r in roots.collect()] == [(40, 0)]
