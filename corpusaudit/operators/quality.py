@@ -15,6 +15,7 @@ from corpusaudit.functions.once import with_once
 from corpusaudit.functions.text import lines
 from corpusaudit.operators.grouping import file_key
 from corpusaudit.operators.lists import Fits, list_components
+from corpusaudit.operators.sketches import alike, maybe_near, sketches_of
 from corpusaudit.session import stored
 
 BRANCH_WORDS = r"\b(if|for|while|case|catch|except|elif)\b"
@@ -49,10 +50,14 @@ def duplicate_files(files: DataFrame) -> DataFrame:
 # -- near copies -----------------------------------------------------------------
 #: Words of a shingle, and least share of equal shingles.
 SHINGLE, SIMILAR = 5, 0.8
-#: Shingles that a task counts together, how often one must occur there, and how many of the most frequent order the others.
+#: Shingles that a task counts together, how often one must occur in all, and how many of the most frequent order the others.
 CHUNK, OFTEN, MOST_FREQUENT = 1 << 20, 4, 1 << 17
-#: Texts in pairs whose numbers travel whole to the sets.
-TRAVEL_TEXTS = 1 << 20
+#: Texts in a list whose pairs are formed where the list is read.
+SHORT = 24
+#: Texts in pairs whose numbers travel whole to the others, and bits that mark more of them.
+TRAVEL_TEXTS, MARKS = 1 << 20, 1 << 24
+#: Texts that are read together, and texts that a task remembers.
+TOGETHER, REMEMBERED = 512, 1 << 17
 
 
 def near_copies(files: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -66,37 +71,82 @@ def near_copies(files: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Two near sets meet in their first shingles, a fifth of each at 0.8, so only
     those are indexed; and they meet by places from which enough equal shingles
     can still follow. A header that many files share comes last in the order and
-    is in no list. What meets is compared in full, a list's copies with the
-    list's leaders (``list_components``).
+    is in no list. A short list gives its pairs, a long one is compared with its
+    leaders (``list_components``). Pairs whose sketches are too far apart are
+    dropped, the others are compared in full.
+
+    Neither texts nor sets are kept: sets are made from the texts each time, and
+    what moves are sketches, the indexed shingles, and the sets of compared pairs.
     """
     key = file_key(files)
     rows = files.select(F.struct(*key).alias("file"), F.xxhash64(F.sha2("content", 256)).alias("text"), "content")
-    names = stored(rows.select("file", "text"), "near-files")
-    texts = rows.dropDuplicates(["text"]).select("text", "content")
-    sets = stored(texts.mapInArrow(_shingled, "text long, shingles array<long>").where("size(shingles) > 0"), "near-sets")
-    members = near_lists(sets, similar)
-    groups = list_components(members, _fits(similar), lambda pairs: _compared(pairs, sets, similar))
+    names, texts = stored(rows.select("file", "text"), "near-files"), rows.select("text", "content")
+    sets = shingle_sets(texts)
+    sketches = stored(sketches_of(sets), "near-sketches")
+    met = near_lists(sets, similar, SHORT)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        pairs = stored(maybe_near(pairs, sketches, similar), "near-pairs")
+        return _compared(pairs, stored(_paired_sets(texts, pairs), "near-sets"), similar)
+
+    links = near(met.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    lists, facts = met.where("other IS NULL").drop("other"), sketches.select(F.col("text").alias("node"), "sketch")
+    groups = list_components(lists, _fits(similar), near, links, facts=facts, alike=lambda one, other: alike(one, other, similar))
     rooted = names.join(groups, names["text"] == groups["node"], "left").select("file", F.coalesce("root", "text").alias("root"))
     sizes = rooted.groupBy("root").agg(F.min("file").alias("first"), F.count("*").alias("files")).where("files > 1")
     return rooted.join(sizes, "root").select("file.*", *[F.col(f"first.{c}").alias(f"first_{c.removeprefix('file_')}") for c in key], "files")
 
 
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(text, shingles) of (text, content): texts without words are left out, equal texts that a task reads are mostly one."""
+    return texts.mapInArrow(_shingled, "text long, shingles array<long>").where("size(shingles) > 0")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    n = max(0, len(words) - size + 1)
+    h = np.full(n, size, np.uint64)
+    for i in range(size):
+        h = _mixed(h) + words[i : n + i]
+    return _mixed(h * np.uint64(0x94D049BB133111EB))
+
+
 def _shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted shingle hashes of each text; fewer words than a shingle has are one."""
+    seen = set()
     for batch in batches:
-        shingles = []
-        for x in batch.column("content"):
-            own = (x.as_py() or "").split()
-            pieces = (" ".join(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1))) if own else ()
-            shingles.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(shingles, pa.list_(pa.int64()))], names=["text", "shingles"])
+        for start in range(0, batch.num_rows, TOGETHER):
+            texts, words = [], []
+            for text, content in zip(batch.column("text")[start : start + TOGETHER].to_pylist(), batch.column("content")[start : start + TOGETHER]):
+                if text not in seen:
+                    texts.append(text)
+                    words.append(np.fromiter(map(xxhash.xxh64_intdigest, (content.as_py() or "").split()), np.uint64))
+                    seen.add(text)
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            if not texts:
+                continue
+            runs, shingles, end = _runs(np.concatenate(words), SHINGLE), [], 0
+            for own in words:
+                end += len(own)
+                if len(own) >= SHINGLE:
+                    shingles.append(np.unique(runs[end - len(own) : end - SHINGLE + 1]).view(np.int64))
+                else:
+                    shingles.append(_runs(own, len(own)).view(np.int64) if len(own) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], names=["text", "shingles"])
 
 
 def frequent_shingles(sets: DataFrame) -> dict[int, int]:
     """The most frequent shingles and how often they were counted, ``MOST_FREQUENT`` at most.
 
     They decide the order of shingles, and so how much is compared, never what is
-    found. One that is rare wherever a task reads isn't frequent.
+    found. One that never occurs twice in what a task counts together isn't
+    frequent; others are summed over all tasks, so one that is spread thinly is.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +154,7 @@ def frequent_shingles(sets: DataFrame) -> dict[int, int]:
 
         def counted() -> pa.RecordBatch:
             shingle, times = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(shingle[times >= OFTEN]), pa.array(times[times >= OFTEN])], names=["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(shingle[times > 1]), pa.array(times[times > 1])], names=["shingle", "n"])
 
         for batch in batches:
             held.append(batch.column(0).flatten().to_numpy())
@@ -114,14 +164,22 @@ def frequent_shingles(sets: DataFrame) -> dict[int, int]:
                 held, n = [], 0
         yield counted()
 
-    counts = sets.select("shingles").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = sets.select("shingles").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     return {r["shingle"]: r["n"] for r in counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()}
 
 
-def near_lists(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(list, node, n, place): the inverted lists of the sets' first shingles that hold two texts or more.
+_MET = "list long, node long, n int, place int, other long"
+_NAMES = ["list", "node", "n", "place"]
+
 
-    ``sets`` has text and shingles, each text once.
+def near_lists(sets: DataFrame, similar: float = SIMILAR, short: int = 1) -> DataFrame:
+    """(list, node, n, place, other): what meets in the inverted lists of the sets' first shingles.
+
+    Lists of up to ``short`` texts give pairs of texts that fit, as node and
+    other. Longer ones give their entries, without other. A list of one text
+    gives nothing. ``sets`` has text and shingles; a repeated text counts once.
+    Entries move once: those of a frequent shingle by text, as its list may be
+    long and needn't be in one place, the others by shingle.
     """
     frequent = frequent_shingles(sets)
     shingle = np.array(sorted(frequent), np.int64)
@@ -131,8 +189,8 @@ def near_lists(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
         known, times = sent.value
         for batch in batches:
             column = batch.column("shingles")
-            for start in range(0, batch.num_rows, 512):
-                part = column.slice(start, 512)
+            for start in range(0, batch.num_rows, TOGETHER):
+                part = column.slice(start, TOGETHER)
                 size = pa.compute.list_value_length(part).to_numpy()
                 flat, row = part.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
                 n = np.zeros(len(flat), np.int64)
@@ -142,24 +200,101 @@ def near_lists(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
                 order = np.lexsort((flat, n, row))
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
                 first = place <= (size - np.ceil(similar * size - 1e-9))[row]
-                node = batch.column("text").slice(start, 512).to_numpy()
-                columns = [flat[order][first], node[row][first], size[row][first].astype(np.int32), place[first].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["list", "node", "n", "place"])
+                node = batch.column("text").slice(start, TOGETHER).to_numpy()
+                columns = [flat[order][first], node[row][first], size[row][first].astype(np.int32), place[first].astype(np.int32), n[order][first] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*_NAMES, "often"])
 
-    entries = sets.mapInArrow(run, "list long, node long, n int, place int")
-    shared = entries.groupBy("list").agg(F.count("*").alias("texts")).where("texts > 1").select("list")
-    return stored(entries.join(shared, "list", "left_semi"), "near-lists")
+    entries = sets.mapInArrow(run, "list long, node long, n int, place int, often boolean")
+    dealt = entries.repartition(F.when(F.col("often"), F.col("node")).otherwise(F.col("list"))).sortWithinPartitions("list", "node")
+    return stored(dealt.mapInArrow(lambda batches: _scanned(batches, similar, short), _MET).distinct(), "near-lists")
+
+
+def _scanned(batches: Iterable[pa.RecordBatch], similar: float, short: int) -> Iterator[pa.RecordBatch]:
+    """What meets, of entries by list and node. The last list of a batch waits for the next batch, unless it is long already."""
+    held, long = None, None
+    for batch in batches:
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*_NAMES, "often")}
+        direct = rows["often"] if long is None else rows["often"] | (rows["list"] == long)
+        yield _entry_rows(rows, direct)
+        rows = {c: x[~direct] for c, x in rows.items()}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], x]) for c, x in rows.items()}
+        if not len(rows["list"]):
+            continue
+        once = np.concatenate([[True], (rows["list"][1:] != rows["list"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])
+        rows = {c: x[once] for c, x in rows.items()}
+        start = int(np.flatnonzero(rows["list"] == rows["list"][-1])[0])
+        yield from _lists_met({c: x[:start] for c, x in rows.items()}, similar, short)
+        held = {c: x[start:] for c, x in rows.items()}
+        if len(held["list"]) > short:
+            long = held["list"][0]
+            yield from _lists_met(held, similar, short)
+            held = None
+    if held is not None:
+        yield from _lists_met(held, similar, short)
+
+
+def _lists_met(rows: dict[str, np.ndarray], similar: float, short: int) -> Iterator[pa.RecordBatch]:
+    """The entries of whole lists that are long, and the pairs of short ones that fit, each pair once for these rows."""
+    first = np.concatenate([[True], rows["list"][1:] != rows["list"][:-1]])[: len(rows["list"])]
+    size = np.diff(np.append(np.flatnonzero(first), len(first)))[np.cumsum(first) - 1]
+    yield _entry_rows(rows, size > max(short, 1))
+    rows, found = {c: x[(size > 1) & (size <= short)] for c, x in rows.items()}, []
+    for step in range(1, short):
+        i = np.flatnonzero(rows["list"][step:] == rows["list"][:-step])
+        if not len(i):
+            break
+        fit = _reach(*(rows[c][at] for c in ("n", "place") for at in (i, i + step)), similar, np.minimum, np.maximum)
+        found.append(np.stack([rows["node"][i[fit]], rows["node"][i[fit] + step]], 1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    none = [pa.nulls(len(pairs), kind) for kind in (pa.int64(), pa.int32(), pa.int32())]
+    yield pa.RecordBatch.from_arrays([none[0], pa.array(pairs[:, 0]), none[1], none[2], pa.array(pairs[:, 1])], names=[*_NAMES, "other"])
+
+
+def _entry_rows(rows: dict[str, np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(rows[c][keep]) for c in _NAMES]
+    return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.int64())], names=[*_NAMES, "other"])
+
+
+def _reach(n, other_n, place, other_place, similar: float, least, greatest):
+    """Sizes are near enough, and enough equal shingles can follow from the places where two sets meet; for arrays or columns."""
+    low, high, after = least(n, other_n), greatest(n, other_n), least(n - place, other_n - other_place)
+    return (low >= similar * high - 1e-9) & ((1 + similar) * after >= similar * (low + high) - 1e-9)
 
 
 def _fits(similar: float) -> Fits:
-    """Sizes are near enough, and enough equal shingles can follow from the places where two sets meet."""
+    return lambda one, other: _reach(one("n"), other("n"), one("place"), other("place"), similar, F.least, F.greatest)
+
 
-    def fits(one, other):
-        low, high = F.least(one("n"), other("n")), F.greatest(one("n"), other("n"))
-        after = F.least(one("n") - one("place"), other("n") - other("place"))
-        return (low >= similar * high - 1e-9) & ((1 + similar) * after >= similar * (low + high) - 1e-9)
+def _paired_sets(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(text, shingles) of the texts that are in a pair, each once.
+
+    Only those texts are read as words: a few numbers go to the texts, more of
+    them as marks, which a few other texts may fit too.
+    """
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("text")).distinct()
+    if paired.count() <= TRAVEL_TEXTS:
+        sets = shingle_sets(texts.join(F.broadcast(paired), "text", "left_semi"))
+    else:
+        sets = shingle_sets(_marked(texts, paired)).join(paired, "text", "left_semi")
+    return sets.dropDuplicates(["text"])
+
+
+def _marked(texts: DataFrame, paired: DataFrame) -> DataFrame:
+    """The texts whose bit of ``MARKS`` is set by one of ``paired``, and so all of them; a 32nd as many numbers are collected at most."""
+    slot = F.col("text").bitwiseAND(MARKS - 1)
+    bit = F.pow(F.lit(2.0), slot % 32).cast("long")
+    marks = np.zeros(MARKS // 32, np.uint32)
+    for row in paired.groupBy(F.shiftright(slot, 5).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
+        marks[row["word"]] = row["bits"]
+    sent = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("text").to_numpy() & (MARKS - 1)
+            yield batch.filter(pa.array((sent.value[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
 
-    return fits
+    return texts.mapInArrow(run, texts.schema)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:

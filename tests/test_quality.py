@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusaudit.operators import checks, lists, quality, rules
+from corpusaudit.operators import checks, lists, quality, rules, sketches
 
 
 def _shingles(text):
@@ -133,3 +135,74 @@ def test_only_sets_of_paired_texts_move(spark, rows, monkeypatch):
         assert rows(near) == [(1, 2)]
         plan = near._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Join LeftSemi") == 2 and plan.count("strategy=broadcast") == (2 if most else 0)
+
+
+def _some_alike(r, groups=12):
+    """Threes of texts that share half of their words, so that they meet in lists but aren't near, a near pair, and a text that comes twice."""
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join(shared + words(30)) for shared in (words(30) for _ in range(groups)) for _ in range(3)]
+    return [(f"f{i:03}", text) for i, text in enumerate([*texts, texts[0] + " more", texts[4]])]
+
+
+def test_only_sets_of_pairs_that_may_be_near_are_kept(spark, monkeypatch):
+    """Neither texts nor all sets move: what meets but isn't alike is dropped by sketches, and only the sets of the other pairs are stored."""
+    kept = {}
+    keep = quality.stored
+
+    def stored(df, purpose):
+        out = keep(df, purpose)
+        kept.setdefault(purpose, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(quality, "stored", stored)
+    seen = _counted(monkeypatch)
+    files = spark.createDataFrame(_some_alike(random.Random(9)), "file_path string, content string")
+    found = sorted((x["file_path"], x["first_path"], x["files"]) for x in quality.near_copies(files).collect())
+    assert found == [("f000", "f000", 2), ("f004", "f004", 2), ("f036", "f000", 2), ("f037", "f004", 2)]
+    assert sum(seen) == 1 and sum(kept["near-sets"]) == 2
+    assert sum(kept["near-lists"]) > 5  # they met
+
+
+@pytest.mark.parametrize("short", [1, 2, 24])
+def test_lists_texts_and_marks_of_any_size_give_the_same_groups(spark, monkeypatch, short):
+    """Pairs of short lists or entries of long ones, numbers or marks, a few texts together: the groups of all pairs."""
+    r = random.Random(10)
+    rows = [("r", path, text) for path, text in _some_alike(r, 4)]
+    base = [f"b{i}" for i in range(80)]
+    for i in range(30):
+        own = list(base)
+        own[r.randrange(80)] = f"x{i % 7}"
+        rows.append(("r", f"g{i:02}", " ".join(own)))
+    rows += [("r", f"e{i}", x) for i, x in enumerate(["one two", "one two", "one  two three", "", None])]
+    monkeypatch.setattr(quality, "SHORT", short)
+    for name, value in (("TRAVEL_TEXTS", 0), ("MARKS", 64), ("TOGETHER", 5), ("REMEMBERED", 3)):
+        monkeypatch.setattr(quality, name, value)
+    found = quality.near_copies(spark.createDataFrame(rows, "repo string, file_path string, content string").repartition(3))
+    got = sorted(((x["repo"], x["file_path"]), (x["first_repo"], x["first_path"]), x["files"]) for x in found.collect())
+    assert got == _groups(rows)
+
+
+def test_lists_go_on_over_batches():
+    """What meets doesn't depend on where batches end, and a repeated entry counts once."""
+    entries = [(1, 1), (2, 1), (2, 2), (3, 1), (3, 1), (4, 1), (4, 1), (4, 2), (4, 5), (5, 1), (5, 2), (5, 3), (5, 4), (5, 6), (6, 3), (6, 9)]
+    rows = [{"list": x, "node": y, "n": 10, "place": 0, "often": False} for x, y in entries] + [{"list": 9, "node": 1, "n": 10, "place": 0, "often": True}]
+    expected = {(None, 1, 2), (None, 1, 5), (None, 2, 5), (None, 3, 9), (9, 1, None), *((5, x, None) for x in (1, 2, 3, 4, 6))}
+    for size in (1, 2, 3, 5, 17):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size]) for i in range(0, len(rows), size)]
+        met = [x for batch in quality._scanned(batches, 0.8, 3) for x in batch.to_pylist()]
+        assert {(x["list"], x["node"], x["other"]) for x in met} == expected
+
+
+def test_sketches_never_drop_near_sets():
+    r = np.random.default_rng(3)
+    for n in (1, 9, 700, 1024, 3000, 9000):
+        hashes = r.integers(-(1 << 63), (1 << 63) - 1, 2 * n)
+        one = hashes[:n]
+        for changed in {0, n // 9, n}:
+            other = np.concatenate([one[: n - changed], hashes[n : n + changed]])
+            apart = max(sketches.bits_apart(f(one), f(other)) for f in (sketches.sketch_of, sketches.wide_sketch_of) if f(one) is not None)
+            assert apart <= 2 * changed
+            if 8 < changed == n:
+                assert not sketches._enough(2 * n, apart, 0.8)
+            if n - changed >= 0.8 * (n + changed):
+                assert sketches._enough(2 * n, apart, 0.8)
